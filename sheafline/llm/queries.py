@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheafline.llm.common import table
 from sheafline.llm.exact_dedup import exact_dedup
+from sheafline.llm.sharding import interleave
+from sheafline.llm.simhash import simhash_groups
+from sheafline.llm.warc import round_trip
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +16,26 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives with revisits, and read back."""
+    return round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups of all documents, links at 2 or fewer differing bits."""
+    return simhash_groups(table(spark, sf_dir, "documents"), limit=2)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards that each match the source mixture."""
+    return interleave(table(spark, sf_dir, "documents"), shards=8, seed=7)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_warc": op4_warc,
+    "op7_simhash": op7_simhash,
+    "op8_sharding": op8_sharding,
 }
 
 SQL = {
@@ -27,4 +48,15 @@ SQL = {
         FROM (SELECT doc_id, sha256(norm) AS text_sha256,
                      first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY norm) AS group_size FROM d)""",
+    "op4_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (
+            SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h,
+                   min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM d""",
 }
