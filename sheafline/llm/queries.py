@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sheafline.llm.bpe import encode
 from sheafline.llm.common import table
 from sheafline.llm.exact_dedup import exact_dedup
 from sheafline.llm.sharding import interleave
@@ -21,6 +23,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """All documents encoded with a public byte-level vocabulary, and decoded again."""
+    return encode(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents, links at 2 or fewer differing bits."""
     return simhash_groups(table(spark, sf_dir, "documents"), limit=2)
@@ -34,6 +41,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_warc": op4_warc,
+    "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
 }
