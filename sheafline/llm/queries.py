@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sheafline.llm.bpe import encode
 from sheafline.llm.common import table
 from sheafline.llm.exact_dedup import exact_dedup
+from sheafline.llm.langid import held_out, identify, train
+from sheafline.llm.mixing import mix
 from sheafline.llm.sharding import interleave
 from sheafline.llm.simhash import simhash_groups
 from sheafline.llm.warc import round_trip
@@ -18,6 +21,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: The mix of op2 and the pipeline: half of all tokens, uneven weights by domain and language.
+MIX_WEIGHTS = {"domain": {"web": 2, "books": 3, "forums": 1}, "language": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def mix_domain(source: str = "source") -> Column:
+    """A domain for each source: the largest is the web, sources ending in an even digit are books."""
+    name = F.col(source)
+    return F.when(name == "src0", F.lit("web")).when(name.rlike("[02468]$"), F.lit("books")).otherwise(F.lit("forums"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken in a mix of 60 % of all tokens, at most two epochs."""
+    return mix(table(spark, sf_dir, "documents"), F.col("tokens") * 0.6, MIX_WEIGHTS, mix_domain(), epochs=2, seed=5)
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs.where(~held_out()).select("text", "lang")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives with revisits, and read back."""
     return round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
@@ -40,6 +64,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_mixing": op2_mixing,
+    "op3_langid": op3_langid,
     "op4_warc": op4_warc,
     "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
@@ -56,6 +82,43 @@ SQL = {
         FROM (SELECT doc_id, sha256(norm) AS text_sha256,
                      first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY norm) AS group_size FROM d)""",
+    "op2_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(source, '[02468]$') THEN 'books' ELSE 'forums' END AS domain,
+                   coalesce(lang, '(null)') AS language, coalesce(source, '(null)') AS source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+        leaf AS (
+            SELECT domain, language, source, sum(tokens)::BIGINT AS tokens, 2 * sum(tokens)::BIGINT AS holds, 1.0::DOUBLE AS weight,
+                   (CASE domain WHEN 'web' THEN 2 WHEN 'books' THEN 3 ELSE 1 END)::DOUBLE AS w_domain,
+                   (CASE language WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END)::DOUBLE AS w_language
+            FROM d GROUP BY ALL),
+        root AS (SELECT least(floor(sum(tokens) * 0.6::DOUBLE)::BIGINT, sum(holds))::BIGINT AS total FROM leaf),
+        n1 AS (SELECT domain, w_domain AS weight, sum(holds)::BIGINT AS holds, (SELECT total FROM root) AS total FROM leaf GROUP BY ALL),
+        l1 AS (SELECT *, (total - coalesce(sum(holds) OVER b, 0)::BIGINT) / sum(weight) OVER a AS level, holds / weight AS ratio FROM n1
+               WINDOW b AS (ORDER BY holds / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                      a AS (ORDER BY holds / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        m1 AS (SELECT *, max(level) FILTER (ratio > level) OVER () AS cut FROM l1),
+        s1 AS (SELECT domain, floor((CASE WHEN cut IS NULL OR ratio <= cut THEN holds::DOUBLE ELSE weight * cut END) + 1e-6)::BIGINT AS total FROM m1),
+        n2 AS (SELECT domain, language, w_language AS weight, sum(holds)::BIGINT AS holds, any_value(total) AS total FROM leaf JOIN s1 USING (domain) GROUP BY ALL),
+        l2 AS (SELECT *, (total - coalesce(sum(holds) OVER b, 0)::BIGINT) / sum(weight) OVER a AS level, holds / weight AS ratio FROM n2
+               WINDOW b AS (PARTITION BY domain ORDER BY holds / weight, language ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                      a AS (PARTITION BY domain ORDER BY holds / weight, language ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        m2 AS (SELECT *, max(level) FILTER (ratio > level) OVER (PARTITION BY domain) AS cut FROM l2),
+        s2 AS (SELECT domain, language, floor((CASE WHEN cut IS NULL OR ratio <= cut THEN holds::DOUBLE ELSE weight * cut END) + 1e-6)::BIGINT AS total FROM m2),
+        n3 AS (SELECT domain, language, source, tokens, weight, holds, total FROM leaf JOIN s2 USING (domain, language)),
+        l3 AS (SELECT *, (total - coalesce(sum(holds) OVER b, 0)::BIGINT) / sum(weight) OVER a AS level, holds / weight AS ratio FROM n3
+               WINDOW b AS (PARTITION BY domain, language ORDER BY holds / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                      a AS (PARTITION BY domain, language ORDER BY holds / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        m3 AS (SELECT *, max(level) FILTER (ratio > level) OVER (PARTITION BY domain, language) AS cut FROM l3),
+        s3 AS (SELECT domain, language, source, tokens AS leaf_tokens,
+                      floor((CASE WHEN cut IS NULL OR ratio <= cut THEN holds::DOUBLE ELSE weight * cut END) + 1e-6)::BIGINT AS budget FROM m3),
+        e AS (SELECT *, CASE WHEN leaf_tokens > 0 THEN budget // leaf_tokens ELSE 0 END AS whole FROM s3),
+        r AS (SELECT d.*, e.budget, e.whole, e.budget - e.whole * e.leaf_tokens AS rest,
+                     md5('5:' || (e.whole + 1) || ':' || doc_id) AS mix FROM d JOIN e USING (domain, language, source))
+        SELECT doc_id, domain, language, source, tokens, budget,
+               (CASE WHEN tokens = 0 THEN 0 ELSE whole + (sum(tokens) OVER (
+                   PARTITION BY domain, language, source ORDER BY mix, doc_id ROWS UNBOUNDED PRECEDING) <= rest)::INT END)::BIGINT AS copies
+        FROM r""",
     "op4_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (
