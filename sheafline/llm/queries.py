@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.llm.bpe import encode
+from sheafline.llm.chat import digests, format_chats
 from sheafline.llm.common import table
+from sheafline.llm.embed_dedup import near_groups
 from sheafline.llm.exact_dedup import exact_dedup
 from sheafline.llm.langid import held_out, identify, train
 from sheafline.llm.mixing import mix
@@ -62,6 +64,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"), shards=8, seed=7)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    text = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return digests(format_chats(table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return near_groups(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -70,6 +84,8 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
+    "op9_chat": op9_chat,
+    "op10_embeddings": op10_embeddings,
 }
 
 SQL = {
@@ -130,4 +146,29 @@ SQL = {
                CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM d""",
+    "op9_chat": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        t AS (
+            SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '@' || role END AS label,
+                   lag(role, 1, '^') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+                   length(text) - length(replace(text, '\', ''))
+                   + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)
+                   + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS marks FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+               sum(4 + length(label) + 2 + length(text) + marks + 9)::BIGINT AS formatted_chars,
+               bool_and(before || '>' || role IN ('^>system', '^>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
+        FROM t GROUP BY conv_id""",
+    "op10_embeddings": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+              AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+        r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n),
+        c AS (SELECT n AS vec_id, min(c) AS component_id FROM r GROUP BY n)
+        SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c""",
 }
