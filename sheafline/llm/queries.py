@@ -12,6 +12,7 @@ from sheafline.llm.common import table
 from sheafline.llm.embed_dedup import near_groups
 from sheafline.llm.exact_dedup import exact_dedup
 from sheafline.llm.langid import held_out, identify, train
+from sheafline.llm.lm_score import pseudo_likelihood
 from sheafline.llm.mixing import mix
 from sheafline.llm.sharding import interleave
 from sheafline.llm.simhash import simhash_groups
@@ -54,6 +55,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return encode(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked pseudo-likelihood of all documents under a network trained on all of them."""
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents, links at 2 or fewer differing bits."""
     return simhash_groups(table(spark, sf_dir, "documents"), limit=2)
@@ -82,6 +88,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_warc": op4_warc,
     "op5_bpe": op5_bpe,
+    "op6_lm_score": op6_lm_score,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
