@@ -65,6 +65,16 @@ def keyed(*columns: str) -> Column:
     return F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns))
 
 
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in dropped (one column), all columns unchanged.
+
+    What is dropped is less than what stays, so this is the smaller side to ship; Spark
+    broadcasts it only below its own size threshold. Null ids match null ids.
+    """
+    gone = dropped.toDF("__gone").distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with a link: component is the smallest node reachable.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import materialize, ship
+from sheafline.llm.common import materialize, ship, without
 
 ship(__name__)
 
@@ -182,6 +182,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns unchanged. Ids must not repeat for different texts."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of docs that stay, all columns unchanged. An id must not repeat with different texts."""
+    return without(docs, exact_dedup(docs).where("NOT kept").select("doc_id"))

@@ -160,6 +160,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that have a language, all columns unchanged."""
-    found = identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("__kept"))
-    return docs.join(found.distinct(), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of docs that have a language, all columns unchanged, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp, model.prior))
+
+    @F.pandas_udf("string")
+    def language(texts: pd.Series) -> pd.Series:
+        return pd.Series(Model(*shared.value).predict(list(texts))[0], dtype=object)
+
+    return docs.where(language("text") != UNKNOWN)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import materialize
+from sheafline.llm.common import materialize, without
 
 #: Hex digits of a bucket's key within an epoch's order.
 DIGITS = 3
@@ -122,5 +122,4 @@ def mix(docs: DataFrame, total: Column, weights: dict[str, dict[str, float]], do
 
 def keep_mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that a mix of one epoch takes, all columns unchanged."""
-    taken = mix(docs, epochs=1, **options).where("copies > 0").select(F.col("doc_id").alias("__kept"))
-    return docs.join(taken.distinct(), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    return without(docs, mix(docs, epochs=1, **options).where("copies = 0").select("doc_id"))

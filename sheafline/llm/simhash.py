@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import components, discard, materialize, ship
+from sheafline.llm.common import components, materialize, ship, without
 
 ship(__name__)
 
@@ -209,5 +209,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row of each near-duplicate group with the smallest doc_id, all columns unchanged."""
-    kept = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    return without(docs, simhash_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
