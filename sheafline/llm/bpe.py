@@ -6,6 +6,9 @@ than the last token of the prefix it stands for, and words that share a prefix s
 the work for it. A node's last token is the one token ending there that is a legal
 neighbour of the last token of the prefix before it; a pair is legal if no merge
 would have crossed the border between the two.
+
+The trie is held as its sorted words: read in order they are its nodes depth first,
+and what a word shares with the one before it is the part of the path that stays.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from sheafline.llm.common import ship
 
 ship(__name__)
 
-#: Words and token pairs that a worker remembers at most, and characters encoded in one go.
-WORDS, PAIRS, CHARS = 400_000, 1_000_000, 4_000_000
+#: Words and token pairs that a worker remembers at most, characters encoded in one go, and bytes of a word that is remembered.
+WORDS, PAIRS, CHARS, SHORT = 1_000_000, 1_000_000, 4_000_000, 64
 #: What the vocabulary's pre-tokenizer splits at (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -60,7 +63,8 @@ class Encoder:
         self.text = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in added.items()}
         self.longest = max(map(len, self.ids))
         self.split = regex.compile(PATTERN).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.text}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
     def legal(self, a: int, b: int) -> bool:
@@ -70,60 +74,60 @@ class Encoder:
         again. A merge across the border that ranks before the token just taken apart
         would have been done first; at equal rank the one further left goes first.
         """
-        found = self.pairs.get((a, b))
-        if found is not None:
-            return found
-        key, bound, none = (a, b), len(self.across), (-1, -1, -1)
+        bound, none = len(self.across), (-1, -1, -1)
         while True:
             if self.across.get((a, b), bound) < bound:
-                found = False
-                break
+                return False
             left, right = self.parts.get(a, none), self.parts.get(b, none)
             if left[0] < 0 and right[0] < 0:
-                found = True
-                break
+                return True
             if left[0] > right[0]:
                 bound, a = left[0], left[2]
             else:
                 bound, b = right[0] + 1, right[1]
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        self.pairs[key] = found
-        return found
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes distinct words over one trie, depth first, and remembers them."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for byte in word.encode():
-                node = node.setdefault(byte, {})
-            node[-1] = word
-        path, last = bytearray(), [-1]
-        stack = [(0, -1, root)]
-        while stack:
-            depth, byte, node = stack.pop()
-            if depth:
-                del path[depth - 1 :], last[depth:]
-                path.append(byte)
-                last.append(self.last_token(path, last, depth))
-            for step, child in node.items():
-                if step < 0:
-                    self.words[child] = self.trail(last, depth)
-                else:
-                    stack.append((depth + 1, step, child))
-
-    def last_token(self, path: bytearray, last: list[int], depth: int) -> int:
-        """The last token of the prefix path, from the last tokens of shorter prefixes."""
-        for start in range(depth - 1, max(-1, depth - 1 - self.longest), -1):
-            token = self.ids.get(bytes(path[start:depth]))
-            if token is not None and (not start or self.legal(last[start], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
-    def trail(self, last: list[int], depth: int) -> bytes:
-        """The ids of the prefix of that depth, as little-endian unsigned 32-bit integers."""
-        out = []
+
+    def learn(self, words: Iterable[str], into: dict[str, bytes]) -> None:
+        """Encodes distinct words of SHORT bytes at most over one trie, depth first.
+
+        ``last`` and ``code`` hold, for each prefix on the path, its last token and its
+        whole encoding.
+        """
+        ids, pairs, packed, legal = self.ids.get, self.pairs, self.packed, self.legal
+        path, last, code = b"", [-1], [b""]
+        for raw, word in sorted((w.encode(), w) for w in words):
+            shared = len(path) if raw.startswith(path) else next(k for k, (x, y) in enumerate(zip(path, raw)) if x != y)
+            del last[shared + 1 :], code[shared + 1 :]
+            for depth in range(shared + 1, len(raw) + 1):
+                start = depth - 1
+                while True:
+                    token = ids(raw[start:depth])
+                    if token is not None:
+                        if not start:
+                            break
+                        pair = last[start] << 20 | token
+                        fits = pairs.get(pair)
+                        if fits is None:
+                            if len(pairs) >= PAIRS:
+                                pairs.clear()
+                            fits = pairs[pair] = legal(last[start], token)
+                        if fits:
+                            break
+                    start -= 1
+                last.append(token)
+                code.append(code[start] + packed[token])
+            into[word] = code[-1]
+            path = raw
+
+    def encode_long(self, word: str) -> bytes:
+        """The ids of one word of any length: a path of the trie without its whole encodings."""
+        raw, last = word.encode(), [-1]
+        for depth in range(1, len(raw) + 1):
+            for start in range(depth - 1, max(-1, depth - 1 - self.longest), -1):
+                token = self.ids.get(raw[start:depth])
+                if token is not None and (not start or self.legal(last[start], token)):
+                    break
+            last.append(token)
+        out, depth = [], len(raw)
         while depth:
             out.append(last[depth])
             depth -= len(self.text[last[depth]])
@@ -131,15 +135,21 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        parts = [[(t, False)] if self.special is None else [(p, k % 2 == 1) for k, p in enumerate(self.special.split(t))] for t in texts]
-        cut = [[[self.added[p]] if own else self.split(p) for p, own in of] for of in parts]
-        fresh = {w for of in cut for words in of for w in words if type(w) is str}.difference(self.words)
+        # Texts of added tokens stand at odd places of a text cut at them.
+        cut = [[t] if self.special is None else self.special.split(t) for t in texts]
+        cut = [[[part] if k % 2 else self.split(part) for k, part in enumerate(of)] for of in cut]
+        fresh = set().union(*(words for of in cut for words in of[::2])).difference(self.words)
         if len(self.words) + len(fresh) > WORDS:
             self.words.clear()
-            fresh = {w for of in cut for words in of for w in words if type(w) is str}
-        self.learn(fresh)
-        known = self.words
-        return [b"".join([b"".join(w if type(w) is bytes else known[w] for w in words) if own else b"".join(map(known.__getitem__, words)) for words, (_, own) in zip(c, of)]) for c, of in zip(cut, parts)]
+            fresh = set().union(*(words for of in cut for words in of[::2]))
+        long = {w for w in fresh if len(w.encode()) > SHORT}
+        self.learn(fresh - long, self.words)
+        if not long:
+            known = self.words.__getitem__
+        else:
+            own = {w: self.encode_long(w) for w in long}  # not remembered: their size has no bound
+            known = lambda w: own[w] if w in own else self.words[w]
+        return [b"".join([self.added[words[0]] if k % 2 else b"".join(map(known, words)) for k, words in enumerate(of)]) for of in cut]
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 text of ids; bytes that are no UTF-8 become U+FFFD."""
