@@ -126,6 +126,13 @@ def linked(prints: np.ndarray, path: tuple[int, ...], limit: int) -> pd.DataFram
     return pd.DataFrame({"a": prints[off].view(np.int64), "b": prints[labels[off]].view(np.int64)})
 
 
+def frames(parts: list[pd.DataFrame]):
+    """The rows of parts in frames of a few thousand."""
+    if parts:
+        whole = pd.concat(parts)[["a", "b", "path", "fp"]]
+        yield from (whole[k : k + 5000] for k in range(0, len(whole), 5000))
+
+
 def near_links(prints: DataFrame, limit: int = 2) -> DataFrame:
     """(a, b) fingerprint links that connect whatever differs in at most limit bits.
 
@@ -168,11 +175,10 @@ def near_links(prints: DataFrame, limit: int = 2) -> DataFrame:
                 else:
                     onward(fp[s:e])
             if sum(map(len, out)) > 50_000:
-                yield pd.concat(out)[["a", "b", "path", "fp"]]
+                yield from frames(out)
                 out.clear()
         flush()
-        if out:
-            yield pd.concat(out)[["a", "b", "path", "fp"]]
+        yield from frames(out)
 
     level, paths, links = prints.select(F.lit("").alias("path"), "fp"), [()], None
     while True:
