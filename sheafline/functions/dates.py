@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheafline.functions.text import fold, strip
+from sheafline.functions.text import fold, let, strip
 
 SEP = "[\\s\\x1c-\\x1f./\\-]"
 #: Words of a line that is about a product's shelf life, not the purchase (fixed values).
@@ -21,7 +21,7 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 def iso(year: Column, month: Column, day: Column) -> Column:
     """The ISO date of a calendar day, or null."""
     made = F.try_to_date(F.format_string("%04d-%d-%d", year, month, day), "yyyy-M-d")
-    return F.when((year >= 1) & (year <= 9999) & (month >= 1) & (month <= 12) & (day >= 1) & (day <= 31), F.date_format(made, "yyyy-MM-dd"))
+    return let(made, lambda x: F.when(F.year(x) >= 1, F.date_format(x, "yyyy-MM-dd")))
 
 
 def normalize_date(text: Column) -> Column:
@@ -31,35 +31,40 @@ def normalize_date(text: Column) -> Column:
     two-digit year at the front (or at the end where only that can be one). Where the
     month is impossible, day and month are swapped.
     """
-    s = F.nullif(strip(text), F.lit(""))
-    ymd = f"(?U)^(\\d{{4}}){SEP}(\\d{{1,2}}){SEP}(\\d{{1,2}})\\n?$"
-    dmy = f"(?U)^(\\d{{1,2}}){SEP}(\\d{{1,2}}){SEP}(\\d{{4}})\\n?$"
+    ymd = f"(?U)^(\\d{{4}}){SEP}(\\d{{1,2}}){SEP}(\\d{{1,2}})$"
+    dmy = f"(?U)^(\\d{{1,2}}){SEP}(\\d{{1,2}}){SEP}(\\d{{4}})$"
     eight = "^(\\d{4})(\\d{2})(\\d{2})$"
-    yy = f"(?U)^(\\d{{2}}){SEP}(\\d{{1,2}}){SEP}(\\d{{1,2}})\\n?$"
-    a, b, c = (_group(s, ymd, k) for k in (1, 2, 3))
-    by_ymd = iso(a, b, c)
-    d, m, y = (_group(s, dmy, k) for k in (1, 2, 3))
-    by_dmy = F.coalesce(iso(y, m, d), iso(y, d, m))
-    e, f, g = (_group(s, eight, k) for k in (1, 2, 3))
-    by_eight = F.coalesce(iso(e, f, g), iso(g, f, e))
-    p, q, r = (_group(s, yy, k) for k in (1, 2, 3))
-    last = (r > 31) & (p <= 31)
-    year, day = F.when(last, r + 2000).otherwise(p + 2000), F.when(last, p).otherwise(r)
-    by_yy = F.coalesce(iso(year, q, day), iso(year, day, q))
-    found = F.when(s.rlike(ymd), by_ymd).when(s.rlike(dmy), by_dmy).when(s.rlike(eight), by_eight).when(s.rlike(yy), by_yy)
-    return F.coalesce(found, s)
+    yy = f"(?U)^(\\d{{2}}){SEP}(\\d{{1,2}}){SEP}(\\d{{1,2}})$"
+
+    def parts(s: Column, pattern: str, body) -> Column:
+        a, b, c = (_group(s, pattern, k) for k in (1, 2, 3))
+        return F.when(s.rlike(pattern), let(F.struct(a.alias("a"), b.alias("b"), c.alias("c")), lambda g: body(g["a"], g["b"], g["c"])))
+
+    def short(p: Column, q: Column, r: Column) -> Column:
+        last = (r > 31) & (p <= 31)
+        year, day = F.when(last, r + 2000).otherwise(p + 2000), F.when(last, p).otherwise(r)
+        return F.coalesce(iso(year, q, day), iso(year, day, q))
+
+    def body(s: Column) -> Column:
+        return F.coalesce(
+            parts(s, ymd, iso), parts(s, dmy, lambda d, m, y: F.coalesce(iso(y, m, d), iso(y, d, m))),
+            parts(s, eight, lambda a, b, c: F.coalesce(iso(a, b, c), iso(c, b, a))), parts(s, yy, short), s)
+
+    return let(F.nullif(strip(text), F.lit("")), body)
 
 
 def normalize_time(text: Column) -> Column:
     """HH:MM[:SS] from the front of a text; null if out of range; other shapes give their first ten characters."""
-    s = F.nullif(strip(text), F.lit(""))
-    return F.when(s.rlike("^\\d{1,2}:\\d{2}"), _clock(s, "^(\\d{1,2}):(\\d{2})(?::(\\d{2}))?")).otherwise(F.substring(s, 1, 10))
+    clock = lambda s: F.when(s.rlike("^\\d{1,2}:\\d{2}"), _clock(s, "^(\\d{1,2}):(\\d{2})(?::(\\d{2}))?")).otherwise(F.substring(s, 1, 10))
+    return let(F.nullif(strip(text), F.lit("")), clock)
 
 
 def _clock(s: Column, pattern: str) -> Column:
-    hour, minute, second = (_group(s, pattern, k) for k in (1, 2, 3))
-    good = (hour <= 23) & (minute <= 59) & (second.isNull() | (second <= 59))
-    return F.when(good & second.isNotNull(), F.format_string("%02d:%02d:%02d", hour, minute, second)).when(good, F.format_string("%02d:%02d", hour, minute))
+    def shown(t: Column) -> Column:
+        good = (t["h"] <= 23) & (t["m"] <= 59) & (t["s"].isNull() | (t["s"] <= 59))
+        return F.when(good & t["s"].isNotNull(), F.format_string("%02d:%02d:%02d", t["h"], t["m"], t["s"])).when(good, F.format_string("%02d:%02d", t["h"], t["m"]))
+
+    return let(F.struct(*(_group(s, pattern, k).alias(n) for k, n in ((1, "h"), (2, "m"), (3, "s")))), shown)
 
 
 def is_expiry_line(text: Column) -> Column:
@@ -71,24 +76,28 @@ def find_date(text: Column, as_of_year: int) -> Column:
 
     Years before 2000 or after the year that follows as_of_year count as none.
     """
-    s = fold(text)
-
-    def checked(pattern: str, order: tuple[int, int, int]) -> Column:
+    def checked(s: Column, pattern: str, order: tuple[int, int, int]) -> Column:
         y, m, d = (_group(s, pattern, k) for k in order)
-        y = F.when(y < 100, y + 2000).otherwise(y)
-        return F.when((y >= 2000) & (y <= as_of_year + 1), iso(y, m, d))
 
-    first = checked("(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})", (1, 2, 3))
-    second = checked(f"(?U)(\\d{{1,2}}){SEP}(\\d{{1,2}}){SEP}(\\d{{2,4}})", (3, 2, 1))
-    third = F.when(s.rlike(LABEL), checked("(?U)\\b(\\d{2})(\\d{2})(\\d{4})\\b", (3, 2, 1)))
-    return F.coalesce(first, second, third)
+        def known(g: Column) -> Column:
+            year = F.when(g["y"] < 100, g["y"] + 2000).otherwise(g["y"])
+            return F.when((year >= 2000) & (year <= as_of_year + 1), iso(year, g["m"], g["d"]))
+
+        return let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), known)
+
+    def body(s: Column) -> Column:
+        first = checked(s, "(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})", (1, 2, 3))
+        second = checked(s, f"(?U)(\\d{{1,2}}){SEP}(\\d{{1,2}}){SEP}(\\d{{2,4}})", (3, 2, 1))
+        third = F.when(s.rlike(LABEL), checked(s, "(?U)\\b(\\d{2})(\\d{2})(\\d{4})\\b", (3, 2, 1)))
+        return F.coalesce(first, second, third)
+
+    return let(fold(text), body)
 
 
 def find_time(text: Column) -> Column:
     """The first clock time of a line of text, if it is one."""
-    s = fold(text)
     pattern = "(\\d{1,2})[:h](\\d{2})(?::(\\d{2}))?"
-    return F.when(s.rlike(pattern), _clock(s, pattern))
+    return let(fold(text), lambda s: F.when(s.rlike(pattern), _clock(s, pattern)))
 
 
 def year_context(year: Column) -> Column:

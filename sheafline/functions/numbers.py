@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheafline.functions.text import strip
+from sheafline.functions.text import let, strip
 
 #: What Python's float() reads.
 FLOAT = "(?i)^[+-]?(?:inf|infinity|nan|(?:\\d+(?:_\\d+)*\\.?(?:\\d+(?:_\\d+)*)?|\\.\\d+(?:_\\d+)*)(?:e[+-]?\\d+(?:_\\d+)*)?)$"
@@ -27,17 +27,19 @@ def coerce_numeric(text: Column) -> Column:
     s = F.replace(strip(text), F.lit(" "), F.lit(""))
     s = F.regexp_replace(s, "[đ₫]$", "")
     s = strip(F.regexp_replace(s, "(?iuU)^(?:VNĐ|VND|USD)\\s*", ""))
-    s = F.when(s.rlike("^\\d+(?:-\\d{3})+$"), F.replace(s, F.lit("-"), F.lit(""))).otherwise(s)
-    s = F.when(s.rlike("^[^,]*,\\d{1,2}$"), F.replace(s, F.lit(","), F.lit("."))).otherwise(F.replace(s, F.lit(","), F.lit("")))
-    s = F.when(s.rlike("^[^.]*(?:\\.\\d{3})+$"), F.replace(s, F.lit("."), F.lit(""))).otherwise(s)
-    return python_float(s)
+    s = let(s, lambda x: F.when(x.rlike("^\\d+(?:-\\d{3})+$"), F.replace(x, F.lit("-"), F.lit(""))).otherwise(x))
+    s = let(s, lambda x: F.when(x.rlike("^[^,]*,\\d{1,2}$"), F.replace(x, F.lit(","), F.lit("."))).otherwise(F.replace(x, F.lit(","), F.lit(""))))
+    s = let(s, lambda x: F.when(x.rlike("^[^.]*(?:\\.\\d{3})+$"), F.replace(x, F.lit("."), F.lit(""))).otherwise(x))
+    return let(s, python_float)
 
 
 def normalize_total(text: Column) -> Column:
     """A line total as a key: '' for none, one spelling for equal numbers, else lower case."""
-    s = F.coalesce(strip(text), F.lit(""))
-    none = (s == "") | (F.lower(s) == "null")
-    return F.when(none, F.lit("")).otherwise(F.coalesce(python_float(s).cast("string"), F.lower(s)))
+    def key(s: Column) -> Column:
+        none = (s == "") | (F.lower(s) == "null")
+        return F.when(none, F.lit("")).otherwise(F.coalesce(python_float(s).cast("string"), F.lower(s)))
+
+    return let(F.coalesce(strip(text), F.lit("")), key)
 
 
 def align_down(n: Column, block: int) -> Column:

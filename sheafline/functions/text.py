@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,15 @@ CJK_STRICT = CJK_BLOCKS.replace("\\x{F900}-\\x{FAFF}", "\\x{8C48}-\\x{FAFF}")
 STRUCTURE = '{}[]":,nulltrefas \n'
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body mentions it.
+
+    Plans hold expressions as trees: what is mentioned twice is computed twice, and
+    chains of such expressions grow beyond what can be compiled.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @functools.cache
 def _folding() -> tuple[str, str]:
     """Every character of the basic plane that decomposes to one base letter, and that letter."""

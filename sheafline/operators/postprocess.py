@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import normalize_for_match, strip, strip_cjk, strip_trailing_punct
+from sheafline.shipping import ship
+
+ship(__name__)
 
 #: The item name that models write for rows they cannot read (fixed value).
 SENTINEL = "item blur"

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from sheafline.functions.dates import normalize_date, normalize_time
 from sheafline.functions.numbers import coerce_numeric
 from sheafline.functions.text import json_substring, strip, strip_code_fences, trim_to
+from sheafline.shipping import ship
+
+ship(__name__)
 
 #: Values a layout may have (fixed values).
 LAYOUTS = ("COMPLETE", "MISSING-HEADER", "ITEM-ONLY", "MISSING-MIDDLE", "MISSING-FOOTER")
@@ -120,9 +123,14 @@ def repair(text: str | None) -> str | None:
     return out.encode("utf-8", "replace").decode()
 
 
-@F.pandas_udf("string")
-def repair_json(texts: pd.Series) -> pd.Series:
-    return texts.map(repair, na_action="ignore")
+def repair_json(text: Column | str) -> Column:
+    """repair() of a column, for the few rows that need it."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(repair, na_action="ignore")
+
+    return run(text)
 
 
 def parse_ladder(df: DataFrame, raw: str = "raw_text") -> DataFrame:

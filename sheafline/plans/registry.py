@@ -7,22 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from sheafline.functions.text import has_loop, normalize_for_match
+from sheafline.plans import text_queries
+from sheafline.plans.base import table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+MODULES = (text_queries,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language and source."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang", "source").agg(F.count("*").alias("n_docs"))
+    """Which sources carry degenerate text: documents by language and source, normalised and checked for loops."""
+    docs = table(spark, sf_dir, "documents").select("lang", "source", "text")
+    norm = normalize_for_match(F.col("text"))
+    return docs.groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.count_if(has_loop(F.col("text"))).alias("n_looped"), F.sum(F.length(norm)).alias("n_chars"))
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"flagship": flagship} | {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

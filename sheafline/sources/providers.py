@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafline.shipping import ship
+
+ship(__name__)
+
 
 def apply_provider(df: DataFrame, make: Callable[[], Callable], inputs: list[str], schema: str) -> DataFrame:
     """df with the provider's columns and `provider_error`.

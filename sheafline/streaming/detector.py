@@ -13,6 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sheafline.functions.text import STRUCTURE
 from sheafline.operators.loops import CYCLE_REPEATS, MAX_PERIOD, SINGLE_REPEATS
+from sheafline.shipping import ship
+
+ship(__name__)
 
 #: Characters between checks, and the characters of a text that are kept at least.
 EVERY, TAIL = 500, 20_000
