@@ -74,15 +74,20 @@ def scrub(df: DataFrame, strict_reference: bool = False) -> DataFrame:
     """
     looped = lambda c: F.coalesce((strip(c) != "") & has_loop(c), F.lit(False))
     numeric = lambda i: F.lit(False) if strict_reference else F.coalesce(i["quantity"], i["price"], i["total"]).isNotNull()
-    paths = [F.when(looped(F.col(n)), F.array(F.lit(n))).otherwise(F.array().cast("array<string>")) for n in ("merchant_name", "merchant_address")]
-    spots = F.filter(F.transform("items", lambda i, k: F.when(looped(i["name"]), F.concat(
-        F.format_string("items[%d].name", k), F.when(numeric(i), F.lit("")).otherwise(F.lit("(dropped)"))))), lambda p: p.isNotNull())
-    df = df.withColumn("nulled", F.concat(*paths, F.coalesce(spots, F.array().cast("array<string>"))))
-    kept = F.filter("items", lambda i: ~looped(i["name"]) | numeric(i))
-    df = df.withColumn("items", F.transform(kept, lambda i: F.struct(F.when(~looped(i["name"]), i["name"]).alias("name"), i["quantity"].alias("quantity"), i["price"].alias("price"), i["total"].alias("total"))))
+    # Marked in a projection of their own, so that every text is searched once.
+    df = df.withColumn("__items", F.transform("items", lambda i: F.struct(i.alias("i"), looped(i["name"]).alias("bad"))))
     for n in ("merchant_name", "merchant_address"):
-        df = df.withColumn(n, F.when(~looped(F.col(n)), F.col(n)))
-    return df
+        df = df.withColumn(f"__{n}", looped(F.col(n)))
+    none = F.array().cast("array<string>")
+    paths = [F.when(F.col(f"__{n}"), F.array(F.lit(n))).otherwise(none) for n in ("merchant_name", "merchant_address")]
+    spots = F.filter(F.transform("__items", lambda t, k: F.when(t["bad"], F.concat(
+        F.format_string("items[%d].name", k), F.when(numeric(t["i"]), F.lit("")).otherwise(F.lit("(dropped)"))))), lambda p: p.isNotNull())
+    df = df.withColumn("nulled", F.concat(*paths, F.coalesce(spots, none)))
+    kept = F.filter("__items", lambda t: ~t["bad"] | numeric(t["i"]))
+    df = df.withColumn("items", F.transform(kept, lambda t: F.struct(F.when(~t["bad"], t["i"]["name"]).alias("name"), t["i"]["quantity"].alias("quantity"), t["i"]["price"].alias("price"), t["i"]["total"].alias("total"))))
+    for n in ("merchant_name", "merchant_address"):
+        df = df.withColumn(n, F.when(~F.col(f"__{n}"), F.col(n)))
+    return df.drop("__items", "__merchant_name", "__merchant_address")
 
 
 def detect(df: DataFrame, ref: str = "ref", strict_reference: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions.dates import normalize_date, normalize_time
 from sheafline.functions.numbers import coerce_numeric
-from sheafline.functions.text import json_substring, strip, strip_code_fences, trim_to
+from sheafline.functions.text import json_substring, let, strip, strip_code_fences, trim_to
 from sheafline.shipping import ship
 
 ship(__name__)
@@ -165,9 +165,11 @@ def as_text(value: Column) -> Column:
 
 def as_number(value: Column) -> Column:
     """A number as it is, true and false as 1 and 0, text by coerce_numeric, else null."""
-    k = kind(value)
-    return F.when(k == "STRING", coerce_numeric(as_text(value))).when(k.isin("OBJECT", "ARRAY", "VOID"), F.lit(None).cast("double")).when(
-        k == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast("double")).otherwise(F.try_variant_get(value, "$", "double"))
+    def number(v: Column) -> Column:
+        return let(kind(v), lambda k: F.when(k == "STRING", coerce_numeric(as_text(v))).when(k.isin("OBJECT", "ARRAY", "VOID"), F.lit(None).cast("double")).when(
+            k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).otherwise(F.try_variant_get(v, "$", "double")))
+
+    return let(value, number)
 
 
 def items_of(value: Column) -> Column:
