@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import has_loop, normalize_for_match
-from sheafline.plans import receipt_queries, text_queries
+from sheafline.plans import page_queries, receipt_queries, text_queries
 from sheafline.plans.base import table
 
-MODULES = (text_queries, receipt_queries)
+MODULES = (text_queries, receipt_queries, page_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
