@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import ship
+from sheafline.llm.common import ship, small_batches
 
 ship(__name__)
 
 #: Words and token pairs that a worker remembers at most, characters encoded in one go, and bytes of a word that is remembered.
-WORDS, PAIRS, CHARS, SHORT = 1_000_000, 1_000_000, 4_000_000, 64
+WORDS, PAIRS, CHARS, SHORT = 250_000, 500_000, 2_000_000, 64
 #: What the vocabulary's pre-tokenizer splits at (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 yield pd.DataFrame(out)
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -219,4 +219,4 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [coder.decode(np.array([] if x is None else x, "<u4").tobytes()).decode() for x in pdf["token_ids"]]})
 
-    return encoded.select("doc_id", "token_ids").mapInPandas(run, f"doc_id {kind}, text string")
+    return small_batches(encoded).select("doc_id", "token_ids").mapInPandas(run, f"doc_id {kind}, text string")

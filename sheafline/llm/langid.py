@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import ship
+from sheafline.llm.common import ship, small_batches
 
 ship(__name__)
 
@@ -126,7 +126,7 @@ def train(labelled: DataFrame, rows: int = ROWS, features: int = FEATURES, seed:
             at = np.flatnonzero(table)
             yield pd.DataFrame({"lang": lang, "feature": at.astype(np.int32), "n": table[at]})
 
-    sums = picked.mapInPandas(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    sums = small_batches(picked).mapInPandas(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
     counts = np.zeros((features, len(languages)))
     counts[sums["feature"], sums["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(int)] = sums["n"]
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             names, sure = own.predict(list(pdf["text"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": names, "score": sure})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
@@ -167,4 +167,4 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     def language(texts: pd.Series) -> pd.Series:
         return pd.Series(Model(*shared.value).predict(list(texts))[0], dtype=object)
 
-    return docs.where(language("text") != UNKNOWN)
+    return small_batches(docs).where(language("text") != UNKNOWN)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import components, materialize, ship, without
+from sheafline.llm.common import components, materialize, ship, small_batches, without
 
 ship(__name__)
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": prints.view(np.int64)})
 
     kind = docs.select(F.col(id_col)).dtypes[0][1]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
 
 
 @functools.cache
