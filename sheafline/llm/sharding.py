@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sheafline.llm.common import keyed, materialize
 
 #: Rows that a bucket has about, and the most hex digits of a bucket's key.
-BUCKET_ROWS, MAX_DIGITS = 1 << 16, 6
+BUCKET_ROWS, MAX_DIGITS = 1 << 10, 5
 
 
 def positions(df: DataFrame, group: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
