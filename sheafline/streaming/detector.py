@@ -62,12 +62,14 @@ OUTPUT = "ref string, chars long, reason string"
 STATE = "tail string, chars long, checked long, reason string"
 
 
-def check_stream(deltas: DataFrame, every: int = EVERY, tail: int = TAIL, timeout_ms: int = 300_000) -> DataFrame:
+def check_stream(deltas: DataFrame, every: int = EVERY, tail: int = TAIL, timeout_ms: int | None = 300_000) -> DataFrame:
     """(ref, chars, reason) when a reference's text first loops or when it is abandoned (reason timeout).
 
     deltas: a stream of (ref, seq, delta). A text is checked each time it has grown by
     `every` characters since the last check; of texts only the last `tail` characters are
-    kept, so state is bounded. Nothing more is said of a reference that looped.
+    kept, so state is bounded. Nothing more is said of a reference that looped. With
+    timeout_ms None nothing is abandoned, and state stays; with one, a query over a
+    finished source runs on until the last timeout.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,11 +88,12 @@ def check_stream(deltas: DataFrame, every: int = EVERY, tail: int = TAIL, timeou
             if chars - checked >= every:
                 checked, reason = chars, loop_in(held)
         state.update(("" if reason else held, chars, checked, reason))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         if reason is not None and said is None:
             yield pd.DataFrame([(key[0], chars, reason)], columns=["ref", "chars", "reason"])
 
-    return deltas.groupBy("ref").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return deltas.groupBy("ref").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def check_batch(deltas: DataFrame, every: int = EVERY, tail: int = TAIL) -> DataFrame:
