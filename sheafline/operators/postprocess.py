@@ -83,7 +83,8 @@ def ratio_match(pairs: Sequence[tuple[str, str]], least: float = MIN_RATIO):
                     return canonical
             return None
 
-        return names.map({n: one(n) for n in names.dropna().unique()})
+        found = {n: one(n) for n in names.dropna().unique()}
+        return pd.Series([found.get(n) for n in names], dtype=object)
 
     return match
 
@@ -97,12 +98,11 @@ def canonicalize(df: DataFrame, pairs: Sequence[tuple[str, str]], least: float =
     if not pairs or least <= 0:
         return df
     norm = normalize_for_match(F.col("merchant_name"))
-    found = F.coalesce(*(F.when(norm.contains(a), F.lit(c)) for a, c in pairs))
-    df = df.withColumn("__norm", norm).withColumn("__found", F.when(norm != "", found))
-    known = F.col("__found").isNotNull() | (F.col("__norm") == "")
-    near = df.where(~known).withColumn("__found", ratio_match(pairs, least)("__norm"))
-    out = df.where(known).unionByName(near)
-    return out.withColumn("merchant_name", F.coalesce("__found", "merchant_name")).drop("__norm", "__found")
+    df = df.withColumn("__norm", norm)
+    df = df.withColumn("__found", F.when(F.col("__norm") != "", F.coalesce(*(F.when(F.col("__norm").contains(a), F.lit(c)) for a, c in pairs))))
+    # Names that are found or blank are null to the similarity search.
+    near = ratio_match(pairs, least)(F.when(F.col("__found").isNull() & (F.col("__norm") != ""), F.col("__norm")))
+    return df.withColumn("merchant_name", F.coalesce("__found", near, "merchant_name")).drop("__norm", "__found")
 
 
 def trim_items(df: DataFrame) -> DataFrame:

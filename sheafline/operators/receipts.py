@@ -128,7 +128,7 @@ def repair_json(text: Column | str) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(repair, na_action="ignore")
+        return pd.Series([repair(t) for t in texts], dtype=object)
 
     return run(text)
 
@@ -136,17 +136,17 @@ def repair_json(text: Column | str) -> Column:
 def parse_ladder(df: DataFrame, raw: str = "raw_text") -> DataFrame:
     """df with `data` VARIANT and `parsed_by`: json, substring, repair or null (nothing to read).
 
-    Only rows that both parsers give up on go to the Python repair.
+    One pass: rows that a parser has read are null for the next one, so that only texts
+    that both parsers give up on are shipped to the Python repair.
     """
-    whole = strip_code_fences(F.col(raw))
-    df = df.withColumn("__text", whole)
-    df = df.withColumn("__json", F.try_parse_json("__text")).withColumn("__sub", F.try_parse_json(json_substring(F.col("__text"))))
-    ok = F.col("__json").isNotNull() | F.col("__sub").isNotNull() | (F.col("__text") == "")
-    good = df.where(ok).withColumn("data", F.coalesce("__json", "__sub"))
-    good = good.withColumn("parsed_by", F.when(F.col("__json").isNotNull(), F.lit("json")).when(F.col("__sub").isNotNull(), F.lit("substring")))
-    bad = df.where(~ok).withColumn("data", F.try_parse_json(repair_json("__text")))
-    bad = bad.withColumn("parsed_by", F.when(F.col("data").isNotNull(), F.lit("repair")))
-    return good.unionByName(bad).drop("__text", "__json", "__sub")
+    df = df.withColumn("__text", strip_code_fences(F.col(raw)))
+    df = df.withColumn("__json", F.try_parse_json("__text"))
+    df = df.withColumn("__sub", F.when(F.col("__json").isNull(), F.try_parse_json(json_substring(F.col("__text")))))
+    broken = F.col("__json").isNull() & F.col("__sub").isNull() & (F.col("__text") != "")
+    df = df.withColumn("__mended", F.try_parse_json(repair_json(F.when(broken, F.col("__text")))))
+    steps = {"json": "__json", "substring": "__sub", "repair": "__mended"}
+    by = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(n)) for n, c in steps.items()))
+    return df.withColumn("data", F.coalesce(*(F.col(c) for c in steps.values()))).withColumn("parsed_by", by).drop("__text", *steps.values())
 
 
 def field(data: Column, *keys: str) -> Column:
