@@ -34,12 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Rows of a narrow scratch table that one file is given about.
+FILE_ROWS = 50_000
+
+
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df once to the shared folder and return a scan of it.
 
-    Cuts the lineage: a lost executor costs only the tasks it was running.
+    Cuts the lineage: a lost executor costs only the tasks it was running. rows: a bound
+    of df's rows where one is known; it sets how many files are written, so that small
+    tables do not become one file for each shuffle partition.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/sheafline/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -102,7 +110,7 @@ def components(edges: DataFrame) -> DataFrame:
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
-    now = materialize(canonical(edges))
+    now = materialize(canonical(edges), edges.count())
     state = signature(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -112,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        after = materialize(canonical(small))
+        after = materialize(canonical(small), 2 * state[0])
         discard(now)
         now, before, state = after, state, signature(after)
         if state == before:

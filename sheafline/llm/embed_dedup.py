@@ -89,7 +89,8 @@ def near_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     # Equal cells are dealt on by id, so that no cell is one task's. Written once, as a
     # range partitioning that is drawn again could cut elsewhere.
     ordered = placed.where("data IS NOT NULL").repartitionByRange(*grid).sortWithinPartitions(*grid)
-    ordered = materialize(ordered.select("vec_id", "dim", "data", F.monotonically_increasing_id().alias("at")))
+    n = placed.count()
+    ordered = materialize(ordered.select("vec_id", "dim", "data", F.monotonically_increasing_id().alias("at")), n)
     # The position in the whole sequence: that in the partition, behind the partitions before it.
     ordered = ordered.withColumn("part", F.shiftright("at", 33))
     sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
@@ -107,7 +108,7 @@ def near_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
             out.append((int(key[0]), int(dim), part["row"].to_numpy(np.int64).tobytes(), b"".join(data), y.min(axis=0).tolist(), y.max(axis=0).tolist()))
         return pd.DataFrame(out, columns=["block", "dim", "rows", "data", "lo", "hi"])
 
-    blocks = materialize(ordered.groupBy("block").applyInPandas(pack, "block long, dim int, rows binary, data binary, lo array<double>, hi array<double>"))
+    blocks = materialize(ordered.groupBy("block").applyInPandas(pack, "block long, dim int, rows binary, data binary, lo array<double>, hi array<double>"), n)
     pairs = interval_pairs(blocks.select("dim", F.col("block").alias("pos"), "lo", "hi"), eps)
 
     # Each pair's two blocks meet in one group; a block is shipped once for each pair it is in.
@@ -145,7 +146,7 @@ def near_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     found = materialize(shipped.groupBy("dim", "a", "b").applyInPandas(compare, "row long, n long, to long"))
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     member = components(found.where("row <> to").select(F.col("row").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("row"), "component")
-    ids = materialize(ordered.select("vec_id", "row").join(counts, "row", "left").join(member, "row", "left").withColumn("component", F.coalesce("component", "row")))
+    ids = materialize(ordered.select("vec_id", "row").join(counts, "row", "left").join(member, "row", "left").withColumn("component", F.coalesce("component", "row")), n)
     least = ids.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     valid = ids.join(least, "component").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id")
     other = placed.where("data IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -179,7 +180,7 @@ def interval_pairs(blocks: DataFrame, eps: float) -> DataFrame:
         up = boxes[-1].groupBy("dim", F.floor(F.col("pos") / FAN).alias("pos")).agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))  # FAN boxes at most
         lo = F.aggregate("los", F.col("los")[0], lambda s, x: F.zip_with(s, x, lambda p, q: F.least(p, q)))
         hi = F.aggregate("his", F.col("his")[0], lambda s, x: F.zip_with(s, x, lambda p, q: F.greatest(p, q)))
-        boxes.append(materialize(up.select("dim", "pos", lo.alias("lo"), hi.alias("hi"))))
+        boxes.append(materialize(up.select("dim", "pos", lo.alias("lo"), hi.alias("hi")), top))
         top = -(-top // FAN)
 
     def side(level: DataFrame, x: str) -> DataFrame:

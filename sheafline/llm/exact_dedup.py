@@ -162,7 +162,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     narrow = materialize(wide.select("doc_id", "chars", "fp", F.unhex(F.sha2("norm", 256)).alias("sha")))
     n = narrow.count()
     slices = 1 << max(4, (n // SLICE_ROWS).bit_length())
-    again = materialize(repeated_fingerprints(narrow.select("fp"), slices))
+    again = materialize(repeated_fingerprints(narrow.select("fp"), slices), n)
 
     # Byte verification: only rows with a repeated fingerprint bring their text along,
     # and equal texts collapse map-side before the shuffle.

@@ -98,8 +98,9 @@ def mix(docs: DataFrame, total: Column, weights: dict[str, dict[str, float]], do
     rows = materialize(docs.select(
         F.col(id_col).alias("doc_id"), name(domain).alias("domain"), name(F.col(lang_col)).alias("language"), name(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("tokens"),
     ))
-    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")))
-    plan = materialize(budgets(leaves, total, weights, epochs)).withColumnRenamed("tokens", "leaf_tokens")
+    n = rows.count()
+    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), n)
+    plan = materialize(budgets(leaves, total, weights, epochs), n).withColumnRenamed("tokens", "leaf_tokens")
     whole = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens"))).otherwise(F.lit(0))
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, total: Column, weights: dict[str, dict[str, float]], do
     sizes = rows.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("tokens").alias("inside"))
     upto = W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     sizes = sizes.withColumn("end", F.sum("inside").over(upto)).withColumn("start", F.col("end") - F.col("inside")).drop("inside", "rest")
-    sizes = materialize(sizes)
+    sizes = materialize(sizes, n)
     rows = rows.join(sizes, [*LEVELS, "bucket"])
     # Only the bucket that the budget ends in needs the order of its rows.
     edge = (F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("end"))

@@ -60,7 +60,7 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "d
     size = rows.groupBy("stratum").agg(F.count("*").alias("n"))
     cells = 16**digits
     ranked = ranked.join(size, "stratum").withColumn("fraction", (F.col("rank") + 0.5) / F.col("n"))
-    ranked = materialize(ranked.withColumn("stretch", F.floor(F.col("fraction") * cells)).drop("bucket", "rank", "n"))
+    ranked = materialize(ranked.withColumn("stretch", F.floor(F.col("fraction") * cells)).drop("bucket", "rank", "n"), total)
     placed = positions(ranked, [], "stretch", [F.col("fraction"), F.col("stratum"), *ties], "place")
     shard = F.floor(F.col("place") * shards / max(total, 1)) if total < 1 << 49 else None
     start = F.ceil(shard * F.lit(total) / shards)

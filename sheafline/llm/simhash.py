@@ -181,15 +181,17 @@ def near_links(prints: DataFrame, limit: int = 2) -> DataFrame:
         yield from frames(out)
 
     level, paths, links = prints.select(F.lit("").alias("path"), "fp"), [()], None
+    rows = prints.count()
     while True:
         spread = keys(level, paths).repartition("path", "value").sortWithinPartitions("path", "value")
-        done = materialize(spread.mapInPandas(compare, "a long, b long, path string, fp long"))
+        done = materialize(spread.mapInPandas(compare, "a long, b long, path string, fp long"), SEGMENTS * rows)
         found = done.where("path IS NULL").select("a", "b")
         links = found if links is None else links.unionByName(found)
         level = done.where("path IS NOT NULL").select("path", "fp")
         paths = [tuple(map(int, r.path.split(","))) for r in level.select("path").distinct().collect()]  # at most 5 ** depth, depth below 4
         if not paths:
             return links
+        rows = level.count()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2) -> DataFrame:
@@ -202,11 +204,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives an empty result.
     """
     marked = materialize(fingerprints(docs, id_col, text_col))
-    prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    n = marked.count()
+    prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), n)
     links = near_links(prints.select("fp"), limit)
     member = components(links).select(F.col("node").alias("fp"), "component")
     of = prints.join(member, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    of = materialize(of)
+    of = materialize(of, n)
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
     named = of.join(least, "component").select("fp", "component_id")
     out = marked.join(named, "fp")
