@@ -147,3 +147,10 @@ def sweep_datetime(date: Column, time: Column, lines: Column, as_of_year: int) -
     first = lambda find: F.get(F.filter(F.transform(tagged, lambda x: find(x["t"])), lambda v: v.isNotNull()), F.lit(0))
     fill = lambda c, find: F.coalesce(F.nullif(c, F.lit("")), first(find))
     return fill(date, lambda t: find_date(t, as_of_year)), fill(time, find_time)
+
+
+def parse_block(block: Column, quant: int = QUANT) -> Column:
+    """Lines of a prompt block, as text_block wrote them: boxes in whole steps of quant, no score."""
+    rows = F.filter(F.split(block, "\n"), lambda r: r.rlike("^-?\\d+,-?\\d+,-?\\d+,-?\\d+\\|"))
+    number = lambda r, k: F.split_part(F.split_part(r, F.lit("|"), F.lit(1)), F.lit(","), F.lit(k)).cast("int") * quant
+    return F.transform(rows, lambda r: line(F.regexp_extract(r, "^[^|]*\\|(.*)$", 1), number(r, 1), number(r, 2), number(r, 3), number(r, 4), F.lit(None).cast("double")))
