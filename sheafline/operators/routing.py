@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.operators.loops import dedup_consecutive
+from sheafline.scratch import materialize
 
 
 def trigger(failed: Column, finish_reason: Column, loop_reason: Column, has_data: Column) -> Column:
@@ -30,8 +31,10 @@ def with_fallback(primary: DataFrame, fallback: Callable[[DataFrame], DataFrame]
 
     primary: ref, columns, `trigger`, `has_data`. The fallback is called with the
     triggered rows alone and returns ref, columns and `has_data`; what it leaves out has
-    no data. Items of looping results lose their repeats first.
+    no data. Items of looping results lose their repeats first. The primary results are
+    read twice, so they are written to a scratch table: models are called once.
     """
+    primary = materialize(primary)
     calm = primary.where("trigger IS NULL").select(ref, *columns, F.lit("vllm").alias("engine"), "trigger")
     hit = primary.where("trigger IS NOT NULL").withColumn("items", F.when(F.col("trigger").startswith("hallu:"), dedup_consecutive(F.col("items"))).otherwise(F.col("items")))
     other = fallback(hit)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.operators import loops, ocr, postprocess, receipts, routing
+from sheafline.scratch import materialize
 from sheafline.sources.providers import apply_provider
 from sheafline.sources.requests import decode_base64, payload_error, reference_id, split_valid
 
@@ -61,6 +62,7 @@ def extract(requests: DataFrame, complete: Callable[[], Callable], recognise: Ca
         date, time = ocr.sweep_datetime(F.col("transaction_date"), F.col("transaction_time"), F.col("lines"), rules.as_of_year)
         out = out.withColumn("transaction_date", date).withColumn("transaction_time", time)
         out = postprocess.postprocess(receipts.fail_safe(out, empty), rules.items, rules.merchants, rules.names, strict_reference=rules.strict_reference)
-        return out.withColumn("has_data", receipts.has_data())
+        # Joined to the triggered rows by ref; a scan here keeps its models at one call too.
+        return materialize(out.withColumn("has_data", receipts.has_data()).select("ref", *receipts.SCALARS, "items", "has_data"))
 
     return routing.with_fallback(typed(primary, rules), fallback), rejected
