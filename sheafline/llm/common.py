@@ -1,69 +1,19 @@
-"""Shared helpers: scratch tables, column names that cannot clash, components."""
+"""Shared helpers: small Arrow batches, keys of nullable columns, components of links."""
 
 from __future__ import annotations
 
-import sys
-import tempfile
-import uuid
-
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafline.scratch import discard, materialize, shared_dir
+from sheafline.shipping import ship
 
-def ship(module_name: str) -> None:
-    """Pickle a module's functions by value, so workers need not import this package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+__all__ = ["components", "discard", "keyed", "materialize", "shared_dir", "ship", "small_batches", "table", "without"]
 
 
 ship(__name__)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Read from ``spark.checkpoint.dir``. Only a local session, where driver and
-    executors are one machine, may do without it and gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sheafline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Rows of a narrow scratch table that one file is given about.
-FILE_ROWS = 50_000
-
-
-def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write df once to the shared folder and return a scan of it.
-
-    Cuts the lineage: a lost executor costs only the tasks it was running. rows: a bound
-    of df's rows where one is known; it sets how many files are written, so that small
-    tables do not become one file for each shuffle partition.
-    """
-    spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    path = f"{shared_dir(spark)}/sheafline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, after its session's Arrow batches are held to `rows` rows.
 
