@@ -144,7 +144,7 @@ def fit_lines(spark, d):
 
 
 @query("""
-    SELECT l_orderkey AS ref, min(l_partkey)::INT AS input_long_side, min(nullif(l_suppkey % 3 * 700, 0))::INT AS input_short_side,
+    SELECT l_orderkey AS ref, min(nullif(l_partkey, 0))::INT AS input_long_side, min(nullif(l_suppkey % 3 * 700, 0))::INT AS input_short_side,
            coalesce(min(nullif(l_suppkey % 3 * 700, 0)) < 1200, false) AS low_res_input, round_even(min(CASE WHEN l_quantity > 20 THEN l_quantity / 1.5 END), 1) AS median_text_height_px,
            min(CASE WHEN l_quantity > 20 THEN l_quantity / 1.5 END) < 16 AS low_legibility, max(coalesce(nullif(l_discount * 20, 0), 1.0)) AS legibility_zoom_ratio FROM lineitem GROUP BY 1""")
 def quality_rollup(spark, d):
