@@ -100,7 +100,12 @@ def find_time(text: Column) -> Column:
     return let(fold(text), lambda s: F.when(s.rlike(pattern), _clock(s, pattern)))
 
 
+#: What the model is told about two-digit years (fixed text).
+YEAR_NOTE = (
+    ". Use ONLY to expand a PRINTED 2-digit year (DD/MM/YY -> 20YY). Never add a year when the printed date has only day and month.\n</context>\n\n"
+)
+
+
 def year_context(year: Column) -> Column:
     """The prompt block that anchors two-digit years."""
-    return F.concat(F.lit("<context>\nCurrent year is "), year.cast("string"), F.lit(
-        '. Use ONLY to expand a PRINTED 2-digit year (DD/MM/YY -> 20YY). Never add a year when the printed date has only day and month.\n</context>\n\n'))
+    return F.concat(F.lit("<context>\nCurrent year is "), year.cast("string"), F.lit(YEAR_NOTE))
