@@ -156,7 +156,7 @@ def field(data: Column, *keys: str) -> Column:
 
 def kind(value: Column) -> Column:
     """The JSON type of a VARIANT: STRING, OBJECT, ARRAY, BOOLEAN, VOID or a number's."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
 def as_text(value: Column) -> Column:
@@ -175,10 +175,12 @@ def as_number(value: Column) -> Column:
 def items_of(value: Column) -> Column:
     """Items of a VARIANT list: objects and non-blank texts; all else is left out; no list gives []."""
     elements = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
-    kept = F.filter(elements, lambda e: (kind(e) == "OBJECT") | ((kind(e) == "STRING") & (strip(as_text(e)) != "")))
+    # The type of an element is read once: for an object it means reading all of it.
+    tagged = F.transform(elements, lambda e: F.struct(e.alias("e"), kind(e).alias("k")))
+    kept = F.filter(tagged, lambda t: (t["k"] == "OBJECT") | ((t["k"] == "STRING") & (strip(as_text(t["e"])) != "")))
 
-    def item(e: Column) -> Column:
-        obj = kind(e) == "OBJECT"
+    def item(t: Column) -> Column:
+        e, obj = t["e"], t["k"] == "OBJECT"
         name = F.when(obj, as_text(field(e, "n", "name"))).otherwise(as_text(e))
         number = lambda *keys: F.when(obj, as_number(field(e, *keys)))
         return F.struct(trim_to(name, MAX_NAME).alias("name"), number("qty", "quantity").alias("quantity"), number("p", "price").alias("price"), number("t", "total").alias("total"))
