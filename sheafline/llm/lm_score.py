@@ -1,34 +1,48 @@
 """Masked pseudo-likelihood of documents under a small bidirectional window network.
 
-The network predicts every token from the tokens on both its sides; a document's score
-is the sum of the conditional log-probabilities of all its tokens. Vocabulary and
-token frequencies are counted over all documents. Training is data parallel: each
-partition starts from the shared weights, passes over positions of all its documents,
-and the partitions' weights are averaged by the positions behind them.
+The network predicts every word from the words on both its sides; a document's score
+is the sum of the conditional log-probabilities of all its words. The softmax has two
+levels: a token (the most frequent words have one each, the others share some by hash),
+then a word among those that share the token, down a Huffman tree with a learned vector
+at each fork. Every word that occurs often enough for the size of the corpus is a leaf
+and has a vector of its own as context; the rarer words of a token are one leaf, each
+with an even share of it, one share being kept for words that were never seen.
+
+Vocabulary and frequencies are counted over all documents. Training is data parallel:
+each partition starts from the shared weights, passes over positions of all its
+documents, and the partitions' weights are averaged by the positions behind them, a
+word's or fork's own vector by the positions that it took part in.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import sys
 import types
 import zlib
 from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import materialize, ship, small_batches
+from sheafline.llm.common import discard, materialize, ship, small_batches
 
 ship(__name__)
 
 #: Words with a token of their own, tokens that other words share by hash, and the longest word that is counted.
 KNOWN, SHARED, LONGEST = 192, 64, 64
+#: A word is a leaf of its own if it occurs LEAST times and the root of the corpus' words / PER_ROOT times.
+LEAST, PER_ROOT = 2, 64
 #: Offsets of the window, width of a token's vector, hidden width.
 WINDOW, WIDTH, HIDDEN = (-2, -1, 1, 2), 16, 16
 #: Passes; each trains on every STRIDE-th position of all documents, from an offset of its own.
 ROUNDS, STRIDE, BATCH, RATE = 2, 16, 256, 0.1
+#: Batches of BATCH positions before batches are four times as large, and rows of own vectors that are averaged in one go.
+SMALL, BLOCK = 64, 1024
 #: Words remembered by a worker, distinct words counted before they are sent on, positions scored in one go, rows in a frame, positions held at once.
 WORDS, COUNTED, CHUNK, ROWS_OUT, POSITIONS = 400_000, 400_000, 1024, 5000, 200_000
 PAD = KNOWN + SHARED
@@ -37,13 +51,20 @@ PAD = KNOWN + SHARED
 class Ids(dict):
     """The token of every word: own tokens are entries, the rest is hashed and remembered."""
 
+    room = WORDS
+
     def __missing__(self, word: str) -> int:
-        token = KNOWN + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
-        if len(self) < WORDS:
+        token = shared_token(word)
+        if self.room > 0:
+            self.room -= 1
             self[word] = token
         return token
 
 
+def shared_token(word: str) -> int:
+    return KNOWN + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
+
+
 def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
@@ -69,6 +90,90 @@ def initial(frequency: np.ndarray, seed: int) -> np.ndarray:
     return np.concatenate([np.ravel(p) for p in parts]).astype(np.float32)
 
 
+@dataclass
+class Lexicon:
+    """The words below the tokens. Ids below PAD are tokens, PAD stands between documents, words follow.
+
+    By id: `token`, the `share` (log) of a single word, and where the path to the id's
+    leaf stands in `fork` and `side` (1 or -1): from `start`, `length` entries. A token
+    that is shared is as an id the leaf of its rarer words. Trained: `vectors` of words
+    (added to their token's) and `forks`, whose last column is a bias.
+    """
+
+    words: list[str]
+    token: np.ndarray
+    share: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    fork: np.ndarray
+    side: np.ndarray
+    vectors: np.ndarray
+    forks: np.ndarray
+
+    def plain(self) -> dict:
+        """What workers need, without the class: a broadcast is read where this module may be missing."""
+        return {**vars(self), "words": []}
+
+    def table(self, vectors: np.ndarray) -> np.ndarray:
+        """The vector of every id as context."""
+        out = vectors[self.token]
+        out[PAD + 1 :] += self.vectors
+        return out
+
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row in ids, fork and side of every step to the leaves of ids."""
+        length = self.length[ids]
+        at = np.arange(length.sum()) + np.repeat(self.start[ids] - (np.cumsum(length) - length), length)
+        return np.repeat(np.arange(len(ids)), length), self.fork[at], self.side[at]
+
+
+def lexicon(words_: list[str], counts: np.ndarray, rest: np.ndarray, kinds: np.ndarray) -> Lexicon:
+    """Huffman trees over the words of each shared token.
+
+    rest, kinds: for each shared token, how often its other words occur and how many they are.
+    """
+    size = PAD + 1 + len(words_)
+    token = np.r_[np.arange(PAD + 1), np.array([shared_token(w) for w in words_], np.int64)].astype(np.int32)
+    weight = np.zeros(size)
+    weight[KNOWN:PAD] = rest + 1.0
+    weight[PAD + 1 :] = counts
+    share = np.zeros(size)
+    share[KNOWN:PAD] = -np.log(kinds + 1.0)
+    # A parent for each leaf (by id) and fork (behind them); the side is 1 for the second child.
+    up, side, bias = np.full(size + len(words_), -1), np.zeros(size + len(words_), np.float32), np.zeros(len(words_), np.float32)
+    members: dict[int, list[int]] = {}
+    for k in range(PAD + 1, size):
+        members.setdefault(int(token[k]), []).append(k)
+    made = 0
+    for shared, leaves in sorted(members.items()):
+        heap = [(float(weight[k]), k) for k in (shared, *leaves)]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (low, a), (high, b) = heapq.heappop(heap), heapq.heappop(heap)
+            up[[a, b]], side[a], side[b], bias[made] = made, -1, 1, math.log(high / low)
+            heapq.heappush(heap, (low + high, size + made))
+            made += 1
+    leaf, at, steps = np.arange(size), np.arange(size), []
+    while True:
+        stay = up[at] >= 0
+        leaf, at = leaf[stay], at[stay]
+        if not len(leaf):
+            break
+        steps.append((leaf, up[at], side[at]))
+        at = up[at] + size
+    leaf, fork, way = (np.concatenate(x) for x in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(leaf, kind="stable")
+    length = np.bincount(leaf, minlength=size)
+    forks = np.zeros((made, HIDDEN + 1), np.float32)
+    forks[:, -1] = bias[:made]
+    return Lexicon(words_, token, share, np.cumsum(length) - length, length, fork[order].astype(np.int32), way[order].astype(np.float32), np.zeros((len(words_), WIDTH), np.float32), forks)
+
+
+def no_words() -> Lexicon:
+    """Tokens alone: words that share a token are not told apart."""
+    return lexicon([], np.zeros(0), np.zeros(SHARED), np.zeros(SHARED))
+
+
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The window's tokens around positions of padded ids, a column for each offset."""
     return np.stack([ids[at + d] for d in WINDOW], axis=1)
@@ -85,9 +190,8 @@ def padded(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, at
 
 
-def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-probability of the token at each position, given its window."""
-    tables = [w["vectors"] @ m for m in w["mix"]]
+def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, lex: Lexicon, tables: list[np.ndarray]) -> np.ndarray:
+    """The log-probability of the word at each position, given its window. tables: lex.table times each mix."""
     out = np.empty(len(at))
     # The hidden layer is within -1 and 1, which bounds the logits: no shift is needed before exp.
     last = np.vstack([w["out"], w["base"]])
@@ -101,7 +205,11 @@ def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.n
             h[:, :HIDDEN] += table[ids[spot + d]]
         np.tanh(h[:, :HIDDEN], out=h[:, :HIDDEN])
         z = h @ last
-        own = z[np.arange(len(spot)), ids[spot]]
+        target = ids[spot]
+        row, fork, side = lex.paths(target)
+        below = np.log1p(np.exp(np.minimum(-side * np.einsum("td,td->t", h[row], lex.forks[fork]), 80))) if len(row) else side
+        below = lex.share[target] - np.bincount(row, below, len(spot))
+        own = z[np.arange(len(spot)), lex.token[target]] + below
         top = z.max(axis=1) if shift is None else shift
         if shift is None:
             z -= top[:, None]
@@ -129,23 +237,114 @@ def gradient(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray)
     return {"vectors": dv, "mix": np.einsum("bwd,bh->wdh", e, dh, optimize=True), "bias": dh.sum(axis=0), "out": h.T @ p, "base": p.sum(axis=0)}, loss
 
 
-def token_ids(known: list[str]) -> Ids:
+def added(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of index, how often each is there, and the sum of its rows."""
+    order = np.argsort(index)
+    index = index[order]
+    first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    return index[first], np.diff(np.r_[first, len(index)]), np.add.reduceat(rows[order], first, axis=0)
+
+
+class Learner:
+    """Weights that one partition trains: the network's and the lexicon's, steps as in Adagrad.
+
+    Steps shrink for parameters that have moved much; a word or fork has one such sum.
+    """
+
+    def __init__(self, flat: np.ndarray, lex: Lexicon):
+        self.flat, self.lex = flat.copy(), replace(lex, vectors=lex.vectors.copy(), forks=lex.forks.copy())
+        self.w = unpack(self.flat)
+        self.moved = {name: np.full(shape, 1e-2, np.float32) for name, shape in shapes().items()}
+        self.rows_moved = {name: np.ones(len(getattr(lex, name)), np.float32) for name in ("vectors", "forks")}
+        self.seen = {name: np.zeros(len(getattr(lex, name)), np.int64) for name in ("vectors", "forks")}
+
+    def step(self, ids: np.ndarray, spot: np.ndarray) -> None:
+        w, lex, n = self.w, self.lex, len(spot)
+        near, target = contexts(ids, spot).ravel(), ids[spot]
+        e = w["vectors"][lex.token[near]]
+        word = np.flatnonzero(near > PAD)
+        e[word] += lex.vectors[near[word] - PAD - 1]
+        e = e.reshape(n, len(WINDOW) * WIDTH)
+        mix = w["mix"].reshape(-1, HIDDEN)
+        h = np.ones((n, HIDDEN + 1), np.float32)
+        h[:, :HIDDEN] = np.tanh(e @ mix + w["bias"])
+        last = np.vstack([w["out"], w["base"]])
+        p = h @ last
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(n), lex.token[target]] -= 1
+        p *= np.float32(1 / n)
+        dlast, dh = h.T @ p, p @ w["out"].T
+        row, fork, side = lex.paths(target)
+        if len(row):
+            vectors, hidden = lex.forks[fork], h[row]
+            dz = (-side / (1 + np.exp(np.minimum(side * np.einsum("td,td->t", hidden, vectors), 80))))[:, None]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            dh[row[first]] += np.add.reduceat(vectors * dz, first, axis=0)[:, :HIDDEN] * np.float32(1 / n)
+            self.row_step("forks", *added(fork, hidden * dz))
+        dh *= 1 - h[:, :HIDDEN] ** 2
+        de = (dh @ mix.T).reshape(-1, WIDTH)
+        index, times, sums = added(near, de)
+        of, _, dv = added(lex.token[index], sums)
+        if index[-1] > PAD:
+            at = np.searchsorted(index, PAD + 1)
+            self.row_step("vectors", index[at:] - PAD - 1, times[at:], sums[at:] * n)
+        vectors = np.zeros_like(w["vectors"])
+        vectors[of] = dv
+        for name, g in (("vectors", vectors), ("mix", (e.T @ dh).reshape(w["mix"].shape)), ("bias", dh.sum(axis=0)), ("out", dlast[:-1]), ("base", dlast[-1])):
+            self.moved[name] += g * g
+            w[name] -= RATE * g / np.sqrt(self.moved[name])
+
+    def row_step(self, name: str, at: np.ndarray, times: np.ndarray, g: np.ndarray) -> None:
+        self.seen[name][at] += times
+        moved = self.rows_moved[name]
+        moved[at] += np.einsum("td,td->t", g, g) / g.shape[1]
+        getattr(self.lex, name)[at] -= np.float32(RATE) * g / np.sqrt(moved[at])[:, None]
+
+    def parts(self, positions: int):
+        """(name, block, at, n, w): the network's weights, and blocks of the rows that took part."""
+        yield "net", 0, np.zeros(1, np.int32).tobytes(), np.array([positions]).tobytes(), self.flat.tobytes()
+        for name, seen in self.seen.items():
+            at = np.flatnonzero(seen)
+            cut = np.flatnonzero(np.diff(at // BLOCK, prepend=-1))
+            for a, b in zip(cut, [*cut[1:], len(at)]):
+                part = at[a:b]
+                yield name, int(part[0] // BLOCK), part.astype(np.int32).tobytes(), seen[part].tobytes(), getattr(self.lex, name)[part].tobytes()
+
+
+PARTS = "name string, block int, at binary, n binary, w binary"
+
+
+def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one block from all partitions, averaged by what is behind them."""
+    at = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["at"]])
+    n = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["n"]])
+    w = np.concatenate([np.frombuffer(x, np.float32).reshape(len(y) // 4, -1) for x, y in zip(pdf["w"], pdf["at"])])
+    index, _, total = added(at, np.c_[w * n[:, None].astype(np.float64), n])
+    mean = (total[:, :-1] / total[:, -1:]).astype(np.float32)
+    return pd.DataFrame([(pdf["name"].iloc[0], int(pdf["block"].iloc[0]), index.astype(np.int32).tobytes(), b"", mean.tobytes())], columns=["name", "block", "at", "n", "w"])
+
+
+def token_ids(known: list[str], more: list[str]) -> Ids:
     """The worker's word table, kept from task to task."""
     held = sys.modules.setdefault("_sheafline_lm", types.ModuleType("_sheafline_lm"))
-    if getattr(held, "known", None) != known:
-        held.known, held.ids = known, Ids((w, k) for k, w in enumerate(known))
+    if getattr(held, "known", None) != (known, more):
+        held.known, held.ids = (known, more), Ids([*((w, k) for k, w in enumerate(known)), *((w, PAD + 1 + k) for k, w in enumerate(more))])
     return held.ids
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The most frequent words of all docs, ties by word, and every token's count in all docs."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, token int, n long), written once: how often every word of all docs occurs.
+
+    Words have no token yet (-1); a token's row counts its words that are too long.
+    """
 
     def count(batches):
         seen: Counter = Counter()
         rest: Counter = Counter()
 
         def rows():
-            # Words have no token yet (-1); what words that are too long share has no word.
             words_, tokens = [*seen, *("" for _ in rest)], [*(-1 for _ in seen), *rest]
             out = pd.DataFrame({"word": words_, "token": np.array(tokens, np.int32), "n": np.array([*seen.values(), *rest.values()], np.int64)})
             yield from (out[k : k + ROWS_OUT] for k in range(0, len(out), ROWS_OUT))
@@ -154,7 +353,7 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             for text in pdf["text"]:
                 seen.update(words(text))
             for w in [w for w in seen if len(w) > LONGEST]:  # never a word of its own
-                rest[KNOWN + zlib.crc32(w.encode("utf-8", "surrogatepass")) % SHARED] += seen.pop(w)
+                rest[shared_token(w)] += seen.pop(w)
             if len(seen) > COUNTED:
                 yield from rows()
                 seen.clear()
@@ -162,7 +361,15 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         yield from rows()
 
     counts = small_batches(docs).select(F.col("text")).mapInPandas(count, "word string, token int, n long").groupBy("word", "token").agg(F.sum("n").alias("n"))
-    counts = materialize(counts)
+    return materialize(counts)
+
+
+def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The most frequent words of all docs, ties by word, and every token's count in all docs."""
+    return most_frequent(word_counts(docs))
+
+
+def most_frequent(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     top = counts.where("token < 0").orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     known = [r.word for r in top]
     other = counts.where((F.col("token") >= 0) | ~F.col("word").isin(known))
@@ -174,15 +381,34 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return known, frequency
 
 
-def token_table(docs: DataFrame, known: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens binary): a byte for each word of every row's whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def often(total: float) -> int:
+    """How often a word occurs at least that is a leaf of its own in a corpus of so many words."""
+    return max(LEAST, math.ceil(math.sqrt(total) / PER_ROOT))
+
+
+def words_below(counts: DataFrame, known: list[str], frequency: np.ndarray) -> Lexicon:
+    """The lexicon of what word_counts() gave; its size grows about as the root of the corpus."""
+    least = often(frequency.sum())
+    other = counts.where((F.col("token") < 0) & ~F.col("word").isin(known))
+    own = other.where(F.col("n") >= least).select("word", "n").orderBy(F.desc("n"), "word").toArrow()
+    # A word that is too long is counted as if it occurred once.
+    rare = other.where(F.col("n") < least).select((F.crc32("word") % SHARED).alias("k"), "n", F.lit(1).cast("long").alias("kinds"))
+    rare = rare.unionByName(counts.where("token >= 0").select((F.col("token") - KNOWN).cast("long").alias("k"), "n", F.col("n").alias("kinds")))
+    rest, kinds = np.zeros(SHARED), np.zeros(SHARED)
+    for r in rare.groupBy("k").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():  # SHARED rows at most
+        rest[r.k], kinds[r.k] = r.n, r.kinds
+    return lexicon(own["word"].to_pylist(), own["n"].to_numpy(), rest, kinds)
+
+
+def token_table(docs: DataFrame, known: list[str], id_col: str = "doc_id", text_col: str = "text", lex: Lexicon | None = None) -> DataFrame:
+    """(doc_id, tokens binary): four bytes for each word of every row's whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, lex.words if lex else []))
     kind = docs.select(F.col(id_col)).dtypes[0][1]
 
     def run(batches):
-        of = token_ids(shared.value).__getitem__
+        of = token_ids(*shared.value).__getitem__
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [bytes(map(of, words(t))) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [np.fromiter(map(of, words(t)), np.int32).tobytes() for t in pdf["text"]]})
 
     rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"doc_id {kind}, tokens binary")
@@ -190,75 +416,84 @@ def token_table(docs: DataFrame, known: list[str], id_col: str = "doc_id", text_
 
 def train(docs: DataFrame, known: list[str], frequency: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 13) -> np.ndarray:
     """Weights after `rounds` passes over every stride-th position of all docs (doc_id, text)."""
-    return fit(token_table(docs, known), frequency, rounds, stride, seed)
+    return fit(token_table(docs, known), frequency, rounds, stride, seed)[0]
 
 
-def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 13) -> np.ndarray:
-    """Weights from a token_table; positions are counted through each partition."""
-    weights = initial(frequency, seed)
+def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 13, lex: Lexicon | None = None) -> tuple[np.ndarray, Lexicon]:
+    """Weights and lexicon from a token_table; positions are counted through each partition."""
+    weights, lex = initial(frequency, seed), lex or no_words()
     context = tokens.sparkSession.sparkContext
     for turn in range(rounds):
-        shared = context.broadcast(weights)
+        shared = context.broadcast((weights, lex.plain()))
 
         def learn(batches, turn=turn, shared=shared):
-            flat = shared.value.copy()
-            w = unpack(flat)
-            # Steps shrink for parameters that have moved much, as in Adagrad.
-            moved = {name: np.full(shape, 1e-2, np.float32) for name, shape in shapes().items()}
-            positions = 0
+            flat, arrays = shared.value
+            own = Learner(flat, Lexicon(**arrays))
+            positions = steps = 0
             held, waiting = [], 0
 
             def settle():
+                nonlocal steps
                 ids, at = padded(held)
+                size = len(at)
                 at = at[(turn * stride // rounds) % max(1, min(stride, len(at))) :: stride]
-                for k in range(0, len(at), BATCH):
-                    spot = at[k : k + BATCH]
-                    for name, g in gradient(w, contexts(ids, spot), ids[spot])[0].items():
-                        moved[name] += g * g
-                        w[name] -= RATE * g / np.sqrt(moved[name])
-                return len(at)
+                while len(at):
+                    n = BATCH if steps < SMALL else 4 * BATCH
+                    own.step(ids, at[:n])
+                    at, steps = at[n:], steps + 1
+                return size
 
             for pdf in batches:
                 for data in pdf["tokens"]:
                     if data:
-                        held.append(np.frombuffer(data, np.uint8))
-                        waiting += len(data)
+                        held.append(np.frombuffer(data, np.int32))
+                        waiting += len(held[-1])
                     if waiting >= 16 * BATCH * stride:
                         positions += settle()
                         held, waiting = [], 0
             if held:
                 positions += settle()
             if positions:
-                yield pd.DataFrame({"k": np.arange(len(flat), dtype=np.int32), "w": flat.astype(np.float64) * positions, "n": positions})
-
-        sums = tokens.select("tokens").mapInPandas(learn, "k int, w double, n long").groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w"))
-        got = sums.toPandas()  # one row for each weight
-        if len(got):
-            weights = weights.copy()
-            weights[got["k"].to_numpy()] = got["w"].to_numpy(np.float32)
-    return weights
+                rows = list(own.parts(positions))
+                for k in range(0, len(rows), 64):
+                    yield pd.DataFrame(rows[k : k + 64], columns=["name", "block", "at", "n", "w"])
+
+        got = tokens.select("tokens").mapInPandas(learn, PARTS).groupBy("name", "block").applyInPandas(averaged, PARTS).toArrow().to_pylist()
+        lex = replace(lex, vectors=lex.vectors.copy(), forks=lex.forks.copy())
+        for r in got:
+            rows = np.frombuffer(r["w"], np.float32)
+            if r["name"] == "net":
+                weights = rows.copy()
+            else:
+                at = np.frombuffer(r["at"], np.int32)
+                getattr(lex, r["name"])[at] = rows.reshape(len(at), -1)
+    return weights, lex
 
 
 def score(docs: DataFrame, known: list[str], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens long, log_score double, mean_log_score double of every row's whole text.
 
     log_score sums the log-probabilities of all words (lower-cased, split at white
-    space); words without a token of their own count by the token they share. Null,
+    space); words without a token of their own count by the token they share, as this
+    takes tokens alone (pseudo_likelihood tells words apart). Null,
     empty and blank texts have no tokens, score 0 and a null mean. Repeated rows give
     repeated rows; other columns are not read; an empty table gives an empty result.
     """
     return score_tokens(token_table(docs, known, id_col, text_col), weights)
 
 
-def score_tokens(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
+def score_tokens(tokens: DataFrame, weights: np.ndarray, lex: Lexicon | None = None) -> DataFrame:
     """What score() returns, of a token_table."""
-    shared = tokens.sparkSession.sparkContext.broadcast(weights)
+    shared = tokens.sparkSession.sparkContext.broadcast((weights, (lex or no_words()).plain()))
     kind = tokens.select("doc_id").dtypes[0][1]
 
     def run(batches):
-        w = unpack(shared.value)
+        flat, arrays = shared.value
+        w, lex = unpack(flat), Lexicon(**arrays)
+        every = lex.table(w["vectors"])
+        tables = [every @ m for m in w["mix"]]
         for pdf in batches:
-            lists = [np.frombuffer(x, np.uint8) for x in pdf["tokens"]]
+            lists = [np.frombuffer(x, np.int32) for x in pdf["tokens"]]
             n = np.array([len(x) for x in lists], np.int64)
             sums = np.zeros(len(lists))
             rows = np.flatnonzero(n)
@@ -267,7 +502,7 @@ def score_tokens(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
             for a, b in zip(cuts, [*cuts[1:], len(rows)]):
                 part = rows[a:b]
                 ids, at = padded([lists[k] for k in part])
-                sums[part] = np.add.reduceat(log_probs(w, ids, at), np.cumsum(n[part]) - n[part])
+                sums[part] = np.add.reduceat(log_probs(w, ids, at, lex, tables), np.cumsum(n[part]) - n[part])
             mean = pd.Series(np.where(n > 0, sums / np.maximum(n, 1), np.nan)).where(n > 0, None)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "log_score": sums, "mean_log_score": mean.astype("Float64")})
 
@@ -276,6 +511,9 @@ def score_tokens(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Trains on all docs (doc_id, text) and scores all of them; texts become tokens once."""
-    known, frequency = vocabulary(docs)
-    tokens = materialize(token_table(docs, known))
-    return score_tokens(tokens, fit(tokens, frequency))
+    counts = word_counts(docs)
+    known, frequency = most_frequent(counts)
+    lex = words_below(counts, known, frequency)
+    discard(counts)
+    tokens = materialize(token_table(docs, known, lex=lex))
+    return score_tokens(tokens, *fit(tokens, frequency, lex=lex))
