@@ -9,8 +9,8 @@ and has a vector of its own as context; the rarer words of a token are one leaf,
 with an even share of it, one share being kept for words that were never seen.
 
 Vocabulary and frequencies are counted over all documents. Training is data parallel:
-each partition starts from the shared weights, passes over positions of all its
-documents, and the partitions' weights are averaged by the positions behind them, a
+each partition starts from the shared weights, passes over the positions of all its
+documents (each is a target once in all passes), and the partitions' weights are averaged by the positions behind them, a
 word's or fork's own vector by the positions that it took part in.
 """
 
@@ -39,10 +39,10 @@ KNOWN, SHARED, LONGEST = 192, 64, 64
 LEAST, PER_ROOT = 2, 64
 #: Offsets of the window, width of a token's vector, hidden width.
 WINDOW, WIDTH, HIDDEN = (-2, -1, 1, 2), 16, 16
-#: Passes; each trains on every STRIDE-th position of all documents, from an offset of its own.
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 256, 0.1
-#: Batches of BATCH positions before batches are four times as large, and rows of own vectors that are averaged in one go.
-SMALL, BLOCK = 64, 1024
+#: Passes; each trains on every STRIDE-th position of all documents, from an offset of its own: together on all.
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 256, 0.1
+#: Positions held before they are trained on. Batches of BATCH positions before batches are four times as large, and rows of own vectors that are averaged in one go.
+HELD, SMALL, BLOCK = 65_536, 64, 1024
 #: Words remembered by a worker, distinct words counted before they are sent on, positions scored in one go, rows in a frame, positions held at once.
 WORDS, COUNTED, CHUNK, ROWS_OUT, POSITIONS = 400_000, 400_000, 1024, 5000, 200_000
 PAD = KNOWN + SHARED
@@ -415,12 +415,17 @@ def token_table(docs: DataFrame, known: list[str], id_col: str = "doc_id", text_
 
 
 def train(docs: DataFrame, known: list[str], frequency: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 13) -> np.ndarray:
-    """Weights after `rounds` passes over every stride-th position of all docs (doc_id, text)."""
+    """Weights after `rounds` passes over every stride-th position of all docs (doc_id, text).
+
+    Pass by pass the offset moves on by one, so rounds must not be less than stride.
+    """
     return fit(token_table(docs, known), frequency, rounds, stride, seed)[0]
 
 
 def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 13, lex: Lexicon | None = None) -> tuple[np.ndarray, Lexicon]:
     """Weights and lexicon from a token_table; positions are counted through each partition."""
+    if rounds < stride:
+        raise ValueError("with fewer rounds than the stride some positions would never be trained on")
     weights, lex = initial(frequency, seed), lex or no_words()
     context = tokens.sparkSession.sparkContext
     for turn in range(rounds):
@@ -436,7 +441,7 @@ def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride:
                 nonlocal steps
                 ids, at = padded(held)
                 size = len(at)
-                at = at[(turn * stride // rounds) % max(1, min(stride, len(at))) :: stride]
+                at = at[turn % stride :: stride]
                 while len(at):
                     n = BATCH if steps < SMALL else 4 * BATCH
                     own.step(ids, at[:n])
@@ -448,7 +453,7 @@ def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride:
                     if data:
                         held.append(np.frombuffer(data, np.int32))
                         waiting += len(held[-1])
-                    if waiting >= 16 * BATCH * stride:
+                    if waiting >= HELD:
                         positions += settle()
                         held, waiting = [], 0
             if held:

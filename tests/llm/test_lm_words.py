@@ -81,3 +81,28 @@ def test_vocabulary_grows_and_junk_scores_below_documents(spark):
     real = sorted(v for k, v in got.items() if k < 10_000)
     worst = max(v for k, v in got.items() if k >= 10_000)
     assert worst < real[len(real) // 20]
+
+
+def test_every_position_is_a_target(spark):
+    texts = ["left right " * 40, "right", "left", "left left right"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    counts = lm_score.word_counts(df)
+    lex = lm_score.lexicon(["left", "right"], np.array([43, 42]), np.zeros(lm_score.SHARED), np.zeros(lm_score.SHARED))
+    tokens = lm_score.token_table(df, [], lex=lex)
+    held = [np.frombuffer(bytes(r.tokens), np.int32) for r in tokens.collect()]
+    ids, at = lm_score.padded(held)
+    assert counts.agg({"n": "sum"}).first()[0] == len(at) == 85
+    seen = [at[turn % lm_score.STRIDE :: lm_score.STRIDE] for turn in range(lm_score.ROUNDS)]
+    assert sorted({int(x) for part in seen for x in part}) == at.tolist()
+    with pytest.raises(ValueError):
+        lm_score.fit(tokens, np.ones(lm_score.PAD), rounds=2, stride=16, lex=lex)
+
+
+def test_training_reaches_words_at_any_place(spark):
+    # The word stands only where neither a multiple of 16 nor one 8 further trains.
+    text = " ".join("odd" if k % 16 in (3, 9, 14) else "even" for k in range(1600))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    flat = np.ones(lm_score.PAD)
+    weights = lm_score.train(df, ["even", "odd"], flat)
+    base = lm_score.unpack(weights)["base"] - lm_score.unpack(lm_score.initial(flat, 13))["base"]
+    assert base[1] > 0.1 and base[0] > 0.1 and (base[2:] < 0).all()
