@@ -17,7 +17,7 @@ from sheafline.llm.exact_dedup import keep_first
 from sheafline.llm.langid import held_out, keep_known, train
 from sheafline.llm.mixing import keep_mixed
 from sheafline.llm.queries import MIX_WEIGHTS, mix_domain
-from sheafline.llm.simhash import keep_one
+from sheafline.llm.simhash import keep_one_row
 
 #: The share of the near-deduplicated corpus' tokens that the mix spends.
 MIX_SHARE = 0.6
@@ -35,8 +35,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group, keeps the smallest id."""
-    return keep_one(docs)
+    """Of each SimHash group, keeps one row, of the smallest id."""
+    return keep_one_row(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheafline.scratch import discard, materialize, shared_dir
 from sheafline.shipping import ship
 
-__all__ = ["components", "discard", "keyed", "materialize", "shared_dir", "ship", "small_batches", "table", "without"]
+__all__ = ["components", "discard", "keyed", "numbered", "materialize", "shared_dir", "ship", "small_batches", "table", "without"]
 
 
 ship(__name__)
@@ -45,6 +45,11 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a `__row` long of its own for each row, written once so that it stays the same."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with a link: component is the smallest node reachable.
 

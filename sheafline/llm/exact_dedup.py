@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import materialize, ship, without
+from sheafline.llm.common import materialize, numbered, ship, without
 
 ship(__name__)
 
@@ -182,5 +182,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns unchanged. An id must not repeat with different texts."""
-    return without(docs, exact_dedup(docs).where("NOT kept").select("doc_id"))
+    """One row of each group of equal texts, all columns unchanged.
+
+    Most code points, then the smallest id (null last), then any one row. Ids may be null and repeat.
+    """
+    rows = numbered(docs)
+    keys = rows.select("text", F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("__row").alias("r")).alias("key"))
+    return without(rows, exact_dedup(keys, id_col="key").where("NOT kept").select("doc_id.r"), "__row").drop("__row")

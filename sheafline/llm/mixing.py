@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import materialize, without
+from sheafline.llm.common import materialize, numbered, without
 
 #: Hex digits of a bucket's key within an epoch's order.
 DIGITS = 3
@@ -80,7 +80,7 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, dict[str, float
     return split(sources, ["domain", "language"], "source", "total").select(*LEVELS, "tokens", F.col("share").alias("budget"))
 
 
-def mix(docs: DataFrame, total: Column, weights: dict[str, dict[str, float]], domain: Column, epochs: int = 1, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, total: Column, weights: dict[str, dict[str, float]], domain: Column, epochs: int = 1, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """How often each row of docs is taken.
 
     total: tokens to spend, e.g. ``F.col("tokens") * 0.5``. weights: level -> name ->
@@ -89,14 +89,16 @@ def mix(docs: DataFrame, total: Column, weights: dict[str, dict[str, float]], do
     the name ``(null)``. Rows without tokens are never taken. Rows repeated with one id
     are ordered by their tokens; the prefix stops before a row that would exceed the
     budget, so no leaf exceeds it. Other columns are not read; an empty table gives an
-    empty result.
+    empty result. row_col: a column that tells rows of one id apart; it decides last
+    between them and is returned too.
 
     Returns doc_id, domain, language, source, tokens long, budget long (of the leaf),
     copies long (0: not taken).
     """
     name = lambda c: F.coalesce(c.cast("string"), F.lit("(null)"))
+    row = [row_col] if row_col else []
     rows = materialize(docs.select(
-        F.col(id_col).alias("doc_id"), name(domain).alias("domain"), name(F.col(lang_col)).alias("language"), name(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("tokens"),
+        *row, F.col(id_col).alias("doc_id"), name(domain).alias("domain"), name(F.col(lang_col)).alias("language"), name(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("tokens"),
     ))
     n = rows.count()
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), n)
@@ -113,14 +115,15 @@ def mix(docs: DataFrame, total: Column, weights: dict[str, dict[str, float]], do
     rows = rows.join(sizes, [*LEVELS, "bucket"])
     # Only the bucket that the budget ends in needs the order of its rows.
     edge = (F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("end"))
-    inside = F.sum("tokens").over(W.partitionBy(*LEVELS, "bucket").orderBy("mix", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow))
+    inside = F.sum("tokens").over(W.partitionBy(*LEVELS, "bucket").orderBy("mix", "doc_id", "tokens", *row).rowsBetween(W.unboundedPreceding, W.currentRow))
     certain = rows.where(~edge).withColumn("extra", (F.col("end") <= F.col("rest")).cast("long"))
     ordered = rows.where(edge).withColumn("extra", (F.col("start") + inside <= F.col("rest")).cast("long"))
     taken = F.when(F.col("tokens") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0)).cast("long")
     out = certain.unionByName(ordered)
-    return out.select("doc_id", *LEVELS, "tokens", F.col("budget").cast("long").alias("budget"), taken.alias("copies"))
+    return out.select(*row, "doc_id", *LEVELS, "tokens", F.col("budget").cast("long").alias("budget"), taken.alias("copies"))
 
 
 def keep_mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that a mix of one epoch takes, all columns unchanged."""
-    return without(docs, mix(docs, epochs=1, **options).where("copies = 0").select("doc_id"))
+    """The rows of docs that a mix of one epoch takes, all columns unchanged. Ids may be null and repeat."""
+    rows = numbered(docs)
+    return without(rows, mix(rows, epochs=1, row_col="__row", **options).where("copies = 0").select("__row"), "__row").drop("__row")

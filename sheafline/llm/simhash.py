@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import components, materialize, ship, small_batches, without
+from sheafline.llm.common import components, materialize, numbered, ship, small_batches, without
 
 ship(__name__)
 
@@ -219,3 +219,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row of each near-duplicate group with the smallest doc_id, all columns unchanged."""
     return without(docs, simhash_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+
+
+def keep_one_row(docs: DataFrame) -> DataFrame:
+    """Exactly one row of each near-duplicate group, all columns unchanged: the smallest id (null last), then any one row.
+
+    Ids may be null and repeat; keep_one() keeps all rows of the smallest id.
+    """
+    rows = numbered(docs)
+    groups = materialize(simhash_groups(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id"))
+    many = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = groups.join(many, "component_id").join(rows.select("__row", "doc_id"), "__row")
+    members = materialize(members.select("component_id", F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("__row").alias("r")).alias("key")))
+    first = members.groupBy("component_id").agg(F.min("key").alias("first"))
+    return without(rows, members.join(first, "component_id").where("key.r <> first.r").select("key.r"), "__row").drop("__row")
