@@ -58,6 +58,22 @@ def loop_in(text: str) -> str | None:
     return f"{'dup_items_run' if hit[0] == 1 else 'cyclic_items'} period={hit[0]} repeats={hit[1]} name={hit[2]!r}" if hit else None
 
 
+def loop_since(held: str, delta: str, every: int, tail: int) -> str | None:
+    """What loop held + delta shows, where delta is new and of any length.
+
+    A text within tail is checked as it is; a long delta also in pieces of `every`
+    characters, each with the tail before it, so that its earlier parts are seen.
+    """
+    text = held + delta
+    if len(text) <= tail or len(delta) <= every:
+        if (reason := loop_in(text[-tail:])) or len(delta) <= every:
+            return reason
+    for end in range(len(held) + every, len(text) + every, every):
+        if reason := loop_in(text[max(0, min(end, len(text)) - tail) : end]):
+            return reason
+    return None
+
+
 OUTPUT = "ref string, chars long, reason string"
 STATE = "tail string, chars long, checked long, reason string"
 
@@ -84,9 +100,10 @@ def check_stream(deltas: DataFrame, every: int = EVERY, tail: int = TAIL, timeou
         for delta in parts["delta"]:
             if reason is not None or not delta:
                 continue
-            held, chars = (held + delta)[-max(tail, every) :], chars + len(delta)
+            chars += len(delta)
             if chars - checked >= every:
-                checked, reason = chars, loop_in(held)
+                checked, reason = chars, loop_since(held, delta, every, max(tail, every))
+            held = (held + delta)[-max(tail, every) :]
         state.update(("" if reason else held, chars, checked, reason))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
@@ -110,11 +127,12 @@ def check_batch(deltas: DataFrame, every: int = EVERY, tail: int = TAIL) -> Data
                 if ref != now:
                     now, held, chars, checked, reason = ref, "", 0, 0, None
                 if reason is None and delta:
-                    held, chars = (held + delta)[-max(tail, every) :], chars + len(delta)
+                    chars += len(delta)
                     if chars - checked >= every:
-                        checked, reason = chars, loop_in(held)
+                        checked, reason = chars, loop_since(held, delta, every, max(tail, every))
                         if reason:
                             out.append((ref, chars, reason))
+                    held = (held + delta)[-max(tail, every) :]
             yield pd.DataFrame(out, columns=["ref", "chars", "reason"])
 
     return deltas.repartition("ref").sortWithinPartitions("ref", "seq").mapInPandas(run, OUTPUT)

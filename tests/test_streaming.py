@@ -43,3 +43,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q = detector.check_stream(stream, timeout_ms=None).writeStream.format("memory").queryName("loops").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     assert sorted(map(tuple, spark.table("loops").collect())) == batch and any(r[0] == "loop" for r in batch)
+
+
+def test_a_loop_at_the_start_of_a_very_long_turn_is_seen(spark):
+    calm = " ".join(f"{k}x" for k in range(17_000))[:100_000]
+    items = "".join(f'{{"n":"{"AB"[k % 2]}","t":{k % 2}}},' for k in range(12))
+    rows = [("calm", 0, calm), ("run", 0, "aaaaaaaa " + calm), ("ngram", 0, "abcabcabcabcabc " + calm), ("items", 0, items + calm)]
+    df = spark.createDataFrame(rows, "ref string, seq long, delta string")
+    got = {r.ref: r.reason.split()[0] for r in detector.check_batch(df).collect()}
+    assert got == {"run": "char_run", "ngram": "ngram_loop", "items": "cyclic_items"}
