@@ -29,7 +29,8 @@ from sheafline.llm.common import ship, small_batches
 
 ship(__name__)
 
-#: Words and token pairs that a worker remembers at most, characters encoded in one go, and bytes of a word that is remembered.
+#: Words and token pairs that a worker remembers at most, characters encoded in one go, and bytes of a word that is
+#: remembered, and of a prefix whose whole encoding is held on the path.
 WORDS, PAIRS, CHARS, SHORT = 250_000, 500_000, 2_000_000, 64
 #: What the vocabulary's pre-tokenizer splits at (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -87,10 +88,11 @@ class Encoder:
                 bound, b = right[0] + 1, right[1]
 
     def learn(self, words: Iterable[str], into: dict[str, bytes]) -> None:
-        """Encodes distinct words of SHORT bytes at most over one trie, depth first.
+        """Encodes distinct words of any length over one trie, depth first.
 
-        ``last`` and ``code`` hold, for each prefix on the path, its last token and its
-        whole encoding.
+        ``last`` holds the last token of each prefix on the path, ``code`` the whole
+        encoding of prefixes up to SHORT bytes. A longer word's encoding is read back
+        along its last tokens, down to a prefix that has a whole one.
         """
         ids, pairs, packed, legal = self.ids.get, self.pairs, self.packed, self.legal
         path, last, code = b"", [-1], [b""]
@@ -114,25 +116,18 @@ class Encoder:
                             break
                     start -= 1
                 last.append(token)
-                code.append(code[start] + packed[token])
-            into[word] = code[-1]
+                if depth <= SHORT:
+                    code.append(code[start] + packed[token])
+            if len(raw) <= SHORT:
+                into[word] = code[-1]
+            else:
+                back, depth = [], len(raw)
+                while depth > SHORT:
+                    back.append(packed[last[depth]])
+                    depth -= len(self.text[last[depth]])
+                into[word] = code[depth] + b"".join(back[::-1])
             path = raw
 
-    def encode_long(self, word: str) -> bytes:
-        """The ids of one word of any length: a path of the trie without its whole encodings."""
-        raw, last = word.encode(), [-1]
-        for depth in range(1, len(raw) + 1):
-            for start in range(depth - 1, max(-1, depth - 1 - self.longest), -1):
-                token = self.ids.get(raw[start:depth])
-                if token is not None and (not start or self.legal(last[start], token)):
-                    break
-            last.append(token)
-        out, depth = [], len(raw)
-        while depth:
-            out.append(last[depth])
-            depth -= len(self.text[last[depth]])
-        return np.array(out[::-1], dtype="<u4").tobytes()
-
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         # Texts of added tokens stand at odd places of a text cut at them.
@@ -143,12 +138,14 @@ class Encoder:
             self.words.clear()
             fresh = set().union(*(words for of in cut for words in of[::2]))
         long = {w for w in fresh if len(w.encode()) > SHORT}
-        self.learn(fresh - long, self.words)
         if not long:
+            self.learn(fresh, self.words)
             known = self.words.__getitem__
         else:
-            own = {w: self.encode_long(w) for w in long}  # not remembered: their size has no bound
-            known = lambda w: own[w] if w in own else self.words[w]
+            made: dict[str, bytes] = {}
+            self.learn(fresh, made)
+            self.words |= {w: made[w] for w in fresh - long}  # long ones are not remembered: their size has no bound
+            known = lambda w: made[w] if w in long else self.words[w]
         return [b"".join([self.added[words[0]] if k % 2 else b"".join(map(known, words)) for k, words in enumerate(of)]) for of in cut]
 
     def decode(self, ids: bytes) -> bytes:

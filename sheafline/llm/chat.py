@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import ship
+from sheafline.llm.common import ship, small_batches
 
 ship(__name__)
 
@@ -65,14 +65,20 @@ def plain(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-def read_turn(text: str, template: Template = TEMPLATE) -> tuple[str, str, int]:
-    """(role, text, where the escaped text starts) of one formatted turn."""
-    head = re.match(r"### ((?:\\.|[^\\:])*): ", text, re.S)
-    if not head or not text.endswith(" </turn>\n"):
-        raise ValueError(f"no turn: {text[:40]!r}")
-    label = head[1]
+#: One turn of formatted text: its label, and its text up to the first end of turn that no backslash marks as plain.
+TURN = re.compile(r"### ((?:[^\\:]|\\.)*+): ((?:[^\\<]|\\.|<(?!/turn>))*+)</turn>\n", re.S)
+
+
+def read_turn(text: str, at: int = 0, template: Template = TEMPLATE) -> tuple[str, str, int, int] | None:
+    """(role, text, where the escaped text stands) of the turn at a place of formatted text; None if it has no end yet."""
+    found = TURN.match(text, at)
+    if not found:
+        return None
+    label, body = found.groups()
+    if not body.endswith(" ") or not (label.startswith("@") or label in template.labels.values()):
+        raise ValueError(f"no turn: {text[at : at + 40]!r}")
     role = plain(label[1:]) if label.startswith("@") else {v: k for k, v in template.labels.items()}[label]
-    return role, plain(text[head.end() : -len(" </turn>\n")]), head.end()
+    return role, plain(body[:-1]), found.start(2), found.end()
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
@@ -107,53 +113,67 @@ def format_chats(conversations: DataFrame, template: Template = TEMPLATE) -> Dat
                 state, number = role, number + 1
             yield pd.DataFrame(out, columns=["conv_id", "turn_no", "segment_no", "text", "loss", "ok"]).astype({"conv_id": "Int64"})
 
-    return turns_of(conversations).mapInPandas(run, "conv_id long, turn_no int, segment_no int, text string, loss boolean, ok boolean")
+    return small_batches(turns_of(conversations)).mapInPandas(run, "conv_id long, turn_no int, segment_no int, text string, loss boolean, ok boolean")
 
 
 def digests(segments: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """What the formatted text of each conversation says when read back.
 
-    segments: as format_chats returns them, conversations side by side and in order.
+    segments: as format_chats returns them, conversations side by side and in order. A
+    conversation's segments are joined to one text with its loss mask, and turns are
+    found in that text alone: where segments begin and end plays no part. Text that is
+    no turn is an error. Memory holds one turn.
     Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
     and valid boolean: every turn was in order.
     """
 
     def run(batches):
         columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
-        now, held, state = object(), [], None
-        begun = False
-
-        def close(turn):
-            """Reads one turn back: its text, and the part of it under the loss mask."""
-            whole = "".join(t for t, _, _ in turn)
-            role, text, _ = read_turn(whole, template)
-            loss = plain("".join(t for t, f, _ in turn if f))
-            state["n"] += 1
-            state["turns"].update(f"{role}\n{text}\n".encode())
-            state["loss"].update(loss.encode())
-            state["loss_chars"] += len(loss)
-            state["chars"] += len(whole)
-            state["ok"] &= all(ok for _, _, ok in turn)
+        now, state, begun = object(), None, False
+
+        def advance(force: bool = False):
+            """Reads what turns the text held so far has."""
+            text = "".join(state["text"])
+            at = 0
+            while at < len(text) and (turn := read_turn(text, at, template)):
+                role, said, _, end = turn
+                state["n"] += 1
+                state["turns"].update(f"{role}\n{said}\n".encode())
+                at = end
+            if force and at < len(text):
+                raise ValueError(f"no turn: {text[at : at + 40]!r}")
+            # The mask's text up to there is complete, so no escape is cut in two.
+            done = 0
+            while state["mask"] and done < at:
+                size, loss = state["mask"].pop(0)
+                if loss:
+                    under = plain(text[done : done + size])
+                    state["loss"].update(under.encode())
+                    state["loss_chars"] += len(under)
+                done += size
+            state["text"] = [text[at:]] if at < len(text) else []
 
         def result():
+            advance(force=True)
             return (now, state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], bool(state["ok"]))
 
         for pdf in batches:
             out = []
-            for conv, k, text, loss, ok in zip(pdf["conv_id"], pdf["segment_no"], pdf["text"], pdf["loss"], pdf["ok"]):
+            for conv, text, loss, ok in zip(pdf["conv_id"], pdf["text"], pdf["loss"], pdf["ok"]):
                 conv = None if pd.isna(conv) else int(conv)
-                if k == 0 and held:
-                    close(held)
-                    held = []
                 if not begun or conv != now:
                     if begun:
                         out.append(result())
                     begun, now = True, conv
-                    state = {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "ok": True}
-                held.append((text, loss, ok))
+                    state = {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "ok": True, "text": [], "mask": []}
+                state["text"].append(text)
+                state["mask"].append((len(text), loss))
+                state["chars"] += len(text)
+                state["ok"] &= ok
+                if text.endswith("</turn>\n"):
+                    advance()
             yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
         if begun:
-            close(held)
             yield pd.DataFrame([result()], columns=columns).astype({"conv_id": "Int64"})
 
-    return segments.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return small_batches(segments).mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import materialize, numbered, ship, without
+from sheafline.llm.common import among, materialize, numbered, ship, without
 
 ship(__name__)
 
@@ -96,13 +96,23 @@ class CountingQuotientFilter:
         return cls(q, bits, slots)
 
 
-def merged(prints: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted list of distinct fingerprints, counts added."""
-    p, c = np.concatenate(prints), np.concatenate(counts)
-    order = np.argsort(p, kind="stable")
-    p, c = p[order], c[order]
-    first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-    return p[first], np.add.reduceat(c, first)
+def merged(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted list of distinct fingerprints, counts added, from lists that are sorted and distinct."""
+    while len(lists) > 1:
+        pairs = [merged_two(*lists[k], *lists[k + 1]) for k in range(0, len(lists) - 1, 2)]
+        lists = pairs + lists[len(lists) // 2 * 2 :]
+    return lists[0]
+
+
+def merged_two(p: np.ndarray, c: np.ndarray, q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merges q into p in order: each fingerprint of q is at its place in p or goes there."""
+    at = np.searchsorted(p, q)
+    same = np.zeros(len(q), bool)
+    inside = at < len(p)
+    same[inside] = p[at[inside]] == q[inside]
+    c = c.copy()
+    c[at[same]] += d[same]
+    return np.insert(p, at[~same], q[~same]), np.insert(c, at[~same], d[~same])
 
 
 def repeated_fingerprints(prints: DataFrame, slices: int) -> DataFrame:
@@ -113,7 +123,7 @@ def repeated_fingerprints(prints: DataFrame, slices: int) -> DataFrame:
     s = slices.bit_length() - 1
 
     def emit(parts: list[np.ndarray]) -> pd.DataFrame:
-        p, c = merged(parts, [np.ones(len(x), np.int64) for x in parts])
+        p, c = np.unique(np.concatenate(parts), return_counts=True)
         part = (p >> np.uint64(64 - s)).astype(np.int64) if s else np.zeros(len(p), np.int64)
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         rows = []
@@ -135,8 +145,8 @@ def repeated_fingerprints(prints: DataFrame, slices: int) -> DataFrame:
             yield emit(held)
 
     def merge(key, pdf):
-        items = [CountingQuotientFilter.unpack(x).items() for x in pdf["filter"]]
-        p, c = merged([x for x, _ in items], [x for _, x in items])
+        # Inside a slice, quotient and remainder of one filter are in the order of those of any other.
+        p, c = merged([CountingQuotientFilter.unpack(x).items() for x in pdf["filter"]])
         top = np.uint64(int(key[0]) << (64 - s)) if s else np.uint64(0)
         return pd.DataFrame({"fp": ((p[c > 1] >> np.uint64(s)) | top).view(np.int64)})
 
@@ -166,7 +176,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # Byte verification: only rows with a repeated fingerprint bring their text along,
     # and equal texts collapse map-side before the shuffle.
-    suspects = wide.join(again, "fp", "left_semi")
+    suspects = among(wide, again, again.count(), "fp")
     classes = suspects.groupBy("fp", "norm").agg(
         F.count("*").alias("group_size"),
         F.min(F.struct((-F.col("chars")).alias("o"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"))).alias("best"),

@@ -19,7 +19,11 @@ ship(__name__)
 
 #: Features, n-gram lengths, added count, labelled rows to learn from for each language, and characters hashed in one go.
 FEATURES, LENGTHS, ALPHA, ROWS, CHARS = 1 << 15, (1, 2, 3), 0.1, 3000, 500_000
+#: Labels that a model learns at most, the most frequent ones: with FEATURES, the bound of what is broadcast (64 MB).
+LANGUAGES = 512
 UNKNOWN = "und"
+#: keep_known() rejects a text whose likeliest language is less likely than all others together.
+LEAST_SCORE = 0.5
 
 
 def has_letter(text: str | None) -> bool:
@@ -27,16 +31,23 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def hashed(texts: list[str], features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    """The feature of every n-gram of the lower-cased texts, and where each text's begin.
+def framed(text: str) -> str:
+    """What a text's n-grams are taken from: all of it in lower case, between two spaces."""
+    return f" {text.lower()} "
 
-    Each text is set between two spaces; n-grams do not reach from text to text. The
-    result is flat: text k has features[starts[k]:starts[k + 1]].
+
+def hashed(lines: list[str], own: list[int], features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The feature of every n-gram that starts in the first own[k] characters of line k.
+
+    n-grams do not reach from line to line. The result is flat: line k has
+    features[starts[k]:starts[k + 1]].
     """
-    lowered = [f" {t.lower()} " for t in texts]
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in lowered])
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the text's end
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(x) for x in lines])
+    begin = np.cumsum(sizes) - sizes
+    at = np.arange(len(codes)) - np.repeat(begin, sizes)
+    left = np.repeat(sizes, sizes) - at  # characters to the line's end
+    counts = at < np.repeat(own, sizes)
     mixed, every = np.zeros(len(codes), np.uint32), []
     for n in range(1, max(LENGTHS) + 1):
         end = len(codes) - n + 1
@@ -45,10 +56,10 @@ def hashed(texts: list[str], features: int = FEATURES) -> tuple[np.ndarray, np.n
         if n in LENGTHS:
             spot = np.zeros(len(codes), np.int32)
             spot[:end] = ((mixed * np.uint32(0x85EBCA6B)) >> np.uint32(8)) % np.uint32(features)
-            every.append(np.where(left >= n, spot, -1))
+            every.append(np.where(counts & (left >= n), spot, -1))
     table = np.stack(every, axis=1)
     real = table >= 0
-    starts = np.r_[0, np.cumsum(np.add.reduceat(real.sum(axis=1), np.cumsum(sizes) - sizes))] if len(texts) else np.zeros(1, np.int64)
+    starts = np.r_[0, np.cumsum(np.add.reduceat(real.sum(axis=1), begin))] if len(lines) else np.zeros(1, np.int64)
     return table[real], starts
 
 
@@ -63,9 +74,12 @@ def runs(texts: list[str], chars: int = CHARS):
         yield start, len(texts)
 
 
-def pieces(text: str, chars: int = CHARS):
-    """A text in parts that together have its n-grams, but for the spaces around each part."""
-    return [text[k : k + chars] for k in range(0, len(text), chars)]
+def pieces(line: str, chars: int = CHARS):
+    """(part, own) of a line: own is how many characters n-grams start in, the rest is where they end.
+
+    The n-grams of all parts are exactly those of the line.
+    """
+    return [(line[k : k + chars + max(LENGTHS) - 1], min(chars, len(line) - k)) for k in range(0, len(line), chars)]
 
 
 class Model:
@@ -78,11 +92,11 @@ class Model:
         """Joint log-probabilities, a row for each text."""
         found = np.zeros((len(texts), len(self.languages)))
         for a, b in runs(texts):
-            part = [(k, p) for k in range(a, b) for p in pieces(texts[k])]
+            part = [(k, *p) for k in range(a, b) for p in pieces(framed(texts[k]))]
             for c in range(0, len(part), 1 << 12):
                 rows = part[c : c + (1 << 12)]
-                spots, starts = hashed([p for _, p in rows])
-                np.add.at(found, [k for k, _ in rows], np.add.reduceat(self.logp[spots], starts[:-1], axis=0, dtype=np.float64))
+                spots, starts = hashed([x for _, x, _ in rows], [n for _, _, n in rows], len(self.logp))
+                np.add.at(found, [k for k, _, _ in rows], np.add.reduceat(self.logp[spots], starts[:-1], axis=0, dtype=np.float64))
         return found + self.prior
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -98,28 +112,34 @@ class Model:
         return names, sure
 
 
+def sampled(labelled: DataFrame, rows: int = ROWS, seed: int = 11, languages: int = LANGUAGES) -> DataFrame:
+    """(text, lang): about `rows` of each of the most frequent languages of (doc_id, text, lang) rows.
+
+    Rows are drawn by a seeded hash of their id (null ids: of their text), so copies of a
+    text count as often as they are drawn and no group of copies is in or out as a whole.
+    """
+    labelled = labelled.where("lang IS NOT NULL").select("doc_id", "text", "lang")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return labelled.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < rows).select("text", "lang")
+
+
 def train(labelled: DataFrame, rows: int = ROWS, features: int = FEATURES, seed: int = 11) -> Model:
-    """A model of (text, lang) rows, whole texts, about `rows` of each language by a seeded hash.
+    """A model of (doc_id, text, lang) rows, whole texts, learned from what sampled() draws.
 
-    Rows with a null lang or no letter teach nothing. Priors are uniform.
+    Rows with a null lang or no letter teach nothing; nor do labels beyond the LANGUAGES
+    most frequent ones. Priors are uniform.
     """
-    labelled = labelled.where("lang IS NOT NULL").select("text", "lang")
-    # A share of each language by the texts' hash: no ordering, and no more than a count of rows by language is gathered.
-    n = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not n:
-        return Model([], np.zeros((features, 0)), np.zeros(0))
-    share = F.lit(None)
-    for lang, count in sorted(n.items()):
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, rows / count) * (1 << 20)))).otherwise(share)
-    picked = labelled.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < share)
+    picked = sampled(labelled, rows, seed)
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 if has_letter(text):
-                    for part in pieces(text):
-                        spots, _ = hashed([part], features)
+                    for part, own in pieces(framed(text)):
+                        spots, _ = hashed([part], [own], features)
                         tables.setdefault(lang, np.zeros(features, np.int64))
                         tables[lang] += np.bincount(spots, minlength=features)
         for lang, table in tables.items():
@@ -159,12 +179,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that have a language, all columns unchanged, without a shuffle."""
+def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language is known, all columns unchanged, without a shuffle.
+
+    Known is a text with a letter whose likeliest language has a posterior of `least` or
+    more; under a model that has learned nothing, every text with a letter. Null texts
+    go; an empty table stays empty; ids play no part.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp, model.prior))
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
-        return pd.Series(Model(*shared.value).predict(list(texts))[0], dtype=object)
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        own = Model(*shared.value)
+        if not own.languages:
+            return texts.map(has_letter).astype(bool)
+        names, sure = own.predict(list(texts))
+        return pd.Series([n != UNKNOWN and s >= least for n, s in zip(names, sure)], dtype=bool)
 
-    return small_batches(docs).where(language("text") != UNKNOWN)
+    return small_batches(docs).where(known("text"))

@@ -1,21 +1,25 @@
 """Masked pseudo-likelihood of documents under a small bidirectional window network.
 
 The network predicts every word from the words on both its sides; a document's score
-is the sum of the conditional log-probabilities of all its words. The softmax has two
+is the sum of the conditional log-probabilities of all its words. The softmax has three
 levels: a token (the most frequent words have one each, the others share some by hash),
 then a word among those that share the token, down a Huffman tree with a learned vector
 at each fork. Every word that occurs often enough for the size of the corpus is a leaf
-and has a vector of its own as context; the rarer words of a token are one leaf, each
-with an even share of it, one share being kept for words that were never seen.
+and has a vector of its own as context. The rarer words of a token are one leaf; below
+it each has a share by how often the words of its hash slot occur, and a word that was
+never seen has one too.
 
 Vocabulary and frequencies are counted over all documents. Training is data parallel:
-each partition starts from the shared weights, passes over the positions of all its
-documents (each is a target once in all passes), and the partitions' weights are averaged by the positions behind them, a
-word's or fork's own vector by the positions that it took part in.
+documents are dealt into groups by a hash of their id, each group starts from the shared
+weights and passes over the positions of all its documents (each is a target once in
+all passes), and the groups' weights are averaged by the positions behind them, a word's
+or fork's own vector by the positions that it took part in. Groups and their order do
+not depend on how the table is partitioned, so neither do the weights.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import sys
@@ -33,40 +37,58 @@ from sheafline.llm.common import discard, materialize, ship, small_batches
 
 ship(__name__)
 
-#: Words with a token of their own, tokens that other words share by hash, and the longest word that is counted.
+#: Words with a token of their own, tokens that other words share by hash, and characters from which on a word goes by its digest.
 KNOWN, SHARED, LONGEST = 192, 64, 64
-#: A word is a leaf of its own if it occurs LEAST times and the root of the corpus' words / PER_ROOT times.
-LEAST, PER_ROOT = 2, 64
+#: Hash slots of rare words: with the vocabulary, the bound of what is broadcast. A multiple of SHARED.
+SLOTS = 1 << 21
+#: A word is a leaf of its own if it occurs LEAST times and (words in the corpus) ** (2 / 3) / PER_CUBE times, so that
+#: there are PER_CUBE * (words in the corpus) ** (1 / 3) such words at most.
+LEAST, PER_CUBE = 2, 1300
 #: Offsets of the window, width of a token's vector, hidden width.
 WINDOW, WIDTH, HIDDEN = (-2, -1, 1, 2), 16, 16
 #: Passes; each trains on every STRIDE-th position of all documents, from an offset of its own: together on all.
 ROUNDS, STRIDE, BATCH, RATE = 2, 2, 256, 0.1
-#: Positions held before they are trained on. Batches of BATCH positions before batches are four times as large, and rows of own vectors that are averaged in one go.
-HELD, SMALL, BLOCK = 65_536, 64, 1024
+#: Positions of a group, about, and groups that are averaged in one go.
+GROUP, AVERAGED = 1 << 21, 64
+#: Batches of BATCH positions before batches are four times as large, and rows of own vectors that are averaged in one go.
+SMALL, BLOCK = 64, 1024
 #: Words remembered by a worker, distinct words counted before they are sent on, positions scored in one go, rows in a frame, positions held at once.
 WORDS, COUNTED, CHUNK, ROWS_OUT, POSITIONS = 400_000, 400_000, 1024, 5000, 200_000
 PAD = KNOWN + SHARED
 
 
 class Ids(dict):
-    """The token of every word: own tokens are entries, the rest is hashed and remembered."""
+    """The id of every word: frequent words are entries, the rest is hashed and remembered.
 
-    room = WORDS
+    slots: where the ids of hash slots begin; None gives rare words their shared token.
+    """
+
+    def __init__(self, entries, slots: int | None):
+        super().__init__(entries)
+        self.slots, self.room = slots, WORDS
 
     def __missing__(self, word: str) -> int:
-        token = shared_token(word)
+        token = shared_token(word) if self.slots is None else self.slots + slot_of(word)
         if self.room > 0:
             self.room -= 1
             self[word] = token
         return token
 
 
+def slot_of(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS
+
+
 def shared_token(word: str) -> int:
-    return KNOWN + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
+    return KNOWN + slot_of(word) % SHARED
 
 
 def words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """A text's words in lower case; in place of a word of over LONGEST characters its digest, which no other word has."""
+    out = (text or "").lower().split()
+    if max(map(len, out), default=0) > LONGEST:
+        out = [w if len(w) <= LONGEST else "\0" + hashlib.sha1(w.encode("utf-8", "surrogatepass")).hexdigest() for w in out]
+    return out
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
@@ -92,12 +114,13 @@ def initial(frequency: np.ndarray, seed: int) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """The words below the tokens. Ids below PAD are tokens, PAD stands between documents, words follow.
+    """The words below the tokens. Ids below PAD are tokens, PAD stands between documents, words follow, then hash slots.
 
-    By id: `token`, the `share` (log) of a single word, and where the path to the id's
-    leaf stands in `fork` and `side` (1 or -1): from `start`, `length` entries. A token
-    that is shared is as an id the leaf of its rarer words. Trained: `vectors` of words
-    (added to their token's) and `forks`, whose last column is a bias.
+    By id without slots: `token`, and where the path to the id's leaf stands in `fork`
+    and `side` (1 or -1): from `start`, `length` entries. A token that is shared is as an
+    id the leaf of its rarer words; `share` (log) is what a word of each slot has of that
+    leaf. Trained: `vectors` of words (added to their token's) and `forks`, whose last
+    column is a bias.
     """
 
     words: list[str]
@@ -114,6 +137,18 @@ class Lexicon:
         """What workers need, without the class: a broadcast is read where this module may be missing."""
         return {**vars(self), "words": []}
 
+    def leaf_ids(self, ids: np.ndarray) -> np.ndarray:
+        """ids with the shared token in place of each slot."""
+        first = len(self.token)
+        return np.where(ids >= first, KNOWN + (ids - first) % SHARED, ids)
+
+    def shares(self, ids: np.ndarray) -> np.ndarray:
+        """The log of a word's share of its leaf: 0 for words that are leaves."""
+        out, slot = np.zeros(len(ids)), ids - len(self.token)
+        rare = slot >= 0
+        out[rare] = self.share[slot[rare]]
+        return out
+
     def table(self, vectors: np.ndarray) -> np.ndarray:
         """The vector of every id as context."""
         out = vectors[self.token]
@@ -127,18 +162,25 @@ class Lexicon:
         return np.repeat(np.arange(len(ids)), length), self.fork[at], self.side[at]
 
 
-def lexicon(words_: list[str], counts: np.ndarray, rest: np.ndarray, kinds: np.ndarray) -> Lexicon:
-    """Huffman trees over the words of each shared token.
+def slot_shares(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The log of the share that a word of each slot has among the rare words of its token.
 
-    rest, kinds: for each shared token, how often its other words occur and how many they are.
+    n, kinds: by slot, how often its rare words occur and how many they are. All slots of
+    a token have one occurrence more between them, and each slot has room for one word more.
     """
+    each = SHARED / SLOTS
+    rest = n.reshape(-1, SHARED).sum(axis=0) + 1.0
+    return (np.log(n + each) - np.log(np.tile(rest, len(n) // SHARED)) - np.log(kinds + 1.0)).astype(np.float32)
+
+
+def lexicon(words_: list[str], counts: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> Lexicon:
+    """Huffman trees over the words of each shared token. n, kinds: as for slot_shares()."""
     size = PAD + 1 + len(words_)
     token = np.r_[np.arange(PAD + 1), np.array([shared_token(w) for w in words_], np.int64)].astype(np.int32)
     weight = np.zeros(size)
-    weight[KNOWN:PAD] = rest + 1.0
+    weight[KNOWN:PAD] = n.reshape(-1, SHARED).sum(axis=0) + 1.0
     weight[PAD + 1 :] = counts
-    share = np.zeros(size)
-    share[KNOWN:PAD] = -np.log(kinds + 1.0)
+    share = slot_shares(n, kinds)
     # A parent for each leaf (by id) and fork (behind them); the side is 1 for the second child.
     up, side, bias = np.full(size + len(words_), -1), np.zeros(size + len(words_), np.float32), np.zeros(len(words_), np.float32)
     members: dict[int, list[int]] = {}
@@ -171,7 +213,7 @@ def lexicon(words_: list[str], counts: np.ndarray, rest: np.ndarray, kinds: np.n
 
 def no_words() -> Lexicon:
     """Tokens alone: words that share a token are not told apart."""
-    return lexicon([], np.zeros(0), np.zeros(SHARED), np.zeros(SHARED))
+    return lexicon([], np.zeros(0), np.zeros(SLOTS), np.zeros(SLOTS))
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -192,7 +234,8 @@ def padded(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, lex: Lexicon, tables: list[np.ndarray]) -> np.ndarray:
     """The log-probability of the word at each position, given its window. tables: lex.table times each mix."""
-    out = np.empty(len(at))
+    out = lex.shares(ids[at])
+    ids = lex.leaf_ids(ids)
     # The hidden layer is within -1 and 1, which bounds the logits: no shift is needed before exp.
     last = np.vstack([w["out"], w["base"]])
     shift = 0.0 if np.abs(last).sum(axis=0).max() < 60 else None
@@ -208,12 +251,11 @@ def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, lex: Le
         target = ids[spot]
         row, fork, side = lex.paths(target)
         below = np.log1p(np.exp(np.minimum(-side * np.einsum("td,td->t", h[row], lex.forks[fork]), 80))) if len(row) else side
-        below = lex.share[target] - np.bincount(row, below, len(spot))
-        own = z[np.arange(len(spot)), lex.token[target]] + below
+        own = z[np.arange(len(spot)), lex.token[target]] - np.bincount(row, below, len(spot))
         top = z.max(axis=1) if shift is None else shift
         if shift is None:
             z -= top[:, None]
-        out[k : k + CHUNK] = own - top - np.log(np.exp(z, out=z) @ ones)
+        out[k : k + CHUNK] += own - top - np.log(np.exp(z, out=z) @ ones)
     return out
 
 
@@ -246,7 +288,7 @@ def added(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Learner:
-    """Weights that one partition trains: the network's and the lexicon's, steps as in Adagrad.
+    """Weights that one group trains: the network's and the lexicon's, steps as in Adagrad.
 
     Steps shrink for parameters that have moved much; a word or fork has one such sum.
     """
@@ -302,66 +344,69 @@ class Learner:
         moved[at] += np.einsum("td,td->t", g, g) / g.shape[1]
         getattr(self.lex, name)[at] -= np.float32(RATE) * g / np.sqrt(moved[at])[:, None]
 
-    def parts(self, positions: int):
-        """(name, block, at, n, w): the network's weights, and blocks of the rows that took part."""
-        yield "net", 0, np.zeros(1, np.int32).tobytes(), np.array([positions]).tobytes(), self.flat.tobytes()
+    def parts(self, group: int, positions: int):
+        """(name, block, part, at, n, w): the network's weights, and blocks of the rows that took part."""
+        yield "net", 0, group, np.zeros(1, np.int32).tobytes(), np.array([positions]).tobytes(), self.flat.tobytes()
         for name, seen in self.seen.items():
             at = np.flatnonzero(seen)
             cut = np.flatnonzero(np.diff(at // BLOCK, prepend=-1))
             for a, b in zip(cut, [*cut[1:], len(at)]):
                 part = at[a:b]
-                yield name, int(part[0] // BLOCK), part.astype(np.int32).tobytes(), seen[part].tobytes(), getattr(self.lex, name)[part].tobytes()
+                yield name, int(part[0] // BLOCK), group, part.astype(np.int32).tobytes(), seen[part].tobytes(), getattr(self.lex, name)[part].tobytes()
 
 
-PARTS = "name string, block int, at binary, n binary, w binary"
+PARTS = "name string, block int, part long, at binary, n binary, w binary"
 
 
-def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one block from all partitions, averaged by what is behind them."""
+def averaged(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one block from several groups, averaged by what is behind them."""
+    pdf = pdf.sort_values("part")  # sums come out alike however the rows arrive
     at = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["at"]])
     n = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["n"]])
     w = np.concatenate([np.frombuffer(x, np.float32).reshape(len(y) // 4, -1) for x, y in zip(pdf["w"], pdf["at"])])
     index, _, total = added(at, np.c_[w * n[:, None].astype(np.float64), n])
     mean = (total[:, :-1] / total[:, -1:]).astype(np.float32)
-    return pd.DataFrame([(pdf["name"].iloc[0], int(pdf["block"].iloc[0]), index.astype(np.int32).tobytes(), b"", mean.tobytes())], columns=["name", "block", "at", "n", "w"])
+    return pd.DataFrame([(key[0], int(key[1]), int(key[2]), index.astype(np.int32).tobytes(), total[:, -1].astype(np.int64).tobytes(), mean.tobytes())], columns=["name", "block", "part", "at", "n", "w"])
+
+
+def averages(parts: DataFrame, groups: int) -> DataFrame:
+    """parts of all groups as one: AVERAGED groups go into one, again and again, so no task holds them all."""
+    while True:
+        above = F.floor(F.col("part") / AVERAGED).alias("part")
+        parts = parts.groupBy("name", "block", above).applyInPandas(averaged, PARTS)
+        groups = -(-groups // AVERAGED)
+        if groups <= 1:
+            return parts
 
 
-def token_ids(known: list[str], more: list[str]) -> Ids:
+def token_ids(known: list[str], more: list[str], slots: bool) -> Ids:
     """The worker's word table, kept from task to task."""
     held = sys.modules.setdefault("_sheafline_lm", types.ModuleType("_sheafline_lm"))
-    if getattr(held, "known", None) != (known, more):
-        held.known, held.ids = (known, more), Ids([*((w, k) for k, w in enumerate(known)), *((w, PAD + 1 + k) for k, w in enumerate(more))])
+    if getattr(held, "known", None) != (known, more, slots):
+        entries = [*((w, k) for k, w in enumerate(known)), *((w, PAD + 1 + k) for k, w in enumerate(more))]
+        held.known, held.ids = (known, more, slots), Ids(entries, PAD + 1 + len(more) if slots else None)
     return held.ids
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, token int, n long), written once: how often every word of all docs occurs.
-
-    Words have no token yet (-1); a token's row counts its words that are too long.
-    """
+    """(word, n long), written once: how often every word of all docs occurs."""
 
     def count(batches):
         seen: Counter = Counter()
-        rest: Counter = Counter()
 
         def rows():
-            words_, tokens = [*seen, *("" for _ in rest)], [*(-1 for _ in seen), *rest]
-            out = pd.DataFrame({"word": words_, "token": np.array(tokens, np.int32), "n": np.array([*seen.values(), *rest.values()], np.int64)})
+            out = pd.DataFrame({"word": list(seen), "n": np.array(list(seen.values()), np.int64)})
             yield from (out[k : k + ROWS_OUT] for k in range(0, len(out), ROWS_OUT))
 
         for pdf in batches:
             for text in pdf["text"]:
                 seen.update(words(text))
-            for w in [w for w in seen if len(w) > LONGEST]:  # never a word of its own
-                rest[shared_token(w)] += seen.pop(w)
             if len(seen) > COUNTED:
                 yield from rows()
                 seen.clear()
-                rest.clear()
         yield from rows()
 
-    counts = small_batches(docs).select(F.col("text")).mapInPandas(count, "word string, token int, n long").groupBy("word", "token").agg(F.sum("n").alias("n"))
-    return materialize(counts)
+    return materialize(small_batches(docs).select(F.col("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -370,39 +415,37 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def most_frequent(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    top = counts.where("token < 0").orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     known = [r.word for r in top]
-    other = counts.where((F.col("token") >= 0) | ~F.col("word").isin(known))
-    token = F.when(F.col("token") >= 0, F.col("token")).otherwise((F.crc32("word") % SHARED + KNOWN).cast("int"))
     frequency = np.zeros(PAD)
     frequency[: len(known)] = [r.n for r in top]
-    for r in other.groupBy(token.alias("token")).agg(F.sum("n").alias("n")).collect():  # SHARED rows at most
-        frequency[r.token] = r.n
+    other = counts.where(~F.col("word").isin(known)) if known else counts
+    for r in other.groupBy((F.crc32("word") % SHARED).alias("k")).agg(F.sum("n").alias("n")).collect():  # SHARED rows at most
+        frequency[KNOWN + r.k] = r.n
     return known, frequency
 
 
 def often(total: float) -> int:
     """How often a word occurs at least that is a leaf of its own in a corpus of so many words."""
-    return max(LEAST, math.ceil(math.sqrt(total) / PER_ROOT))
+    return max(LEAST, math.ceil(total ** (2 / 3) / PER_CUBE))
 
 
 def words_below(counts: DataFrame, known: list[str], frequency: np.ndarray) -> Lexicon:
-    """The lexicon of what word_counts() gave; its size grows about as the root of the corpus."""
+    """The lexicon of what word_counts() gave."""
     least = often(frequency.sum())
-    other = counts.where((F.col("token") < 0) & ~F.col("word").isin(known))
+    other = counts.where(~F.col("word").isin(known)) if known else counts
     own = other.where(F.col("n") >= least).select("word", "n").orderBy(F.desc("n"), "word").toArrow()
-    # A word that is too long is counted as if it occurred once.
-    rare = other.where(F.col("n") < least).select((F.crc32("word") % SHARED).alias("k"), "n", F.lit(1).cast("long").alias("kinds"))
-    rare = rare.unionByName(counts.where("token >= 0").select((F.col("token") - KNOWN).cast("long").alias("k"), "n", F.col("n").alias("kinds")))
-    rest, kinds = np.zeros(SHARED), np.zeros(SHARED)
-    for r in rare.groupBy("k").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():  # SHARED rows at most
-        rest[r.k], kinds[r.k] = r.n, r.kinds
-    return lexicon(own["word"].to_pylist(), own["n"].to_numpy(), rest, kinds)
+    rare = other.where(F.col("n") < least).groupBy((F.crc32("word") % SLOTS).cast("int").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("kinds"))
+    got = rare.toArrow()  # SLOTS rows at most
+    n, kinds = np.zeros(SLOTS), np.zeros(SLOTS)
+    slot = got["slot"].to_numpy()
+    n[slot], kinds[slot] = got["n"].to_numpy(), got["kinds"].to_numpy()
+    return lexicon(own["word"].to_pylist(), own["n"].to_numpy(), n, kinds)
 
 
 def token_table(docs: DataFrame, known: list[str], id_col: str = "doc_id", text_col: str = "text", lex: Lexicon | None = None) -> DataFrame:
     """(doc_id, tokens binary): four bytes for each word of every row's whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, lex.words if lex else []))
+    shared = docs.sparkSession.sparkContext.broadcast((known, lex.words if lex else [], lex is not None))
     kind = docs.select(F.col(id_col)).dtypes[0][1]
 
     def run(batches):
@@ -422,48 +465,51 @@ def train(docs: DataFrame, known: list[str], frequency: np.ndarray, rounds: int
     return fit(token_table(docs, known), frequency, rounds, stride, seed)[0]
 
 
-def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 13, lex: Lexicon | None = None) -> tuple[np.ndarray, Lexicon]:
-    """Weights and lexicon from a token_table; positions are counted through each partition."""
+def dealt(tokens: DataFrame, groups: int, seed: int) -> DataFrame:
+    """(part long, ids binary): the documents of each group, in an order by hash, with pads between them.
+
+    tokens: a token_table. Rows go by their id, which must not be shared by very many rows; rows with a
+    null id are dealt evenly, by where they are in the table.
+    """
+
+    def pack(key, pdf):
+        pdf = pdf.sort_values(["mix", "tokens"])
+        return pd.DataFrame([(int(key[0]), padded([np.frombuffer(x, np.int32) for x in pdf["tokens"]])[0].tobytes())], columns=["part", "ids"])
+
+    mix = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    rows = tokens.select(mix.alias("mix"), "tokens").where(F.octet_length("tokens") > 0)
+    return rows.groupBy(F.pmod("mix", F.lit(groups)).cast("long").alias("part")).applyInPandas(pack, "part long, ids binary")
+
+
+def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 13, lex: Lexicon | None = None, group: int = GROUP) -> tuple[np.ndarray, Lexicon]:
+    """Weights and lexicon from a token_table; positions are counted through each group."""
     if rounds < stride:
         raise ValueError("with fewer rounds than the stride some positions would never be trained on")
     weights, lex = initial(frequency, seed), lex or no_words()
+    groups = max(1, math.ceil(frequency.sum() / group))
+    texts = materialize(dealt(tokens, groups, seed))
     context = tokens.sparkSession.sparkContext
     for turn in range(rounds):
         shared = context.broadcast((weights, lex.plain()))
 
         def learn(batches, turn=turn, shared=shared):
             flat, arrays = shared.value
-            own = Learner(flat, Lexicon(**arrays))
-            positions = steps = 0
-            held, waiting = [], 0
-
-            def settle():
-                nonlocal steps
-                ids, at = padded(held)
-                size = len(at)
-                at = at[turn % stride :: stride]
-                while len(at):
-                    n = BATCH if steps < SMALL else 4 * BATCH
-                    own.step(ids, at[:n])
-                    at, steps = at[n:], steps + 1
-                return size
-
+            start = Lexicon(**arrays)
             for pdf in batches:
-                for data in pdf["tokens"]:
-                    if data:
-                        held.append(np.frombuffer(data, np.int32))
-                        waiting += len(held[-1])
-                    if waiting >= HELD:
-                        positions += settle()
-                        held, waiting = [], 0
-            if held:
-                positions += settle()
-            if positions:
-                rows = list(own.parts(positions))
-                for k in range(0, len(rows), 64):
-                    yield pd.DataFrame(rows[k : k + 64], columns=["name", "block", "at", "n", "w"])
-
-        got = tokens.select("tokens").mapInPandas(learn, PARTS).groupBy("name", "block").applyInPandas(averaged, PARTS).toArrow().to_pylist()
+                for part, data in zip(pdf["part"], pdf["ids"]):
+                    own, steps = Learner(flat, start), 0
+                    ids = start.leaf_ids(np.frombuffer(data, np.int32))
+                    every = np.flatnonzero(ids != PAD)
+                    at = every[turn % stride :: stride]
+                    while len(at):
+                        n = BATCH if steps < SMALL else 4 * BATCH
+                        own.step(ids, at[:n])
+                        at, steps = at[n:], steps + 1
+                    rows = list(own.parts(int(part), len(every)))
+                    for k in range(0, len(rows), 64):
+                        yield pd.DataFrame(rows[k : k + 64], columns=["name", "block", "part", "at", "n", "w"])
+
+        got = averages(texts.mapInPandas(learn, PARTS), groups).toArrow().to_pylist()
         lex = replace(lex, vectors=lex.vectors.copy(), forks=lex.forks.copy())
         for r in got:
             rows = np.frombuffer(r["w"], np.float32)
@@ -472,6 +518,7 @@ def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride:
             else:
                 at = np.frombuffer(r["at"], np.int32)
                 getattr(lex, r["name"])[at] = rows.reshape(len(at), -1)
+    discard(texts)
     return weights, lex
 
 
@@ -515,10 +562,15 @@ def score_tokens(tokens: DataFrame, weights: np.ndarray, lex: Lexicon | None = N
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """Trains on all docs (doc_id, text) and scores all of them; texts become tokens once."""
+    """Trains on all docs (doc_id, text) and scores all of them; texts become tokens once.
+
+    Returns what score() does, rare words told apart by their hash slots. Ties in the
+    vocabulary go by word. Null, empty and blank texts teach nothing; repeated rows
+    teach and score each; other columns are not read; an empty table gives an empty result.
+    """
     counts = word_counts(docs)
     known, frequency = most_frequent(counts)
     lex = words_below(counts, known, frequency)
     discard(counts)
     tokens = materialize(token_table(docs, known, lex=lex))
-    return score_tokens(tokens, *fit(tokens, frequency, lex=lex))
+    return score_tokens(tokens, *fit(tokens, frequency, lex=lex, group=GROUP))

@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import materialize, numbered, without
+from sheafline.llm.common import discard, materialize, numbered, without
 
-#: Hex digits of a bucket's key within an epoch's order.
-DIGITS = 3
+#: Rows of all leaves for each bucket of an epoch's order, and the hex digits of a bucket's key.
+BUCKET_ROWS, DIGITS = 1 << 10, (3, 6)
 LEVELS = ("domain", "language", "source")
 
 
@@ -101,12 +101,15 @@ def mix(docs: DataFrame, total: Column, weights: dict[str, dict[str, float]], do
         *row, F.col(id_col).alias("doc_id"), name(domain).alias("domain"), name(F.col(lang_col)).alias("language"), name(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("tokens"),
     ))
     n = rows.count()
+    # The one bucket of a leaf that is ordered keeps its size as the table grows.
+    digits = next((d for d in range(*DIGITS) if n >> (4 * d) <= BUCKET_ROWS), DIGITS[1])
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), n)
     plan = materialize(budgets(leaves, total, weights, epochs), n).withColumnRenamed("tokens", "leaf_tokens")
+    discard(leaves)
     whole = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens"))).otherwise(F.lit(0))
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
-    rows = rows.join(plan, list(LEVELS)).withColumn("mix", key).withColumn("bucket", F.substring("mix", 1, DIGITS))
+    rows = rows.join(plan, list(LEVELS)).withColumn("mix", key).withColumn("bucket", F.substring("mix", 1, digits))
 
     sizes = rows.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("tokens").alias("inside"))
     upto = W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)

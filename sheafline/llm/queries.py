@@ -24,7 +24,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-#: The mix of op2 and the pipeline: half of all tokens, uneven weights by domain and language.
+#: The mix of op2 and the pipeline: uneven weights by domain and language.
 MIX_WEIGHTS = {"domain": {"web": 2, "books": 3, "forums": 1}, "language": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 
 
@@ -42,7 +42,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, train(docs.where(~held_out()).select("text", "lang")))
+    return identify(docs, train(docs.where(~held_out())))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

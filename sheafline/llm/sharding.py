@@ -1,9 +1,11 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are ranked in a seeded shuffle within their source; a row's fractional rank is
-its rank over the source's row count. Sorted by fractional rank, every stretch of
-the table has the sources in the table's own proportions, so cutting it into equal
-stretches gives shards that match the mixture.
+its rank, moved on by a seeded part of one that each source has for its own, over the
+source's row count. Sorted by fractional rank, every stretch of the table has the
+sources in the table's own proportions, so cutting it into equal stretches gives shards
+that match the mixture: of a source with n rows, a shard gets n / shards, give or take
+a row or two, and sources with fewer rows than shards are spread over all shards.
 
 Both rankings are made from counts of narrow hash buckets and positions inside a
 bucket, so no source and no shard passes through one task.
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import keyed, materialize
+from sheafline.llm.common import discard, keyed, materialize
 
 #: Rows that a bucket has about, and the most hex digits of a bucket's key.
 BUCKET_ROWS, MAX_DIGITS = 1 << 10, 5
@@ -35,6 +37,11 @@ def positions(df: DataFrame, group: list[str], bucket: str, order: list[Column],
     return df.withColumn("__in", inside).join(sizes, [*group, bucket]).withColumn(name, F.col("__before") + F.col("__in")).drop("__in", "__before")
 
 
+def offset(seed: int) -> Column:
+    """Where in (0, 1) the ranks of a stratum begin: so that small strata do not all start alike."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), "stratum")), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
+
+
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", stratum: str = "source") -> DataFrame:
     """A shard and a slot for every row of docs, under the law ``rows``: shard counts differ by one at most.
 
@@ -43,6 +50,9 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "d
     repeated with one id are ordered by checksum and size and are alike beyond that.
     Other columns are not read. An empty table gives an empty result.
 
+    The law is one of counts: equal texts are rows like any other and may fall into
+    different shards, as a shard that had to hold all copies could not keep its count.
+
     Returns doc_id, size long, text_crc32 long, law, shard int, slot long from 0
     without gaps, grown_shard int (null: this law moves rows when shards are added).
     """
@@ -59,8 +69,9 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "d
     ranked = positions(rows.withColumn("bucket", F.substring("mix", 1, digits)), ["stratum"], "bucket", ties, "rank")
     size = rows.groupBy("stratum").agg(F.count("*").alias("n"))
     cells = 16**digits
-    ranked = ranked.join(size, "stratum").withColumn("fraction", (F.col("rank") + 0.5) / F.col("n"))
+    ranked = ranked.join(size, "stratum").withColumn("fraction", (F.col("rank") + offset(seed)) / F.col("n"))
     ranked = materialize(ranked.withColumn("stretch", F.floor(F.col("fraction") * cells)).drop("bucket", "rank", "n"), total)
+    discard(rows)
     placed = positions(ranked, [], "stretch", [F.col("fraction"), F.col("stratum"), *ties], "place")
     shard = F.floor(F.col("place") * shards / max(total, 1)) if total < 1 << 49 else None
     start = F.ceil(shard * F.lit(total) / shards)

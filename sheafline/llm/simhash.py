@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import components, materialize, numbered, ship, small_batches, without
+from sheafline.llm.common import components, materialize, numbered, settled, ship, small_batches, without
 
 ship(__name__)
 
@@ -205,11 +205,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     marked = materialize(fingerprints(docs, id_col, text_col))
     n = marked.count()
-    prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), n)
-    links = near_links(prints.select("fp"), limit)
-    member = components(links).select(F.col("node").alias("fp"), "component")
-    of = prints.join(member, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    of = materialize(of, n)
+
+    def grouped() -> DataFrame:
+        prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), n)
+        links = near_links(prints.select("fp"), limit)
+        member = components(links).select(F.col("node").alias("fp"), "component")
+        return prints.join(member, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+    of = settled(docs.sparkSession, grouped, n)
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
     named = of.join(least, "component").select("fp", "component_id")
     out = marked.join(named, "fp")
@@ -217,14 +220,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row of each near-duplicate group with the smallest doc_id, all columns unchanged."""
-    return without(docs, simhash_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
-
-
-def keep_one_row(docs: DataFrame) -> DataFrame:
     """Exactly one row of each near-duplicate group, all columns unchanged: the smallest id (null last), then any one row.
 
-    Ids may be null and repeat; keep_one() keeps all rows of the smallest id.
+    Ids may be null and repeat. Null and blank texts are one group; an empty table stays empty.
     """
     rows = numbered(docs)
     groups = materialize(simhash_groups(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id"))
@@ -233,3 +231,6 @@ def keep_one_row(docs: DataFrame) -> DataFrame:
     members = materialize(members.select("component_id", F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("__row").alias("r")).alias("key")))
     first = members.groupBy("component_id").agg(F.min("key").alias("first"))
     return without(rows, members.join(first, "component_id").where("key.r <> first.r").select("key.r"), "__row").drop("__row")
+
+
+keep_one_row = keep_one

@@ -1,10 +1,12 @@
 """WARC archives with revisit resolution.
 
 Headers (not payloads) are shuffled by payload digest to find each payload's first
-record; the others become revisit records that refer to it. Archives are written by
-Spark's own text writer: a record is text, and the two line ends after it are the
-line separator, so the files are valid WARC and the commit protocol covers them.
-Reading goes by Content-Length and joins revisits to their originals.
+record; the others become revisit records that refer to it. What the headers say comes
+back to the payloads by a broadcast of bounded size; only where there are more repeated
+digests than that, payloads that may be repeated are shuffled, and no others. Archives
+are written by Spark's own text writer: a record is text, and the two line ends after
+it are the line separator, so the files are valid WARC and the commit protocol covers
+them. Reading goes by Content-Length and joins revisits to their originals.
 """
 
 from __future__ import annotations
@@ -12,31 +14,33 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import materialize, shared_dir, ship
+from sheafline.llm.common import discard, marked, materialize, ship
+from sheafline.scratch import delete, scratch_path
 
 ship(__name__)
 
 CRLF = "\r\n"
-#: Records in one archive file at most: a file is read as one row.
-RECORDS = 1000
+#: Payload bytes from which on records have archives of their own, and how many records such an archive holds at
+#: most: a file is read as one row, and has some 64 MB at most or a single record.
+ARCHIVES = ((0, 1000), (1 << 16, 64), (1 << 20, 4), (1 << 24, 1))
+#: Digests that are broadcast at most (some 20 MB).
+BROADCAST_DIGESTS = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32(hex_digest):
-    """Bare upper-case base32 of a hex digest column."""
-
-    @F.pandas_udf("string")
-    def convert(digests: pd.Series) -> pd.Series:
-        return digests.map(lambda d: base64.b32encode(bytes.fromhex(d)).decode().rstrip("="), na_action="ignore")
-
-    return convert(hex_digest)
+def base32(hex_digest: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 column in hex: five hex digits are four letters."""
+    letters = []
+    for k in range(1, 41, 5):
+        part = F.conv(F.substring(hex_digest, k, 5), 16, 10).cast("int")
+        letters += [F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.shiftright(part, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+    return F.concat(*letters)
 
 
 def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -49,8 +53,17 @@ def record_id(page_id) -> F.Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("-")), F.lit(">"))
 
 
+def with_first(rows: DataFrame, firsts: DataFrame, most: int = BROADCAST_DIGESTS) -> DataFrame:
+    """rows with `first`, looked up in firsts (digest, first), a scratch table, by digest; null where it lacks it."""
+    if firsts.count() <= most:
+        return rows.join(F.broadcast(firsts), "digest", "left")
+    looked = marked(rows, F.xxhash64("digest"), firsts.select(F.xxhash64("digest")))
+    unclear = looked.where("__maybe").drop("__maybe").join(firsts, "digest", "left")
+    return unclear.unionByName(looked.where("NOT __maybe").drop("__maybe").withColumn("first", F.lit(None).cast("long")))
+
+
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = DATE) -> None:
-    """One WARC record for each row of pages (page_id, url, html), at path.
+    """One WARC record for each row of pages (page_id, url, html), at path, in folders by payload size.
 
     Of records with equal payloads of least_bytes or more the one with the smallest
     page_id is a response, others are revisits of it. Rows repeated with that id are
@@ -59,9 +72,23 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     url is the page's URN; other columns are not read.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("digest"))
-    firsts = materialize(resolve(rows.select("page_id", "payload_bytes", "digest"), least_bytes))
-    rows = rows.join(firsts, "digest", "left")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("digest"))
+    headers = materialize(rows.select("page_id", "payload_bytes", "digest"))
+    firsts = materialize(resolve(headers, least_bytes))
+    bounds = [*(least for least, _ in ARCHIVES), None]
+    within = lambda k: (F.col("payload_bytes") >= bounds[k]) & (F.lit(True) if bounds[k + 1] is None else F.col("payload_bytes") < bounds[k + 1])
+    used = headers.agg(*(F.count(F.when(within(k), 1)) for k in range(len(ARCHIVES)))).first()
+    for k, (_, records) in enumerate(ARCHIVES):
+        if used[k] or not k:
+            out = with_first(rows.where(within(k)), firsts).select(record_of(date).alias("value"))
+            # The writer puts the separator behind every record, also the last.
+            out.write.option("lineSep", CRLF * 2).option("compression", "none").option("maxRecordsPerFile", records).text(f"{path}/{k}")
+    discard(headers)
+    discard(firsts)
+
+
+def record_of(date: str) -> Column:
+    """A record over page_id, url, html, payload_bytes, digest and first."""
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     size = F.col("payload_bytes").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(CRLF * 2))
@@ -69,14 +96,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     # A line end inside a url would start a header line of its own.
     url = F.coalesce(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-"))))
     refers = F.concat(F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), record_id(F.col("first")), F.lit(CRLF))
-    record = F.concat(
+    return F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response")), F.lit(f"{CRLF}WARC-Record-ID: "), record_id(F.col("page_id")),
         F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), url, F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), base32(F.col("digest")), F.lit(CRLF),
         F.when(again, refers).otherwise(F.lit("")),
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block,
     )
-    # The writer puts the separator behind every record, also the last.
-    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "none").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def parse(data: bytes):
@@ -96,10 +121,11 @@ def parse(data: bytes):
         yield headers, bytes(block[cut:])
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each record: page_id, url, record_type, refers_to, payload_bytes, payload_digest, html.
 
     Revisits have no payload of their own; length and digest are of the full payload.
+    Every payload is held against its digest; without payloads, html is null.
     """
 
     def number(urn):
@@ -115,11 +141,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if first else h["warc-payload-digest"].partition(":")[2]
                     if digest != h["warc-payload-digest"].partition(":")[2]:
                         raise ValueError(f"{h['warc-record-id']}: its payload does not match its digest")
-                    rows.append((number(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], number(h.get("warc-refers-to")), len(payload) if first else int(h["http-length"]), digest, payload.decode() if first else None))
+                    rows.append((number(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], number(h.get("warc-refers-to")), len(payload) if first else int(h["http-length"]), digest, payload.decode() if first and payloads else None))
                 out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "html"])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html string")
 
 
@@ -140,9 +166,10 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Returns page_id, payload_bytes long, payload_digest, record_type, refers_to.
     """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/sheafline/{uuid.uuid4().hex}.warc"
+    path = scratch_path(spark, ".warc")
     write_archives(pages, path, least_bytes)
-    records = materialize(read_archives(spark, path).drop("html", "url"))
+    records = materialize(read_archives(spark, path, payloads=False).drop("html", "url"))
+    delete(spark, path)
     whole = resolved(records)
     bytes_ = F.when(F.col("record_type") == "revisit", F.col("original_bytes")).otherwise(F.col("payload_bytes"))
     return whole.select("page_id", bytes_.alias("payload_bytes"), F.col("original_digest").alias("payload_digest"), "record_type", "refers_to")

@@ -6,7 +6,9 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from sheafline.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from sheafline.llm import common, exact_dedup
 from sheafline.llm.exact_dedup import CountingQuotientFilter, merged
 from sheafline.llm.queries import QUERIES, SQL
 from tests.compare import check
@@ -29,8 +31,9 @@ def test_crowded_runs():
 
 
 def test_merging_adds_counts():
-    p, c = merged([np.array([1, 5], np.uint64), np.array([5, 9], np.uint64)], [np.array([1, 2]), np.array([3, 1])])
-    assert list(p) == [1, 5, 9] and list(c) == [1, 5, 1]
+    of = lambda *x: np.array(x, np.uint64)
+    p, c = merged([(of(1, 5), np.array([1, 2])), (of(5, 9), np.array([3, 1])), (of(), np.zeros(0, np.int64)), (of(0, 9, 2**64 - 1), np.array([1, 1, 4]))])
+    assert list(p) == [0, 1, 5, 9, 2**64 - 1] and list(c) == [1, 1, 5, 2, 4] and p.dtype == np.uint64
 
 
 @pytest.mark.parametrize("slices", [1, 16, 64])
@@ -61,13 +64,22 @@ def test_against_brute_force_with_every_odd_case(spark):
 
 
 def test_equal_fingerprints_of_different_texts_are_told_apart(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.lit(7).cast("long"))
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a ")], "doc_id long, text string")
     assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(df).collect()) == [(1, 3), (2, 2), (3, 3)]
 
 
+def test_texts_are_looked_up_alike_however_many_keys_there_are(spark):
+    rows = spark.range(2000).withColumn("kind", F.lit("k"))
+    keys = spark.range(0, 2000, 3)
+    for most in (0, 10**6):
+        assert {r.id for r in common.among(rows, keys, 700, "id", most).collect()} == set(range(0, 2000, 3))
+        left = common.without(rows, keys.union(keys), "id", most)
+        assert left.columns == ["id", "kind"] and sorted(r.id for r in left.collect()) == [k for k in range(2000) if k % 3]
+    clear = common.marked(rows, F.col("id"), keys).where("NOT __maybe")
+    assert clear.count() > 1200 and clear.where("id % 3 = 0").isEmpty()
+
+
 @pytest.mark.parametrize("name", list(SQL))
 def test_query_equals_sql(spark, name):
     check(spark, SF, QUERIES[name], SQL[name])

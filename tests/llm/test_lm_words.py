@@ -1,4 +1,6 @@
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,8 +11,10 @@ from sheafline.llm import lm_score
 def small_lexicon():
     rng = np.random.default_rng(4)
     words = [f"w{k}" for k in range(300)]
-    kinds = rng.integers(0, 5, lm_score.SHARED)
-    lex = lm_score.lexicon(words, rng.integers(2, 90, 300), kinds * 1.0, kinds)
+    kinds = np.zeros(lm_score.SLOTS)
+    kinds[:400] = rng.integers(0, 5, 400)
+    n = kinds * rng.integers(1, 4, lm_score.SLOTS)
+    lex = lm_score.lexicon(words, rng.integers(2, 90, 300), n, kinds)
     return lex, kinds, rng
 
 
@@ -20,12 +24,17 @@ def test_probabilities_of_all_words_add_up_to_one():
     lex.vectors += rng.normal(0, 0.5, lex.vectors.shape).astype(np.float32)
     w = lm_score.unpack(lm_score.initial(rng.random(lm_score.PAD) * 9, 1))
     every = lex.table(w["vectors"])
-    total = 0.0
-    for k in range(lm_score.PAD + 1 + len(lex.words)):
-        if k != lm_score.PAD:
-            ids, at = lm_score.padded([np.array([259, 7, k, 300, 200], np.int32)])
-            times = kinds[k - lm_score.KNOWN] + 1 if lm_score.KNOWN <= k < lm_score.PAD else 1
-            total += times * np.exp(lm_score.log_probs(w, ids, at[2:3], lex, [every @ m for m in w["mix"]])[0])
+    tables = [every @ m for m in w["mix"]]
+
+    def at(k):
+        ids, spot = lm_score.padded([np.array([259, 7, k, 300, 200], np.int32)])
+        return np.exp(lm_score.log_probs(w, ids, spot[2:3], lex, tables)[0])
+
+    first = lm_score.PAD + 1 + len(lex.words)
+    total = sum(at(k) for k in [*range(lm_score.KNOWN), *range(lm_score.PAD + 1, first)])
+    for token in range(lm_score.SHARED):  # the words of a slot and one that was never seen, by the share of its token's slots
+        slots = np.arange(token, lm_score.SLOTS, lm_score.SHARED)
+        total += at(first + token) / np.exp(lex.share[token]) * (np.exp(lex.share[slots].astype(np.float64)) * (kinds[slots] + 1)).sum()
     assert total == pytest.approx(1, rel=1e-4)
 
 
@@ -86,14 +95,15 @@ def test_vocabulary_grows_and_junk_scores_below_documents(spark):
 def test_every_position_is_a_target(spark):
     texts = ["left right " * 40, "right", "left", "left left right"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    counts = lm_score.word_counts(df)
-    lex = lm_score.lexicon(["left", "right"], np.array([43, 42]), np.zeros(lm_score.SHARED), np.zeros(lm_score.SHARED))
+    none = np.zeros(lm_score.SLOTS)
+    lex = lm_score.lexicon(["left", "right"], np.array([43, 42]), none, none)
     tokens = lm_score.token_table(df, [], lex=lex)
-    held = [np.frombuffer(bytes(r.tokens), np.int32) for r in tokens.collect()]
-    ids, at = lm_score.padded(held)
-    assert counts.agg({"n": "sum"}).first()[0] == len(at) == 85
-    seen = [at[turn % lm_score.STRIDE :: lm_score.STRIDE] for turn in range(lm_score.ROUNDS)]
-    assert sorted({int(x) for part in seen for x in part}) == at.tolist()
+    rows = [np.frombuffer(bytes(r.ids), np.int32) for r in lm_score.dealt(tokens, 2, 13).collect()]
+    assert sum(int((x != lm_score.PAD).sum()) for x in rows) == lm_score.word_counts(df).agg({"n": "sum"}).first()[0] == 85
+    for ids in rows:
+        every = np.flatnonzero(ids != lm_score.PAD)
+        seen = [every[turn % lm_score.STRIDE :: lm_score.STRIDE] for turn in range(lm_score.ROUNDS)]
+        assert sorted({int(x) for part in seen for x in part}) == every.tolist()
     with pytest.raises(ValueError):
         lm_score.fit(tokens, np.ones(lm_score.PAD), rounds=2, stride=16, lex=lex)
 
@@ -106,3 +116,112 @@ def test_training_reaches_words_at_any_place(spark):
     weights = lm_score.train(df, ["even", "odd"], flat)
     base = lm_score.unpack(weights)["base"] - lm_score.unpack(lm_score.initial(flat, 13))["base"]
     assert base[1] > 0.1 and base[0] > 0.1 and (base[2:] < 0).all()
+
+
+def test_long_words_are_words_of_their_own(spark):
+    a, b = "x" * 65, "x" * 66
+    assert lm_score.words(f"A {a} {b} {a.upper()}")[0] == "a" and len(set(lm_score.words(f"{a} {b} {a.upper()}"))) == 2
+    df = spark.createDataFrame([(k, f"{a} {a} {b} y") for k in range(3)], "doc_id long, text string")
+    assert sorted(r.n for r in lm_score.word_counts(df).collect()) == [3, 3, 6]
+
+
+# ---- training and the whole query against plain loops ----
+
+def plain_probability(w, lex, ids, k):
+    """The log-probability of word k of one document, and what its gradient needs, one number at a time."""
+    leaf = [int(x) for x in lex.leaf_ids(np.asarray(ids))]
+    near = [leaf[k + d] if 0 <= k + d < len(leaf) else lm_score.PAD for d in lm_score.WINDOW]
+    vector = lambda i: w["vectors"][lex.token[i]] + (lex.vectors[i - lm_score.PAD - 1] if i > lm_score.PAD else 0)
+    h = np.tanh(sum(vector(i).astype(np.float64) @ w["mix"][j] for j, i in enumerate(near)) + w["bias"])
+    z = h @ w["out"] + w["base"]
+    token = lex.token[leaf[k]]
+    out = z[token] - np.log(np.exp(z - z.max()).sum()) - z.max()
+    one = np.append(h, 1.0)
+    for at in range(lex.start[leaf[k]], lex.start[leaf[k]] + lex.length[leaf[k]]):
+        out -= np.log1p(np.exp(-lex.side[at] * (one @ lex.forks[lex.fork[at]].astype(np.float64))))
+    if ids[k] >= len(lex.token):
+        out += lex.share[ids[k] - len(lex.token)]
+    return out
+
+
+def test_a_training_step_equals_numeric_slopes_with_adagrad():
+    lex, _, rng = small_lexicon()
+    lex.forks += rng.normal(0, 0.3, lex.forks.shape).astype(np.float32)
+    lex.vectors += rng.normal(0, 0.3, lex.vectors.shape).astype(np.float32)
+    flat = lm_score.initial(rng.random(lm_score.PAD) * 9, 1)
+    doc = rng.integers(0, lm_score.PAD + 300, 12)
+    doc[doc == lm_score.PAD] = 5
+    ids, at = lm_score.padded([doc.astype(np.int32)])
+    own = lm_score.Learner(flat, lex)
+    own.step(ids, at)
+    w = {k: v.astype(np.float64) for k, v in lm_score.unpack(flat).items()}
+    loss = lambda: -np.mean([plain_probability(w, lex, doc, k) for k in range(12)])
+    for name, spot in (("vectors", (int(lex.token[doc[3]]), 2)), ("mix", (1, 2, 3)), ("bias", (4,)), ("out", (5, int(lex.token[doc[0]]))), ("base", (int(lex.token[doc[1]]),))):
+        kept, got = w[name][spot], []
+        for h in (1e-5, -1e-5):
+            w[name][spot] = kept + h
+            got.append(loss())
+        w[name][spot] = kept
+        slope = (got[0] - got[1]) / 2e-5
+        want = kept - lm_score.RATE * slope / np.sqrt(1e-2 + slope * slope)
+        assert own.w[name][spot] == pytest.approx(want, rel=1e-3, abs=1e-4)
+
+
+def test_the_query_equals_plain_loops_however_the_table_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP", 700)
+    monkeypatch.setattr(lm_score, "AVERAGED", 2)
+    monkeypatch.setattr(lm_score, "KNOWN", 6)
+    monkeypatch.setattr(lm_score, "PAD", 6 + lm_score.SHARED)
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(60)]  # many ties
+    texts = [" ".join(vocabulary[int(60 * rng.random() ** 2)] for _ in range(rng.randrange(60))) + rng.choice(["", f" only{k}", " " + "long" * 40]) for k in range(90)]
+    rows = [(k, t, 1, "x") for k, t in enumerate(texts)] + [(200, None, 1, "x"), (201, " \n", 1, "x"), (3, texts[3], 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tokens int, part string")
+
+    # The vocabulary by plain counts.
+    counts = Counter(w for _, t, *_ in rows for w in lm_score.words(t))
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    known, least = ranked[:6], max(2, np.ceil(sum(counts.values()) ** (2 / 3) / 1300))
+    own = [w for w in ranked[6:] if counts[w] >= least]
+    n, kinds = np.zeros(lm_score.SLOTS), np.zeros(lm_score.SLOTS)
+    for w in ranked[6:]:
+        if counts[w] < least:
+            n[zlib.crc32(w.encode()) % lm_score.SLOTS] += counts[w]
+            kinds[zlib.crc32(w.encode()) % lm_score.SLOTS] += 1
+    frequency = np.array([*(counts[w] for w in known), *(sum(counts[w] for w in ranked[6:] if zlib.crc32(w.encode()) % lm_score.SHARED == k) for k in range(lm_score.SHARED))], float)
+    lex = lm_score.lexicon(own, np.array([counts[w] for w in own]), n, kinds)
+    first = lm_score.PAD + 1 + len(own)
+    number = {w: k for k, w in enumerate(known)} | {w: lm_score.PAD + 1 + k for k, w in enumerate(own)}
+    ids = lambda t: [number.get(w, first + zlib.crc32(w.encode()) % lm_score.SLOTS) for w in lm_score.words(t)]
+
+    # Groups, passes and averages in loops.
+    hashes = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id, 13) AS h").collect()}
+    groups = int(np.ceil(sum(counts.values()) / 700))
+    assert groups > 2
+    weights = lm_score.initial(frequency, 13)
+    for turn in range(lm_score.ROUNDS):
+        made = []
+        for g in range(groups):
+            docs = sorted((hashes[i], np.array(ids(t), np.int32).tobytes()) for i, t, *_ in rows if hashes[i] % groups == g and lm_score.words(t))
+            flat, at = lm_score.padded([np.frombuffer(x, np.int32) for _, x in docs])
+            flat, learner, steps, spots = lex.leaf_ids(flat), lm_score.Learner(weights, lex), 0, at[turn % 2 :: 2]
+            while len(spots):
+                size = lm_score.BATCH if steps < lm_score.SMALL else 4 * lm_score.BATCH
+                learner.step(flat, spots[:size])
+                spots, steps = spots[size:], steps + 1
+            made.append((len(at), learner))
+        weights = (sum(n * x.flat.astype(float) for n, x in made) / sum(n for n, _ in made)).astype(np.float32)
+        for name in ("vectors", "forks"):
+            table = getattr(lex, name).copy()
+            for row in range(len(table)):
+                if times := sum(x.seen[name][row] for _, x in made):
+                    table[row] = sum(x.seen[name][row] * getattr(x.lex, name)[row].astype(float) for _, x in made) / times
+            lex = lm_score.replace(lex, **{name: table})
+
+    w = {k: v.astype(np.float64) for k, v in lm_score.unpack(weights).items()}
+    want = sorted((i, len(ids(t)), sum(plain_probability(w, lex, ids(t), k) for k in range(len(ids(t))))) for i, t, *_ in rows)
+    for cut in (df.coalesce(1), df.repartition(7)):
+        got = sorted((r.doc_id, r.n_tokens, r.log_score, r.mean_log_score) for r in lm_score.pseudo_likelihood(cut).collect())
+        assert [g[:2] for g in got] == [x[:2] for x in want]
+        for g, x in zip(got, want):
+            assert g[2] == pytest.approx(x[2], rel=1e-3, abs=1e-3) and (g[3] is None if not g[1] else g[3] == pytest.approx(x[2] / x[1], rel=1e-3, abs=1e-3))

@@ -109,12 +109,36 @@ def test_archives_round_trip(spark, tmp_path):
         else:
             assert r.html is None and r.original_bytes == r.payload_bytes and r.refers_to == min(i for i in next(v for k, v in html.items() if base64.b32encode(hashlib.sha1(k.encode()).digest()).decode() == r.payload_digest) if i is not None)
     assert Counter(r.record_type for r in whole) == {"response": 7, "revisit": 3}
-    data = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("*.txt"))
+    data = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("*/*.txt"))
     assert len(re.findall(rb"(?:^|\r\n\r\n)WARC/1\.1\r\nWARC-Type", data)) == len(rows) and b"\r\nX: y" not in data
     assert warc.round_trip(df.limit(0)).collect() == []
     assert {r.record_type for r in warc.round_trip(df, least_bytes=10**9).collect()} == {"response"}
 
 
+def test_base32_matches_the_standard_library(spark):
+    texts = ["", "a", "é" * 99]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc.base32(F.sha1("t")).alias("d"))
+    assert {r.t: r.d for r in df.collect()} == {t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in texts}
+
+
+def test_archives_are_bounded_in_bytes_and_records(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "x" * size) for i, size in enumerate([10] * 2500 + [100_000] * 130 + [3_000_000] * 9 + [20_000_000] * 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    files = sorted((tmp_path / "w").glob("*/*.txt"))
+    assert Counter(f.parent.name for f in files) == {"0": 3, "1": 3, "2": 3, "3": 2} and max(f.stat().st_size for f in files) < 65 << 20
+    got = warc.read_archives(spark, f"file://{tmp_path}/w", payloads=False)
+    assert got.count() == len(rows) and got.where("html IS NOT NULL").isEmpty()
+
+
+def test_payloads_find_their_first_record_by_either_way(spark):
+    rows = spark.range(300).selectExpr("id AS page_id", "sha1(CAST(id % 200 AS STRING)) AS digest", "'h' AS html")
+    firsts = warc.materialize(warc.resolve(rows.withColumn("payload_bytes", F.lit(1))))
+    want = {k: k % 200 if k % 200 < 100 else None for k in range(300)}
+    for most in (0, 10**6):
+        assert {r.page_id: r.first for r in warc.with_first(rows, firsts, most).collect()} == want
+
+
 # ---- sharding ----
 
 def test_shards_hold_their_law(spark):
@@ -142,13 +166,25 @@ def test_shards_match_the_mixture_and_brute_force(spark):
     place = []
     for s in ("big", "mid", None):
         own = sorted((mix(i), i is not None, i or 0) for i, _, x in rows if x == s)
-        place += [((k + 0.5) / len(own), "-" if s is None else f"={s}", m, i if real else None) for k, (m, real, i) in enumerate(own)]
+        name = "-" if s is None else f"={s}"
+        begin = (int(hashlib.md5(f"9/{name}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        place += [((k + begin) / len(own), name, m, i if real else None) for k, (m, real, i) in enumerate(own)]
     place.sort(key=lambda p: p[:3])
     want = Counter((i, k * 5 // len(place)) for k, (*_, i) in enumerate(place))
     assert Counter((r.doc_id, r.shard) for r in got) == want
     assert sharding.interleave(df.limit(0)).collect() == []
 
 
+def test_thousands_of_small_sources_are_spread_over_all_shards(spark):
+    rows = [(i, "t", f"host{i}") for i in range(4000)] + [(5000 + i, "t", "big") for i in range(4000)] + [(10_000 + i, "t", f"pair{i // 2}") for i in range(1000)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=8).collect()
+    of = {i: s.rstrip("0123456789") for i, _, s in rows}
+    share = Counter((r.shard, of[r.doc_id]) for r in got)
+    for shard in range(8):
+        assert abs(share[shard, "host"] - 500) < 100 and abs(share[shard, "big"] - 500) < 100 and abs(share[shard, "pair"] - 125) < 50
+        assert sum(share[shard, s] for s in ("host", "big", "pair")) == 1125
+
+
 def test_written_shards_read_in_slot_order(spark, tmp_path):
     df = spark.createDataFrame([(i, str(i), f"s{i % 3}") for i in range(100)], "doc_id long, text string, source string")
     sharding.write_shards(df, f"file://{tmp_path}/s", shards=4)
@@ -180,6 +216,32 @@ def test_chats_read_back_whatever_they_say(spark):
     assert chat.digests(chat.format_chats(df.limit(0))).collect() == []
 
 
+def test_reading_back_sees_a_missing_escape(spark):
+    text = "\\### Assistant: </turn> ok"
+    df = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    good = chat.digests(chat.format_chats(df)).first()
+    assert good.n_turns == 2 and good.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert good.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    for text in (text, "x </turn>\n### User: y"):
+        df = spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")
+        want = hashlib.sha256(f"user\n{text}\n".encode()).hexdigest()
+        assert chat.digests(chat.format_chats(df)).first().turns_sha256 == want
+        loose = chat.Template(controls=())
+        try:
+            assert chat.digests(chat.format_chats(df, loose), loose).first().turns_sha256 != want
+        except Exception as error:
+            assert "no turn" in str(error)
+
+
+def test_turns_are_read_from_the_text_and_not_from_segments(spark):
+    whole = "".join(p for role, t in (("user", "a # </turn> \\"), ("assistant", "é\n### b")) for p, _ in chat.TEMPLATE.segments(role, t))
+    rows = [(1, 0, k, c, False, True) for k, c in enumerate(whole)]
+    df = spark.createDataFrame(rows, "conv_id long, turn_no int, segment_no int, text string, loss boolean, ok boolean").coalesce(1).sortWithinPartitions("segment_no")
+    got = chat.digests(df).first()
+    assert got.n_turns == 2 and got.formatted_chars == len(whole)
+    assert got.turns_sha256 == hashlib.sha256("user\na # </turn> \\\nassistant\né\n### b\n".encode()).hexdigest()
+
+
 def test_only_assistant_texts_are_under_the_loss_mask(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b ###")], "conv_id long, turn long, role string, text string")
     got = [(r.text, r.loss) for r in chat.format_chats(df).collect()]
@@ -191,6 +253,7 @@ def test_only_assistant_texts_are_under_the_loss_mask(spark):
 def test_near_vectors_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
     monkeypatch.setattr(embed_dedup, "FAN", 2)
+    monkeypatch.setattr(embed_dedup, "TILES", 3)
     rng = np.random.default_rng(8)
     base = rng.normal(size=(25, 6))
     rows = [(int(i), (base[i % 25] + rng.normal(size=6) * rng.choice([0, 0.1, 0.3])).tolist()) for i in rng.permutation(220)]

@@ -32,7 +32,7 @@ def test_encoding_equals_the_library(encoder, library):
     rng = random.Random(1)
     letters = "abcdeéèß ÄÖ  \n\t'sdmtll123½中文字<|endoftext|>\r "
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(3000)]
-    texts += ["", " ", "<|endoftext|>", "a<|endoftext|>  b<|endoftext|><|endoftext|>", "<|endoftext|", "x" * 5000, " " * 3000, "\U0001f600" * 40, "a" * 70 + " " + "b" * 64]
+    texts += ["", " ", "<|endoftext|>", "a<|endoftext|>  b<|endoftext|><|endoftext|>", "<|endoftext|", "x" * 5000, "x" * 5000 + "y", "x" * 70, "ab" * 40 + "é" * 300, " " * 3000, "\U0001f600" * 40, "a" * 70 + " " + "b" * 64]
     mine = encoder.encode_many(texts)
     assert mine == [as_bytes(library.encode(t, add_special_tokens=False).ids) for t in texts]
     assert [encoder.decode(c).decode() for c in mine] == [library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in texts] == texts
@@ -66,19 +66,71 @@ def test_encode_odd_cases_and_back(spark):
     assert bpe.encode(df.limit(0), VOCABULARY).collect() == []
 
 
+def ngrams(text, features=langid.FEATURES):
+    """The features of a whole text, one n-gram at a time."""
+    line, out = [ord(c) for c in f" {text.lower()} "], []
+    for k in range(len(line)):
+        mixed = 0
+        for n in (1, 2, 3):
+            if k + n > len(line):
+                break
+            mixed = (mixed ^ line[k + n - 1]) * 0x9E3779B1 & 0xFFFFFFFF
+            mixed ^= mixed >> 15
+            out.append((mixed * 0x85EBCA6B & 0xFFFFFFFF) >> 8)
+    return sorted(x % features for x in out)
+
+
 def test_ngrams_match_loops():
-    texts = ["Ab c", "", "é", "xyxy"]
-    flat, starts = langid.hashed(texts)
-    one = lambda t: sorted(langid.hashed([t])[0].tolist())
-    assert [sorted(flat[a:b].tolist()) for a, b in zip(starts, starts[1:])] == [one(t) for t in texts]
-    assert [len(one(t)) for t in texts] == [sum(len(t) + 2 - n + 1 for n in (1, 2, 3) if len(t) + 2 >= n) for t in texts]
+    texts = ["Ab c", "", "é", "xyxy", "ΑΣ", "\U0001f600 İ"]
+    lines = [langid.framed(t) for t in texts]
+    flat, starts = langid.hashed(lines, [len(x) for x in lines])
+    assert [sorted(flat[a:b].tolist()) for a, b in zip(starts, starts[1:])] == [ngrams(t) for t in texts]
+
+
+def test_ngrams_of_a_long_text_are_those_of_its_parts():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abc É\nΣß") for _ in range(600_000))
+    parts = langid.pieces(langid.framed(text))
+    got = np.concatenate([langid.hashed([x], [n])[0] for x, n in parts])
+    line = langid.framed(text)
+    assert len(list(parts)) == 2 and sorted(got.tolist()) == sorted(langid.hashed([line], [len(line)])[0].tolist())
+    short = "ab cde f" * 3
+    for chars in (1, 2, 3, 7):
+        got = np.concatenate([langid.hashed([x], [n])[0] for x, n in langid.pieces(langid.framed(short), chars)])
+        assert sorted(got.tolist()) == ngrams(short)
+
+
+def test_training_matches_loops(spark):
+    rng = random.Random(5)
+    rows = [(k if k % 7 else None, " ".join(rng.choice(["the", "le", "and", "et", "12", "É"]) for _ in range(k % 5)) or None, rng.choice(["en", "fr", None])) for k in range(200)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, n int").repartition(3)
+    want = {x: np.zeros(512) for x in ("en", "fr")}
+    for _, text, lang in rows:
+        if lang and text and any(map(str.isalpha, text)):
+            for f in ngrams(text, 512):
+                want[lang][f] += 1
+    model = langid.train(df, rows=10**6, features=512)
+    assert model.languages == ["en", "fr"]
+    for k, lang in enumerate(model.languages):
+        assert np.allclose(model.logp[:, k], np.log((want[lang] + langid.ALPHA) / (want[lang] + langid.ALPHA).sum()), atol=1e-5)
+
+
+def test_the_sample_is_bounded_and_never_empty(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a copy', CAST(id AS STRING)) AS text", "IF(id < 19000, 'en', 'fr') AS lang")
+    got = {r.lang: r["count"] for r in langid.sampled(df, rows=900).groupBy("lang").count().collect()}
+    assert 750 < got["en"] < 1050 and 750 < got["fr"] <= 1000
+    copies = langid.sampled(df, rows=900).where("text = 'a copy'").count()
+    assert 400 < copies < 800  # as many as a third of the rows are
+    assert {r.lang for r in langid.sampled(df, rows=900, languages=1).collect()} == {"en"}
+    assert langid.sampled(df.limit(0)).collect() == []
 
 
 def test_language_scores_match_loops():
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b"], np.log(rng.random((langid.FEATURES, 2))).astype(np.float32), np.log([0.5, 0.5]))
     texts = ["Hello there", "so", "äöü ß " * 500]
-    want = [[sum(float(model.logp[s, k]) for s in langid.hashed([t])[0]) + np.log(0.5) for k in (0, 1)] for t in texts]
+    want = [[sum(float(model.logp[s, k]) for s in ngrams(t)) + np.log(0.5) for k in (0, 1)] for t in texts]
     assert np.allclose(model.scores(texts), want, rtol=1e-6)
     names, sure = model.predict([None, "", "12", *texts])
     assert names[:3] == ["und"] * 3 and all(0 <= s <= 1 for s in sure)
@@ -96,7 +148,7 @@ def test_held_out_accuracy(spark):
 
 def test_language_odd_cases(spark):
     df = odd_documents(spark)
-    taught = spark.createDataFrame([("the cat", "en"), ("le chat", "fr"), (None, "de"), ("x", None), ("1", "es")], "text string, lang string")
+    taught = spark.createDataFrame([(1, "the cat", "en"), (None, "le chat", "fr"), (3, None, "de"), (4, "x", None), (5, "1", "es")], "doc_id long, text string, lang string")
     model = langid.train(taught)
     assert model.languages == ["en", "fr"]
     got = sorted((str(r.doc_id), r.lang_pred) for r in langid.identify(df, model).collect())
@@ -104,7 +156,11 @@ def test_language_odd_cases(spark):
     assert langid.identify(df.limit(0), model).collect() == []
     nothing = langid.train(taught.limit(0))
     assert {r.lang_pred for r in langid.identify(df, nothing).collect()} == {"und"}
-    assert {str(r.doc_id) for r in langid.keep_known(df, model).collect()} == {"4", "None", "5"}
+    assert sorted(str(r.doc_id) for r in langid.keep_known(df, model).collect()) == ["4", "4", "5", "None"]
+    assert sorted(str(r.doc_id) for r in langid.keep_known(df, nothing).collect()) == ["4", "4", "5", "None"]
+    even = langid.Model(["a", "b", "c"], np.zeros((langid.FEATURES, 3), np.float32), np.log([0.4, 0.3, 0.3]))
+    assert langid.keep_known(df, even).collect() == [] and langid.keep_known(df, even, least=0.3).count() == 4
+    assert langid.keep_known(df, model).columns == df.columns and langid.keep_known(df.limit(0), model).collect() == []
 
 
 def test_gradient_of_the_network():
