@@ -12,21 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.llm.bpe import encode
-from sheafline.llm.common import materialize, table
+from sheafline.llm.common import discard, settled, table
 from sheafline.llm.exact_dedup import keep_first
 from sheafline.llm.langid import held_out, keep_known, train
 from sheafline.llm.mixing import keep_mixed
 from sheafline.llm.queries import MIX_WEIGHTS, mix_domain
-from sheafline.llm.simhash import keep_one_row
+from sheafline.llm.simhash import keep_one
 
 #: The share of the near-deduplicated corpus' tokens that the mix spends.
 MIX_SHARE = 0.6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no letter, no text)."""
-    model = train(docs.where(~held_out()).select("text", "lang"))
-    return keep_known(docs, model)
+    """Drops documents without a letter, and those in which no language is likelier than all others together.
+
+    Where no row says its language, nothing can be learned and every text with a letter stays.
+    """
+    return keep_known(docs, train(docs.where(~held_out())))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group, keeps one row, of the smallest id."""
-    return keep_one_row(docs)
+    return keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, from all documents."""
+    """The stages one after the other, from all documents; a stage's scratch tables go when it ends."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023  called at once
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
