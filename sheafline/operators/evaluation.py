@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 #: Variants by what they change (fixed values); v2_no_zoom turns zoom off.
 VARIANTS = {
-    "raw": {}, "v2_full": {}, "v2_no_orient": {"orient.enabled": "false"}, "v2_no_localize": {"localize.enabled": "false"}, "v2_no_zoom": {"fit.zoom_target": "0"},
-    "v2_no_reflow": {"fit.reflow": "false"}, "v2_no_gate": {"gate.enabled": "false"}, "v2_photometric_on": {"photometric.enabled": "true"},
+    "raw": {}, "v2_full": {}, "v2_no_orient": {"orient.enabled": "false"}, "v2_no_localize": {"localize.enabled": "false"}, "v2_no_zoom": {"fit.zoom_target_text_h": "0"},
+    "v2_no_reflow": {"fit.reflow_enabled": "false"}, "v2_no_gate": {"gate.enabled": "false"}, "v2_photometric_on": {"photometric.enabled": "true"},
 }
 
 

@@ -1,14 +1,12 @@
 """Pixel operators as numpy functions for pandas UDFs.
 
-Images are BGR arrays of unsigned bytes, height x width x 3. PNG and PPM are decoded
-here; other formats need a decoder, given as a provider.
+Images are BGR arrays of unsigned bytes, height x width x 3. Decoders and encoders are
+providers; binary PPM is the stand-in for both.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -43,69 +41,9 @@ def decode_ppm(data: bytes) -> np.ndarray | None:
     return pixels.reshape(h, w, deep)[:, :, ::-1].copy() if len(pixels) == w * h * deep and w and h else None
 
 
-def decode_png(data: bytes) -> np.ndarray | None:
-    """PNG with eight bits a channel, not interlaced, or None. A palette is looked up; alpha is dropped."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        return None
-    at, body, palette, head = 8, b"", None, None
-    while at + 8 <= len(data):
-        size, kind = struct.unpack(">I4s", data[at : at + 8])
-        chunk = data[at + 8 : at + 8 + size]
-        at += 12 + size
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", chunk)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            body += chunk
-    if head is None or head[2] != 8 or head[6] or not head[0] or not head[1]:
-        return None
-    w, h, color = head[0], head[1], head[3]
-    deep = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
-    try:
-        raw = np.frombuffer(zlib.decompress(body), np.uint8)
-    except zlib.error:
-        return None
-    if deep is None or len(raw) != h * (1 + w * deep):
-        return None
-    raw = raw.reshape(h, 1 + w * deep)
-    out = np.zeros((h, w, deep), np.uint8)
-    above = np.zeros((w, deep), np.int64)
-    for y in range(h):
-        mode, line = raw[y, 0], raw[y, 1:].reshape(w, deep).astype(np.int64)
-        if mode == 1:
-            line = np.cumsum(line, axis=0) & 255
-        elif mode == 2:
-            line = (line + above) & 255
-        elif mode in (3, 4):
-            left, corner = np.zeros(deep, np.int64), np.zeros(deep, np.int64)
-            for x in range(w):
-                up = above[x]
-                if mode == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                left = line[x] = (line[x] + guess) & 255
-                corner = up
-        elif mode:
-            return None
-        out[y] = above = line
-    if color == 3:
-        return None if palette is None or out.max() >= len(palette) else palette[out[:, :, 0]][:, :, ::-1].copy()
-    return normalize(out[:, :, :1] if deep == 2 else out[:, :, :3][:, :, ::-1] if deep >= 3 else out)
-
-
-def decode(data: bytes | None, more: Callable[[bytes], np.ndarray | None] | None = None) -> np.ndarray | None:
-    """The image in a payload, or None for empty, broken and unknown ones."""
-    if not data:
-        return None
-    for read in (decode_png, decode_ppm, *([more] if more else [])):
-        image = read(bytes(data))
-        if image is not None:
-            return normalize(image)
-    return None
+def encode_ppm(image: np.ndarray) -> bytes:
+    """An image as binary PPM."""
+    return b"P6 %d %d 255\n" % (image.shape[1], image.shape[0]) + np.ascontiguousarray(image[:, :, ::-1]).tobytes()
 
 
 def exif_orientation(data: bytes | None) -> int | None:
@@ -248,44 +186,36 @@ def even_light(image: np.ndarray, fraction: float = 0.125) -> np.ndarray:
     k = max(15, int(min(image.shape[:2]) * fraction)) | 1
     g = gray(image).astype(np.float64)
 
-    def slide(x: np.ndarray, of, axis: int) -> np.ndarray:
-        padded_ = np.pad(x, [(k // 2, k // 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-        return of(np.lib.stride_tricks.sliding_window_view(padded_, k, axis=axis), axis=-1)
+    def slide(x: np.ndarray, of: np.ufunc) -> np.ndarray:
+        """of over windows of k rows: windows double in length, and two that overlap make the last one."""
+        x, size = np.pad(x, [(k // 2, k // 2), (0, 0)], mode="edge"), 1
+        while 2 * size <= k:
+            x, size = of(x[:-size], x[size:]), 2 * size
+        return of(x[: len(x) - (k - size)], x[k - size :]) if k > size else x
+
+    def means(x: np.ndarray) -> np.ndarray:
+        sums = np.cumsum(np.pad(x, [(k // 2 + 1, k // 2), (0, 0)], mode="edge"), axis=0)
+        return (sums[k:] - sums[:-k]) / k
 
-    high = slide(slide(g, np.max, 0), np.max, 1)
-    closed = slide(slide(high, np.min, 0), np.min, 1)
-    ground = slide(slide(closed, np.mean, 0), np.mean, 1)
+    high = slide(slide(g, np.maximum).T, np.maximum).T
+    closed = slide(slide(high, np.minimum).T, np.minimum).T
+    ground = means(means(closed).T).T
     return np.clip(np.rint(image * (220.0 / np.maximum(ground, 1))[:, :, None]), 0, 255).astype(np.uint8)
 
 
+#: What stats() gives (fixed values: names and roundings are read by others).
 STATS = "struct<blur_lapvar:double,brightness_mean:double,highlight_clip_frac:double,shadow_clip_frac:double,flat_frac:double,bg_peak:double>"
 
 
-def image_stats(pixels: Column, width: Column) -> Column:
-    """stats() of a gray image given as a flat list of bytes by rows."""
+def byte_stats(payloads: Column, width: int) -> Column:
+    """stats() of a payload's bytes read as a gray image of that width, the last row filled up; null for no bytes."""
 
     @F.pandas_udf(STATS)
-    def run(values: pd.Series, widths: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([stats(np.asarray(v, np.uint8).reshape(-1, int(w))) for v, w in zip(values, widths)])
-
-    return run(pixels, width)
-
-
-def image_meta(content: Column, more: Callable[[bytes], np.ndarray | None] | None = None) -> Column:
-    """struct of an encoded image's sides, quality and error: one decode for each payload."""
-
-    @F.pandas_udf(f"struct<input_long_side:int,input_short_side:int,exif_orientation:int,quality:{STATS},error:string>")
-    def run(payloads: pd.Series) -> pd.DataFrame:
+    def run(values: pd.Series) -> pd.DataFrame:
         rows = []
-        for data in payloads:
-            row = {"input_long_side": None, "input_short_side": None, "exif_orientation": exif_orientation(data), "quality": None, "error": None}
-            try:
-                image, sides = ingest(decode(data, more))
-                row |= sides | {"quality": probe(image)}
-            except ValueError as error:
-                row["error"] = str(error)
-            rows.append(row)
-        out = pd.DataFrame(rows, columns=["input_long_side", "input_short_side", "exif_orientation", "quality", "error"])
-        return out.astype({"input_long_side": "Int32", "input_short_side": "Int32", "exif_orientation": "Int32"})
-
-    return run(content)
+        for v in values:
+            g = np.frombuffer(bytes(v or b""), np.uint8)
+            rows.append(stats(np.pad(g, (0, -len(g) % width), mode="edge").reshape(-1, width)) if len(g) else {})
+        return pd.DataFrame(rows, columns=[f.split(":")[0] for f in STATS[7:-1].split(",")])
+
+    return run(payloads)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheafline.functions.numbers import normalize_total
-from sheafline.functions.text import has_loop, normalize_name, strip
+from sheafline.functions.text import has_loop, let, normalize_name, strip
 
 #: Longest cycle, repeats that make a loop of one item, and of a cycle of several.
 MAX_PERIOD, SINGLE_REPEATS, CYCLE_REPEATS = 5, 10, 3
@@ -31,21 +31,19 @@ def cyclic_runs(keys: DataFrame, group: list[str], order: str, name: str, key: s
     L matches is L div period + 1 repeats. Most repeats win, then the shorter period,
     then the earlier run. Longer cycles of one and the same key do not count.
     """
-    by, wide = [*group, "period"], W.partitionBy(*group, "period").orderBy(order)
-    rows = keys.select(*group, order, name, key, F.explode(F.sequence(F.lit(1), F.lit(max_period))).alias("period"))
-    rows = rows.withColumn("at", F.row_number().over(wide))
-    # One shuffle by group and period serves all windows below.
-    back = F.coalesce(*(F.when(F.col("period") == p, F.lag(key, p).over(wide)) for p in range(1, max_period + 1)))
-    rows = rows.withColumn("match", F.coalesce((F.col(name) != "") & (F.col(key) == back), F.lit(False)))
-    prior = F.coalesce(*(F.when(F.col("period") == p, F.lag(name, p).over(wide)) for p in range(1, max_period + 1)))
-    rows = rows.withColumn("seed", prior)
-    # Within a run of matches the first period keys are all alike just if each equals the one before it.
+    wide = W.partitionBy(*group).orderBy(order)
+    upto = wide.rowsBetween(W.unboundedPreceding, W.currentRow)
+    periods = range(1, max_period + 1)
+    # One shuffle and sort by group serves every window and the grouping below.
     step = F.coalesce((F.col(key) != F.lag(key).over(wide)).cast("int"), F.lit(1))
-    rows = rows.withColumn("steps", F.sum(step).over(wide.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    first = F.coalesce(*(F.when(F.col("period") == p, F.lag("steps", p).over(wide)) for p in range(1, max_period + 1)))
-    rows = rows.withColumn("varied", F.coalesce(F.lag("steps").over(wide) - first > 0, F.lit(False)))
-    rows = rows.withColumn("island", F.sum((~F.col("match")).cast("int")).over(wide.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    runs = rows.where("match").groupBy(*by, "island").agg(
+    rows = keys.select(*group, order, name, key, F.row_number().over(wide).alias("at"), step.alias("step"),
+                       *(F.coalesce((F.col(name) != "") & (F.col(key) == F.lag(key, p).over(wide)), F.lit(False)).alias(f"hit{p}") for p in periods))
+    rows = rows.withColumns({"steps": F.sum("step").over(upto), **{f"island{p}": F.sum((~F.col(f"hit{p}")).cast("int")).over(upto) for p in periods}})
+    # Within a run of matches the first period keys are all alike just if each equals the one before it.
+    varied = lambda p: F.coalesce(F.lag("steps").over(wide) - F.lag("steps", p).over(wide) > 0, F.lit(False))
+    each = F.array(*(F.struct(F.lit(p).alias("period"), F.col(f"hit{p}").alias("hit"), F.col(f"island{p}").alias("island"), F.lag(name, p).over(wide).alias("seed"), varied(p).alias("varied")) for p in periods))
+    rows = rows.select(*group, "at", each.alias("each")).select(*group, "at", F.explode(F.filter("each", lambda e: e["hit"])).alias("e"))
+    runs = rows.select(*group, "at", "e.*").groupBy(*group, "period", "island").agg(
         F.count("*").alias("length"), F.min("at").alias("start"), F.min_by("seed", "at").alias("sample"), F.min_by("varied", "at").alias("varied"))
     runs = runs.withColumn("repeats", F.floor(F.col("length") / F.col("period")) + 1)
     enough = F.when(F.col("period") == 1, F.col("repeats") >= single).otherwise((F.col("repeats") >= cycle) & F.col("varied"))
@@ -54,10 +52,36 @@ def cyclic_runs(keys: DataFrame, group: list[str], order: str, name: str, key: s
     return runs.select(*group, F.col("b.p").alias("period"), (-F.col("b.r")).cast("long").alias("repeats"), F.col("b.n").alias("sample"))
 
 
+def cycle_in(keys: Column, max_period: int = MAX_PERIOD, single: int = SINGLE_REPEATS, cycle: int = CYCLE_REPEATS) -> Column:
+    """What cyclic_runs() finds in one list of keys (struct with name): struct(period, repeats, sample), or null."""
+    def strongest(p: int) -> Column:
+        """struct(r, p, s, n) of the best run of period p, the earliest of equals; r is 0 where there is none."""
+        start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("at"))
+
+        def step(acc: Column, i: Column) -> Column:
+            key = F.get(keys, i)
+            hit = (i >= p) & (key["name"] != "") & (key == F.get(keys, i - p))
+            run = F.when(F.coalesce(hit, F.lit(False)), acc["run"] + 1).otherwise(F.lit(0))
+            first = i - acc["run"] - p  # where the run's first period begins
+            alike = F.forall(F.slice(keys, F.greatest(F.lit(1), first + 1), p), lambda k: k == F.get(keys, first))
+            repeats = F.floor(run / p).cast("int") + 1
+            better = (run > 0) & (repeats >= (single if p == 1 else cycle)) & (repeats > acc["best"])
+            better = better if p == 1 else better & ~alike
+            return F.struct(run.alias("run"), F.when(better, repeats).otherwise(acc["best"]).alias("best"), F.when(better, first).otherwise(acc["at"]).alias("at"))
+
+        places = F.when(F.size(keys) > p, F.sequence(F.lit(p), F.size(keys) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, step, lambda acc: F.struct((-acc["best"]).alias("r"), F.lit(p).alias("p"), acc["at"].alias("s"), F.get(keys, acc["at"])["name"].alias("n")))
+
+    return let(F.array_min(F.array(*(strongest(p) for p in range(1, max_period + 1)))), lambda b: F.when(b["r"] < 0, F.struct(b["p"].alias("period"), (-b["r"]).alias("repeats"), b["n"].alias("sample"))))
+
+
 def dedup_consecutive(items: Column, strict_reference: bool = False) -> Column:
     """Items without those that repeat the key of the item before; nameless items stay."""
-    key = lambda i: item_key(items[i]["name"], items[i]["total"], strict_reference)
-    return F.filter(items, lambda x, i: (i == 0) | (key(i)["name"] == "") | (key(i) != F.when(i > 0, key(i - 1)).otherwise(key(i))))
+    keys = F.transform(items, lambda x: item_key(x["name"], x["total"], strict_reference))
+    # Keys are made once an item, and each is held against the one before.
+    both = lambda k: F.arrays_zip(items.alias("item"), k.alias("key"))
+    kept = let(keys, lambda k: F.filter(both(k), lambda x, i: (i == 0) | (x["key"]["name"] == "") | (x["key"] != F.get(k, i - 1))))
+    return F.transform(kept, lambda x: x["item"])
 
 
 def repeated_rows(rows: DataFrame, group: list[str], order: str, key: Column, blank: Column) -> DataFrame:
@@ -90,9 +114,9 @@ def scrub(df: DataFrame, strict_reference: bool = False) -> DataFrame:
     return df.drop("__items", "__merchant_name", "__merchant_address")
 
 
-def detect(df: DataFrame, ref: str = "ref", strict_reference: bool = False) -> DataFrame:
-    """df with `loop_reason`: what cycle the items of a receipt go round in, or null."""
-    each = df.select(ref, F.posexplode("items").alias("pos", "i")).withColumn("key", item_key(F.col("i.name"), F.col("i.total"), strict_reference))
-    runs = cyclic_runs(each.select(ref, "pos", F.col("key.name").alias("name"), "key"), [ref], "pos", "name", "key")
-    reason = F.format_string("%s period=%d repeats=%d name='%s'", F.when(F.col("period") == 1, F.lit("dup_items_run")).otherwise(F.lit("cyclic_items")), F.col("period"), F.col("repeats"), F.col("sample"))
-    return df.join(runs.select(ref, reason.alias("loop_reason")), ref, "left")
+def detect(df: DataFrame, strict_reference: bool = False) -> DataFrame:
+    """df with `loop_reason`: what cycle the items of a receipt go round in, or null. Worked out inside the row."""
+    keys = F.transform("items", lambda i: item_key(i["name"], i["total"], strict_reference))
+    reason = lambda c: F.format_string("%s period=%d repeats=%d name='%s'", F.when(c["period"] == 1, F.lit("dup_items_run")).otherwise(F.lit("cyclic_items")), c["period"], c["repeats"], c["sample"])
+    df = df.withColumn("__keys", keys).withColumn("__cycle", cycle_in(F.col("__keys")))
+    return df.withColumn("loop_reason", F.when(F.col("__cycle").isNotNull(), reason(F.col("__cycle")))).drop("__keys", "__cycle")

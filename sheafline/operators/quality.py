@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions.geometry import aspect, union_box
+from sheafline.sources.config import Gate
 
 MIN_SHORT_SIDE, MIN_TEXT_HEIGHT = 1200, 16.0
 
@@ -26,11 +27,18 @@ def worst_of(metas: DataFrame, ref: str = "ref", min_short: int = MIN_SHORT_SIDE
         (F.when(F.lit(min_height > 0), F.col("h") < min_height)).alias("low_legibility"), "legibility_zoom_ratio")
 
 
-def gate(polys: Column, text_height: Column, blur: Column, reject: bool = True, digital: Column | None = None) -> Column:
-    """readable, marginal or unreadable; digital pages always are readable."""
-    bad = (polys < 3) | F.coalesce((text_height < 12) & (blur < 80), F.lit(False))
-    poor = F.coalesce(text_height < 20, F.lit(False)) | (blur < 250)
-    verdict = F.when(bad, F.lit("unreadable" if reject else "marginal")).when(poor, F.lit("marginal")).otherwise(F.lit("readable"))
+def of_image(long_side: Column, short_side: Column, text_height: Column, zoom: Column, min_short: int = MIN_SHORT_SIDE, min_height: float = MIN_TEXT_HEIGHT) -> Column:
+    """What worst_of() says of a request with one image, as a struct."""
+    return F.struct(
+        long_side.alias("input_long_side"), short_side.alias("input_short_side"), (F.lit(min_short > 0) & (short_side < min_short)).alias("low_res_input"),
+        F.bround(text_height, 1).alias("median_text_height_px"), F.when(F.lit(min_height > 0), text_height < min_height).alias("low_legibility"), zoom.alias("legibility_zoom_ratio"))
+
+
+def gate(polys: Column, text_height: Column, blur: Column, settings: Gate = Gate(), digital: Column | None = None) -> Column:
+    """readable, marginal or unreadable, by the thresholds of the gate settings; digital pages always are readable."""
+    bad = (polys < settings.unreadable_min_polys) | F.coalesce((text_height < settings.unreadable_text_h) & (blur < settings.unreadable_blur), F.lit(False))
+    poor = F.coalesce(text_height < settings.marginal_text_h, F.lit(False)) | (blur < settings.marginal_blur)
+    verdict = F.when(bad, F.lit("unreadable" if settings.reject_enabled else "marginal")).when(poor, F.lit("marginal")).otherwise(F.lit("readable"))
     return verdict if digital is None else F.when(digital, F.lit("readable")).otherwise(verdict)
 
 

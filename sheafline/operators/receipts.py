@@ -40,41 +40,36 @@ class _Lenient:
             self.at += 1
         return self.text[self.at] if self.at < len(self.text) else ""
 
-    def value(self, depth: int = 0):
-        c = self._skip(":")
-        if c in ("{", "[") and depth > 200:
-            self.at = len(self.text)
-            return None
-        if c == "{":
-            return self._object(depth)
-        if c == "[":
-            return self._list(depth)
-        if c in ("\"", "'"):
-            return self._string(c)
-        return self._bare()
-
-    def _object(self, depth: int) -> dict:
-        out: dict = {}
-        self.at += 1
-        while (c := self._skip(",")) not in ("}", ""):
-            if c == "]":
-                break
-            key = self._string(c) if c in "\"'" else str(self._bare(":"))
-            if self._skip() == ":":
+    def value(self):
+        """The value at this place. Open lists and objects stand on a stack, so any depth can be read."""
+        top: list = []
+        stack: list[tuple[dict | list, str | None]] = [(top, None)]
+        while stack:
+            holder, key = stack.pop()
+            if key is None and holder is not top:  # inside a list or object: what comes next in it
+                closing = "}" if isinstance(holder, dict) else "]"
+                c = self._skip(",")
+                if c in ("}", "]", ""):
+                    self.at += c == closing
+                    continue
+                stack.append((holder, None))
+                if isinstance(holder, dict):
+                    key = self._string(c) if c in "\"'" else str(self._bare(":"))
+                    if self._skip() == ":":
+                        self.at += 1
+                    if self._skip() in (",", "}", ""):
+                        holder[key] = None
+                        continue
+            c = self._skip(":")
+            found = {} if c == "{" else [] if c == "[" else self._string(c) if c in ("\"", "'") else self._bare()
+            if isinstance(holder, dict):
+                holder[key] = found
+            else:
+                holder.append(found)
+            if c in ("{", "["):
                 self.at += 1
-            out[key] = self.value(depth + 1) if self._skip() not in (",", "}", "") else None
-        self.at += c == "}"
-        return out
-
-    def _list(self, depth: int) -> list:
-        out: list = []
-        self.at += 1
-        while (c := self._skip(",")) not in ("]", ""):
-            if c == "}":
-                break
-            out.append(self.value(depth + 1))
-        self.at += c == "]"
-        return out
+                stack.append((found, None))
+        return top[0]
 
     def _string(self, quote: str) -> str:
         self.at += 1
@@ -114,11 +109,14 @@ class _Lenient:
 
 
 def repair(text: str | None) -> str | None:
-    """JSON text of what a broken object or list says; null where there is neither."""
+    """JSON text of what a broken object or list says; null where there is neither, or more nesting than JSON readers take."""
     start = min((k for k in ((text or "").find("{"), (text or "").find("[")) if k >= 0), default=-1)
     if start < 0:
         return None
-    out = json.dumps(_Lenient(text[start:]).value(), ensure_ascii=False)
+    try:
+        out = json.dumps(_Lenient(text[start:]).value(), ensure_ascii=False)
+    except RecursionError:
+        return None
     # Code points that no UTF-8 text can hold are replaced.
     return out.encode("utf-8", "replace").decode()
 

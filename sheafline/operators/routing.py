@@ -26,24 +26,25 @@ def engine(trigger_: Column, primary_items: Column, primary_has_data: Column, fa
     return F.when(trigger_.isNull() | salvage | items, F.lit("vllm")).otherwise(F.lit("paddle"))
 
 
-def with_fallback(primary: DataFrame, fallback: Callable[[DataFrame], DataFrame], ref: str = "ref", columns: tuple[str, ...] = ("items", "merchant_name", "merchant_address", "transaction_date", "transaction_time", "total_amount")) -> DataFrame:
-    """Results of primary, or of the fallback where it is triggered and has more.
-
-    primary: ref, columns, `trigger`, `has_data`. The fallback is called with the
-    triggered rows alone and returns ref, columns and `has_data`; what it leaves out has
-    no data. Items of looping results lose their repeats first. The primary results are
-    read twice, so they are written to a scratch table: models are called once.
+def with_fallback(primary: DataFrame, fallback: Callable[[DataFrame], DataFrame], ref: str = "ref", columns: tuple[str, ...] = ("items", "merchant_name", "merchant_address", "transaction_date", "transaction_time", "total_amount"), more: tuple[str, ...] = ()) -> DataFrame:
+    """Results of primary, or of the fallback where it is triggered and has more; one for each row of primary.
+
+    primary: ref, columns, `trigger`, `has_data`; more: columns that are passed on. The
+    fallback is called with the triggered rows alone and returns `row_id`, columns and
+    `has_data`; what it leaves out has no data. Rows are told apart by row_id, so refs may
+    be null and repeat. Items of looping results lose their repeats first. The primary
+    results are read twice, so they are written to a scratch table: models are called once.
     """
-    primary = materialize(primary)
-    calm = primary.where("trigger IS NULL").select(ref, *columns, F.lit("vllm").alias("engine"), "trigger")
+    primary = materialize(primary.withColumn("row_id", F.monotonically_increasing_id()))
+    calm = primary.where("trigger IS NULL").select(ref, *columns, *more, F.lit("vllm").alias("engine"), "trigger")
     hit = primary.where("trigger IS NOT NULL").withColumn("items", F.when(F.col("trigger").startswith("hallu:"), dedup_consecutive(F.col("items"))).otherwise(F.col("items")))
     other = fallback(hit)
-    other = other.select(F.col(ref).alias("__ref"), *(F.col(c).alias(f"f_{c}") for c in columns), F.col("has_data").alias("f_has"))
-    both = hit.join(other, hit[ref] == F.col("__ref"), "left")
+    other = other.select("row_id", *(F.col(c).alias(f"f_{c}") for c in columns), F.col("has_data").alias("f_has"))
+    both = hit.select("row_id", ref, *columns, *more, "trigger", "has_data").join(other, "row_id", "left")
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     both = both.withColumn("engine", engine(F.col("trigger"), size("items"), F.col("has_data"), size("f_items"), F.coalesce("f_has", F.lit(False))))
     chosen = [F.when(F.col("engine") == "vllm", F.col(c)).otherwise(F.col(f"f_{c}")).alias(c) for c in columns]
-    return calm.unionByName(both.select(ref, *chosen, "engine", "trigger"))
+    return calm.unionByName(both.select(ref, *chosen, *more, "engine", "trigger"))
 
 
 def status_of(error: Column) -> Column:

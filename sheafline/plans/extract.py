@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.functions.geometry import POLYS
 from sheafline.operators import loops, ocr, postprocess, receipts, routing
 from sheafline.scratch import materialize
-from sheafline.sources.providers import apply_provider
+from sheafline.shipping import ship
+from sheafline.sources.providers import apply_provider, word_counter
 from sheafline.sources.requests import decode_base64, payload_error, reference_id, split_valid
+from sheafline.streaming import detector
+
+ship(__name__)
 
 
 @dataclass(frozen=True)
@@ -24,45 +30,97 @@ class Rules:
     as_of_year: int = 2026
     strict_reference: bool = False
     template: str = field(default="Read the receipt.\n")
+    #: Tokens that a prompt of recognised lines has at most.
+    input_cap: int = ocr.INPUT_CAP
 
 
 def typed(completions: DataFrame, rules: Rules) -> DataFrame:
     """Completions (ref, raw_text, finish_reason) as clean receipts with `trigger` and `has_data`."""
     got = receipts.to_receipt(receipts.parse_ladder(completions))
     got = postprocess.postprocess(got, rules.items, rules.merchants, rules.names, strict_reference=rules.strict_reference)
-    got = loops.detect(loops.scrub(got, rules.strict_reference), "ref", rules.strict_reference)
+    got = loops.detect(loops.scrub(got, rules.strict_reference), rules.strict_reference)
     got = got.withColumn("has_data", receipts.has_data())
     return got.withColumn("trigger", routing.trigger(~F.col("is_valid"), F.col("finish_reason"), F.col("loop_reason"), F.col("has_data")))
 
 
-def extract(requests: DataFrame, complete: Callable[[], Callable], recognise: Callable[[], Callable], rules: Rules = Rules()) -> tuple[DataFrame, DataFrame]:
-    """(answers, rejected) of requests (images_url, images_base64, reference_id).
+def boxed(texts: Column, scores: Column, polys: Column) -> Column:
+    """Lines at the recogniser's boxes; one that gives none has a row of its own for each text."""
+    y = lambda k: (k * 20).cast("int")
+    rows = F.transform(F.arrays_zip(texts.alias("t"), scores.alias("s")), lambda z, k: ocr.line(z["t"], F.lit(0), y(k), F.length(z["t"]) * 10, y(k) + 18, z["s"]))
+    return F.when(polys.isNull(), rows).otherwise(ocr.zip_lines(texts, scores, polys))
+
+
+def fitted(seen: DataFrame, rules: Rules, counter: Callable[[], Callable[[str], int]]) -> DataFrame:
+    """seen with the prompt of as many of its lines as the input cap holds; null where none can be made."""
+    def cost(texts: Column) -> Column:
+        @F.pandas_udf("array<int>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            count = counter()
+            for rows in batches:
+                yield pd.Series([[count(t) for t in (r if r is not None else [])] for r in rows], dtype=object)
+
+        return run(texts)
+
+    # Counted in columns of their own: Python cannot run inside the expressions that use them.
+    parts = F.concat(F.array(F.lit(rules.template)), F.transform("lines", lambda h: ocr.text_block(F.array(h))))
+    seen = seen.withColumn("__parts", parts).withColumn("__costs", cost(F.col("__parts"))).drop("__parts")
+    seen = seen.withColumn("__fit", ocr.fit_lines(F.slice("__costs", 2, F.size("__costs") - 1), F.col("__costs")[0], rules.input_cap)).drop("__costs")
+    block = ocr.text_block(F.slice("lines", 1, F.coalesce("__fit.keep", F.lit(0))))
+    return seen.withColumn("prompt", F.when(F.col("__fit.status") == "fit", F.concat(F.lit(rules.template), block))).drop("__fit")
+
+
+def streamed(df: DataFrame, complete: Callable[[], Callable]) -> DataFrame:
+    """df with raw_text, finish_reason and provider_error of a model that may write piece by piece.
+
+    A model that returns a dict is asked once; one that returns an iterator of texts is
+    read as it writes, and stopped (hallu_abort) when what it has written loops.
+    """
+    def make() -> Callable:
+        model = complete()
+
+        def run(prompt: str) -> dict:
+            out = model(prompt)
+            return out if isinstance(out, dict) else detector.written(out)
+
+        return run
+
+    return apply_provider(df, make, ["prompt"], "raw_text string, finish_reason string")
+
+
+def extract(requests: DataFrame, complete: Callable[[], Callable], recognise: Callable[[], Callable], rules: Rules = Rules(), stages: Callable[[DataFrame], DataFrame] | None = None,
+            counter: Callable[[], Callable[[str], int]] = word_counter) -> tuple[DataFrame, DataFrame]:
+    """(answers, rejected) of requests (images_url, images_base64, reference_id): one answer for each that can be served.
 
-    complete makes a model: prompt -> raw_text, finish_reason. recognise makes a
-    recogniser: payload -> texts, scores. Requests with URLs need content fetched first
-    (providers.fetch). Only triggered requests are recognised and completed again.
+    complete makes a model: prompt -> raw_text, finish_reason, or an iterator of texts.
+    recognise makes a recogniser: payload -> texts, scores and, if it knows, polys (lists
+    of x, y). Requests with URLs need content fetched first (providers.fetch). stages:
+    image stages over rows with content, e.g. plans.stages.prepare with its providers;
+    answers then carry image_quality, stages and total_ms. Each model is asked once for
+    a request, only triggered requests are recognised and completed again, and only
+    their payloads are written down on the way. Reference ids may repeat.
     """
     good, rejected = split_valid(requests)
     good = good.withColumn("content", decode_base64(F.col("images_base64")[0]))
     good = good.withColumn("error", payload_error(F.col("content"))).withColumn("ref", reference_id(F.col("reference_id"), F.col("content")))
     rejected = rejected.unionByName(good.where("error IS NOT NULL").select(*requests.columns, F.array("error").alias("violations")))
     served = good.where("error IS NULL").select("ref", "content")
-    prompt = F.concat(F.lit(rules.template), F.base64("content"))
-    primary = apply_provider(served.withColumn("prompt", prompt), complete, ["prompt"], "raw_text string, finish_reason string").drop("prompt")
+    more = ("image_quality", "stages", "total_ms") if stages else ()
+    served = stages(served).select("ref", "content", *more) if stages else served
+    primary = streamed(served.withColumn("prompt", F.concat(F.lit(rules.template), F.base64("content"))), complete).drop("prompt")
+    primary = typed(primary, rules)
+    primary = primary.withColumn("content", F.when(F.col("trigger").isNotNull(), F.col("content")))
 
     def fallback(hit: DataFrame) -> DataFrame:
-        seen = apply_provider(hit.select("ref", "content"), recognise, ["content"], "texts array<string>, scores array<double>").drop("provider_error")
-        y = lambda k: (k * 20).cast("int")  # noqa: E731  recognisers that give no boxes: one row for each text
-        lines = F.transform(F.arrays_zip("texts", "scores"), lambda z, k: ocr.line(z["texts"], F.lit(0), y(k), F.length(z["texts"]) * 10, y(k) + 18, z["scores"]))
-        seen = seen.withColumn("lines", ocr.merge_rows(ocr.keep_lines(lines)))
-        seen = seen.withColumn("prompt", F.concat(F.lit(rules.template), ocr.text_block(F.col("lines"))))
-        again = apply_provider(seen.drop("content", "texts", "scores"), complete, ["prompt"], "raw_text string, finish_reason string")
+        seen = apply_provider(hit.select("row_id", "content"), recognise, ["content"], f"texts array<string>, scores array<double>, polys {POLYS}").drop("provider_error")
+        lines = ocr.merge_rows(ocr.keep_lines(boxed(F.col("texts"), F.col("scores"), F.col("polys"))))
+        seen = fitted(seen.select("row_id", lines.alias("lines")), rules, counter)
+        again = streamed(seen, complete)
         out = receipts.to_receipt(receipts.parse_ladder(again))
-        empty = ~F.col("is_valid") | F.col("provider_error").isNotNull() | (F.size("lines") == 0)
+        empty = ~F.col("is_valid") | F.col("provider_error").isNotNull() | F.col("prompt").isNull() | (F.size("lines") == 0)
         date, time = ocr.sweep_datetime(F.col("transaction_date"), F.col("transaction_time"), F.col("lines"), rules.as_of_year)
         out = out.withColumn("transaction_date", date).withColumn("transaction_time", time)
         out = postprocess.postprocess(receipts.fail_safe(out, empty), rules.items, rules.merchants, rules.names, strict_reference=rules.strict_reference)
-        # Joined to the triggered rows by ref; a scan here keeps its models at one call too.
-        return materialize(out.withColumn("has_data", receipts.has_data()).select("ref", *receipts.SCALARS, "items", "has_data"))
+        # Joined to the triggered rows; a scan here keeps its models at one call too.
+        return materialize(out.withColumn("has_data", receipts.has_data()).select("row_id", *receipts.SCALARS, "items", "has_data"))
 
-    return routing.with_fallback(typed(primary, rules), fallback), rejected
+    return routing.with_fallback(primary, fallback, more=more), rejected

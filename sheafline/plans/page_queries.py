@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheafline.functions import budget, geometry
-from sheafline.functions.budget import Fit
 from sheafline.operators import evaluation, images, ocr, quality
 from sheafline.plans.base import per_order, table
+from sheafline.sources.config import Fit
 from sheafline.streaming.detector import check_batch, event_counts
 
 QUERIES, SQL = {}, {}
@@ -187,7 +187,7 @@ def cardinal_decision(spark, d):
     return rows.select("l_orderkey", "l_linenumber", quality.cardinal(F.col("l_discount") * 10, label, votes).cast("int").alias("quarters"))
 
 
-FIT = Fit(zoom_target=32.0)
+FIT = Fit(zoom_target_text_h=32.0)
 
 
 @query("""
@@ -208,7 +208,7 @@ def budget_plan(spark, d):
 def budget_solve(spark, d):
     """Column layout and whole-block sides; tested against a loop."""
     w, h = (F.lit(200) + F.col("l_partkey") % 300).cast("int"), (F.lit(3000) + F.col("l_suppkey") * 37 % 5000).cast("int")
-    fit = Fit(zoom_target=32.0, reflow=True)
+    fit = Fit(zoom_target_text_h=32.0, reflow_enabled=True)
     got = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", w.alias("w"), h.alias("h"), budget.solve(w, h, F.col("l_quantity"), fit).alias("p"))
     got = got.withColumn("dims", budget.target_dims(F.col("w"), F.col("h"), F.col("p.scale"), fit))
     return got.select("l_orderkey", "l_linenumber", F.col("p.columns").alias("columns"), F.round("p.scale", 6).alias("scale"), "dims.width", "dims.height", budget.padding(F.col("dims.width"), F.col("dims.height"), fit).alias("pad_px"))
@@ -324,11 +324,18 @@ def safe_splits(spark, d):
     return rows.select("page", F.concat_ws(",", geometry.safe_splits(F.col("spans"), F.lit(300), 3)).alias("cuts"))
 
 
-@query()
+@query(r"""
+    WITH l AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT) AS v FROM documents WHERE text <> ''),
+    f AS (SELECT doc_id, list_resize(v, (len(v) + 63) // 64 * 64, v[-1]) AS v FROM l),
+    g AS (SELECT doc_id, rows, k // 64 AS y, k % 64 AS x, v FROM (SELECT doc_id, unnest(v) AS v, unnest(range(len(v))) AS k, len(v) // 64 AS rows FROM f)),
+    c AS (SELECT *, lag(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS l, lead(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS r, lag(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS u, lead(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS d FROM g),
+    p AS (SELECT doc_id, v, (CASE WHEN rows > 1 THEN coalesce(l, r) + coalesce(r, l) + coalesce(u, d) + coalesce(d, u) ELSE coalesce(l, v) + coalesce(r, v) + 2 * v END - 4 * v)::DOUBLE AS lap FROM c),
+    t AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, v, count(*) AS n FROM p GROUP BY doc_id, v) GROUP BY doc_id)
+    SELECT doc_id, format('{:.1f}', var_pop(lap))::DOUBLE AS blur_lapvar, format('{:.1f}', avg(v))::DOUBLE AS brightness_mean, format('{:.4f}', avg((v >= 250)::INT))::DOUBLE AS highlight_clip_frac, format('{:.4f}', avg((v <= 5)::INT))::DOUBLE AS shadow_clip_frac,
+           format('{:.3f}', avg((abs(lap) <= 1)::INT))::DOUBLE AS flat_frac, format('{:.3f}', any_value(most) / count(*))::DOUBLE AS bg_peak FROM p JOIN t USING (doc_id) GROUP BY doc_id""")
 def image_stats(spark, d):
-    """Statistics of small gray images made from a document's bytes; tested against loops."""
-    data = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: (F.ascii(F.substr("text", F.pmod(k * 7, F.greatest(F.length("text"), F.lit(1))) + 1, F.lit(1))) + k) % 256)
-    got = table(spark, d, "documents").select("doc_id", images.image_stats(data, F.lit(16)).alias("s"))
+    """Statistics of the gray image that all bytes of a document make, 64 to a row."""
+    got = table(spark, d, "documents").where("text <> ''").select("doc_id", images.byte_stats(F.to_binary("text", F.lit("utf-8")), 64).alias("s"))
     return got.select("doc_id", "s.*")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sheafline.shipping import ship
 
@@ -24,7 +25,7 @@ def apply_provider(df: DataFrame, make: Callable[[], Callable], inputs: list[str
     make() builds the model in the worker; the model takes a row's inputs and returns a
     dict by schema (``name type, ...``).
     """
-    names = [x.split()[0].strip("`") for x in schema.split(",")]
+    names = StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,6 +74,22 @@ def loop_since(held: str, delta: str, every: int, tail: int) -> str | None:
     return None
 
 
+def written(pieces: Iterable[str], every: int = EVERY, tail: int = TAIL) -> dict:
+    """raw_text and finish_reason of a text that comes in pieces: hallu_abort where it loops, and no more of it is read.
+
+    A text is checked each time it has grown by `every` characters, and at its end.
+    """
+    text, checked = "", 0
+    for piece in pieces:
+        text += piece
+        if len(text) - checked >= every:
+            if loop_since(text[max(0, checked - tail) : checked], text[checked:], every, tail):
+                return {"raw_text": text, "finish_reason": "hallu_abort"}
+            checked = len(text)
+    looped = len(text) > checked and loop_since(text[max(0, checked - tail) : checked], text[checked:], every, tail)
+    return {"raw_text": text, "finish_reason": "hallu_abort" if looped else "stop"}
+
+
 OUTPUT = "ref string, chars long, reason string"
 STATE = "tail string, chars long, checked long, reason string"
 

@@ -1,11 +1,14 @@
 import base64
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sheafline.operators import ocr
+from sheafline.operators import images, ocr
+from sheafline.plans import stages
 from sheafline.plans.extract import Rules, extract
-from sheafline.sources import sinks
+from sheafline.sources import config, sinks
 
 
 def model():
@@ -48,3 +51,160 @@ def test_blocks_read_back(spark):
     df = spark.createDataFrame([(lines,)], f"l array<{ocr.LINE}>")
     got = df.select(ocr.parse_block(ocr.text_block(F.col("l"))).alias("p")).first().p
     assert [tuple(x)[:5] for x in got] == [x[:5] for x in lines]
+
+
+def coded(text):
+    return [base64.b64encode(text.encode()).decode()]
+
+
+def counted(tmp_path, name, inner):
+    """A provider that leaves a file for each call."""
+    folder = tmp_path / name
+    folder.mkdir()
+    path = str(folder)
+
+    def make():
+        import os
+        import uuid
+
+        run = inner()
+
+        def one(x):
+            open(os.path.join(path, uuid.uuid4().hex), "w").close()
+            return run(x)
+
+        return one
+
+    return make, lambda: len(list(folder.iterdir()))
+
+
+def test_each_model_is_asked_once_and_refs_may_repeat(spark, tmp_path):
+    rows = [(None, coded(t), r) for t, r in [("good", "a"), ("good", "a"), ("good", "a")] + [("loop\nNgày 01/02/2024", "b")] * 3 + [("fail", None), ("good", None), ("good", None)]]
+    df = spark.createDataFrame(rows, "images_url array<string>, images_base64 array<string>, reference_id string").repartition(3)
+    complete, completions = counted(tmp_path, "complete", model)
+    recognise, recognitions = counted(tmp_path, "recognise", reader)
+    answers, rejected = extract(df, complete, recognise, Rules())
+    got = answers.collect()
+    assert len(got) == 9 and rejected.count() == 0
+    assert sorted(r.ref for r in got if r.ref in "ab") == ["a"] * 3 + ["b"] * 3
+    assert {r.engine for r in got if r.ref == "a"} == {"vllm"} and {r.engine for r in got if r.ref == "b"} == {"paddle"}
+    # Nine requests, three looping ones and a failed one: the latter has no line to make a prompt of.
+    assert recognitions() == 4 and completions() in (12, 13)
+
+
+def test_a_model_that_writes_in_pieces_is_stopped_where_it_loops(spark, tmp_path):
+    path = str(tmp_path / "n")
+
+    def writer():
+        def run(prompt):
+            if "<ocr_text>" in prompt:
+                return {"raw_text": '{"mn":"Lines","it":["Tea"]}', "finish_reason": "stop"}
+            if base64.b64decode(prompt.split("\n", 1)[1]).decode().startswith("calm"):
+                return iter(['{"mn":"Sh', 'op"}'])
+
+            def pieces():
+                yield '{"it":['
+                for k in range(10_000):
+                    with open(path, "a") as file:
+                        file.write("x")
+                    yield '{"n":"Phở","t":1},'
+
+            return pieces()
+
+        return run
+
+    df = spark.createDataFrame([(None, coded("calm"), "a"), (None, coded("loop\nline"), "b")], "images_url array<string>, images_base64 array<string>, reference_id string").coalesce(1)
+    got = {r.ref: r for r in extract(df, writer, reader, Rules())[0].collect()}
+    assert (got["a"].engine, got["a"].merchant_name, got["a"].trigger) == ("vllm", "Shop", None)
+    assert (got["b"].trigger, got["b"].merchant_name) == ("hallu:stream_abort", "Lines")
+    assert len(open(path).read()) < 100
+
+
+def test_lines_stand_at_the_recognisers_boxes_and_prompts_are_cut_to_the_cap(spark):
+    def boxes():
+        def run(content):
+            at = lambda x, y: [{"x": float(x), "y": float(y)}, {"x": float(x + 60), "y": float(y)}, {"x": float(x + 60), "y": float(y + 20)}, {"x": float(x), "y": float(y + 20)}]
+            n = int(bytes(content).decode().split()[1])
+            return {"texts": [f"t{k}" for k in range(n)], "scores": [0.9] * n, "polys": [at(10 if k else 90, 10 if k < 2 else 40 * k) for k in range(n)]}
+
+        return run
+
+    def echo():
+        def run(prompt):
+            if "<ocr_text>" not in prompt:
+                raise RuntimeError("down")
+            return {"raw_text": json.dumps({"ma": prompt.split("<ocr_text>\n")[1][:200].replace("\n", ";")}), "finish_reason": "stop"}
+
+        return run
+
+    df = spark.createDataFrame([(None, coded("x 3"), "few"), (None, coded("x 100"), "many"), (None, coded("x 0"), "none")], "images_url array<string>, images_base64 array<string>, reference_id string")
+    got = {r.ref: r for r in extract(df, echo, boxes, Rules(input_cap=60))[0].collect()}
+    # The first two lines share a row, left to right.
+    assert got["few"].merchant_address.startswith("5,5,75,15|t1 t0;")
+    assert got["many"].engine == "paddle" and got["none"].merchant_address is None
+
+
+# ---- image stages ----
+
+def page(width=400, height=300, bars=tuple((y, y + 20) for y in range(40, 270, 30)), upright=True):
+    image = np.full((height, width, 3), 255, np.uint8)
+    for a, b in bars:
+        image[a:b, 50:350] = 0
+    return image if upright else np.ascontiguousarray(np.rot90(image, 3))
+
+
+def bars():
+    """A stand-in detector: dark bars, lying or standing."""
+    def run(image):
+        g = image[:, :, 0] < 128
+        if not g.any():
+            raise RuntimeError("blank")
+        flat = g.any(axis=0).sum() >= g.any(axis=1).sum()
+        lines = g.any(axis=1) if flat else g.any(axis=0)
+        edge = np.flatnonzero(np.diff(np.r_[0, lines.astype(int), 0]))
+        across = np.flatnonzero(g.any(axis=0 if flat else 1))
+        polys = []
+        for a, b in zip(edge[::2], edge[1::2]):
+            box = [(across[0], a), (across[-1] + 1, a), (across[-1] + 1, b), (across[0], b)]
+            polys.append(box if flat else [(y, x) for x, y in box])
+        return {"polys": polys, "label": None if flat else "90"}
+
+    return run
+
+
+def test_pages_are_turned_cut_and_scaled(spark, tmp_path):
+    find, finds = counted(tmp_path, "find", bars)
+    blank = np.random.default_rng(2).integers(160, 256, (200, 200, 3), dtype=np.uint8)
+    rows = [("up", images.encode_ppm(page())), ("side", images.encode_ppm(page(upright=False))), ("junk", b"no image"), ("blank", images.encode_ppm(blank)), ("null", None)]
+    df = spark.createDataFrame([(k, bytearray(c) if c is not None else None, 7) for k, c in rows], "ref string, content binary, page int")
+    out = stages.prepare(df, lambda: images.decode_ppm, find, lambda: images.encode_ppm)
+    assert out.columns[:3] == ["ref", "content", "page"]
+    got = {r.ref: r for r in out.collect()}
+    assert finds() == 4  # three pages, and the turned one again
+    for ref in ("up", "side"):
+        r = got[ref]
+        image = images.decode_ppm(bytes(r.content))
+        h, w = image.shape[:2]
+        # The text's box with its padding, brought to the least area in whole blocks.
+        assert w % 32 == h % 32 == 0 and 1_048_576 <= w * h < 1_300_000 and w / h == pytest.approx(340 / 270, rel=0.1)
+        assert (image[:, :, 0] < 128).any(axis=0).mean() == pytest.approx(300 / 340, abs=0.03) and r.image_quality.input_long_side == 400
+        assert set(r.stages) >= {"ingest", "quality", "detect", "orient", "localize", "fit"} and all(s.error is None for s in r.stages.values())
+        assert r.total_ms >= 0 and r.image_quality.median_text_height_px == 20.0 and r.verdict in ("readable", "marginal")
+    assert got["junk"].content == b"no image" and got["junk"].stages["ingest"].error and got["junk"].image_quality is None
+    assert got["null"].content is None and got["blank"].stages["detect"].error == "RuntimeError: blank" and got["blank"].verdict == "unreadable"
+    off = config.load((), {"PP2_ORIENT_ENABLED": "0", "PP2_LOCALIZE_ENABLED": "0", "PP2_FIT_ENABLED": "0", "PP2_GATE_ENABLED": "0"})
+    plain = {r.ref: r for r in stages.prepare(df, lambda: images.decode_ppm, bars, lambda: images.encode_ppm, off).collect()}
+    assert plain["side"].content == dict(rows)["side"] and plain["blank"].verdict == "readable"
+
+
+def test_answers_carry_image_quality(spark, tmp_path):
+    data = base64.b64encode(images.encode_ppm(page())).decode()
+    df = spark.createDataFrame([(None, [data], "a"), (None, coded("junk"), "b")], "images_url array<string>, images_base64 array<string>, reference_id string")
+
+    def shop():
+        return lambda prompt: {"raw_text": '{"mn":"Shop"}', "finish_reason": "stop"}
+
+    answers, _ = extract(df, shop, reader, Rules(), stages=lambda rows: stages.prepare(rows, lambda: images.decode_ppm, bars, lambda: images.encode_ppm))
+    sinks.write_answers(answers, f"file://{tmp_path}/out")
+    got = {r.ref: json.loads(r.answer) for r in spark.read.json(f"file://{tmp_path}/out").collect()}
+    assert got["a"]["image_quality"]["input_long_side"] == 400 and got["b"]["image_quality"] is None and got["a"]["merchant_name"] == "Shop"

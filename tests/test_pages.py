@@ -1,14 +1,12 @@
 import random
-import struct
-import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sheafline.functions import budget, geometry
-from sheafline.functions.budget import Fit
 from sheafline.operators import images, ocr, quality
+from sheafline.sources.config import Fit
 
 
 def lines(spark, *rows):
@@ -61,15 +59,17 @@ def loop_dims(w, h, scale, fit):
     return tw, th
 
 
-def test_dimensions_match_a_loop():
+def test_dimensions_match_a_loop(spark):
     rng = random.Random(2)
-    for _ in range(300):
-        w, h, s = rng.randrange(8, 6000), rng.randrange(8, 6000), rng.uniform(0.1, 3)
-        assert budget.dimensions(w, h, s) == loop_dims(w, h, s, Fit())
+    rows = [(rng.randrange(8, 6000), rng.randrange(8, 6000), rng.uniform(0.1, 3)) for _ in range(2000)] + [(k * 32, k * 32, 1.0) for k in range(1, 130)] + [(3584, k, 1.0) for k in range(8, 400, 7)]
+    df = spark.createDataFrame(rows, "w int, h int, s double")
+    for fit in (Fit(), Fit(max_pixels=600_000, min_pixels=300_000, max_side=1000), Fit(max_pixels=992 * 1024, block=32), Fit(min_pixels=0)):
+        for r in df.select("w", "h", "s", budget.target_dims(F.col("w"), F.col("h"), F.col("s"), fit).alias("d")).collect():
+            assert tuple(r.d) == loop_dims(r.w, r.h, r.s, fit), r
 
 
 def test_reflow_takes_the_best_number_of_columns(spark):
-    fit = Fit(zoom_target=32.0, reflow=True)
+    fit = Fit(zoom_target_text_h=32.0, reflow_enabled=True)
     df = spark.createDataFrame([(300, 6000, 20.0), (300, 900, 20.0), (300, 6000, None), (4000, 500, 9.0)], "w int, h int, t double")
     got = [r.p for r in df.select(budget.solve(F.col("w"), F.col("h"), F.col("t"), fit).alias("p")).collect()]
     assert got[0].columns > 1 and [p.columns for p in got[1:]] == [1, 1, 1]
@@ -124,19 +124,12 @@ def test_quality_flags(spark):
     assert (b.input_long_side, b.low_res_input, b.low_legibility, b.median_text_height_px) == (None, False, True, 16.0)
 
 
-def png(image, color):
-    h, w = image.shape[:2]
-    raw = b"".join(bytes([0]) + image[y].tobytes() for y in range(h))
-    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
 def test_images_decode_and_turn():
     rng = np.random.default_rng(1)
     rgb = rng.integers(0, 256, (12, 9, 3), dtype=np.uint8)
-    assert (images.decode(png(rgb, 2)) == rgb[:, :, ::-1]).all()
-    assert (images.decode(b"P6 9 12 255\n" + rgb.tobytes()) == rgb[:, :, ::-1]).all()
-    assert images.decode(b"junk") is None and images.decode(None) is None and images.decode(b"") is None
+    assert (images.decode_ppm(b"P6 9 12 255\n" + rgb.tobytes()) == rgb[:, :, ::-1]).all()
+    assert (images.decode_ppm(images.encode_ppm(rgb)) == rgb).all()
+    assert images.decode_ppm(b"junk") is None and images.decode_ppm(b"") is None
     turned = images.rotate_quarters(rgb, 1)
     assert turned.shape == (9, 12, 3) and (turned[9 - 1 - 2, 5] == rgb[5, 2]).all()
     with pytest.raises(ValueError):
@@ -148,6 +141,15 @@ def test_images_decode_and_turn():
     assert images.even_light(np.full((40, 40, 3), 90, np.uint8)).mean() == 220
 
 
+def test_even_light_matches_windows():
+    image = np.random.default_rng(4).integers(0, 256, (40, 33, 3), dtype=np.uint8)
+    k = 15
+    windows = lambda x, of: np.array([[of(x[max(0, 0) :][np.clip(np.arange(r - k // 2, r + k // 2 + 1), 0, 39)][:, np.clip(np.arange(c - k // 2, c + k // 2 + 1), 0, 32)]) for c in range(33)] for r in range(40)])
+    ground = windows(windows(windows(images.gray(image).astype(float), np.max), np.min), np.mean)
+    want = np.clip(np.rint(image * (220.0 / np.maximum(ground, 1))[:, :, None]), 0, 255)
+    assert np.abs(images.even_light(image).astype(int) - want).max() <= 1
+
+
 def test_stats_match_loops():
     g = np.random.default_rng(3).integers(0, 256, (9, 7), dtype=np.uint8)
     at = lambda y, x: float(g[min(abs(y), 2 * 8 - abs(y)), min(abs(x), 2 * 6 - abs(x))])
@@ -155,14 +157,6 @@ def test_stats_match_loops():
     assert images.stats(g)["blur_lapvar"] == round(float(np.var(lap)), 1)
 
 
-def test_image_meta_keeps_errors_in_their_rows(spark):
-    rgb = np.zeros((10, 20, 3), np.uint8)
-    df = spark.createDataFrame([(bytearray(png(rgb, 2)),), (bytearray(b"x"),), (None,)], "content binary")
-    got = [r.m for r in df.select(images.image_meta(F.col("content")).alias("m")).collect()]
-    assert (got[0].input_long_side, got[0].input_short_side, got[0].error) == (20, 10, None)
-    assert got[1].error and got[2].error and got[1].quality is None
-
-
 def test_free_turn_keeps_polygons_on_the_canvas(spark):
     df = spark.createDataFrame([([[(0.0, 0.0), (100.0, 0.0), (100.0, 50.0), (0.0, 50.0)]],)], "p array<array<struct<x:double,y:double>>>")
     got = df.select(geometry.rotate_free(F.col("p"), F.lit(90.0), F.lit(100), F.lit(50)).alias("r")).first().r[0]

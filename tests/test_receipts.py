@@ -1,9 +1,11 @@
 import json
+import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
-from sheafline.operators import loops, postprocess, receipts, routing
+from sheafline.operators import loops, postprocess, quality, receipts, routing
 from sheafline.sources import config, patterns, providers, requests
 
 
@@ -36,7 +38,10 @@ def test_broken_json_is_repaired(spark):
     assert [r.parsed_by for r in got] == ["repair", "repair", "json", "substring", None]
     assert [r.merchant_name for r in got] == ["A", "A", "A", "A", None]
     assert [(i.name, i.total) for i in got[0]["items"]] == [(i.name, i.total) for i in got[1]["items"]] == [("B", 5.0)]
-    assert receipts.repair('{"a":' * 1000) is not None
+    deep = json.loads(receipts.repair('{"a":' * 1000 + '"end"'))
+    while "a" in deep and isinstance(deep["a"], dict):
+        deep = deep["a"]
+    assert deep == {"a": "end"}
 
 
 def keys(spark, names, totals=None, strict=False):
@@ -94,7 +99,46 @@ def test_sources(spark, tmp_path):
 
 def test_settings(tmp_path):
     (tmp_path / "a.yaml").write_text("fit: {max_side: 100}\n")
-    env = {"PP2_GATE_ENABLED": "no", "VLLM_IMAGE_MAX_PIXELS": "7", "PP2_FIT_MIN_PIXELS": "3", "VLLM_IMAGE_MIN_PIXELS": "9"}
+    env = {"PP2_GATE_ENABLED": "no", "VLLM_IMAGE_MAX_PIXELS": "7", "PP2_FIT_MIN_PIXELS": "3", "VLLM_IMAGE_MIN_PIXELS": "9", "PADDLE_DEVICE": "cpu"}
     got = config.load((str(tmp_path / "a.yaml"),), env)
-    assert (got.fit.max_side, got.gate.enabled, got.fit.max_pixels, got.fit.min_pixels) == (100, False, 7, 3)
+    assert (got.fit.max_side, got.gate.enabled, got.fit.max_pixels, got.fit.min_pixels, got.services.device) == (100, False, 7, 3, "cpu")
     assert [config.env_int("X", 5, 2, {"X": v}) for v in ("3",)] == [3] and config.env_int("X", 5, 2, {}) == 5
+    with pytest.raises(ValueError):
+        config.load((), {}) and config._changed(got, "fit", {"no_such": 1})
+
+
+def test_every_setting_loads_from_yaml_and_from_the_environment(tmp_path):
+    changed = lambda v: (not v) if isinstance(v, bool) else v + "x" if isinstance(v, str) else v + 1
+    want = {name: {k: changed(v) for k, v in values.items()} for name, values in config.DEFAULTS.items()}
+    (tmp_path / "all.yaml").write_text(json.dumps(want))
+    by_file = config.load((str(tmp_path / "all.yaml"),), {})
+    by_name = config.load((), {f"PP2_{s}_{k}".upper(): str(v) for s, values in want.items() for k, v in values.items()})
+    plain = lambda got: {name: {k: getattr(getattr(got, name), k) for k in values} for name, values in want.items()}
+    assert plain(by_file) == plain(by_name) == want
+    assert plain(config.load((), {})) == config.DEFAULTS and config.DEFAULTS["gate"]["unreadable_blur"] == 80.0
+
+
+def test_gate_thresholds_can_be_set(spark):
+    df = spark.createDataFrame([(5, 30.0, 100.0)], "n int, h double, b double")
+    of = lambda g: df.select(quality.gate(F.col("n"), F.col("h"), F.col("b"), g).alias("v")).first().v
+    assert of(config.Gate()) == "marginal" and of(config.Gate(marginal_blur=90.0)) == "readable"
+    assert of(config.Gate(unreadable_min_polys=6)) == "unreadable" and of(config.Gate(unreadable_min_polys=6, reject_enabled=False)) == "marginal"
+
+
+def test_cycles_inside_a_row_match_those_over_rows(spark):
+    rng = random.Random(12)
+    lists = [[(rng.choice(["A", "B", "C", ""]), rng.choice(["1", "2"]) if k % 3 else "1") for _ in range(rng.randrange(45))] for k in range(300)]
+    lists += [[(c, "") for c in "ABAB" * 5], [("A", "")] * 10, [(c, "") for c in "ABCABCABC"], [], None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "ref int, keys array<struct<name:string,total:string>>")
+    inside = {r.ref: r.c and tuple(r.c) for r in rows.select("ref", loops.cycle_in(F.col("keys"), single=4, cycle=2).alias("c")).collect()}
+    flat = rows.select("ref", F.posexplode("keys").alias("pos", "key")).withColumn("name", F.col("key.name"))
+    over = {r.ref: (r.period, r.repeats, r.sample) for r in loops.cyclic_runs(flat, ["ref"], "pos", "name", "key", single=4, cycle=2).collect()}
+    assert {k: v for k, v in inside.items() if v} == over and len(over) > 40
+
+
+def test_detect_looks_at_each_row_alone(spark):
+    item = "array<struct<name:string,quantity:double,price:double,total:double>>"
+    six, twelve = [("A", None, None, 1.0)] * 6, [("A", None, None, 1.0)] * 12
+    df = spark.createDataFrame([("r", six), ("r", six), (None, twelve), ("x", None)], f"ref string, items {item}")
+    got = [r.loop_reason for r in loops.detect(df).collect()]
+    assert got == [None, None, "dup_items_run period=1 repeats=12 name='a'", None]
