@@ -54,18 +54,18 @@ def clear() -> None:
     _used.clear()
 
 
-def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None, options: dict | None = None) -> DataFrame:
     """Write df once to the shared folder and return a scan of it.
 
     Cuts the lineage: a lost executor costs only the tasks it was running. rows: a bound
     of df's rows where one is known; it sets how many files are written, so that small
-    tables do not become one file for each shuffle partition.
+    tables do not become one file for each shuffle partition. options: of the writer.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = scratch_path(spark)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
