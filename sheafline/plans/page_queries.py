@@ -8,6 +8,7 @@ from sheafline.functions import budget, geometry
 from sheafline.operators import evaluation, images, ocr, quality
 from sheafline.plans.base import per_order, table
 from sheafline.sources.config import Fit
+from sheafline.sources.providers import read_images
 from sheafline.streaming.detector import check_batch, event_counts
 
 QUERIES, SQL = {}, {}
@@ -405,5 +406,5 @@ def deskew_decision(spark, d):
 @query()
 def scan_sorted(spark, d):
     """A folder's files by name and length, content unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d).select("path", "length")
+    files = read_images(spark, d, "\\.parquet$").select("path", "length")
     return files.select(F.regexp_extract("path", "([^/]+/?[^/]*)$", 1).alias("name"), "length").orderBy("name")

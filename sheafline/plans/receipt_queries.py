@@ -257,7 +257,13 @@ def blur_drop(spark, d):
     return got.select("p_partkey", normalize_for_match(F.col("p_name")).alias("norm"), (F.size("items") == 0).alias("blur"))
 
 
-@query()
+@query("""
+    SELECT o_orderkey AS ref, true AS is_valid, NULL::VARCHAR AS loop_reason,
+           '{"merchant_name":"Shop ' || any_value(o_custkey) || '","merchant_address":null,"transaction_date":"' || strftime(any_value(o_orderdate), '%Y-%m-%d') || '","transaction_time":"08:05","items":['
+           || string_agg('{"name":"part ' || l_partkey || '","quantity":' || l_quantity::BIGINT || '.0,"price":' || floor(l_extendedprice)::BIGINT || '.0,"total":' || floor(l_extendedprice)::BIGINT || '.0}',
+                         ',' ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice)
+           || '],"total_amount":' || any_value(floor(o_totalprice)::BIGINT) || '.0}' AS answer
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def receipt_answer(spark, d):
     """Whole receipts as JSON text, from raw model output to the answer."""
     got = receipts.to_receipt(receipts.parse_ladder(raw_receipts(spark, d)))

@@ -158,9 +158,12 @@ def json_pairs(spark, d):
     return got.select("o_orderkey", F.size("p").alias("pairs"), F.col("p")[0]["name"].alias("first_name"), F.col("p")[0]["total"].alias("first_total"), F.col("p")[1]["total"].alias("second_total"))
 
 
-@query()
+@query("""
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN 'substring' WHEN 3 THEN 'repair' ELSE 'json' END AS parsed_by,
+           CASE WHEN o_orderkey % 4 <> 3 THEN '{"it":[{"n":"A","t":' || o_orderkey || '}],"mn":"Shop ' || o_custkey || '","ta":5}'
+                ELSE '{"it":[{"n":' || CASE WHEN length(o_custkey::VARCHAR) > 4 THEN 'null' WHEN length(o_custkey::VARCHAR) = 4 THEN '""' ELSE '"A"' END || '}],"mn":"Shop ' || o_custkey || '"}' END AS data FROM orders""")
 def json_ladder(spark, d):
-    """Whole, fenced, prefixed and cut JSON; repaired rows have no SQL."""
+    """Whole, fenced, prefixed and cut JSON; the cut falls on the item's name."""
     body = F.concat(F.lit('{"mn":"Shop '), F.col("o_custkey"), F.lit('","it":[{"n":"A","t":'), F.col("o_orderkey"), F.lit('}],"ta":5}'))
     k = F.col("o_orderkey") % 4
     raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure: "), body, F.lit("!"))).otherwise(F.substring(body, 1, 30))

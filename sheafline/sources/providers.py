@@ -77,10 +77,10 @@ def fake_lines() -> Callable:
     return run
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) of a folder's images; a query that leaves content out does not read it."""
+def read_images(spark: SparkSession, path: str, names: str = "\\.(jpe?g|png)$") -> DataFrame:
+    """(path, length, content) of a folder's images, by a pattern of their lower-case names; what a query leaves out is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.lower("path").rlike("\\.(jpe?g|png)$")).select("path", "length", "content")
+    return files.where(F.lower("path").rlike(names)).select("path", "length", "content")
 
 
 def fetch(df: DataFrame, url: str, get: Callable[[], Callable[[str], bytes]]) -> DataFrame:
