@@ -153,6 +153,15 @@ SQL = {
                CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM d""",
+    "op8_sharding": r"""
+        WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        b AS (SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS stratum, md5('7:' || coalesce(doc_id::VARCHAR, '-')) AS mix,
+                     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS v FROM documents),
+        d AS (SELECT doc_id, stratum, mix, len(v) + 1 AS size, xor(list_reduce(list_prepend(4294967295, v), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
+        r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY mix, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n, count(*) OVER () AS total FROM d),
+        f AS (SELECT *, (rank + (('0x' || substr(md5('7/' || stratum), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296) / n AS fraction FROM r),
+        p AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, mix, doc_id NULLS FIRST, text_crc32, size) - 1 AS place FROM f)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 8 // total)::INT AS shard, place - ceil((place * 8 // total) * total / 8)::BIGINT AS slot, NULL::INT AS grown_shard FROM p""",
     "op9_chat": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
