@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheafline.functions.dates import find_date, find_time, is_expiry_line
-from sheafline.functions.text import strip
+from sheafline.functions.text import let, strip
 
 LINE = "struct<text:string,x1:int,y1:int,x2:int,y2:int,score:double,y_center:double>"
 MIN_SCORE, MAX_LINES, MAX_CHARS, ROW_OVERLAP, COLUMN_GAP, QUANT = 0.5, 400, 500, 0.85, 5.0, 2
@@ -137,16 +137,18 @@ def output_budget(input_tokens: Column, model_len: int, margin: int, most: int)
     return F.least(F.lit(model_len) - input_tokens - margin, F.lit(most))
 
 
-def sweep_datetime(date: Column, time: Column, lines: Column, as_of_year: int) -> tuple[Column, Column]:
-    """Date and time where they are missing, each from the lowest line that shows one.
+def sweep_datetime(date: Column, time: Column, lines: Column, as_of_year: int) -> Column:
+    """struct(date, time): as given, or where missing from the lowest line that shows one.
 
     Lines about a product's shelf life do not count. Lines of one height keep their order.
+    Lines are put in order once, and none is parsed once a value is known.
     """
+    missing = lambda c: F.nullif(c, F.lit(""))
     usable = F.filter(lines, lambda h: (strip(F.coalesce(h["text"], F.lit(""))) != "") & ~is_expiry_line(h["text"]))
     tagged = F.array_sort(F.transform(usable, lambda h, k: F.struct((-(h["y1"] + h["y2"]) / 2).alias("y"), k.alias("k"), h["text"].alias("t"))))
-    first = lambda find: F.get(F.filter(F.transform(tagged, lambda x: find(x["t"])), lambda v: v.isNotNull()), F.lit(0))
-    fill = lambda c, find: F.coalesce(F.nullif(c, F.lit("")), first(find))
-    return fill(date, lambda t: find_date(t, as_of_year)), fill(time, find_time)
+    tagged = F.when(missing(date).isNull() | missing(time).isNull(), tagged)
+    fill = lambda c, found, rows: F.aggregate(F.coalesce(rows, F.array().cast("array<struct<y:double,k:int,t:string>>")), missing(c), lambda a, x: F.coalesce(a, found(x["t"])))
+    return let(tagged, lambda rows: F.struct(fill(date, lambda t: find_date(t, as_of_year), rows).alias("date"), fill(time, find_time, rows).alias("time")))
 
 
 def parse_block(block: Column, quant: int = QUANT) -> Column:

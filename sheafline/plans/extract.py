@@ -117,8 +117,8 @@ def extract(requests: DataFrame, complete: Callable[[], Callable], recognise: Ca
         again = streamed(seen, complete)
         out = receipts.to_receipt(receipts.parse_ladder(again))
         empty = ~F.col("is_valid") | F.col("provider_error").isNotNull() | F.col("prompt").isNull() | (F.size("lines") == 0)
-        date, time = ocr.sweep_datetime(F.col("transaction_date"), F.col("transaction_time"), F.col("lines"), rules.as_of_year)
-        out = out.withColumn("transaction_date", date).withColumn("transaction_time", time)
+        out = out.withColumn("__swept", ocr.sweep_datetime(F.col("transaction_date"), F.col("transaction_time"), F.col("lines"), rules.as_of_year))
+        out = out.withColumn("transaction_date", F.col("__swept.date")).withColumn("transaction_time", F.col("__swept.time"))
         out = postprocess.postprocess(receipts.fail_safe(out, empty), rules.items, rules.merchants, rules.names, strict_reference=rules.strict_reference)
         # Joined to the triggered rows; a scan here keeps its models at one call too.
         return materialize(out.withColumn("has_data", receipts.has_data()).select("row_id", *receipts.SCALARS, "items", "has_data"))

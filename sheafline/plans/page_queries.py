@@ -119,8 +119,8 @@ def dt_sweep(spark, d):
     y = (F.col("l_linenumber") * 10).cast("int")
     rows = table(spark, d, "lineitem").select("l_orderkey", F.struct((-y).alias("y"), F.col("l_partkey").alias("p"), t.alias("t"), ocr.line(text, F.lit(0), y, F.lit(9), y, F.lit(1.0)).alias("line")).alias("r"))
     rows = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("rows")).select(F.col("l_orderkey").alias("page"), F.transform("rows", lambda r: r["line"]).alias("lines"))
-    date, time = ocr.sweep_datetime(F.lit(""), F.when(F.col("page") % 2 == 0, F.lit("12:00")), F.col("lines"), 2026)
-    return rows.select("page", date.alias("date"), time.alias("time"))
+    found = ocr.sweep_datetime(F.lit(""), F.when(F.col("page") % 2 == 0, F.lit("12:00")), F.col("lines"), 2026)
+    return rows.select("page", found.alias("found")).select("page", "found.date", "found.time")
 
 
 @query("""
