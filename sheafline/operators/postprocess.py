@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.functions.text import normalize_for_match, strip, strip_cjk, strip_trailing_punct
+from sheafline.functions.text import let, normalize_for_match, strip, strip_cjk, strip_trailing_punct
 from sheafline.shipping import ship
 
 ship(__name__)
@@ -20,6 +20,8 @@ ship(__name__)
 #: The item name that models write for rows they cannot read (fixed value).
 SENTINEL = "item blur"
 MIN_RATIO = 0.9
+#: Characters by which names and patterns meet, at most.
+GRAM = 6
 
 
 def _with_name(item: Column, name: Column) -> Column:
@@ -38,10 +40,8 @@ def drop_sentinel(df: DataFrame) -> DataFrame:
 
 def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
     """Whether a normalised text contains any of normalised patterns; a blank one has none."""
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | text.contains(p)
-    return (text != "") & hit
+    listed = F.array(*map(F.lit, patterns))
+    return let(text, lambda t: (t != "") & F.exists(listed, lambda p: t.contains(p)))
 
 
 def deny_items(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
@@ -54,20 +54,31 @@ def deny_merchant(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return df.withColumn("merchant_name", F.when(~F.coalesce(hit, F.lit(False)), F.col("merchant_name"))) if patterns else df
 
 
-def deny_rows(rows: DataFrame, name: str, patterns: DataFrame) -> DataFrame:
-    """Exploded form of deny_items: rows whose name contains no `pattern_norm` of patterns.
+def containing(names: DataFrame, patterns: DataFrame, pattern: str) -> DataFrame:
+    """names (column __norm) with the rows of patterns whose `pattern` is part of the name.
 
-    patterns is a user's dimension table; Spark broadcasts it if it is small enough.
+    An equi-join: both sides meet at the first characters of the pattern, which a name has
+    once for each place; as many characters as the shortest pattern has, GRAM at most.
+    Blank patterns are part of nothing, nor is any pattern of a blank name.
     """
+    patterns = patterns.where(F.length(pattern) > 0)
+    size = min(patterns.agg(F.min(F.length(pattern))).first()[0] or 1, GRAM)
+    places = F.when(F.length("__norm") >= size, F.sequence(F.lit(1), F.length("__norm") - (size - 1)))
+    grams = names.withColumn("__gram", F.explode(F.array_distinct(F.transform(places, lambda k: F.substr("__norm", k, F.lit(size))))))
+    return grams.join(patterns.withColumn("__gram", F.substring(pattern, 1, size)), "__gram").where(F.col("__norm").contains(F.col(pattern))).drop("__gram")
+
+
+def deny_rows(rows: DataFrame, name: str, patterns: DataFrame) -> DataFrame:
+    """Exploded form of deny_items: rows whose name contains no `pattern_norm` of patterns."""
     keyed = rows.withColumn("__norm", normalize_for_match(F.col(name)))
-    hit = (F.col("__norm") != "") & F.col("__norm").contains(F.col("pattern_norm"))
-    return keyed.join(patterns.select("pattern_norm"), hit, "left_anti").drop("__norm")
+    hits = containing(keyed.select("__norm").distinct(), patterns.select("pattern_norm"), "pattern_norm").select("__norm").distinct()
+    return keyed.join(hits, "__norm", "left_anti").select(rows.columns)
 
 
 def canonical_by_substring(names: DataFrame, name: str, canonical: DataFrame) -> DataFrame:
     """names with `canonical`: of the first entry (by ord) whose alias_norm the name contains, or null."""
     distinct = names.select(name).distinct().withColumn("__norm", normalize_for_match(F.col(name)))
-    hits = distinct.join(canonical, F.col("__norm").contains(F.col("alias_norm")), "inner").groupBy(name).agg(F.min_by("canonical", "ord").alias("canonical"))
+    hits = containing(distinct, canonical.select("ord", "alias_norm", "canonical"), "alias_norm").groupBy(name).agg(F.min_by("canonical", "ord").alias("canonical"))
     return names.join(hits, name, "left")
 
 

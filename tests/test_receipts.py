@@ -142,3 +142,19 @@ def test_detect_looks_at_each_row_alone(spark):
     df = spark.createDataFrame([("r", six), ("r", six), (None, twelve), ("x", None)], f"ref string, items {item}")
     got = [r.loop_reason for r in loops.detect(df).collect()]
     assert got == [None, None, "dup_items_run period=1 repeats=12 name='a'", None]
+
+
+def test_patterns_meet_names_without_a_nested_loop(spark):
+    rng = random.Random(15)
+    text = lambda: "".join(rng.choice("aábB c") for _ in range(rng.randrange(9)))
+    names, patterns = [text() for _ in range(80)] + [None, "  "], [(k, text().strip().lower().replace("á", "a")) for k in range(12)] + [(90, "")]
+    patterns = [(k, " ".join(p.split())) for k, p in patterns]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, name string")
+    norm = lambda n: " ".join((n or "").replace("á", "a").lower().split())
+    listed = spark.createDataFrame([(k, p, p.upper()) for k, p in patterns], "ord int, alias_norm string, canonical string")
+    got = {r.k: r.canonical for r in postprocess.canonical_by_substring(rows, "name", listed).collect()}
+    assert got == {k: next((p.upper() for _, p in patterns if p and norm(n) and p in norm(n)), None) for k, n in enumerate(names) if n is not None} | {80: None}
+    kept = postprocess.deny_rows(rows, "name", listed.select(F.col("alias_norm").alias("pattern_norm")))
+    assert kept.columns == ["k", "name"] and sorted(r.k for r in kept.collect()) == [k for k, n in enumerate(names) if not any(p and p in norm(n) for _, p in patterns)]
+    plan = postprocess.canonical_by_substring(rows, "name", listed)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
