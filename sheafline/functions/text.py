@@ -22,6 +22,8 @@ CJK_BLOCKS = "\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}
 CJK_STRICT = CJK_BLOCKS.replace("\\x{F900}-\\x{FAFF}", "\\x{8C48}-\\x{FAFF}")
 #: Characters that JSON syntax and its literals are made of (fixed value).
 STRUCTURE = '{}[]":,nulltrefas \n'
+#: An item's name and total in JSON that is still being written (fixed value).
+ITEM_PAIR = r'"(?:n|name)"\s*:\s*"([^"\n]{1,100})"[^}]{0,200}?"t"\s*:\s*(-?\d+(?:\.\d+)?|null)'
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -144,6 +146,6 @@ def json_substring(text: Column) -> Column:
 
 def json_item_pairs(text: Column) -> Column:
     """(name, total) of every item that partial JSON holds up to its total."""
-    pattern = F.lit('"(?:n|name)"\\s*:\\s*"([^"\\n]{1,100})"[^}]{0,200}?"t"\\s*:\\s*(-?\\d+(?:\\.\\d+)?|null)')
+    pattern = F.lit(ITEM_PAIR)
     names, totals = (F.regexp_extract_all(text, pattern, F.lit(k)) for k in (1, 2))
     return F.transform(F.arrays_zip(names.alias("name"), totals.alias("total")), lambda x: F.struct(x["name"].alias("name"), x["total"].alias("total")))

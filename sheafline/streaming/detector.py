@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sheafline.functions.text import STRUCTURE
+from sheafline.functions.text import ITEM_PAIR, STRUCTURE
 from sheafline.operators.loops import CYCLE_REPEATS, MAX_PERIOD, SINGLE_REPEATS
 from sheafline.shipping import ship
 
@@ -19,9 +19,10 @@ ship(__name__)
 
 #: Characters between checks, and the characters of a text that are kept at least.
 EVERY, TAIL = 500, 20_000
+#: What a run of one character, a repeated n-gram and an item with its total look like (fixed values).
 RUN = re.compile(r"([^\d\s])\1{5,}")
 NGRAMS = [re.compile(rf"(.{{{n}}})\1{{3,}}") for n in (2, 3, 4)]
-PAIR = re.compile(r'"(?:n|name)"\s*:\s*"([^"\n]{1,100})"[^}]{0,200}?"t"\s*:\s*(-?\d+(?:\.\d+)?|null)')
+PAIR = re.compile(ITEM_PAIR)
 
 
 def name_key(name: str) -> str:
@@ -97,11 +98,12 @@ STATE = "tail string, chars long, checked long, reason string"
 def check_stream(deltas: DataFrame, every: int = EVERY, tail: int = TAIL, timeout_ms: int | None = 300_000) -> DataFrame:
     """(ref, chars, reason) when a reference's text first loops or when it is abandoned (reason timeout).
 
-    deltas: a stream of (ref, seq, delta). A text is checked each time it has grown by
-    `every` characters since the last check; of texts only the last `tail` characters are
-    kept, so state is bounded. Nothing more is said of a reference that looped. With
-    timeout_ms None nothing is abandoned, and state stays; with one, a query over a
-    finished source runs on until the last timeout.
+    deltas: a stream of (ref, seq, delta) and, where the end of a text is known,
+    finish_reason. A text is checked each time it has grown by `every` characters since
+    the last check, and when it ends; of texts only the last `tail` characters are kept,
+    so state is bounded, and it goes when a text ends. Nothing more is said of a reference
+    that looped. With timeout_ms None nothing is abandoned, and the state of texts without
+    an end stays; with one, a query over a finished source runs on until the last timeout.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -109,7 +111,7 @@ def check_stream(deltas: DataFrame, every: int = EVERY, tail: int = TAIL, timeou
         if state.hasTimedOut:
             state.remove()
             if reason is None:
-                yield pd.DataFrame([(key[0], chars, "timeout")], columns=["ref", "chars", "reason"])
+                yield pd.DataFrame([(key[0], chars, (chars > checked and loop_in(held)) or "timeout")], columns=["ref", "chars", "reason"])
             return
         said = reason
         parts = pd.concat(list(batches)).sort_values("seq", kind="stable")
@@ -120,9 +122,14 @@ def check_stream(deltas: DataFrame, every: int = EVERY, tail: int = TAIL, timeou
             if chars - checked >= every:
                 checked, reason = chars, loop_since(held, delta, every, max(tail, every))
             held = (held + delta)[-max(tail, every) :]
-        state.update(("" if reason else held, chars, checked, reason))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
+        if "finish_reason" in parts and parts["finish_reason"].notna().any():
+            reason = reason or (loop_in(held) if chars > checked else None)
+            if state.exists:
+                state.remove()
+        else:
+            state.update(("" if reason else held, chars, checked, reason))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         if reason is not None and said is None:
             yield pd.DataFrame([(key[0], chars, reason)], columns=["ref", "chars", "reason"])
 
@@ -130,17 +137,24 @@ def check_stream(deltas: DataFrame, every: int = EVERY, tail: int = TAIL, timeou
 
 
 def check_batch(deltas: DataFrame, every: int = EVERY, tail: int = TAIL) -> DataFrame:
-    """The same over a table of deltas: (ref, chars, reason) of each reference that loops.
+    """The same over a table of whole texts' deltas: (ref, chars, reason) of each reference that loops.
 
     Rows of a reference are streamed in order; memory holds one tail.
     """
 
     def run(batches):
         now, held, chars, checked, reason = object(), "", 0, 0, None
+
+        def ended() -> list:
+            """What the end of a text shows that was not yet checked."""
+            last = loop_in(held) if reason is None and chars > checked else None
+            return [(now, chars, last)] if last else []
+
         for pdf in batches:
             out = []
             for ref, delta in zip(pdf["ref"], pdf["delta"]):
                 if ref != now:
+                    out += ended()
                     now, held, chars, checked, reason = ref, "", 0, 0, None
                 if reason is None and delta:
                     chars += len(delta)
@@ -150,6 +164,7 @@ def check_batch(deltas: DataFrame, every: int = EVERY, tail: int = TAIL) -> Data
                             out.append((ref, chars, reason))
                     held = (held + delta)[-max(tail, every) :]
             yield pd.DataFrame(out, columns=["ref", "chars", "reason"])
+        yield pd.DataFrame(ended(), columns=["ref", "chars", "reason"])
 
     return deltas.repartition("ref").sortWithinPartitions("ref", "seq").mapInPandas(run, OUTPUT)
 

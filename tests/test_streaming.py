@@ -34,15 +34,16 @@ def test_signs_of_a_loop():
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(r, k, ("x" * 3 + str(k) + " ") * 20 if r != "loop" else "Ab1 " * 30) for r in ("calm", "loop", "short") for k in range(12 if r != "short" else 1)]
+    rows = [(r, k, ("x" * 3 + str(k) + " ") * 20 if r != "loop" else "Ab1 " * 30, None) for r in ("calm", "loop", "short") for k in range(12 if r != "short" else 1)]
+    rows += [("brief", 0, "ok ababababab", "stop"), ("late", 0, "calm words " * 48, None), ("late", 1, "zzzzzzzz", "stop"), ("none", 0, None, "stop")]
     src = str(tmp_path / "in")
-    df = spark.createDataFrame(rows, "ref string, seq long, delta string")
+    df = spark.createDataFrame(rows, "ref string, seq long, delta string, finish_reason string")
     df.coalesce(1).write.parquet(src)
     batch = sorted(map(tuple, detector.check_batch(df).collect()))
     stream = spark.readStream.schema(df.schema).parquet(src)
     q = detector.check_stream(stream, timeout_ms=None).writeStream.format("memory").queryName("loops").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
-    assert sorted(map(tuple, spark.table("loops").collect())) == batch and any(r[0] == "loop" for r in batch)
+    assert sorted(map(tuple, spark.table("loops").collect())) == batch and {r[0] for r in batch} == {"brief", "late", "loop"}
 
 
 def test_a_loop_at_the_start_of_a_very_long_turn_is_seen(spark):
