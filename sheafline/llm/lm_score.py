@@ -38,20 +38,20 @@ from sheafline.llm.common import discard, materialize, ship, small_batches
 ship(__name__)
 
 #: Words with a token of their own, tokens that other words share by hash, and characters from which on a word goes by its digest.
-KNOWN, SHARED, LONGEST = 192, 64, 64
+KNOWN, SHARED, LONGEST = 64, 64, 64
 #: Hash slots of rare words: with the vocabulary, the bound of what is broadcast. A multiple of SHARED.
 SLOTS = 1 << 21
 #: A word is a leaf of its own if it occurs LEAST times and (words in the corpus) ** (2 / 3) / PER_CUBE times, so that
 #: there are PER_CUBE * (words in the corpus) ** (1 / 3) such words at most.
 LEAST, PER_CUBE = 2, 1300
-#: Offsets of the window, width of a token's vector, hidden width.
+#: Offsets of the window, width of a word's vector, hidden width: the last hidden value is the constant one.
 WINDOW, WIDTH, HIDDEN = (-2, -1, 1, 2), 16, 16
 #: Passes; each trains on every STRIDE-th position of all documents, from an offset of its own: together on all.
 ROUNDS, STRIDE, BATCH, RATE = 2, 2, 256, 0.1
-#: Positions of a group, about, and groups that are averaged in one go.
-GROUP, AVERAGED = 1 << 21, 64
-#: Batches of BATCH positions before batches are four times as large, and rows of own vectors that are averaged in one go.
-SMALL, BLOCK = 64, 1024
+#: Positions of a group, about, positions held before they are trained on, and groups that are averaged in one go.
+GROUP, HELD, AVERAGED = 1 << 23, 1 << 16, 64
+#: Batches of BATCH positions before batches are LARGER times as large, and rows of own vectors that are averaged in one go.
+SMALL, LARGER, BLOCK = 64, 8, 1024
 #: Words remembered by a worker, distinct words counted before they are sent on, positions scored in one go, rows in a frame, positions held at once.
 WORDS, COUNTED, CHUNK, ROWS_OUT, POSITIONS = 400_000, 400_000, 1024, 5000, 200_000
 PAD = KNOWN + SHARED
@@ -92,7 +92,7 @@ def words(text: str | None) -> list[str]:
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
-    return {"vectors": (PAD + 1, WIDTH), "mix": (len(WINDOW), WIDTH, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, PAD), "base": (PAD,)}
+    return {"mix": (len(WINDOW), WIDTH, HIDDEN), "bias": (HIDDEN,), "last": (HIDDEN, PAD)}
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -105,11 +105,15 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def initial(frequency: np.ndarray, seed: int) -> np.ndarray:
-    """Small seeded weights; the output starts from the tokens' frequencies in the corpus."""
+    """Small seeded weights; the output starts from the tokens' frequencies in the corpus.
+
+    Nothing is mixed into the last hidden value, which is one: its slope there is zero.
+    """
     rng = np.random.default_rng(seed)
     share = (frequency + 1.0) / (frequency + 1.0).sum()
-    parts = [np.log(share) if name == "base" else np.zeros(shape) if name == "bias" else rng.normal(0, 0.1 if name == "out" else 0.3, shape) for name, shape in shapes().items()]
-    return np.concatenate([np.ravel(p) for p in parts]).astype(np.float32)
+    parts = {"mix": rng.normal(0, 0.3, shapes()["mix"]), "bias": np.zeros(HIDDEN), "last": np.vstack([rng.normal(0, 0.1, (HIDDEN - 1, PAD)), np.log(share)])}
+    parts["mix"][:, :, -1] = 0
+    return np.concatenate([np.ravel(parts[name]) for name in shapes()]).astype(np.float32)
 
 
 @dataclass
@@ -119,8 +123,7 @@ class Lexicon:
     By id without slots: `token`, and where the path to the id's leaf stands in `fork`
     and `side` (1 or -1): from `start`, `length` entries. A token that is shared is as an
     id the leaf of its rarer words; `share` (log) is what a word of each slot has of that
-    leaf. Trained: `vectors` of words (added to their token's) and `forks`, whose last
-    column is a bias.
+    leaf. Trained: `vectors` of all ids as context, and `forks`, whose last column is a bias.
     """
 
     words: list[str]
@@ -149,17 +152,12 @@ class Lexicon:
         out[rare] = self.share[slot[rare]]
         return out
 
-    def table(self, vectors: np.ndarray) -> np.ndarray:
-        """The vector of every id as context."""
-        out = vectors[self.token]
-        out[PAD + 1 :] += self.vectors
-        return out
-
     def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row in ids, fork and side of every step to the leaves of ids."""
-        length = self.length[ids]
-        at = np.arange(length.sum()) + np.repeat(self.start[ids] - (np.cumsum(length) - length), length)
-        return np.repeat(np.arange(len(ids)), length), self.fork[at], self.side[at]
+        length = self.length.take(ids)
+        end = np.cumsum(length)
+        at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.start.take(ids) - (end - length), length)
+        return np.repeat(np.arange(len(ids)), length), self.fork.take(at), self.side.take(at)
 
 
 def slot_shares(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -173,8 +171,11 @@ def slot_shares(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return (np.log(n + each) - np.log(np.tile(rest, len(n) // SHARED)) - np.log(kinds + 1.0)).astype(np.float32)
 
 
-def lexicon(words_: list[str], counts: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> Lexicon:
-    """Huffman trees over the words of each shared token. n, kinds: as for slot_shares()."""
+def lexicon(words_: list[str], counts: np.ndarray, n: np.ndarray, kinds: np.ndarray, seed: int = 13) -> Lexicon:
+    """Huffman trees over the words of each shared token. n, kinds: as for slot_shares().
+
+    Vectors start as seeded ones by token, forks from the counts on both their sides.
+    """
     size = PAD + 1 + len(words_)
     token = np.r_[np.arange(PAD + 1), np.array([shared_token(w) for w in words_], np.int64)].astype(np.int32)
     weight = np.zeros(size)
@@ -206,9 +207,10 @@ def lexicon(words_: list[str], counts: np.ndarray, n: np.ndarray, kinds: np.ndar
     leaf, fork, way = (np.concatenate(x) for x in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 3
     order = np.argsort(leaf, kind="stable")
     length = np.bincount(leaf, minlength=size)
-    forks = np.zeros((made, HIDDEN + 1), np.float32)
+    forks = np.zeros((made, HIDDEN), np.float32)
     forks[:, -1] = bias[:made]
-    return Lexicon(words_, token, share, np.cumsum(length) - length, length, fork[order].astype(np.int32), way[order].astype(np.float32), np.zeros((len(words_), WIDTH), np.float32), forks)
+    vectors = np.random.default_rng(seed).normal(0, 0.3, (PAD + 1, WIDTH)).astype(np.float32)[token]
+    return Lexicon(words_, token, share, np.cumsum(length) - length, length, fork[order].astype(np.int32), way[order].astype(np.float32), vectors, forks)
 
 
 def no_words() -> Lexicon:
@@ -233,58 +235,48 @@ def padded(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, lex: Lexicon, tables: list[np.ndarray]) -> np.ndarray:
-    """The log-probability of the word at each position, given its window. tables: lex.table times each mix."""
+    """The log-probability of the word at each position, given its window. tables: lex.vectors times each mix."""
     out = lex.shares(ids[at])
     ids = lex.leaf_ids(ids)
-    # The hidden layer is within -1 and 1, which bounds the logits: no shift is needed before exp.
-    last = np.vstack([w["out"], w["base"]])
-    shift = 0.0 if np.abs(last).sum(axis=0).max() < 60 else None
-    ones = np.ones(PAD, last.dtype)
     for k in range(0, len(at), CHUNK):
         spot = at[k : k + CHUNK]
-        h = np.ones((len(spot), HIDDEN + 1), last.dtype)
-        h[:, :HIDDEN] = w["bias"]
-        for table, d in zip(tables, WINDOW):
-            h[:, :HIDDEN] += table[ids[spot + d]]
-        np.tanh(h[:, :HIDDEN], out=h[:, :HIDDEN])
-        z = h @ last
-        target = ids[spot]
+        h = tables[0].take(ids.take(spot + WINDOW[0]), axis=0)
+        for table, d in zip(tables[1:], WINDOW[1:]):
+            h += table.take(ids.take(spot + d), axis=0)
+        h += w["bias"]
+        np.tanh(h, out=h)
+        h[:, -1] = 1
+        target = ids.take(spot)
         row, fork, side = lex.paths(target)
-        below = np.log1p(np.exp(np.minimum(-side * np.einsum("td,td->t", h[row], lex.forks[fork]), 80))) if len(row) else side
-        own = z[np.arange(len(spot)), lex.token[target]] - np.bincount(row, below, len(spot))
-        top = z.max(axis=1) if shift is None else shift
-        if shift is None:
-            z -= top[:, None]
-        out[k : k + CHUNK] += own - top - np.log(np.exp(z, out=z) @ ones)
+        if len(row):
+            below = np.log1p(np.exp(np.minimum(-side * np.einsum("td,td->t", h.take(row, axis=0), lex.forks.take(fork, axis=0)), 80)))
+            out[k : k + CHUNK] -= np.bincount(row, below, len(spot))
+        z = h @ w["last"]
+        out[k : k + CHUNK] += z[np.arange(len(spot)), lex.token.take(target)]
+        out[k : k + CHUNK] -= log_total(z, w["last"])
     return out
 
 
-def gradient(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    """The gradient of the mean loss over a batch, and the loss."""
-    n = len(target)
-    e = w["vectors"][context]  # batch, window, width
-    h = np.tanh(np.einsum("bwd,wdh->bh", e, w["mix"], optimize=True) + w["bias"])
-    z = h @ w["out"] + w["base"]
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    total = p.sum(axis=1)
-    loss = float(np.mean(np.log(total) - z[np.arange(n), target]))
-    p /= total[:, None]
-    p[np.arange(n), target] -= 1
-    p /= n
-    dh = (p @ w["out"].T) * (1 - h * h)
-    de = np.einsum("bh,wdh->bwd", dh, w["mix"], optimize=True)
-    dv = np.zeros_like(w["vectors"])
-    np.add.at(dv, context.ravel(), de.reshape(-1, WIDTH))
-    return {"vectors": dv, "mix": np.einsum("bwd,bh->wdh", e, dh, optimize=True), "bias": dh.sum(axis=0), "out": h.T @ p, "base": p.sum(axis=0)}, loss
+def log_total(z: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The log of each row's sum of exp(z), where z = h @ last; z then holds exp(z), up to a factor for each row."""
+    # The hidden layer is within -1 and 1, which bounds z: a shift is seldom needed before exp.
+    top = 0.0 if np.abs(last).sum(axis=0).max() < 60 else z.max(axis=1)
+    if np.ndim(top):
+        z -= top[:, None]
+    return np.log(np.exp(z, out=z) @ np.ones(PAD, z.dtype)) + top
 
 
 def added(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct values of index, how often each is there, and the sum of its rows."""
-    order = np.argsort(index)
-    index = index[order]
+    """The distinct values of index, how often each is there, and the sum of its rows (of even width)."""
+    packed = np.sort(index.astype(np.int64) << 32 | np.arange(len(index)))
+    index, order = packed >> 32, packed & 0xFFFFFFFF
     first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-    return index[first], np.diff(np.r_[first, len(index)]), np.add.reduceat(rows[order], first, axis=0)
+    return index[first], np.diff(np.r_[first, len(index)]), sums(rows.take(order, axis=0), first)
+
+
+def sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of the stretches of rows that begin at first; two numbers are added at a time, as complex ones."""
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
 
 
 class Learner:
@@ -302,47 +294,43 @@ class Learner:
 
     def step(self, ids: np.ndarray, spot: np.ndarray) -> None:
         w, lex, n = self.w, self.lex, len(spot)
-        near, target = contexts(ids, spot).ravel(), ids[spot]
-        e = w["vectors"][lex.token[near]]
-        word = np.flatnonzero(near > PAD)
-        e[word] += lex.vectors[near[word] - PAD - 1]
-        e = e.reshape(n, len(WINDOW) * WIDTH)
+        near = ids.take((spot[:, None] + np.array(WINDOW)).ravel())
+        target = ids.take(spot)
+        e = lex.vectors.take(near, axis=0).reshape(n, -1)
         mix = w["mix"].reshape(-1, HIDDEN)
-        h = np.ones((n, HIDDEN + 1), np.float32)
-        h[:, :HIDDEN] = np.tanh(e @ mix + w["bias"])
-        last = np.vstack([w["out"], w["base"]])
-        p = h @ last
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), lex.token[target]] -= 1
-        p *= np.float32(1 / n)
-        dlast, dh = h.T @ p, p @ w["out"].T
+        h = e @ mix
+        h += w["bias"]
+        np.tanh(h, out=h)
+        h[:, -1] = 1
+        p = h @ w["last"]
+        log_total(p, w["last"])
+        # The softmax is p over its sum; the sum and the mean over n are put in where they cost least.
+        total = p @ np.ones(PAD, np.float32)
+        p[np.arange(n), lex.token.take(target)] -= total
+        scale = (1 / (n * total))[:, None]
+        dlast, dh = (p.T @ (h * scale)).T, (p @ w["last"].T) * scale
         row, fork, side = lex.paths(target)
         if len(row):
-            vectors, hidden = lex.forks[fork], h[row]
-            dz = (-side / (1 + np.exp(np.minimum(side * np.einsum("td,td->t", hidden, vectors), 80))))[:, None]
+            below, hidden = lex.forks.take(fork, axis=0), h.take(row, axis=0)
+            slope = (-side / (1 + np.exp(np.minimum(side * np.einsum("td,td->t", hidden, below), 80))))[:, None]
+            below *= slope
+            hidden *= slope
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            dh[row[first]] += np.add.reduceat(vectors * dz, first, axis=0)[:, :HIDDEN] * np.float32(1 / n)
-            self.row_step("forks", *added(fork, hidden * dz))
-        dh *= 1 - h[:, :HIDDEN] ** 2
-        de = (dh @ mix.T).reshape(-1, WIDTH)
-        index, times, sums = added(near, de)
-        of, _, dv = added(lex.token[index], sums)
-        if index[-1] > PAD:
-            at = np.searchsorted(index, PAD + 1)
-            self.row_step("vectors", index[at:] - PAD - 1, times[at:], sums[at:] * n)
-        vectors = np.zeros_like(w["vectors"])
-        vectors[of] = dv
-        for name, g in (("vectors", vectors), ("mix", (e.T @ dh).reshape(w["mix"].shape)), ("bias", dh.sum(axis=0)), ("out", dlast[:-1]), ("base", dlast[-1])):
+            dh[row.take(first)] += sums(below, first) * np.float32(1 / n)
+            self.row_step("forks", *added(fork, hidden))
+        dh *= 1 - h * h  # zero for the last one
+        index, times, g = added(near, (dh @ mix.T).reshape(-1, WIDTH))
+        self.row_step("vectors", index, times, g * n)
+        for name, g in (("mix", (e.T @ dh).reshape(w["mix"].shape)), ("bias", dh.sum(axis=0)), ("last", dlast)):
             self.moved[name] += g * g
             w[name] -= RATE * g / np.sqrt(self.moved[name])
 
     def row_step(self, name: str, at: np.ndarray, times: np.ndarray, g: np.ndarray) -> None:
         self.seen[name][at] += times
-        moved = self.rows_moved[name]
-        moved[at] += np.einsum("td,td->t", g, g) / g.shape[1]
-        getattr(self.lex, name)[at] -= np.float32(RATE) * g / np.sqrt(moved[at])[:, None]
+        moved = self.rows_moved[name].take(at) + np.einsum("td,td->t", g, g) / g.shape[1]
+        self.rows_moved[name][at] = moved
+        table = getattr(self.lex, name)
+        table[at] = table.take(at, axis=0) - g * (np.float32(RATE) / np.sqrt(moved))[:, None]
 
     def parts(self, group: int, positions: int):
         """(name, block, part, at, n, w): the network's weights, and blocks of the rows that took part."""
@@ -364,9 +352,12 @@ def averaged(key, pdf: pd.DataFrame) -> pd.DataFrame:
     at = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["at"]])
     n = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["n"]])
     w = np.concatenate([np.frombuffer(x, np.float32).reshape(len(y) // 4, -1) for x, y in zip(pdf["w"], pdf["at"])])
-    index, _, total = added(at, np.c_[w * n[:, None].astype(np.float64), n])
-    mean = (total[:, :-1] / total[:, -1:]).astype(np.float32)
-    return pd.DataFrame([(key[0], int(key[1]), int(key[2]), index.astype(np.int32).tobytes(), total[:, -1].astype(np.int64).tobytes(), mean.tobytes())], columns=["name", "block", "part", "at", "n", "w"])
+    index, where = np.unique(at, return_inverse=True)
+    total, mean = np.zeros(len(index), np.int64), np.zeros((len(index), w.shape[1]))
+    np.add.at(total, where, n)
+    np.add.at(mean, where, w * n[:, None].astype(np.float64))
+    mean = (mean / total[:, None]).astype(np.float32)
+    return pd.DataFrame([(key[0], int(key[1]), int(key[2]), index.astype(np.int32).tobytes(), total.tobytes(), mean.tobytes())], columns=["name", "block", "part", "at", "n", "w"])
 
 
 def averages(parts: DataFrame, groups: int) -> DataFrame:
@@ -466,19 +457,15 @@ def train(docs: DataFrame, known: list[str], frequency: np.ndarray, rounds: int
 
 
 def dealt(tokens: DataFrame, groups: int, seed: int) -> DataFrame:
-    """(part long, ids binary): the documents of each group, in an order by hash, with pads between them.
+    """(part long, tokens binary), written once: a file for each group, its documents in an order by hash.
 
     tokens: a token_table. Rows go by their id, which must not be shared by very many rows; rows with a
-    null id are dealt evenly, by where they are in the table.
+    null id are dealt evenly, by where they are in the table. A file is one row group, so one task reads it.
     """
-
-    def pack(key, pdf):
-        pdf = pdf.sort_values(["mix", "tokens"])
-        return pd.DataFrame([(int(key[0]), padded([np.frombuffer(x, np.int32) for x in pdf["tokens"]])[0].tobytes())], columns=["part", "ids"])
-
     mix = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
-    rows = tokens.select(mix.alias("mix"), "tokens").where(F.octet_length("tokens") > 0)
-    return rows.groupBy(F.pmod("mix", F.lit(groups)).cast("long").alias("part")).applyInPandas(pack, "part long, ids binary")
+    rows = tokens.select(F.pmod(mix, F.lit(groups)).cast("int").alias("part"), mix.alias("mix"), "tokens").where(F.octet_length("tokens") > 0)
+    rows = rows.repartitionById(groups, F.col("part")).sortWithinPartitions("part", "mix", "tokens")
+    return materialize(rows.select(F.col("part").cast("long").alias("part"), "tokens"), options={"parquet.block.size": 1 << 30})
 
 
 def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 13, lex: Lexicon | None = None, group: int = GROUP) -> tuple[np.ndarray, Lexicon]:
@@ -487,7 +474,7 @@ def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride:
         raise ValueError("with fewer rounds than the stride some positions would never be trained on")
     weights, lex = initial(frequency, seed), lex or no_words()
     groups = max(1, math.ceil(frequency.sum() / group))
-    texts = materialize(dealt(tokens, groups, seed))
+    texts = dealt(tokens, groups, seed)
     context = tokens.sparkSession.sparkContext
     for turn in range(rounds):
         shared = context.broadcast((weights, lex.plain()))
@@ -495,19 +482,37 @@ def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride:
         def learn(batches, turn=turn, shared=shared):
             flat, arrays = shared.value
             start = Lexicon(**arrays)
+            now, own, steps, positions, held, waiting = None, None, 0, 0, [], 0
+
+            def settle():
+                nonlocal steps, positions, held, waiting
+                ids, at = padded(held)
+                ids, first = start.leaf_ids(ids), (turn - positions) % stride
+                positions, held, waiting = positions + len(at), [], 0
+                at = at[first::stride]
+                while len(at):
+                    n = BATCH if steps < SMALL else LARGER * BATCH
+                    own.step(ids, at[:n])
+                    at, steps = at[n:], steps + 1
+
+            def finished():
+                if held:
+                    settle()
+                rows = list(own.parts(now, positions)) if positions else []
+                yield from (pd.DataFrame(rows[k : k + 64], columns=["name", "block", "part", "at", "n", "w"]) for k in range(0, len(rows), 64))
+
             for pdf in batches:
-                for part, data in zip(pdf["part"], pdf["ids"]):
-                    own, steps = Learner(flat, start), 0
-                    ids = start.leaf_ids(np.frombuffer(data, np.int32))
-                    every = np.flatnonzero(ids != PAD)
-                    at = every[turn % stride :: stride]
-                    while len(at):
-                        n = BATCH if steps < SMALL else 4 * BATCH
-                        own.step(ids, at[:n])
-                        at, steps = at[n:], steps + 1
-                    rows = list(own.parts(int(part), len(every)))
-                    for k in range(0, len(rows), 64):
-                        yield pd.DataFrame(rows[k : k + 64], columns=["name", "block", "part", "at", "n", "w"])
+                for part, data in zip(pdf["part"], pdf["tokens"]):
+                    if part != now:
+                        if own:
+                            yield from finished()
+                        now, own, steps, positions = int(part), Learner(flat, start), 0, 0
+                    held.append(np.frombuffer(data, np.int32))
+                    waiting += len(held[-1])
+                    if waiting >= HELD:
+                        settle()
+            if own:
+                yield from finished()
 
         got = averages(texts.mapInPandas(learn, PARTS), groups).toArrow().to_pylist()
         lex = replace(lex, vectors=lex.vectors.copy(), forks=lex.forks.copy())
@@ -542,8 +547,7 @@ def score_tokens(tokens: DataFrame, weights: np.ndarray, lex: Lexicon | None = N
     def run(batches):
         flat, arrays = shared.value
         w, lex = unpack(flat), Lexicon(**arrays)
-        every = lex.table(w["vectors"])
-        tables = [every @ m for m in w["mix"]]
+        tables = [lex.vectors @ m for m in w["mix"]]
         for pdf in batches:
             lists = [np.frombuffer(x, np.int32) for x in pdf["tokens"]]
             n = np.array([len(x) for x in lists], np.int64)

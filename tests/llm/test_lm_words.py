@@ -23,8 +23,7 @@ def test_probabilities_of_all_words_add_up_to_one():
     lex.forks += rng.normal(0, 0.5, lex.forks.shape).astype(np.float32)
     lex.vectors += rng.normal(0, 0.5, lex.vectors.shape).astype(np.float32)
     w = lm_score.unpack(lm_score.initial(rng.random(lm_score.PAD) * 9, 1))
-    every = lex.table(w["vectors"])
-    tables = [every @ m for m in w["mix"]]
+    tables = [lex.vectors @ m for m in w["mix"]]
 
     def at(k):
         ids, spot = lm_score.padded([np.array([259, 7, k, 300, 200], np.int32)])
@@ -48,7 +47,7 @@ def test_a_step_follows_the_slope_of_the_loss():
 
     def loss(lexicon):
         w = {k: v.astype(np.float64) for k, v in lm_score.unpack(flat).items()}
-        return -lm_score.log_probs(w, ids, at, lexicon, [lexicon.table(w["vectors"]) @ m for m in w["mix"]]).sum()
+        return -lm_score.log_probs(w, ids, at, lexicon, [lexicon.vectors @ m for m in w["mix"]]).sum()
 
     for name in ("vectors", "forks"):
         step = getattr(own.lex, name) - getattr(lex, name)
@@ -92,18 +91,27 @@ def test_vocabulary_grows_and_junk_scores_below_documents(spark):
     assert worst < real[len(real) // 20]
 
 
-def test_every_position_is_a_target(spark):
+def test_every_position_is_a_target(spark, monkeypatch):
     texts = ["left right " * 40, "right", "left", "left left right"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     none = np.zeros(lm_score.SLOTS)
     lex = lm_score.lexicon(["left", "right"], np.array([43, 42]), none, none)
     tokens = lm_score.token_table(df, [], lex=lex)
-    rows = [np.frombuffer(bytes(r.ids), np.int32) for r in lm_score.dealt(tokens, 2, 13).collect()]
-    assert sum(int((x != lm_score.PAD).sum()) for x in rows) == lm_score.word_counts(df).agg({"n": "sum"}).first()[0] == 85
-    for ids in rows:
-        every = np.flatnonzero(ids != lm_score.PAD)
-        seen = [every[turn % lm_score.STRIDE :: lm_score.STRIDE] for turn in range(lm_score.ROUNDS)]
-        assert sorted({int(x) for part in seen for x in part}) == every.tolist()
+    rows = lm_score.dealt(tokens, 2, 13).collect()
+    assert sum(len(r.tokens) // 4 for r in rows) == lm_score.word_counts(df).agg({"n": "sum"}).first()[0] == 85
+    # Each word's positions as targets, in all passes, are as many as its occurrences.
+    monkeypatch.setattr(lm_score.Learner, "step", lambda self, ids, spot: np.add.at(self.seen["vectors"], ids[spot], 1))
+    monkeypatch.setattr(lm_score, "HELD", 7)
+    got = []
+    monkeypatch.setattr(lm_score, "averages", lambda parts, groups: got.append(parts.where("name = 'vectors'").collect()) or parts.limit(0))
+    lm_score.fit(tokens, np.ones(lm_score.PAD) * 85 / lm_score.PAD, lex=lex, group=43)
+    times = Counter()
+    for parts in got:
+        for r in parts:
+            for i, n in zip(np.frombuffer(bytes(r.at), np.int32).tolist(), np.frombuffer(bytes(r.n), np.int64).tolist()):
+                times[i] += n
+    assert times == {lm_score.PAD + 1: 43, lm_score.PAD + 2: 42}
+    monkeypatch.undo()
     with pytest.raises(ValueError):
         lm_score.fit(tokens, np.ones(lm_score.PAD), rounds=2, stride=16, lex=lex)
 
@@ -114,7 +122,7 @@ def test_training_reaches_words_at_any_place(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
     flat = np.ones(lm_score.PAD)
     weights = lm_score.train(df, ["even", "odd"], flat)
-    base = lm_score.unpack(weights)["base"] - lm_score.unpack(lm_score.initial(flat, 13))["base"]
+    base = lm_score.unpack(weights)["last"][-1] - lm_score.unpack(lm_score.initial(flat, 13))["last"][-1]
     assert base[1] > 0.1 and base[0] > 0.1 and (base[2:] < 0).all()
 
 
@@ -131,12 +139,11 @@ def plain_probability(w, lex, ids, k):
     """The log-probability of word k of one document, and what its gradient needs, one number at a time."""
     leaf = [int(x) for x in lex.leaf_ids(np.asarray(ids))]
     near = [leaf[k + d] if 0 <= k + d < len(leaf) else lm_score.PAD for d in lm_score.WINDOW]
-    vector = lambda i: w["vectors"][lex.token[i]] + (lex.vectors[i - lm_score.PAD - 1] if i > lm_score.PAD else 0)
-    h = np.tanh(sum(vector(i).astype(np.float64) @ w["mix"][j] for j, i in enumerate(near)) + w["bias"])
-    z = h @ w["out"] + w["base"]
+    one = np.tanh(sum(lex.vectors[i].astype(np.float64) @ w["mix"][j] for j, i in enumerate(near)) + w["bias"])
+    one[-1] = 1.0
+    z = one @ w["last"]
     token = lex.token[leaf[k]]
     out = z[token] - np.log(np.exp(z - z.max()).sum()) - z.max()
-    one = np.append(h, 1.0)
     for at in range(lex.start[leaf[k]], lex.start[leaf[k]] + lex.length[leaf[k]]):
         out -= np.log1p(np.exp(-lex.side[at] * (one @ lex.forks[lex.fork[at]].astype(np.float64))))
     if ids[k] >= len(lex.token):
@@ -156,7 +163,7 @@ def test_a_training_step_equals_numeric_slopes_with_adagrad():
     own.step(ids, at)
     w = {k: v.astype(np.float64) for k, v in lm_score.unpack(flat).items()}
     loss = lambda: -np.mean([plain_probability(w, lex, doc, k) for k in range(12)])
-    for name, spot in (("vectors", (int(lex.token[doc[3]]), 2)), ("mix", (1, 2, 3)), ("bias", (4,)), ("out", (5, int(lex.token[doc[0]]))), ("base", (int(lex.token[doc[1]]),))):
+    for name, spot in (("mix", (1, 2, 3)), ("bias", (4,)), ("last", (5, int(lex.token[doc[0]]))), ("last", (-1, int(lex.token[doc[1]])))):
         kept, got = w[name][spot], []
         for h in (1e-5, -1e-5):
             w[name][spot] = kept + h
@@ -206,7 +213,7 @@ def test_the_query_equals_plain_loops_however_the_table_is_cut(spark, monkeypatc
             flat, at = lm_score.padded([np.frombuffer(x, np.int32) for _, x in docs])
             flat, learner, steps, spots = lex.leaf_ids(flat), lm_score.Learner(weights, lex), 0, at[turn % 2 :: 2]
             while len(spots):
-                size = lm_score.BATCH if steps < lm_score.SMALL else 4 * lm_score.BATCH
+                size = lm_score.BATCH if steps < lm_score.SMALL else lm_score.LARGER * lm_score.BATCH
                 learner.step(flat, spots[:size])
                 spots, steps = spots[size:], steps + 1
             made.append((len(at), learner))
