@@ -47,11 +47,11 @@ LEAST, PER_CUBE = 2, 1300
 #: Offsets of the window, width of a word's vector, hidden width: the last hidden value is the constant one.
 WINDOW, WIDTH, HIDDEN = (-2, -1, 1, 2), 16, 16
 #: Passes; each trains on every STRIDE-th position of all documents, from an offset of its own: together on all.
-ROUNDS, STRIDE, BATCH, RATE = 2, 2, 256, 0.1
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 256, 0.45
 #: Positions of a group, about, positions held before they are trained on, and groups that are averaged in one go.
 GROUP, HELD, AVERAGED = 1 << 23, 1 << 16, 64
 #: Batches of BATCH positions before batches are LARGER times as large, and rows of own vectors that are averaged in one go.
-SMALL, LARGER, BLOCK = 64, 8, 1024
+SMALL, LARGER, BLOCK = 64, 16, 1024
 #: Words remembered by a worker, distinct words counted before they are sent on, positions scored in one go, rows in a frame, positions held at once.
 WORDS, COUNTED, CHUNK, ROWS_OUT, POSITIONS = 400_000, 400_000, 1024, 5000, 200_000
 PAD = KNOWN + SHARED
@@ -153,11 +153,11 @@ class Lexicon:
         return out
 
     def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row in ids, fork and side of every step to the leaves of ids."""
+        """Row in ids, fork and side of every step to the leaves of ids; the rows that have steps, and where theirs begin."""
         length = self.length.take(ids)
-        end = np.cumsum(length)
+        end, has = np.cumsum(length), np.flatnonzero(length)
         at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.start.take(ids) - (end - length), length)
-        return np.repeat(np.arange(len(ids)), length), self.fork.take(at), self.side.take(at)
+        return np.repeat(np.arange(len(ids)), length), self.fork.take(at), self.side.take(at), has, (end - length)[has]
 
 
 def slot_shares(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -247,23 +247,24 @@ def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, lex: Le
         np.tanh(h, out=h)
         h[:, -1] = 1
         target = ids.take(spot)
-        row, fork, side = lex.paths(target)
+        row, fork, side, _, _ = lex.paths(target)
         if len(row):
             below = np.log1p(np.exp(np.minimum(-side * np.einsum("td,td->t", h.take(row, axis=0), lex.forks.take(fork, axis=0)), 80)))
             out[k : k + CHUNK] -= np.bincount(row, below, len(spot))
         z = h @ w["last"]
         out[k : k + CHUNK] += z[np.arange(len(spot)), lex.token.take(target)]
-        out[k : k + CHUNK] -= log_total(z, w["last"])
+        total, top = exponentials(z, w["last"])
+        out[k : k + CHUNK] -= np.log(total) + top
     return out
 
 
-def log_total(z: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The log of each row's sum of exp(z), where z = h @ last; z then holds exp(z), up to a factor for each row."""
+def exponentials(z: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """exp(z) in place of z = h @ last, less a shift for each row, and the rows' sums and shifts."""
     # The hidden layer is within -1 and 1, which bounds z: a shift is seldom needed before exp.
     top = 0.0 if np.abs(last).sum(axis=0).max() < 60 else z.max(axis=1)
     if np.ndim(top):
         z -= top[:, None]
-    return np.log(np.exp(z, out=z) @ np.ones(PAD, z.dtype)) + top
+    return np.exp(z, out=z) @ np.ones(PAD, z.dtype), top
 
 
 def added(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,20 +304,18 @@ class Learner:
         np.tanh(h, out=h)
         h[:, -1] = 1
         p = h @ w["last"]
-        log_total(p, w["last"])
         # The softmax is p over its sum; the sum and the mean over n are put in where they cost least.
-        total = p @ np.ones(PAD, np.float32)
+        total, _ = exponentials(p, w["last"])
         p[np.arange(n), lex.token.take(target)] -= total
         scale = (1 / (n * total))[:, None]
         dlast, dh = (p.T @ (h * scale)).T, (p @ w["last"].T) * scale
-        row, fork, side = lex.paths(target)
+        row, fork, side, has, first = lex.paths(target)
         if len(row):
             below, hidden = lex.forks.take(fork, axis=0), h.take(row, axis=0)
             slope = (-side / (1 + np.exp(np.minimum(side * np.einsum("td,td->t", hidden, below), 80))))[:, None]
             below *= slope
             hidden *= slope
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            dh[row.take(first)] += sums(below, first) * np.float32(1 / n)
+            dh[has] += sums(below, first) * np.float32(1 / n)
             self.row_step("forks", *added(fork, hidden))
         dh *= 1 - h * h  # zero for the last one
         index, times, g = added(near, (dh @ mix.T).reshape(-1, WIDTH))
