@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafline.llm import runs, secret_scan
 from sheafline.llm.bpe import encode
 from sheafline.llm.chat import digests, format_chats
 from sheafline.llm.common import table
@@ -14,6 +15,7 @@ from sheafline.llm.exact_dedup import exact_dedup
 from sheafline.llm.langid import held_out, identify, train
 from sheafline.llm.lm_score import pseudo_likelihood
 from sheafline.llm.mixing import mix
+from sheafline.llm.phrases import collocations
 from sheafline.llm.sharding import interleave
 from sheafline.llm.simhash import simhash_groups
 from sheafline.llm.warc import round_trip
@@ -82,6 +84,33 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of each language, counted over all documents."""
+    return collocations(table(spark, sf_dir, "documents"), least=30, words=4, top=2000, share=80)
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id, text, where every tenth document by crc32 of its id goes round a stretch of its words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", F.when(h % 10 == 0, F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).alias("w"), F.floor(h / 10).alias("g"))
+    words = words.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    words = words.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    turns = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(turns, F.lit(1), rest)), " ")
+    return words.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in all documents, a tenth of them with a run planted."""
+    return runs.digests(runs.periodic_runs(planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; a source is an owner, each of its documents a repository."""
+    return secret_scan.digests(secret_scan.secrets(table(spark, sf_dir, "documents"), repo=F.col("doc_id"), owner=F.col("source")))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -93,6 +122,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_embeddings": op10_embeddings,
+    "op11_phrases": op11_phrases,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_secrets": op13_secrets,
 }
 
 SQL = {
@@ -187,4 +219,63 @@ SQL = {
         r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n),
         c AS (SELECT n AS vec_id, min(c) AS component_id FROM r GROUP BY n)
         SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c""",
+    "op11_phrases": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda s: list_transform(range(1, len(w) - s + 2), lambda i: w[i:i + s - 1])))) AS g FROM w WHERE len(w) > 0),
+        f AS (SELECT lang, g, len(g) AS size, count(*) AS f FROM g GROUP BY ALL HAVING f >= 30),
+        c AS (SELECT lang, g, f AS a, size, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+        s AS (SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, 2000000 * c.a::HUGEINT // (x.f + y.f) AS score
+              FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1:c.size]),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        i AS (SELECT lang, f, g, size, unnest(range(2, size)) AS width FROM f WHERE size > 2),
+        j AS (SELECT lang, f, unnest(list_transform(range(1, size - width + 2), lambda i: g[i:i + width - 1])) AS g FROM i),
+        o AS (SELECT lang, g, max(f) AS longer FROM j GROUP BY ALL),
+        t AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g
+              WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM t JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op12_periodic_runs": r"""
+        WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        h AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                     xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM documents, t),
+        g AS (SELECT d, doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a FROM h),
+        p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+        x AS (SELECT d, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+        u AS (SELECT d, n, unnest(w) AS word, unnest(range(n)) AS i FROM x),
+        b AS (SELECT d, n, i, word, lead(word) OVER (PARTITION BY d ORDER BY i) AS next FROM u),
+        e AS (SELECT y.d, y.i, z.i - y.i AS q FROM b y JOIN b z ON y.d = z.d AND y.word = z.word AND y.next = z.next AND z.i > y.i AND 3 * (z.i - y.i) <= y.n),
+        r AS (SELECT d, q, min(i) AS start, count(*) + 1 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY d, q ORDER BY i) AS k FROM e)
+              GROUP BY d, q, k HAVING length >= greatest(24, 3 * q)),
+        f AS (SELECT d, start, length, min(q) AS period FROM r GROUP BY ALL),
+        o AS (SELECT d, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+                     first({'s': start, 'l': length, 'p': period} ORDER BY length / period DESC, start, period) AS best FROM f GROUP BY d),
+        k AS (SELECT d, string_agg(word, ' ' ORDER BY i) AS kept FROM u
+              WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.d = u.d AND u.i >= f.start + f.period AND u.i < f.start + f.length) GROUP BY d)
+        SELECT x.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, best.l * 1000 // best.p AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM x LEFT JOIN o USING (d) LEFT JOIN k USING (d)""",
+    "op13_secrets": r"""
+        WITH k AS (SELECT * FROM (VALUES
+                ('assign', 1, 8, '(?s)(.*?)((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)'),
+                ('access', 2, 16, '(?s)(.*?)()(AKIA[A-Z0-9]+)'), ('hex', 3, 32, '(?s)(.*?)()([0-9a-f]+)'), ('live', 4, 20, '(?s)(.*?)()([A-Za-z0-9+/_=-]+)')) v(kind, ord, least, pat)),
+        d AS (SELECT row_number() OVER () AS d, doc_id, coalesce('=' || source, '-') AS owner, coalesce(text, '') AS text FROM documents),
+        m AS (SELECT d, doc_id, owner, kind, ord, least, regexp_extract_all(text, pat, 1) AS b, regexp_extract_all(text, pat, 2) AS k, regexp_extract_all(text, pat, 3) AS v FROM d, k),
+        u AS (SELECT d, doc_id, owner, kind, ord, least, unnest(b) AS b, unnest(k) AS k, unnest(v) AS v, unnest(range(len(v))) AS i FROM m),
+        e AS (SELECT *, sum(length(b) + length(k) + length(v)) OVER (PARTITION BY d, ord ORDER BY i)::BIGINT AS "end" FROM u),
+        s AS (SELECT d, doc_id, owner, kind, ord, v, "end" - length(k) - length(v) AS start, "end",
+                     len(list_distinct(string_split(v, ''))) >= 10 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AS random FROM e WHERE length(v) >= least),
+        c AS (SELECT * FROM s WHERE ord < 4 UNION ALL
+              SELECT * FROM s WHERE ord = 4 AND random AND NOT EXISTS (SELECT 1 FROM s o WHERE o.d = s.d AND o.ord < 4 AND o.start < s."end" AND s.start < o."end")),
+        o AS (SELECT v, count(DISTINCT owner) >= 3 OR count(DISTINCT coalesce(doc_id::VARCHAR, '-')) >= 10 AS copied FROM c GROUP BY v),
+        j AS (SELECT c.*, kind || ':' || start || ':' || "end" AS span, CASE WHEN copied THEN 'example' WHEN random THEN 'live' ELSE 'weak' END AS verdict FROM c JOIN o USING (v)),
+        a AS (SELECT d, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                     string_agg(span, ',' ORDER BY start, ord) FILTER (ord < 4) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans,
+                     count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
+              FROM j WHERE ord < 4 OR verdict = 'live' GROUP BY d)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+        FROM d LEFT JOIN a USING (d)""",
 }
