@@ -13,6 +13,7 @@ a request for each part to the part's bucket, and the answers come back to it.
 from __future__ import annotations
 
 import io
+import os
 import shutil
 import uuid
 
@@ -24,7 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import discard, materialize, settled, shared_dir, ship, small_batches
+from sheafline.llm.common import discard, materialize, settled, ship, small_batches
+from sheafline.scratch import scratch_path
 
 ship(__name__)
 
@@ -160,6 +162,8 @@ def counted(pieces: DataFrame, buckets: int, least: int, make, folder: str | Non
 
     def add_up(batches):
         spill = folder and f"{folder}/{uuid.uuid4().hex}"
+        if spill:
+            os.makedirs(spill)
         con = duckdb.connect(config={"threads": 1, "memory_limit": f"{BUCKET_MB}MB", "preserve_insertion_order": False} | ({"temp_directory": spill} if spill else {}))
         try:
             con.execute("CREATE TABLE parts (lang VARCHAR, gram VARCHAR, n BIGINT)")
@@ -179,9 +183,9 @@ def counted(pieces: DataFrame, buckets: int, least: int, make, folder: str | Non
 
 
 def spill_folder(df: DataFrame) -> str | None:
-    """Where DuckDB may put what memory does not hold: a folder in the shared one, if that is a mounted path."""
-    found = shared_dir(df.sparkSession).removeprefix("file://")
-    return f"{found}/sheafline-duckdb" if found.startswith("/") else None
+    """Where DuckDB may put what memory does not hold: a scratch folder in the shared one, if that is a mounted path."""
+    found = scratch_path(df.sparkSession, "-duckdb").removeprefix("file:").replace("//", "/")
+    return found if found.startswith("/") else None
 
 
 def pair_bits(pairs: DataFrame) -> np.ndarray:
