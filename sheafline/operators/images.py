@@ -7,6 +7,7 @@ providers; binary PPM is the stand-in for both.
 from __future__ import annotations
 
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,12 @@ from sheafline.shipping import ship
 ship(__name__)
 
 LEAST_SIDE = 8
+#: The slope of the cubic through pixels (fixed value: what common resamplers use), and rows that are worked on at a time.
+SHARP, ROWS = -0.75, 256
+#: Linear light of each byte, its CIE coordinates by the white point of daylight, and where lightness turns linear (fixed values of the sRGB and CIE standards).
+LINEAR = np.array([c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in np.arange(256) / 255])
+TO_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]) / np.array([[0.950456], [1.0], [1.088754]])
+DARK = 0.008856
 
 
 def decode_ppm(data: bytes) -> np.ndarray | None:
@@ -118,14 +125,46 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.clip(np.rint(made), 0, 255).astype(np.uint8)
 
 
+def cubic_taps(part: np.ndarray) -> np.ndarray:
+    """The weights of the pixels at -1, 0, 1 and 2 for a place that lies part beyond pixel 0."""
+    def near(d: np.ndarray) -> np.ndarray:
+        return ((SHARP + 2) * d - (SHARP + 3)) * d * d + 1
+
+    def far(d: np.ndarray) -> np.ndarray:
+        return ((d - 5) * d + 8) * d * SHARP - 4 * SHARP
+
+    return np.stack([far(1 + part), near(part), near(1 - part), far(2 - part)], axis=-1)
+
+
+def resize_cubic(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """By a cubic through four pixels a side; border pixels are repeated. Constant images stay as they are."""
+    def along(x: np.ndarray, m: int) -> np.ndarray:
+        at = (np.arange(m) + 0.5) * len(x) / m - 0.5
+        low = np.floor(at).astype(int)
+        taps = cubic_taps(at - low)
+        return sum(taps[:, k, None, None] * x[np.clip(low + k - 1, 0, len(x) - 1)] for k in range(4))
+
+    if image.shape[:2] == (height, width):
+        return image
+    made = along(image.astype(np.float64), height).swapaxes(0, 1)
+    return np.clip(np.rint(along(made, width).swapaxes(0, 1)), 0, 255).astype(np.uint8)
+
+
+def half_even(over: int, under: int, places: int) -> float:
+    """over/under rounded to places on whole numbers, a tie to the even digit: no float comes near a tie."""
+    return round(Fraction(int(over) * 10**places, int(under))) / 10**places
+
+
 def stats(g: np.ndarray) -> dict[str, float]:
     """Sharpness and background of a gray image: the Laplacian's variance, flat and clipped shares, the largest histogram bin."""
-    x = np.pad(g.astype(np.float64), 1, mode="reflect") if min(g.shape) > 1 else np.pad(g.astype(np.float64), 1, mode="edge")
+    n, whole = g.size, g.astype(np.int64)
+    x = np.pad(whole, 1, mode="reflect" if min(g.shape) > 1 else "edge")
     lap = x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]
+    share = lambda where, places: half_even(np.count_nonzero(where), n, places)
     return {
-        "blur_lapvar": round(float(lap.var()), 1), "brightness_mean": round(float(g.mean()), 1), "highlight_clip_frac": round(float((g >= 250).mean()), 4),
-        "shadow_clip_frac": round(float((g <= 5).mean()), 4), "flat_frac": round(float((np.abs(lap) <= 1).mean()), 3),
-        "bg_peak": round(float(np.bincount(g.ravel(), minlength=256).max()) / g.size, 3),
+        "blur_lapvar": half_even(n * int((lap * lap).sum()) - int(lap.sum()) ** 2, n * n, 1), "brightness_mean": half_even(whole.sum(), n, 1),
+        "highlight_clip_frac": share(g >= 250, 4), "shadow_clip_frac": share(g <= 5, 4), "flat_frac": share(np.abs(lap) <= 1, 3),
+        "bg_peak": half_even(np.bincount(g.ravel(), minlength=256).max(), n, 3),
     }
 
 
@@ -142,19 +181,24 @@ def rotate_quarters(image: np.ndarray, quarters: int) -> np.ndarray:
 
 
 def rotate_free(image: np.ndarray, degrees: float) -> np.ndarray:
-    """A turn about the centre onto a canvas that holds the image; border pixels are repeated."""
+    """A turn about the centre onto a canvas that holds the image, by cubics; border pixels are repeated."""
     h, w = image.shape[:2]
     c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
     nw, nh = int(h * abs(s) + w * abs(c)), int(h * abs(c) + w * abs(s))
-    y, x = np.mgrid[0:nh, 0:nw]
-    dx, dy = x - nw / 2, y - nh / 2
-    sx, sy = np.clip(c * dx - s * dy + w / 2, 0, w - 1), np.clip(s * dx + c * dy + h / 2, 0, h - 1)
-    x0, y0 = np.minimum(sx.astype(int), w - 1), np.minimum(sy.astype(int), h - 1)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    fx, fy = (sx - x0)[:, :, None], (sy - y0)[:, :, None]
-    f = image.astype(np.float64)
-    made = (f[y0, x0] * (1 - fx) + f[y0, x1] * fx) * (1 - fy) + (f[y1, x0] * (1 - fx) + f[y1, x1] * fx) * fy
-    return np.clip(np.rint(made), 0, 255).astype(np.uint8)
+    out = np.empty((nh, nw, image.shape[2]), np.uint8)
+    for top in range(0, nh, ROWS):
+        y, x = np.mgrid[top : min(nh, top + ROWS), 0:nw]
+        dx, dy = x - nw / 2, y - nh / 2
+        sx, sy = c * dx - s * dy + w / 2, s * dx + c * dy + h / 2
+        x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+        wx, wy = cubic_taps(sx - x0), cubic_taps(sy - y0)
+        columns = [np.clip(x0 + k - 1, 0, w - 1) for k in range(4)]
+        made = np.zeros((*x.shape, image.shape[2]))
+        for j in range(4):
+            row = np.clip(y0 + j - 1, 0, h - 1)
+            made += wy[..., j, None] * sum(wx[..., k, None] * image[row, columns[k]] for k in range(4))
+        out[top : top + ROWS] = np.clip(np.rint(made), 0, 255)
+    return out
 
 
 def crop(image: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> np.ndarray:
@@ -181,10 +225,85 @@ def pad(image: np.ndarray, pixels: int, background: int = 255) -> np.ndarray:
     return np.pad(image, sides, constant_values=background)
 
 
-def even_light(image: np.ndarray, fraction: float = 0.125) -> np.ndarray:
-    """Brightness divided by that of the background, a smoothed local maximum; paper becomes light gray."""
+def to_lab(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lightness and two colour axes in bytes: lightness by 255/100, axes from 128."""
+    out = np.empty(image.shape, np.uint8)
+    for top in range(0, len(image), ROWS):
+        xyz = LINEAR[image[top : top + ROWS, :, ::-1]] @ TO_XYZ.T
+        f = np.where(xyz > DARK, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+        light = np.where(xyz[..., 1] > DARK, 116 * f[..., 1] - 16, 903.3 * xyz[..., 1])
+        made = np.stack([light * 2.55, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128], axis=-1)
+        out[top : top + ROWS] = np.clip(np.rint(made), 0, 255)
+    return out[..., 0], out[..., 1], out[..., 2]
+
+
+def from_lab(light: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Back from to_lab()."""
+    out = np.empty((*light.shape, 3), np.uint8)
+    for top in range(0, len(light), ROWS):
+        part = slice(top, top + ROWS)
+        v = light[part] / 2.55
+        y = np.where(v <= 903.3 * DARK, v / 903.3, ((v + 16) / 116) ** 3)
+        fy = np.where(v <= 903.3 * DARK, 7.787 * y + 16 / 116, (v + 16) / 116)
+        f = np.stack([fy + (a[part] - 128.0) / 500, fy - (b[part] - 128.0) / 200], axis=-1)
+        x, z = np.moveaxis(np.where(f > 7.787 * DARK + 16 / 116, f**3, (f - 16 / 116) / 7.787), -1, 0)
+        rgb = np.clip(np.stack([x, y, z], axis=-1) @ np.linalg.inv(TO_XYZ).T, 0, 1)
+        shown = np.where(rgb <= 0.0031308, rgb * 12.92, 1.055 * rgb ** (1 / 2.4) - 0.055)
+        out[part] = np.clip(np.rint(shown[..., ::-1] * 255), 0, 255)
+    return out
+
+
+def local_contrast(g: np.ndarray, clip: float, grid: int) -> np.ndarray:
+    """Histogram equalisation by tiles, limited in contrast (CLAHE): grid x grid tiles.
+
+    A tile's histogram is cut at clip times its mean bin, what was cut is dealt to all bins alike, the
+    remainder to bins at even steps. Its sums are the tile's table; a pixel mixes those of the four
+    tiles whose centres are around it. clip 0: no limit.
+    """
+    h, w = g.shape
+    th, tw = -(-h // grid), -(-w // grid)
+    tiles = np.pad(g, [(0, th * grid - h), (0, tw * grid - w)], mode="reflect" if min(h, w) > 1 else "edge")
+    tiles = tiles.reshape(grid, th, grid, tw).swapaxes(1, 2).reshape(grid * grid, th * tw)
+    counts = np.bincount((np.arange(grid * grid)[:, None] * 256 + tiles).ravel(), minlength=grid * grid * 256).reshape(-1, 256)
+    if clip > 0:
+        limit = max(1, int(clip * th * tw / 256))
+        over = np.maximum(counts - limit, 0).sum(axis=1)
+        rest = (over % 256)[:, None]
+        step, bins = np.maximum(256 // np.maximum(rest, 1), 1), np.arange(256)[None]
+        counts = np.minimum(counts, limit) + (over // 256)[:, None] + ((bins % step == 0) & (bins // step < rest))
+    tables = np.clip(np.rint(np.cumsum(counts, axis=1) * (255 / (th * tw))), 0, 255).reshape(grid, grid, 256)
+
+    def around(n: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(n) / side - 0.5
+        low = np.floor(at).astype(int)
+        return np.maximum(low, 0), np.minimum(low + 1, grid - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = around(h, th), around(w, tw)
+    out = np.empty_like(g)
+    for top in range(0, h, ROWS):
+        part = slice(top, top + ROWS)
+        v, a, b, f = g[part], y0[part, None], y1[part, None], fy[part, None]
+        upper = tables[a, x0, v] * (1 - fx) + tables[a, x1, v] * fx
+        lower = tables[b, x0, v] * (1 - fx) + tables[b, x1, v] * fx
+        out[part] = np.clip(np.rint(upper * (1 - f) + lower * f), 0, 255)
+    return out
+
+
+def blurred(x: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian blur, borders mirrored."""
+    reach = max(1, round(3 * sigma))
+    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    taps /= taps.sum()
+    for _ in range(2):  # down, then across
+        padded = np.pad(x, [(reach, reach), (0, 0)], mode="reflect" if len(x) > 1 else "edge")
+        x = sum(t * padded[k : k + len(x)] for k, t in enumerate(taps)).T
+    return x
+
+
+def even_light(image: np.ndarray, fraction: float = 0.125, clip: float = 2.0, grid: int = 8) -> np.ndarray:
+    """Lightness divided by that of the background, a blurred local maximum, then local_contrast; colours stay."""
     k = max(15, int(min(image.shape[:2]) * fraction)) | 1
-    g = gray(image).astype(np.float64)
+    light, a, b = to_lab(image)
 
     def slide(x: np.ndarray, of: np.ufunc) -> np.ndarray:
         """of over windows of k rows: windows double in length, and two that overlap make the last one."""
@@ -193,14 +312,11 @@ def even_light(image: np.ndarray, fraction: float = 0.125) -> np.ndarray:
             x, size = of(x[:-size], x[size:]), 2 * size
         return of(x[: len(x) - (k - size)], x[k - size :]) if k > size else x
 
-    def means(x: np.ndarray) -> np.ndarray:
-        sums = np.cumsum(np.pad(x, [(k // 2 + 1, k // 2), (0, 0)], mode="edge"), axis=0)
-        return (sums[k:] - sums[:-k]) / k
-
-    high = slide(slide(g, np.maximum).T, np.maximum).T
+    high = slide(slide(light, np.maximum).T, np.maximum).T
     closed = slide(slide(high, np.minimum).T, np.minimum).T
-    ground = means(means(closed).T).T
-    return np.clip(np.rint(image * (220.0 / np.maximum(ground, 1))[:, :, None]), 0, 255).astype(np.uint8)
+    ground = np.maximum(np.rint(blurred(closed.astype(np.float64), k / 6)), 1)
+    even = np.clip(np.rint(light * (220.0 / ground)), 0, 255).astype(np.uint8)
+    return from_lab(local_contrast(even, clip, grid), a, b)
 
 
 #: What stats() gives (fixed values: names and roundings are read by others).

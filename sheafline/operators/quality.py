@@ -42,6 +42,13 @@ def gate(polys: Column, text_height: Column, blur: Column, settings: Gate = Gate
     return verdict if digital is None else F.when(digital, F.lit("readable")).otherwise(verdict)
 
 
+def reject_reason(polys: Column, text_height: Column, blur: Column, settings: Gate = Gate()) -> Column:
+    """Why a page is unreadable, in the words that callers read (fixed values); null for other pages."""
+    few = F.format_string(f"no_text_detected(n_polys=%d<{settings.unreadable_min_polys})", polys)
+    lost = F.format_string(f"text_unrecoverable(text_h=%.1fpx<{settings.unreadable_text_h}, blur=%.0f<{settings.unreadable_blur})", F.bround(text_height, 1), F.bround(blur, 0))
+    return F.when(polys < settings.unreadable_min_polys, few).when((text_height < settings.unreadable_text_h) & (blur < settings.unreadable_blur), lost)
+
+
 def route(flat_frac: Column, bg_peak: Column, flat_min: float = 0.40, peak_min: float = 0.20) -> Column:
     return F.when((flat_frac >= flat_min) & (bg_peak >= peak_min), F.lit("digital")).otherwise(F.lit("photo"))
 
@@ -79,6 +86,13 @@ def cardinal(ratio: Column, label: Column, vote: dict[int, tuple[Column, Column]
     return F.when(ratio >= trigger, sideways).otherwise(upright)
 
 
+def turns_to_ask(ratio: Column, label: Column, trigger: float = 0.6, sure: float = 0.9) -> Column:
+    """The quarter turns at which cardinal() needs the line model's vote, as an array; null where it needs none."""
+    doc = F.when(label == "90", F.lit(1)).when(label == "270", F.lit(3))
+    sideways = F.when((ratio >= sure) & doc.isNotNull(), F.array(doc)).otherwise(F.array(F.lit(1), F.lit(3)))
+    return F.when(ratio >= trigger, sideways).when((label == "180") | label.isNull(), F.array(F.lit(0)))
+
+
 def deskew(tilt: Column, least: float = 0.5, most: float = 45.0) -> Column:
     """struct(degrees, decision): the turn to make, or why there is none."""
     why = F.when(tilt.isNull(), F.lit("insufficient_samples")).when(F.abs(tilt) > most, F.lit("capped")).when(F.abs(tilt) < least, F.lit("below_min")).otherwise(F.lit("applied"))

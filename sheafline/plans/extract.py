@@ -95,7 +95,7 @@ def extract(requests: DataFrame, complete: Callable[[], Callable], recognise: Ca
     recognise makes a recogniser: payload -> texts, scores and, if it knows, polys (lists
     of x, y). Requests with URLs need content fetched first (providers.fetch). stages:
     image stages over rows with content, e.g. plans.stages.prepare with its providers;
-    answers then carry image_quality, stages and total_ms. Each model is asked once for
+    answers then carry verdict, reject_reason, route, image_quality, stages and total_ms. Each model is asked once for
     a request, only triggered requests are recognised and completed again, and only
     their payloads are written down on the way. Reference ids may repeat.
     """
@@ -104,7 +104,7 @@ def extract(requests: DataFrame, complete: Callable[[], Callable], recognise: Ca
     good = good.withColumn("error", payload_error(F.col("content"))).withColumn("ref", reference_id(F.col("reference_id"), F.col("content")))
     rejected = rejected.unionByName(good.where("error IS NOT NULL").select(*requests.columns, F.array("error").alias("violations")))
     served = good.where("error IS NULL").select("ref", "content")
-    more = ("image_quality", "stages", "total_ms") if stages else ()
+    more = ("verdict", "reject_reason", "route", "image_quality", "stages", "total_ms") if stages else ()
     served = stages(served).select("ref", "content", *more) if stages else served
     primary = streamed(served.withColumn("prompt", F.concat(F.lit(rules.template), F.base64("content"))), complete).drop("prompt")
     primary = typed(primary, rules)

@@ -24,6 +24,12 @@ def query(sql: str | None = None):
     return register
 
 
+def sql_half_even(over: str, under: str, places: int) -> str:
+    """over/under (whole numbers) rounded to places, a tie to the even digit, without floats before the end."""
+    a, b = f"(2 * ({over})::HUGEINT * {10**places})", f"(2 * ({under})::HUGEINT)"
+    return f"(({a} + {b} // 2) // {b} - ({a} % {b} = {b} // 2 AND ({a} // {b}) % 2 = 0)::INT)::DOUBLE / {10**places}"
+
+
 #: Boxes made from an order's lines, in Spark and in SQL.
 X1, Y1 = "l_partkey % 50 * 10", "l_suppkey % 4 * 3 + l_linenumber % 3 * 20"
 X2, Y2 = f"({X1}) + 10 + l_quantity::INT % 20", f"({Y1}) + 8 + l_quantity::INT % 5"
@@ -330,10 +336,12 @@ def safe_splits(spark, d):
     f AS (SELECT doc_id, list_resize(v, (len(v) + 63) // 64 * 64, v[-1]) AS v FROM l),
     g AS (SELECT doc_id, rows, k // 64 AS y, k % 64 AS x, v FROM (SELECT doc_id, unnest(v) AS v, unnest(range(len(v))) AS k, len(v) // 64 AS rows FROM f)),
     c AS (SELECT *, lag(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS l, lead(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS r, lag(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS u, lead(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS d FROM g),
-    p AS (SELECT doc_id, v, (CASE WHEN rows > 1 THEN coalesce(l, r) + coalesce(r, l) + coalesce(u, d) + coalesce(d, u) ELSE coalesce(l, v) + coalesce(r, v) + 2 * v END - 4 * v)::DOUBLE AS lap FROM c),
-    t AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, v, count(*) AS n FROM p GROUP BY doc_id, v) GROUP BY doc_id)
-    SELECT doc_id, format('{:.1f}', var_pop(lap))::DOUBLE AS blur_lapvar, format('{:.1f}', avg(v))::DOUBLE AS brightness_mean, format('{:.4f}', avg((v >= 250)::INT))::DOUBLE AS highlight_clip_frac, format('{:.4f}', avg((v <= 5)::INT))::DOUBLE AS shadow_clip_frac,
-           format('{:.3f}', avg((abs(lap) <= 1)::INT))::DOUBLE AS flat_frac, format('{:.3f}', any_value(most) / count(*))::DOUBLE AS bg_peak FROM p JOIN t USING (doc_id) GROUP BY doc_id""")
+    p AS (SELECT doc_id, v, (CASE WHEN rows > 1 THEN coalesce(l, r) + coalesce(r, l) + coalesce(u, d) + coalesce(d, u) ELSE coalesce(l, v) + coalesce(r, v) + 2 * v END - 4 * v)::HUGEINT AS lap FROM c),
+    t AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, v, count(*) AS n FROM p GROUP BY doc_id, v) GROUP BY doc_id),
+    s AS (SELECT doc_id, count(*)::HUGEINT AS n, sum(lap) AS s1, sum(lap * lap) AS s2, sum(v)::HUGEINT AS v, count(*) FILTER (v >= 250) AS high, count(*) FILTER (v <= 5) AS low, count(*) FILTER (abs(lap) <= 1) AS flat FROM p GROUP BY doc_id)
+    SELECT doc_id, """ + ", ".join(f"{sql_half_even(a, b, places)} AS {name}" for name, a, b, places in (
+        ("blur_lapvar", "n * s2 - s1 * s1", "n * n", 1), ("brightness_mean", "v", "n", 1), ("highlight_clip_frac", "high", "n", 4),
+        ("shadow_clip_frac", "low", "n", 4), ("flat_frac", "flat", "n", 3), ("bg_peak", "most", "n", 3))) + " FROM s JOIN t USING (doc_id)")
 def image_stats(spark, d):
     """Statistics of the gray image that all bytes of a document make, 64 to a row."""
     got = table(spark, d, "documents").where("text <> ''").select("doc_id", images.byte_stats(F.to_binary("text", F.lit("utf-8")), 64).alias("s"))

@@ -177,7 +177,8 @@ def test_pages_are_turned_cut_and_scaled(spark, tmp_path):
     blank = np.random.default_rng(2).integers(160, 256, (200, 200, 3), dtype=np.uint8)
     rows = [("up", images.encode_ppm(page())), ("side", images.encode_ppm(page(upright=False))), ("junk", b"no image"), ("blank", images.encode_ppm(blank)), ("null", None)]
     df = spark.createDataFrame([(k, bytearray(c) if c is not None else None, 7) for k, c in rows], "ref string, content binary, page int")
-    out = stages.prepare(df, lambda: images.decode_ppm, find, lambda: images.encode_ppm)
+    drawn = config.load((), {"PP2_QUALITY_DIGITAL_BYPASS": "0"})  # bars on plain paper look like a screenshot
+    out = stages.prepare(df, lambda: images.decode_ppm, find, lambda: images.encode_ppm, drawn)
     assert out.columns[:3] == ["ref", "content", "page"]
     got = {r.ref: r for r in out.collect()}
     assert finds() == 4  # three pages, and the turned one again
@@ -192,7 +193,7 @@ def test_pages_are_turned_cut_and_scaled(spark, tmp_path):
         assert r.total_ms >= 0 and r.image_quality.median_text_height_px == 20.0 and r.verdict in ("readable", "marginal")
     assert got["junk"].content == b"no image" and got["junk"].stages["ingest"].error and got["junk"].image_quality is None
     assert got["null"].content is None and got["blank"].stages["detect"].error == "RuntimeError: blank" and got["blank"].verdict == "unreadable"
-    off = config.load((), {"PP2_ORIENT_ENABLED": "0", "PP2_LOCALIZE_ENABLED": "0", "PP2_FIT_ENABLED": "0", "PP2_GATE_ENABLED": "0"})
+    off = config.load((), {"PP2_QUALITY_DIGITAL_BYPASS": "0", "PP2_ORIENT_ENABLED": "0", "PP2_LOCALIZE_ENABLED": "0", "PP2_FIT_ENABLED": "0", "PP2_GATE_ENABLED": "0"})
     plain = {r.ref: r for r in stages.prepare(df, lambda: images.decode_ppm, bars, lambda: images.encode_ppm, off).collect()}
     assert plain["side"].content == dict(rows)["side"] and plain["blank"].verdict == "readable"
 
@@ -208,3 +209,122 @@ def test_answers_carry_image_quality(spark, tmp_path):
     sinks.write_answers(answers, f"file://{tmp_path}/out")
     got = {r.ref: json.loads(r.answer) for r in spark.read.json(f"file://{tmp_path}/out").collect()}
     assert got["a"]["image_quality"]["input_long_side"] == 400 and got["b"]["image_quality"] is None and got["a"]["merchant_name"] == "Shop"
+
+
+# ---- models of the stages ----
+
+
+def shaded(turns=0, paper=255, ink=0):
+    """A page whose bars are lighter at their upper edge, turned counter-clockwise."""
+    image = np.full((300, 400, 3), paper, np.uint8)
+    for y in range(40, 270, 30):
+        image[y : y + 10, 50:350], image[y + 10 : y + 20, 50:350] = ink + 50, ink
+    return np.ascontiguousarray(np.rot90(image, turns))
+
+
+def line_model():
+    """A stand-in text-line model: a crop stands on its head if its upper half is the darker one; None where it cannot tell."""
+    def run(crops):
+        out = []
+        for c in crops:
+            a, b = c[: len(c) // 2].mean(), c[(len(c) + 1) // 2 :].mean()
+            out.append(None if a == b else bool(a < b))
+        return out
+
+    return run
+
+
+DRAWN = {"PP2_QUALITY_DIGITAL_BYPASS": "0", "PP2_FIT_ENABLED": "0", "PP2_LOCALIZE_ENABLED": "0"}
+
+
+def prepared(spark, images_by_name, env, find=bars, **models):
+    df = spark.createDataFrame([(k, bytearray(images.encode_ppm(v))) for k, v in images_by_name.items()], "ref string, content binary")
+    return {r.ref: r for r in stages.prepare(df, lambda: images.decode_ppm, find, lambda: images.encode_ppm, config.load((), env), **models).collect()}
+
+
+def test_text_lines_turn_what_polygons_cannot_tell(spark, tmp_path):
+    lines, asked = counted(tmp_path, "lines", line_model)
+    pages = {f"{t}": shaded(t) for t in range(4)}
+    got = prepared(spark, pages, DRAWN, lines=lines)
+    for name, r in got.items():
+        assert (images.decode_ppm(bytes(r.content)) == pages["0"]).all(), name
+        assert r.stages["textline"].error is None
+    assert asked() == 4  # once a page, all turns in one batch
+    # Without the model, pages on their head stay so, and the detector's label is believed.
+    plain = prepared(spark, pages, DRAWN)
+    assert (images.decode_ppm(bytes(plain["2"].content)) == pages["2"]).all() and (images.decode_ppm(bytes(plain["1"].content)) == pages["2"]).all()
+
+
+def test_votes_take_the_largest_crops_and_fail_in_their_row(spark):
+    seen = lambda n: (lambda: lambda crops: [len(crops) != n] * len(crops))
+    of = lambda env, n: (images.decode_ppm(bytes(prepared(spark, {"a": shaded(0)}, DRAWN | env, lines=seen(n))["a"].content)) == shaded(0)).all()
+    assert of({}, 5) and of({"PP2_ORIENT_TEXTLINE_SAMPLE": "3"}, 3) and not of({"PP2_ORIENT_TEXTLINE_SAMPLE": "3"}, 5)
+    # No crop is large enough: the model is not asked.
+    assert of({"PP2_ORIENT_TEXTLINE_MIN_SIDE_PX": "21"}, -1)
+
+    def broken():
+        return lambda crops: [True]
+
+    r = prepared(spark, {"a": shaded(0)}, DRAWN, lines=broken)["a"]
+    assert "1 answers to 5 crops" in r.stages["textline"].error and (images.decode_ppm(bytes(r.content)) == shaded(0)).all()
+
+
+def bright():
+    return lambda crops: [float(c.mean()) / 255 for c in crops]
+
+
+def test_marginal_pages_take_even_light_where_it_reads_better(spark, tmp_path):
+    score, asked = counted(tmp_path, "score", bright)
+    poor = DRAWN | {"PP2_GATE_MARGINAL_BLUR": "1e9", "PP2_GATE_VARIANTS_ENABLED": "1", "PP2_PHOTOMETRIC_CLAHE_CLIP": "0.01"}
+    pages = {"dim": shaded(paper=160, ink=60)}
+    got = prepared(spark, pages, poor, score=score)["dim"]
+    assert (got.verdict, got.light) == ("marginal", "photometric") and asked() == 1 and got.stages["gate"].error is None
+    assert (images.decode_ppm(bytes(got.content)) == images.even_light(pages["dim"], 0.125, 0.01, 8)).all()
+    # Too little gain, a readable page, no variants: the page stays as it is.
+    for env, calls, light in (({"PP2_GATE_VARIANT_MIN_GAIN": "5"}, 2, "minimal"), ({"PP2_GATE_MARGINAL_BLUR": "0", "PP2_GATE_MARGINAL_TEXT_H": "0"}, 2, None), ({"PP2_GATE_VARIANTS_ENABLED": "0"}, 2, None)):
+        r = prepared(spark, pages, poor | env, score=score)["dim"]
+        assert (r.light, asked()) == (light, calls) and (images.decode_ppm(bytes(r.content)) == pages["dim"]).all()
+
+
+def test_the_scorer_gets_both_lights_of_the_largest_crops(spark):
+    def of(wanted):
+        return lambda: lambda crops: [1.0 if k >= len(crops) // 2 else 0.0 for k in range(len(crops))] if len(crops) == wanted else []
+
+    poor = DRAWN | {"PP2_GATE_MARGINAL_BLUR": "1e9", "PP2_GATE_VARIANTS_ENABLED": "1"}
+    assert prepared(spark, {"a": shaded()}, poor, score=of(16))["a"].light == "photometric"  # eight bars, twice
+    assert prepared(spark, {"a": shaded()}, poor | {"PP2_GATE_VARIANT_SAMPLE": "3"}, score=of(6))["a"].light == "photometric"
+    assert prepared(spark, {"a": shaded()}, poor, score=of(5))["a"].light is None  # no scores: nothing is chosen
+
+    def broken():
+        def run(crops):
+            raise RuntimeError("no scorer")
+
+        return run
+
+    r = prepared(spark, {"a": shaded()}, poor, score=broken)["a"]
+    assert r.light is None and r.verdict == "marginal" and r.stages["gate"].error == "RuntimeError: no scorer"
+
+
+def test_digital_pages_pass_by(spark, tmp_path):
+    find, finds = counted(tmp_path, "find", bars)
+    score, scores = counted(tmp_path, "score", bright)
+    lines, asked = counted(tmp_path, "lines", line_model)
+    env = {"PP2_FIT_ENABLED": "0", "PP2_GATE_VARIANTS_ENABLED": "1", "PP2_GATE_MARGINAL_BLUR": "1e9", "PP2_PHOTOMETRIC_ENABLED": "1"}
+    got = prepared(spark, {"screen": shaded(1)}, env, find=find, score=score, lines=lines)["screen"]
+    assert (got.route, got.verdict, got.reject_reason, finds(), scores(), asked()) == ("digital", "readable", None, 0, 0, 0)
+    assert (images.decode_ppm(bytes(got.content)) == shaded(1)).all()
+
+
+def test_reasons_and_routes_reach_the_answers(spark):
+    pages = {"few": np.random.default_rng(1).integers(100, 256, (60, 60, 3), dtype=np.uint8), "good": shaded()}
+    rows = [(None, [base64.b64encode(images.encode_ppm(v)).decode()], k) for k, v in pages.items()]
+    df = spark.createDataFrame(rows, "images_url array<string>, images_base64 array<string>, reference_id string")
+    find = lambda: (lambda image, b=bars(): b(image) if image.shape[0] > 100 else {"polys": []})
+    shop = lambda: (lambda prompt: {"raw_text": '{"mn":"Shop"}', "finish_reason": "stop"})
+    drawn = config.load((), {"PP2_QUALITY_DIGITAL_BYPASS": "0"})
+    answers, _ = extract(df, shop, reader, Rules(), stages=lambda rows: stages.prepare(rows, lambda: images.decode_ppm, find, lambda: images.encode_ppm, drawn))
+    got = {r.ref: r for r in answers.collect()}
+    assert (got["few"].verdict, got["few"].reject_reason) == ("unreadable", "no_text_detected(n_polys=0<3)")
+    assert (got["good"].reject_reason, got["good"].route, got["good"].merchant_name) == (None, "photo", "Shop")
+    suppressed = prepared(spark, {"few": pages["few"]}, {"PP2_GATE_REJECT_ENABLED": "0"}, find=find)["few"]
+    assert (suppressed.verdict, suppressed.reject_reason) == ("marginal", None)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -138,16 +139,112 @@ def test_images_decode_and_turn():
     assert images.pad(rgb, 5).shape == (12, 14, 3)
     flat = images.stats(np.full((20, 20), 200, np.uint8))
     assert flat["blur_lapvar"] == 0 and flat["flat_frac"] == 1 and flat["bg_peak"] == 1
-    assert images.even_light(np.full((40, 40, 3), 90, np.uint8)).mean() == 220
 
 
-def test_even_light_matches_windows():
+def test_even_light_takes_the_background_out():
     image = np.random.default_rng(4).integers(0, 256, (40, 33, 3), dtype=np.uint8)
-    k = 15
-    windows = lambda x, of: np.array([[of(x[max(0, 0) :][np.clip(np.arange(r - k // 2, r + k // 2 + 1), 0, 39)][:, np.clip(np.arange(c - k // 2, c + k // 2 + 1), 0, 32)]) for c in range(33)] for r in range(40)])
-    ground = windows(windows(windows(images.gray(image).astype(float), np.max), np.min), np.mean)
-    want = np.clip(np.rint(image * (220.0 / np.maximum(ground, 1))[:, :, None]), 0, 255)
-    assert np.abs(images.even_light(image).astype(int) - want).max() <= 1
+    light, a, b = images.to_lab(image)
+    at = lambda n, c: np.clip(np.arange(c - 7, c + 8), 0, n - 1)
+    windows = lambda x, of: np.array([[of(x[at(40, r)][:, at(33, c)]) for c in range(33)] for r in range(40)])
+    closed = windows(windows(light, np.max), np.min).astype(float)
+    taps = np.exp(-0.5 * (np.arange(-8, 9) / 2.5) ** 2)
+    mirror = lambda n, k: k if 0 <= k < n else -k if k < 0 else 2 * n - 2 - k
+    mean = lambda r, c: sum(taps[i] * taps[j] * closed[mirror(40, r + i - 8), mirror(33, c + j - 8)] for i in range(17) for j in range(17)) / taps.sum() ** 2
+    ground = np.array([[max(1, round(mean(r, c))) for c in range(33)] for r in range(40)])
+    even = np.clip(np.rint(light * (220.0 / ground)), 0, 255).astype(np.uint8)
+    got = images.even_light(image, 0.125, 2.0, 8)
+    assert (got == images.from_lab(images.local_contrast(even, 2.0, 8), a, b)).mean() > 0.999
+    assert abs(images.even_light(np.full((40, 40, 3), 90, np.uint8), clip=40.0).mean() - 220) <= 40
+
+
+def test_colours_survive_lab():
+    image = np.random.default_rng(7).integers(0, 256, (50, 40, 3), dtype=np.uint8)
+    assert np.abs(images.from_lab(*images.to_lab(image)).astype(int) - image).mean() < 1.5
+    gray = np.repeat(np.arange(256, dtype=np.uint8)[:, None, None], 3, axis=2)
+    light, a, b = images.to_lab(gray)
+    assert (np.abs(a.astype(int) - 128) <= 1).all() and (np.abs(b.astype(int) - 128) <= 1).all() and (np.diff(light.astype(int).ravel()) >= 0).all() and light[0] == 0 and light[-1] == 255
+    assert np.abs(images.from_lab(light, a, b).astype(int) - gray).max() <= 2
+
+
+def equalised(g, clip, grid):
+    """Tile by tile and pixel by pixel."""
+    h, w = g.shape
+    th, tw = -(-h // grid), -(-w // grid)
+    mirror = lambda n, k: k if k < n else 2 * n - 2 - k
+    tables = {}
+    for ty in range(grid):
+        for tx in range(grid):
+            counts = [0] * 256
+            for y in range(ty * th, ty * th + th):
+                for x in range(tx * tw, tx * tw + tw):
+                    counts[g[mirror(h, y), mirror(w, x)]] += 1
+            if clip:
+                limit = max(1, int(clip * th * tw / 256))
+                over = sum(max(0, c - limit) for c in counts)
+                counts = [min(c, limit) + over // 256 for c in counts]
+                rest = over % 256
+                for k in range(rest):
+                    counts[k * max(256 // rest, 1)] += 1
+            total, table = 0, []
+            for c in counts:
+                total += c
+                table.append(min(255, round(total * (255 / (th * tw)))))
+            tables[ty, tx] = table
+    out = np.zeros_like(g)
+    for y in range(h):
+        for x in range(w):
+            ay, ax = y / th - 0.5, x / tw - 0.5
+            y0, x0 = math.floor(ay), math.floor(ax)
+            fy, fx = ay - y0, ax - x0
+            of = lambda ty, tx, v=g[y, x]: tables[min(max(ty, 0), grid - 1), min(max(tx, 0), grid - 1)][v]
+            out[y, x] = round((of(y0, x0) * (1 - fx) + of(y0, x0 + 1) * fx) * (1 - fy) + (of(y0 + 1, x0) * (1 - fx) + of(y0 + 1, x0 + 1) * fx) * fy)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_local_contrast_equals_loops(seed):
+    rng = np.random.default_rng(seed)
+    h, w, grid = int(rng.integers(17, 60)), int(rng.integers(17, 60)), int(rng.integers(1, 9))
+    g = np.clip(rng.normal(rng.integers(40, 200), rng.integers(1, 60), (h, w)), 0, 255).astype(np.uint8)
+    clip = [0.0, 1.0, 2.0, 7.5][seed % 4]
+    assert (images.local_contrast(g, clip, grid) == equalised(g, clip, grid)).all()
+
+
+def cubic_at(image, y, x):
+    """The value between pixels, from sixteen of them."""
+    k = lambda d: (1.25 * d - 2.25) * d * d + 1 if d <= 1 else ((-0.75 * d + 3.75) * d - 6) * d + 3 if d < 2 else 0.0
+    h, w = image.shape[:2]
+    y0, x0 = math.floor(y), math.floor(x)
+    return sum(k(abs(y - j)) * k(abs(x - i)) * image[min(max(j, 0), h - 1), min(max(i, 0), w - 1)].astype(float) for j in range(y0 - 1, y0 + 3) for i in range(x0 - 1, x0 + 3))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cubic_resampling_equals_loops(seed):
+    rng = np.random.default_rng(seed)
+    h, w, nh, nw = (int(v) for v in rng.integers(8, 40, 4))
+    image = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+    want = np.array([[cubic_at(image, (y + 0.5) * h / nh - 0.5, (x + 0.5) * w / nw - 0.5) for x in range(nw)] for y in range(nh)])
+    assert np.abs(images.resize_cubic(image, nw, nh) - np.clip(want, 0, 255)).max() <= 0.501
+    degrees = float(rng.uniform(-40, 40))
+    turned, c, s = images.rotate_free(image, degrees), math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    th, tw = turned.shape[:2]
+    want = np.array([[cubic_at(image, s * (x - tw / 2) + c * (y - th / 2) + h / 2, c * (x - tw / 2) - s * (y - th / 2) + w / 2) for x in range(tw)] for y in range(th)])
+    assert np.abs(turned - np.clip(want, 0, 255)).max() <= 0.501
+
+
+def test_cubic_keeps_constant_and_linear_images():
+    flat = np.full((12, 9, 3), 77, np.uint8)
+    assert (images.resize_cubic(flat, 31, 5) == 77).all() and (images.rotate_free(flat, 13.0) == 77).all()
+    ramp = np.repeat((np.arange(40, dtype=np.uint8) * 4)[:, None, None], 3, axis=2).repeat(9, axis=1)
+    want = np.clip((np.arange(80) + 0.5) / 2 - 0.5, 0, 39) * 4
+    # Inside, a slope of four levels a pixel comes out within a level.
+    assert np.abs(images.resize_cubic(ramp, 9, 80)[4:-4, 4, 0] - want[4:-4]).max() <= 1
+    assert images.resize_cubic(ramp, 9, 40) is ramp
+
+
+def test_statistics_are_exact_at_ties():
+    g = np.tile(np.array([[0, 1, 0, 0]], np.uint8), (5, 5))  # a mean of 0.25
+    assert images.stats(g)["brightness_mean"] == 0.2 and images.half_even(35, 100, 1) == 0.4 and images.half_even(25, 100, 1) == 0.2 and images.half_even(-25, 100, 1) == -0.2
 
 
 def test_stats_match_loops():
