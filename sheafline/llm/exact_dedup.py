@@ -3,8 +3,9 @@
 Every partition packs its 64-bit fingerprints into counting quotient filters, one
 for each slice of the fingerprint space. A slice's filters are merged by their
 sorted remainders, which loses nothing, as quotient and remainder together are the
-whole fingerprint. Only rows whose fingerprint has a count above one have their
-text shuffled and compared byte by byte.
+whole fingerprint. A large table's slices are cut again, level by level, so that a
+filter holds thousands of fingerprints however many rows there are. Only rows whose
+fingerprint has a count above one have their text shuffled and compared byte by byte.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import among, materialize, numbered, ship, without
+from sheafline.llm.common import among, materialize, numbered, ship, small_batches, without
 
 ship(__name__)
 
-#: Fingerprints that one filter is built from at most, and about so many a slice.
-FILTER_ROWS, SLICE_ROWS = 1 << 20, 1 << 16
+#: Fingerprints that are cut into filters together, about so many a slice at last, and bits of the space that one
+#: level cuts at most: 2^20 fingerprints become 256 filters of some 4096.
+FILTER_ROWS, SLICE_ROWS, LEVEL_BITS = 1 << 20, 1 << 16, 8
+#: Fingerprints of one filter at most (some 110 kB), as frames of filters are counted in rows.
+FILTER_MOST = 8192
 OCCUPIED, RUN_END, COUNTER, USED = 1, 2, 4, 8
 
 
@@ -115,22 +119,46 @@ def merged_two(p: np.ndarray, c: np.ndarray, q: np.ndarray, d: np.ndarray) -> tu
     return np.insert(p, at[~same], q[~same]), np.insert(c, at[~same], d[~same])
 
 
+def slices_of(rows: int) -> int:
+    """Slices of the fingerprint space for so many rows, a power of two."""
+    return 1 << max(4, (rows // SLICE_ROWS).bit_length())
+
+
+def levels(slices: int) -> list[int]:
+    """The bits that name a slice after each level, alike many new ones a level, the last those of `slices`."""
+    bits = slices.bit_length() - 1
+    n = max(1, -(-bits // LEVEL_BITS))
+    return [bits * k // n for k in range(1, n + 1)]
+
+
+def filters_of(prints: np.ndarray, counts: np.ndarray, bits: int) -> pd.DataFrame:
+    """(slice, filter) of sorted distinct fingerprints, a slice named by their first bits."""
+    part = (prints >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(prints), np.int64)
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(prints) else []
+    rows = []
+    for a, b in zip(cut, [*cut[1:], len(prints)]):
+        n = -(-(b - a) // FILTER_MOST)
+        for k in range(n):
+            some = slice(a + (b - a) * k // n, a + (b - a) * (k + 1) // n)
+            # Inside a slice the top bits are all alike: shift them out to spread the quotients.
+            rows.append((int(part[a]), CountingQuotientFilter.build(prints[some] << np.uint64(bits), counts[some]).pack()))
+    return pd.DataFrame(rows, columns=["slice", "filter"])
+
+
+def whole_prints(slice_: int, bits: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A filter's fingerprints, with the bits of its slice again, and their counts."""
+    p, c = CountingQuotientFilter.unpack(data).items()
+    return (p >> np.uint64(bits)) | np.uint64(slice_ << (64 - bits)) if bits else p, c
+
+
 def repeated_fingerprints(prints: DataFrame, slices: int) -> DataFrame:
     """(fp long) of every fingerprint that prints (fp long) holds more than once.
 
-    slices: a power of two; a slice is a contiguous part of the fingerprint space.
+    slices: a power of two; a slice is a contiguous part of the fingerprint space. Each
+    level shuffles the filters by slice; but for the last, it adds up to FILTER_ROWS
+    fingerprints of a slice at a time and cuts them into finer slices.
     """
-    s = slices.bit_length() - 1
-
-    def emit(parts: list[np.ndarray]) -> pd.DataFrame:
-        p, c = np.unique(np.concatenate(parts), return_counts=True)
-        part = (p >> np.uint64(64 - s)).astype(np.int64) if s else np.zeros(len(p), np.int64)
-        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        rows = []
-        for a, b in zip(cut, [*cut[1:], len(p)]):
-            # Inside a slice the top bits are all alike: shift them out to spread the quotients.
-            rows.append((int(part[a]), CountingQuotientFilter.build(p[a:b] << np.uint64(s), c[a:b]).pack()))
-        return pd.DataFrame(rows, columns=["slice", "filter"])
+    steps = levels(slices)
 
     def build(batches):
         held, n = [], 0
@@ -139,19 +167,32 @@ def repeated_fingerprints(prints: DataFrame, slices: int) -> DataFrame:
                 held.append(pdf["fp"].to_numpy().view(np.uint64))
                 n += len(pdf)
             if n >= FILTER_ROWS:
-                yield emit(held)
+                yield filters_of(*np.unique(np.concatenate(held), return_counts=True), steps[0])
                 held, n = [], 0
         if n:
-            yield emit(held)
-
-    def merge(key, pdf):
-        # Inside a slice, quotient and remainder of one filter are in the order of those of any other.
-        p, c = merged([CountingQuotientFilter.unpack(x).items() for x in pdf["filter"]])
-        top = np.uint64(int(key[0]) << (64 - s)) if s else np.uint64(0)
-        return pd.DataFrame({"fp": ((p[c > 1] >> np.uint64(s)) | top).view(np.int64)})
-
-    filters = prints.mapInPandas(build, "slice int, filter binary")
-    return filters.groupBy("slice").applyInPandas(merge, "fp long")
+            yield filters_of(*np.unique(np.concatenate(held), return_counts=True), steps[0])
+
+    def by_slice(filters: DataFrame, bits: int, give, rows: int | None, schema: str) -> DataFrame:
+        """give(merged fingerprints, counts) for a slice's filters, up to some `rows` fingerprints at a time (None: all)."""
+        def run(batches):
+            at, held, n = None, [], 0
+            for pdf in batches:
+                for slice_, data in zip(pdf["slice"], pdf["filter"]):
+                    if held and (slice_ != at or rows is not None and n >= rows):
+                        yield give(*merged(held))
+                        held, n = [], 0
+                    at = slice_
+                    held.append(whole_prints(int(slice_), bits, data))
+                    n += len(held[-1][0])
+            if held:
+                yield give(*merged(held))
+
+        return small_batches(filters.repartition("slice").sortWithinPartitions("slice")).mapInPandas(run, schema)
+
+    filters = prints.mapInPandas(build, "slice long, filter binary")
+    for bits, finer in zip(steps, steps[1:]):
+        filters = by_slice(filters, bits, lambda p, c, finer=finer: filters_of(p, c, finer), FILTER_ROWS, "slice long, filter binary")
+    return by_slice(filters, steps[-1], lambda p, c: pd.DataFrame({"fp": p[c > 1].view(np.int64)}), None, "fp long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,8 +212,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wide = wide.withColumn("fp", F.xxhash64("norm"))
     narrow = materialize(wide.select("doc_id", "chars", "fp", F.unhex(F.sha2("norm", 256)).alias("sha")))
     n = narrow.count()
-    slices = 1 << max(4, (n // SLICE_ROWS).bit_length())
-    again = materialize(repeated_fingerprints(narrow.select("fp"), slices), n)
+    again = materialize(repeated_fingerprints(narrow.select("fp"), slices_of(n)), n)
 
     # Byte verification: only rows with a repeated fingerprint bring their text along,
     # and equal texts collapse map-side before the shuffle.

@@ -45,6 +45,30 @@ def test_repeated_fingerprints(spark, slices):
     assert {r.fp for r in exact_dedup.repeated_fingerprints(df, slices).collect()} == set(values[:40])
 
 
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_levels_lose_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(exact_dedup, "LEVEL_BITS", bits)
+    monkeypatch.setattr(exact_dedup, "FILTER_ROWS", 64)
+    rng = random.Random(bits)
+    values = [rng.randrange(-(2**63), 2**63) for _ in range(2000)] + [-1, 0, 2**63 - 1, -(2**63)]
+    rows = values + values[:300] * 2 + [values[5]] * 500
+    df = spark.createDataFrame([(v,) for v in rows], "fp long").repartition(7)
+    got = [r.fp for r in exact_dedup.repeated_fingerprints(df, 64).collect()]
+    assert len(got) == 300 and set(got) == set(values[:300])
+    assert exact_dedup.repeated_fingerprints(df.limit(0), 64).collect() == []
+
+
+def test_filters_hold_thousands_of_fingerprints_at_any_size():
+    for rows in (1, 10**5, 10**8, 5 * 10**10, 10**13):
+        slices = exact_dedup.slices_of(rows)
+        steps = exact_dedup.levels(slices)
+        assert steps[-1] == slices.bit_length() - 1 and all(0 < b - a <= 8 for a, b in zip([0, *steps], steps))
+        assert all(exact_dedup.FILTER_ROWS >> (b - a) >= 4096 for a, b in zip([0, *steps], steps)) and rows // slices <= exact_dedup.SLICE_ROWS
+    prints = np.sort(np.random.default_rng(0).integers(0, 2**64, 1 << 20, dtype=np.uint64))
+    made = exact_dedup.filters_of(prints, np.ones(len(prints), np.int64), 8)
+    assert len(made) == 256 and made["filter"].map(len).sum() / len(prints) < 14
+
+
 def test_against_brute_force_with_every_odd_case(spark):
     rows = [(3, "a b"), (1, "ab "), (2, "a\tb"), (9, None), (8, ""), (7, " \x0b"), (5, "é"), (5, "é"), (6, "x" * 300_000), (4, "x " * 300_000), (None, "q"), (10, "A b"), (11, "a\xa0b")]
     df = spark.createDataFrame([(i, t, 0, "k", 1) for i, t in rows], "doc_id long, text string, fp int, norm string, chars int")
