@@ -19,8 +19,10 @@ ship(__name__)
 
 #: Features, n-gram lengths, added count, labelled rows to learn from for each language, and characters hashed in one go.
 FEATURES, LENGTHS, ALPHA, ROWS, CHARS = 1 << 15, (1, 2, 3), 0.1, 3000, 500_000
-#: Labels that a model learns at most, the most frequent ones: with FEATURES, the bound of what is broadcast (64 MB).
-LANGUAGES = 512
+#: Bytes of a model at most, as it is broadcast: 2048 languages of FEATURES. More labels are an error, never a choice among them.
+MODEL_BYTES = 256 << 20
+#: Languages that are scored in one go.
+BLOCK = 16
 UNKNOWN = "und"
 #: keep_known() rejects a text whose likeliest language is less likely than all others together.
 LEAST_SCORE = 0.5
@@ -96,7 +98,10 @@ class Model:
             for c in range(0, len(part), 1 << 12):
                 rows = part[c : c + (1 << 12)]
                 spots, starts = hashed([x for _, x, _ in rows], [n for _, _, n in rows], len(self.logp))
-                np.add.at(found, [k for k, _, _ in rows], np.add.reduceat(self.logp[spots], starts[:-1], axis=0, dtype=np.float64))
+                of = [k for k, _, _ in rows]
+                for first in range(0, len(self.languages), BLOCK):
+                    block = slice(first, first + BLOCK)
+                    np.add.at(found[:, block], of, np.add.reduceat(self.logp[:, block][spots], starts[:-1], axis=0, dtype=np.float64))
         return found + self.prior
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -112,26 +117,31 @@ class Model:
         return names, sure
 
 
-def sampled(labelled: DataFrame, rows: int = ROWS, seed: int = 11, languages: int = LANGUAGES) -> DataFrame:
-    """(text, lang): about `rows` of each of the most frequent languages of (doc_id, text, lang) rows.
+def sampled(labelled: DataFrame, rows: int = ROWS, seed: int = 11, languages: int = MODEL_BYTES // (4 * FEATURES)) -> DataFrame:
+    """(text, lang): about `rows` of each language of (doc_id, text, lang) rows; an error beyond so many languages.
 
-    Rows are drawn by a seeded hash of their id (null ids: of their text), so copies of a
-    text count as often as they are drawn and no group of copies is in or out as a whole.
+    Rows are drawn by a seeded hash of their id, so copies of a text count as often as they
+    are drawn and no group of copies is in or out as a whole. Rows without an id are drawn by
+    their text and their place in the table.
     """
     labelled = labelled.where("lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return labelled.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < rows).select("text", "lang")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    found = sizes.count()
+    if found > languages:
+        raise ValueError(f"{found} languages of {languages} that a model holds: train with fewer features, or raise MODEL_BYTES")
+    draw = lambda *key: F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    place = labelled.withColumn("place", F.monotonically_increasing_id())
+    drawn = F.when(F.col("doc_id").isNull(), draw(F.col("text"), F.col("place"))).otherwise(draw(F.col("doc_id").cast("string")))
+    return place.join(F.broadcast(sizes), "lang").where(drawn * F.col("n") < rows).select("text", "lang")
 
 
 def train(labelled: DataFrame, rows: int = ROWS, features: int = FEATURES, seed: int = 11) -> Model:
     """A model of (doc_id, text, lang) rows, whole texts, learned from what sampled() draws.
 
-    Rows with a null lang or no letter teach nothing; nor do labels beyond the LANGUAGES
-    most frequent ones. Priors are uniform.
+    Rows with a null lang or no letter teach nothing. Every other label is learned; if
+    languages x features pass MODEL_BYTES, that is an error. Priors are uniform.
     """
-    picked = sampled(labelled, rows, seed)
+    picked = sampled(labelled, rows, seed, MODEL_BYTES // (4 * features))
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
@@ -146,12 +156,18 @@ def train(labelled: DataFrame, rows: int = ROWS, features: int = FEATURES, seed:
             at = np.flatnonzero(table)
             yield pd.DataFrame({"lang": lang, "feature": at.astype(np.int32), "n": table[at]})
 
-    sums = small_batches(picked).mapInPandas(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(sums["lang"].unique())
-    counts = np.zeros((features, len(languages)))
-    counts[sums["feature"], sums["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(int)] = sums["n"]
-    logp = np.log(counts + ALPHA) - np.log((counts + ALPHA).sum(axis=0))
-    return Model(languages, logp.astype(np.float32), np.full(len(languages), -np.log(max(1, len(languages)))))
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A language's log-probabilities; a language has `features` rows at most."""
+        counts = np.full(features, ALPHA)
+        counts[pdf["feature"]] += pdf["n"]
+        return pd.DataFrame({"lang": [key[0]], "logp": [(np.log(counts) - np.log(counts.sum())).astype("<f4").tobytes()]})
+
+    sums = small_batches(picked).mapInPandas(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    # What reaches the driver is the model itself, a row of bytes for each language.
+    packed = sorted((r.lang, r.logp) for r in sums.groupBy("lang").applyInPandas(pack, "lang string, logp binary").collect())
+    languages = [lang for lang, _ in packed]
+    logp = np.stack([np.frombuffer(bytes(x), "<f4") for _, x in packed], axis=1) if packed else np.zeros((features, 0), np.float32)
+    return Model(languages, np.ascontiguousarray(logp), np.full(len(languages), -np.log(max(1, len(languages)))))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sheafline.llm import bpe, langid, lm_score
@@ -122,10 +123,23 @@ def test_the_sample_is_bounded_and_never_empty(spark):
     assert 750 < got["en"] < 1050 and 750 < got["fr"] <= 1000
     copies = langid.sampled(df, rows=900).where("text = 'a copy'").count()
     assert 400 < copies < 800  # as many as a third of the rows are
-    assert {r.lang for r in langid.sampled(df, rows=900, languages=1).collect()} == {"en"}
+    with pytest.raises(ValueError, match="2 languages of 1"):
+        langid.sampled(df, rows=900, languages=1)
+    unnamed = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert 400 < langid.sampled(unnamed, rows=900).where("text = 'a copy'").count() < 800  # not all copies or none
     assert langid.sampled(df.limit(0)).collect() == []
 
 
+def test_more_labels_than_512_are_all_learned(spark):
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03d}")
+    rows = [(k * 3 + j, f"{name(k)} {name(k)}{name(k)} " * 3, f"x{k:03d}") for k in range(513) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(df, features=1 << 12)
+    assert len(model.languages) == 513
+    got = langid.identify(spark.createDataFrame([(k, name(k) * 2) for k in range(0, 513, 8)], "doc_id long, text string"), model).collect()
+    assert np.mean([r.lang_pred == f"x{r.doc_id:03d}" for r in got]) > 0.9
+
+
 def test_language_scores_match_loops():
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b"], np.log(rng.random((langid.FEATURES, 2))).astype(np.float32), np.log([0.5, 0.5]))
