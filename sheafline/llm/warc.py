@@ -25,8 +25,8 @@ from sheafline.scratch import delete, scratch_path
 ship(__name__)
 
 CRLF = "\r\n"
-#: Payload bytes from which on records have archives of their own, and how many records such an archive holds at
-#: most: a file is read as one row, and has some 64 MB at most or a single record.
+#: Payload bytes from which on records have archives of their own, and how many rows such an archive is taken from:
+#: a file is read as one row, and has some 64 MB at most or a single record.
 ARCHIVES = ((0, 1000), (1 << 16, 64), (1 << 20, 4), (1 << 24, 1))
 #: Digests that are broadcast at most (some 20 MB).
 BROADCAST_DIGESTS = 1 << 18
@@ -63,7 +63,10 @@ def with_first(rows: DataFrame, firsts: DataFrame, most: int = BROADCAST_DIGESTS
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = DATE) -> None:
-    """One WARC record for each row of pages (page_id, url, html), at path, in folders by payload size.
+    """One WARC record for each row of pages (page_id, url, html), at path, in folders by payload size and stretches of rows.
+
+    Pages are read twice: for their headers, and to be written in one job. An archive holds
+    what a stretch of a task's rows has of one class of payload size.
 
     Of records with equal payloads of least_bytes or more the one with the smallest
     page_id is a response, others are revisits of it. Rows repeated with that id are
@@ -75,14 +78,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("digest"))
     headers = materialize(rows.select("page_id", "payload_bytes", "digest"))
     firsts = materialize(resolve(headers, least_bytes))
-    bounds = [*(least for least, _ in ARCHIVES), None]
-    within = lambda k: (F.col("payload_bytes") >= bounds[k]) & (F.lit(True) if bounds[k + 1] is None else F.col("payload_bytes") < bounds[k + 1])
-    used = headers.agg(*(F.count(F.when(within(k), 1)) for k in range(len(ARCHIVES)))).first()
-    for k, (_, records) in enumerate(ARCHIVES):
-        if used[k] or not k:
-            out = with_first(rows.where(within(k)), firsts).select(record_of(date).alias("value"))
-            # The writer puts the separator behind every record, also the last.
-            out.write.option("lineSep", CRLF * 2).option("compression", "none").option("maxRecordsPerFile", records).text(f"{path}/{k}")
+    large = F.coalesce(*(F.when(F.col("payload_bytes") >= least, k) for k, (least, _) in reversed([*enumerate(ARCHIVES)])))
+    held = F.get(F.array(*(F.lit(n) for _, n in ARCHIVES)), F.col("class"))
+    placed = with_first(rows, firsts).select(large.alias("class"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), record_of(date).alias("value"))
+    # The writer puts the separator behind every record, also the last.
+    out = placed.select("class", F.floor(F.col("row") / held).alias("stretch"), "value").write.partitionBy("class", "stretch")
+    out.option("lineSep", CRLF * 2).option("compression", "none").text(path)
     discard(headers)
     discard(firsts)
 

@@ -109,7 +109,7 @@ def test_archives_round_trip(spark, tmp_path):
         else:
             assert r.html is None and r.original_bytes == r.payload_bytes and r.refers_to == min(i for i in next(v for k, v in html.items() if base64.b32encode(hashlib.sha1(k.encode()).digest()).decode() == r.payload_digest) if i is not None)
     assert Counter(r.record_type for r in whole) == {"response": 7, "revisit": 3}
-    data = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("*/*.txt"))
+    data = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("*/*/*.txt"))
     assert len(re.findall(rb"(?:^|\r\n\r\n)WARC/1\.1\r\nWARC-Type", data)) == len(rows) and b"\r\nX: y" not in data
     assert warc.round_trip(df.limit(0)).collect() == []
     assert {r.record_type for r in warc.round_trip(df, least_bytes=10**9).collect()} == {"response"}
@@ -125,8 +125,8 @@ def test_archives_are_bounded_in_bytes_and_records(spark, tmp_path):
     rows = [(i, "u", f"{i} " + "x" * size) for i, size in enumerate([10] * 2500 + [100_000] * 130 + [3_000_000] * 9 + [20_000_000] * 2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     warc.write_archives(df, f"file://{tmp_path}/w")
-    files = sorted((tmp_path / "w").glob("*/*.txt"))
-    assert Counter(f.parent.name for f in files) == {"0": 3, "1": 3, "2": 3, "3": 2} and max(f.stat().st_size for f in files) < 65 << 20
+    files = sorted((tmp_path / "w").glob("*/*/*.txt"))
+    assert Counter(f.parent.parent.name for f in files) == {"class=0": 3, "class=1": 3, "class=2": 3, "class=3": 2} and max(f.stat().st_size for f in files) < 65 << 20
     got = warc.read_archives(spark, f"file://{tmp_path}/w", payloads=False)
     assert got.count() == len(rows) and got.where("html IS NOT NULL").isEmpty()
 
@@ -192,6 +192,16 @@ def test_written_shards_read_in_slot_order(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == list(range(100)) and Counter(r.shard for r in got) == {k: 25 for k in range(4)}
 
 
+def test_shards_keep_every_row_whatever_its_id(spark, tmp_path):
+    rows = [(None, "a", "x"), (None, "b", "x"), (1, "c", "y"), (1, "d", None), (2, None, "x"), (None, "a", "x")]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, size int")
+    sharding.write_shards(df, f"file://{tmp_path}/s", shards=2)
+    got = spark.read.parquet(f"file://{tmp_path}/s").collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.doc_id, r.text, r.source) for r in got), key=key) == sorted(rows, key=key)
+    assert Counter(r.shard for r in got) == {0: 3, 1: 3} and {r["size"] for r in got} == {9}
+
+
 # ---- chats ----
 
 def test_chats_read_back_whatever_they_say(spark):
