@@ -10,7 +10,7 @@ it each has a share by how often the words of its hash slot occur, and a word th
 never seen has one too.
 
 Vocabulary and frequencies are counted over all documents. Training is data parallel:
-documents are dealt into groups by a hash of their id, each group starts from the shared
+documents are dealt into groups by a hash of their id and words, each group starts from the shared
 weights and passes over the positions of all its documents (each is a target once in
 all passes), and the groups' weights are averaged by the positions behind them, a word's
 or fork's own vector by the positions that it took part in. Groups and their order do
@@ -47,9 +47,12 @@ LEAST, PER_CUBE = 2, 1300
 #: Offsets of the window, width of a word's vector, hidden width: the last hidden value is the constant one.
 WINDOW, WIDTH, HIDDEN = (-2, -1, 1, 2), 16, 16
 #: Passes; each trains on every STRIDE-th position of all documents, from an offset of its own: together on all.
-ROUNDS, STRIDE, BATCH, RATE = 2, 2, 256, 0.45
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 256, 0.2
 #: Positions of a group, about, positions held before they are trained on, and groups that are averaged in one go.
 GROUP, HELD, AVERAGED = 1 << 23, 1 << 16, 64
+#: Groups, and their files, at most. Beyond 3e10 words groups grow; one of more bytes than a row group is trained in pieces, each as
+#: a group of its own.
+GROUPS, PIECE = 1 << 12, 1 << 27
 #: Batches of BATCH positions before batches are LARGER times as large, and rows of own vectors that are averaged in one go.
 SMALL, LARGER, BLOCK = 64, 16, 1024
 #: Words remembered by a worker, distinct words counted before they are sent on, positions scored in one go, rows in a frame, positions held at once.
@@ -458,13 +461,14 @@ def train(docs: DataFrame, known: list[str], frequency: np.ndarray, rounds: int
 def dealt(tokens: DataFrame, groups: int, seed: int) -> DataFrame:
     """(part long, tokens binary), written once: a file for each group, its documents in an order by hash.
 
-    tokens: a token_table. Rows go by their id, which must not be shared by very many rows; rows with a
-    null id are dealt evenly, by where they are in the table. A file is one row group, so one task reads it.
+    tokens: a token_table. Rows go by a hash of id and tokens together, so neither an id that many rows share nor
+    copies of one text are dealt as a whole, and null ids are like any other; rows that agree in both are.
+    A file of up to PIECE bytes is one row group, so one task reads it.
     """
-    mix = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    mix = F.xxhash64("doc_id", "tokens", F.lit(seed))
     rows = tokens.select(F.pmod(mix, F.lit(groups)).cast("int").alias("part"), mix.alias("mix"), "tokens").where(F.octet_length("tokens") > 0)
     rows = rows.repartitionById(groups, F.col("part")).sortWithinPartitions("part", "mix", "tokens")
-    return materialize(rows.select(F.col("part").cast("long").alias("part"), "tokens"), options={"parquet.block.size": 1 << 30})
+    return materialize(rows.select(F.col("part").cast("long").alias("part"), "tokens"), options={"parquet.block.size": PIECE})
 
 
 def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 13, lex: Lexicon | None = None, group: int = GROUP) -> tuple[np.ndarray, Lexicon]:
@@ -472,7 +476,7 @@ def fit(tokens: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS, stride:
     if rounds < stride:
         raise ValueError("with fewer rounds than the stride some positions would never be trained on")
     weights, lex = initial(frequency, seed), lex or no_words()
-    groups = max(1, math.ceil(frequency.sum() / group))
+    groups = min(GROUPS, max(1, math.ceil(frequency.sum() / group)))
     texts = dealt(tokens, groups, seed)
     context = tokens.sparkSession.sparkContext
     for turn in range(rounds):

@@ -63,6 +63,17 @@ def test_a_step_follows_the_slope_of_the_loss():
             assert (got[0] - got[1]) / 2e-2 == pytest.approx(slope[row, 3], rel=2e-2, abs=2e-3)
 
 
+def test_rows_of_one_id_and_copies_of_one_text_are_spread(spark):
+    coded = lambda k: bytearray(np.arange(k % 50 + 1, dtype=np.int32).tobytes())
+    one_id = spark.createDataFrame([(None if k % 2 else 7, bytearray(np.full(3, k, np.int32).tobytes())) for k in range(800)], "doc_id long, tokens binary")
+    copies = spark.createDataFrame([(k, coded(3)) for k in range(800)], "doc_id long, tokens binary")
+    for df in (one_id, copies):
+        sizes = {r.part: r["count"] for r in lm_score.dealt(df, 8, 13).groupBy("part").count().collect()}
+        assert len(sizes) == 8 and max(sizes.values()) < 150
+    again = [sorted((r.part, bytes(r.tokens)) for r in lm_score.dealt(one_id.repartition(n), 8, 13).collect()) for n in (1, 5)]
+    assert again[0] == again[1]
+
+
 def corpus(spark, n, size):
     rng = random.Random(6)
     words = [f"{rng.choice('abcdefgh')}{k}" for k in range(size)]
@@ -182,7 +193,7 @@ def test_the_query_equals_plain_loops_however_the_table_is_cut(spark, monkeypatc
     rng = random.Random(9)
     vocabulary = [f"w{k}" for k in range(60)]  # many ties
     texts = [" ".join(vocabulary[int(60 * rng.random() ** 2)] for _ in range(rng.randrange(60))) + rng.choice(["", f" only{k}", " " + "long" * 40]) for k in range(90)]
-    rows = [(k, t, 1, "x") for k, t in enumerate(texts)] + [(200, None, 1, "x"), (201, " \n", 1, "x"), (3, texts[3], 1, "x")]
+    rows = [(k if k % 10 else None, t, 1, "x") for k, t in enumerate(texts)] + [(200, None, 1, "x"), (201, " \n", 1, "x"), (3, texts[3], 1, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, tokens int, part string")
 
     # The vocabulary by plain counts.
@@ -202,14 +213,16 @@ def test_the_query_equals_plain_loops_however_the_table_is_cut(spark, monkeypatc
     ids = lambda t: [number.get(w, first + zlib.crc32(w.encode()) % lm_score.SLOTS) for w in lm_score.words(t)]
 
     # Groups, passes and averages in loops.
-    hashes = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id, 13) AS h").collect()}
+    coded = spark.createDataFrame([(i, bytearray(np.array(ids(t), np.int32).tobytes())) for i, t, *_ in rows], "doc_id long, tokens binary")
+    hashes = {(r.doc_id, bytes(r.tokens)): r.h for r in coded.selectExpr("doc_id", "tokens", "xxhash64(doc_id, tokens, 13) AS h").collect()}
     groups = int(np.ceil(sum(counts.values()) / 700))
     assert groups > 2
     weights = lm_score.initial(frequency, 13)
     for turn in range(lm_score.ROUNDS):
         made = []
         for g in range(groups):
-            docs = sorted((hashes[i], np.array(ids(t), np.int32).tobytes()) for i, t, *_ in rows if hashes[i] % groups == g and lm_score.words(t))
+            every = [(hashes[i, code], code) for i, t, *_ in rows if lm_score.words(t) for code in [np.array(ids(t), np.int32).tobytes()]]
+            docs = sorted(x for x in every if x[0] % groups == g)
             flat, at = lm_score.padded([np.frombuffer(x, np.int32) for _, x in docs])
             flat, learner, steps, spots = lex.leaf_ids(flat), lm_score.Learner(weights, lex), 0, at[turn % 2 :: 2]
             while len(spots):
@@ -226,9 +239,9 @@ def test_the_query_equals_plain_loops_however_the_table_is_cut(spark, monkeypatc
             lex = lm_score.replace(lex, **{name: table})
 
     w = {k: v.astype(np.float64) for k, v in lm_score.unpack(weights).items()}
-    want = sorted((i, len(ids(t)), sum(plain_probability(w, lex, ids(t), k) for k in range(len(ids(t))))) for i, t, *_ in rows)
+    want = sorted((-1 if i is None else i, len(ids(t)), sum(plain_probability(w, lex, ids(t), k) for k in range(len(ids(t))))) for i, t, *_ in rows)
     for cut in (df.coalesce(1), df.repartition(7)):
-        got = sorted((r.doc_id, r.n_tokens, r.log_score, r.mean_log_score) for r in lm_score.pseudo_likelihood(cut).collect())
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.log_score, r.mean_log_score) for r in lm_score.pseudo_likelihood(cut).collect())
         assert [g[:2] for g in got] == [x[:2] for x in want]
         for g, x in zip(got, want):
             assert g[2] == pytest.approx(x[2], rel=1e-3, abs=1e-3) and (g[3] is None if not g[1] else g[3] == pytest.approx(x[2] / x[1], rel=1e-3, abs=1e-3))
