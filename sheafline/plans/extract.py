@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from sheafline.functions.geometry import POLYS
 from sheafline.operators import loops, ocr, postprocess, receipts, routing
 from sheafline.scratch import materialize
 from sheafline.shipping import ship
-from sheafline.sources.providers import apply_provider, word_counter
+from sheafline.sources.providers import apply_provider, token_costs, word_counter
 from sheafline.sources.requests import decode_base64, payload_error, reference_id, split_valid
 from sheafline.streaming import detector
 
@@ -51,20 +50,15 @@ def boxed(texts: Column, scores: Column, polys: Column) -> Column:
 
 
 def fitted(seen: DataFrame, rules: Rules, counter: Callable[[], Callable[[str], int]]) -> DataFrame:
-    """seen with the prompt of as many of its lines as the input cap holds; null where none can be made."""
-    def cost(texts: Column) -> Column:
-        @F.pandas_udf("array<int>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            count = counter()
-            for rows in batches:
-                yield pd.Series([[count(t) for t in (r if r is not None else [])] for r in rows], dtype=object)
+    """seen (row_id, lines) with the prompt of as many of its lines as the input cap holds; null where none can be made.
 
-        return run(texts)
-
-    # Counted in columns of their own: Python cannot run inside the expressions that use them.
+    seen is written down first, as it is read again with the counts; the template and each distinct line are counted once.
+    """
+    seen = materialize(seen)
     parts = F.concat(F.array(F.lit(rules.template)), F.transform("lines", lambda h: ocr.text_block(F.array(h))))
-    seen = seen.withColumn("__parts", parts).withColumn("__costs", cost(F.col("__parts"))).drop("__parts")
-    seen = seen.withColumn("__fit", ocr.fit_lines(F.slice("__costs", 2, F.size("__costs") - 1), F.col("__costs")[0], rules.input_cap)).drop("__costs")
+    seen = seen.join(token_costs(seen.select("row_id", parts.alias("parts")), "row_id", "parts", counter, "__costs"), "row_id", "left")
+    costs = F.transform("__costs", lambda c: c.cast("int"))
+    seen = seen.withColumn("__costs", costs).withColumn("__fit", ocr.fit_lines(F.slice("__costs", 2, F.size("__costs") - 1), F.col("__costs")[0], rules.input_cap)).drop("__costs")
     block = ocr.text_block(F.slice("lines", 1, F.coalesce("__fit.keep", F.lit(0))))
     return seen.withColumn("prompt", F.when(F.col("__fit.status") == "fit", F.concat(F.lit(rules.template), block))).drop("__fit")
 

@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sheafline.scratch import materialize
 from sheafline.shipping import ship
 
 ship(__name__)
 
+#: Keys that are broadcast at most: those of more than one in so many rows.
+OFTEN = 1 << 12
+
 
 def apply_provider(df: DataFrame, make: Callable[[], Callable], inputs: list[str], schema: str) -> DataFrame:
     """df with the provider's columns and `provider_error`.
@@ -46,10 +50,40 @@ def apply_provider(df: DataFrame, make: Callable[[], Callable], inputs: list[str
 
 
 def count_tokens(df: DataFrame, text: str, counter: Callable[[], Callable[[str], int]], name: str = "tokens") -> DataFrame:
-    """df with the token count of a text; each distinct text is counted once."""
-    distinct = df.select(text).distinct()
-    counted = apply_provider(distinct, lambda: (lambda t, c=counter(): {name: c(t or "")}), [text], f"{name} long")
-    return df.join(counted.select(F.col(text).alias("__t"), name), F.col(text).eqNullSafe(F.col("__t")), "left").drop("__t")
+    """df with the token count of a text; each distinct text is counted once. df is read more than once."""
+    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    return looked_up(df.withColumn("__key", key), counted_once(df.select(F.coalesce(F.col(text), F.lit("")).alias("__text")), counter, name), name).drop("__key")
+
+
+def counted_once(texts: DataFrame, counter: Callable[[], Callable[[str], int]], name: str) -> DataFrame:
+    """(__key, __n, name) of the distinct texts of texts (__text), by their digest, written once: no text is counted twice."""
+    distinct = texts.groupBy(F.md5("__text").alias("__key")).agg(F.first("__text").alias("__text"), F.count("*").alias("__n"))
+    counted = apply_provider(distinct, lambda: (lambda t, c=counter(): {name: c(t)}), ["__text"], f"{name} long")
+    return materialize(counted.select("__key", "__n", name))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+    """rows with names of table, by __key. table: __key, __n (how many rows have it), names.
+
+    Keys that more than one in OFTEN rows have are fewer than OFTEN and are broadcast; only
+    rows of other keys are shuffled.
+    """
+    often = F.col("__n") > (table.agg(F.sum("__n")).first()[0] or 0) // OFTEN
+    met = rows.join(F.broadcast(table.where(often)), "__key", "left")
+    rare = met.where("__n IS NULL").select(rows.columns).join(table.where(~often), "__key", "left")
+    return met.where("__n IS NOT NULL").unionByName(rare).select(*rows.columns, *names)
+
+
+def token_costs(rows: DataFrame, row: str, texts: str, counter: Callable[[], Callable[[str], int]], name: str = "costs") -> DataFrame:
+    """(row, name array<long>): the token count of each of a row's texts, each distinct text of all rows counted once.
+
+    rows: a key of rows and an array of texts; read more than once. A text that cannot be
+    counted has a null; rows without a text are left out.
+    """
+    parts = rows.select(row, F.posexplode(texts).alias("__pos", "__text")).withColumn("__text", F.coalesce("__text", F.lit("")))
+    costs = looked_up(parts.select(row, "__pos", F.md5("__text").alias("__key")), counted_once(parts.select("__text"), counter, "__cost"), "__cost")
+    listed = F.sort_array(F.collect_list(F.struct("__pos", "__cost")))
+    return costs.groupBy(row).agg(F.transform(listed, lambda c: c["__cost"]).alias(name))
 
 
 def word_counter() -> Callable[[str], int]:
