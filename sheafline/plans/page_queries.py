@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sheafline.functions import budget, geometry
 from sheafline.operators import evaluation, images, ocr, quality
-from sheafline.plans.base import per_order, table
-from sheafline.sources.config import Fit
-from sheafline.sources.providers import read_images
+from sheafline.plans import stages
+from sheafline.plans.base import SQL_WS, per_order, table
+from sheafline.shipping import ship
+from sheafline.sources.config import Fit, load
+from sheafline.sources.providers import read_images, token_costs, word_counter
 from sheafline.streaming.detector import check_batch, event_counts
+from sheafline.streaming.events import first_requests, sessions
+
+ship(__name__)
 
 QUERIES, SQL = {}, {}
 
@@ -331,14 +337,19 @@ def safe_splits(spark, d):
     return rows.select("page", F.concat_ws(",", geometry.safe_splits(F.col("spans"), F.lit(300), 3)).alias("cuts"))
 
 
-@query(r"""
+def sql_pixels(fill: str) -> str:
+    """CTEs of the gray pages that texts make, 64 bytes to a row, the last filled up: g (pixels) and s (exact sums)."""
+    return f"""
     WITH l AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT) AS v FROM documents WHERE text <> ''),
-    f AS (SELECT doc_id, list_resize(v, (len(v) + 63) // 64 * 64, v[-1]) AS v FROM l),
+    f AS (SELECT doc_id, list_resize(v, (len(v) + 63) // 64 * 64, {fill}) AS v FROM l),
     g AS (SELECT doc_id, rows, k // 64 AS y, k % 64 AS x, v FROM (SELECT doc_id, unnest(v) AS v, unnest(range(len(v))) AS k, len(v) // 64 AS rows FROM f)),
     c AS (SELECT *, lag(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS l, lead(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS r, lag(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS u, lead(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS d FROM g),
     p AS (SELECT doc_id, v, (CASE WHEN rows > 1 THEN coalesce(l, r) + coalesce(r, l) + coalesce(u, d) + coalesce(d, u) ELSE coalesce(l, v) + coalesce(r, v) + 2 * v END - 4 * v)::HUGEINT AS lap FROM c),
     t AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, v, count(*) AS n FROM p GROUP BY doc_id, v) GROUP BY doc_id),
-    s AS (SELECT doc_id, count(*)::HUGEINT AS n, sum(lap) AS s1, sum(lap * lap) AS s2, sum(v)::HUGEINT AS v, count(*) FILTER (v >= 250) AS high, count(*) FILTER (v <= 5) AS low, count(*) FILTER (abs(lap) <= 1) AS flat FROM p GROUP BY doc_id)
+    s AS (SELECT doc_id, count(*)::HUGEINT AS n, sum(lap) AS s1, sum(lap * lap) AS s2, sum(v)::HUGEINT AS v, count(*) FILTER (v >= 250) AS high, count(*) FILTER (v <= 5) AS low, count(*) FILTER (abs(lap) <= 1) AS flat FROM p GROUP BY doc_id)"""
+
+
+@query(sql_pixels("v[-1]") + """
     SELECT doc_id, """ + ", ".join(f"{sql_half_even(a, b, places)} AS {name}" for name, a, b, places in (
         ("blur_lapvar", "n * s2 - s1 * s1", "n * n", 1), ("brightness_mean", "v", "n", 1), ("highlight_clip_frac", "high", "n", 4),
         ("shadow_clip_frac", "low", "n", 4), ("flat_frac", "flat", "n", 3), ("bg_peak", "most", "n", 3))) + " FROM s JOIN t USING (doc_id)")
@@ -348,6 +359,55 @@ def image_stats(spark, d):
     return got.select("doc_id", "s.*")
 
 
+def ink_blocks():
+    """A stand-in detector for pages of text bytes: the ink (beyond a blank) of each eight rows of pixels is a polygon."""
+    def run(image):
+        ink, polys = image[:, :, 0] > 32, []
+        for top in range(0, len(ink), 8):
+            across, end = np.flatnonzero(ink[top : top + 8].any(axis=0)), min(top + 8, len(ink))
+            if len(across):
+                x1, x2 = int(across[0]), int(across[-1]) + 1
+                polys.append([(x1, top), (x2, top), (x2, end), (x1, end)])
+        return {"polys": polys}
+
+    return run
+
+
+#: Pages of text bytes are measured as they are, not turned and not scaled.
+PAGE_ENV = {"PP2_QUALITY_NORM_WIDTH": "64", "PP2_ORIENT_ENABLED": "0", "PP2_FIT_ENABLED": "0", "PP2_QUALITY_DIGITAL_FLAT_MIN": "0.05", "PP2_QUALITY_DIGITAL_BG_PEAK_MIN": "0.15"}
+
+
+@query(sql_pixels("32") + f""",
+    k AS (SELECT doc_id, any_value(rows) AS h, y // 8 AS k, min(x) FILTER (v > 32) AS x1, max(x) FILTER (v > 32) + 1 AS x2 FROM g GROUP BY doc_id, y // 8),
+    b AS (SELECT doc_id, any_value(h) AS h, count(x1) AS n, min(x1) AS x1, max(x2) AS x2, min(8 * k) FILTER (x1 >= 0) AS y1, max(least(8 * k + 8, h)) FILTER (x1 >= 0) AS y2, median(least(8 * k + 8, h) - 8 * k) FILTER (x1 >= 0) AS t FROM k GROUP BY doc_id),
+    q AS (SELECT b.doc_id, h, {sql_half_even("n * s2 - s1 * s1", "n * n", 1).replace("n *", "s.n *").replace("* n", "* s.n")} AS blur, b.n, x1, x2, y1, y2, t,
+                 {sql_half_even("flat", "s.n", 3)} >= 0.05 AND {sql_half_even("most", "s.n", 3)} >= 0.15 AS digital FROM b JOIN s USING (doc_id) JOIN t m USING (doc_id) WHERE h >= 8),
+    e AS (SELECT doc_id, h, blur, digital, CASE WHEN digital OR n < 3 THEN 0 ELSE n END AS n, x1, x2, y1, y2, CASE WHEN NOT digital AND n >= 3 THEN t END AS t FROM q),
+    z AS (SELECT *, n >= 7 AND (x2 - x1) * (y2 - y1) / (64.0 * h) >= 0.12 AS trusted, greatest(0, x1 - 20) AS a, greatest(0, y1 - 20) AS b, least(64, x2 + 20) AS c, least(h, y2 + 20) AS d FROM e),
+    w AS (SELECT *, greatest(c - a, d - b)::DOUBLE / least(c - a, d - b) / (greatest(64, h)::DOUBLE / least(64, h)) > 1.5 AND n < 50 AS long FROM z),
+    o AS (SELECT *, CASE WHEN NOT trusted THEN 64 WHEN long AND h >= 64 THEN 64 ELSE c - a END AS w_out, CASE WHEN NOT trusted THEN h WHEN long AND h < 64 THEN h ELSE d - b END AS h_out FROM w),
+    r AS (SELECT *, least(1.0, least(3584.0 / greatest(w_out, h_out), sqrt(4194304.0 / (w_out * h_out)))) AS base, least(3584.0 / greatest(w_out, h_out), sqrt(4194304.0 / (w_out * h_out))) AS hard FROM o),
+    x AS (SELECT *, t * CASE WHEN w_out * h_out * base * base < 1048576 THEN greatest(base, least(sqrt(1048576.0 / (w_out * h_out)), hard)) ELSE base END AS t_out FROM r),
+    v AS (SELECT *, CASE WHEN digital THEN 'readable' WHEN n < 3 OR coalesce(t_out < 12 AND blur < 80, false) THEN 'unreadable' WHEN coalesce(t_out < 20, false) OR blur < 250 THEN 'marginal' ELSE 'readable' END AS verdict FROM x)
+    SELECT d.doc_id, verdict, CASE WHEN digital THEN 'digital' WHEN h > 0 THEN 'photo' END AS route,
+           CASE WHEN verdict = 'unreadable' THEN CASE WHEN n < 3 THEN 'no_text_detected(n_polys=' || n || '<3)' ELSE format('text_unrecoverable(text_h={{:.1f}}px<12.0, blur={{:.0f}}<80.0)', t_out, blur) END END AS reject_reason,
+           CASE WHEN h > 0 THEN greatest(h, 64) END::INT AS long_side, CASE WHEN h > 0 THEN least(h, 64) END::INT AS short_side, CASE WHEN h > 0 THEN least(h, 64) < 1200 END AS low_res_input, round_even(t, 1) AS text_height, t < 16 AS low_legibility,
+           CASE WHEN h > 0 THEN length('P6 ' || w_out || ' ' || h_out || ' 255') + 1 + 3 * w_out * h_out ELSE length('P5 64 ' || (octet_length(encode(d.text)) + 63) // 64 || ' 255') + 1 + (octet_length(encode(d.text)) + 63) // 64 * 64 END::INT AS n_bytes
+    FROM documents d LEFT JOIN v USING (doc_id)""")
+def page_prepare(spark, d):
+    """Every document's bytes as a page, taken through the image stages by stand-in providers."""
+    docs = table(spark, d, "documents")
+    data = F.to_binary("text", F.lit("utf-8"))
+    rows = F.ceil(F.octet_length(data) / 64).cast("int")
+    head = F.to_binary(F.format_string("P5 64 %d 255\n", rows), F.lit("utf-8"))
+    content = F.when(data.isNotNull(), F.concat(head, F.rpad(data, rows * 64, F.lit(bytearray(b" ")))))
+    out = stages.prepare(docs.select("doc_id", content.alias("content")), lambda: images.decode_ppm, ink_blocks, lambda: images.encode_ppm, load((), PAGE_ENV))
+    q = F.col("image_quality")
+    return out.select(
+        "doc_id", "verdict", "route", "reject_reason", q["input_long_side"].alias("long_side"), q["input_short_side"].alias("short_side"), q["low_res_input"].alias("low_res_input"),
+        q["median_text_height_px"].alias("text_height"), q["low_legibility"].alias("low_legibility"), F.octet_length("content").alias("n_bytes"))
+
+
 @query("""
     SELECT event_type AS variant, count(*) AS n, round_even(avg(nullif(value, 0)), 4) AS rec_conf_mean, round_even(avg(user_id), 1) AS n_boxes_mean, round_even(avg(event_id), 1) AS n_chars_mean,
            round_even(median(nullif(value, 0)), 1) AS text_h_median, round_even(avg(user_id * 10), 0) AS pixels_mean, round_even(avg(event_id % 100), 0) AS latency_ms_mean, count(*) FILTER (event_id % 3 = 0) AS resampled_by_vllm
@@ -394,6 +454,38 @@ def stream_loop(spark, d):
     return check_batch(rows)
 
 
+@query(f"""
+    SELECT conv_id, count(*) AS n_turns, sum(len(list_filter(string_split_regex(coalesce(text, ''), '{SQL_WS}+'), lambda w: w <> '')))::BIGINT AS tokens, max(len(list_filter(string_split_regex(coalesce(text, ''), '{SQL_WS}+'), lambda w: w <> '')))::BIGINT AS longest
+    FROM conversations GROUP BY conv_id""")
+def turn_tokens(spark, d):
+    """Token counts of all turns by a stand-in tokenizer, which is asked once for each distinct text."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    costs = token_costs(turns, "conv_id", "texts", word_counter)
+    return costs.select("conv_id", F.size("costs").cast("long").alias("n_turns"), F.aggregate("costs", F.lit(0).cast("long"), lambda a, c: a + c).alias("tokens"), F.array_max("costs").alias("longest"))
+
+
+@query("""
+    WITH RECURSIVE k AS (
+        SELECT user_id, min(ts) AS ts FROM events WHERE ts IS NOT NULL GROUP BY user_id
+        UNION ALL SELECT k.user_id, min(e.ts) FROM k JOIN events e ON e.user_id IS NOT DISTINCT FROM k.user_id AND e.ts >= k.ts + INTERVAL 3 HOUR GROUP BY k.user_id, k.ts)
+    SELECT user_id, ts::TIMESTAMP AS ts FROM k""")
+def first_events(spark, d):
+    """2.13: of each user's events those that are kept, where one repeats another within three hours."""
+    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return first_requests(rows, "user_id", "ts", "3 hours").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""
+    WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g WHERE ts IS NOT NULL)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, s""")
+def event_sessions(spark, d):
+    """A Spark extension: sessions of each user's events."""
+    got = sessions(table(spark, d, "events"), "user_id")
+    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return got.select("user_id", naive("start"), naive("end"), "n", F.round("total", 4).alias("total"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
     """A Spark extension: hourly counts by event type."""

@@ -84,6 +84,22 @@ def exclude_items(spark, d):
     return postprocess.deny_rows(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", pattern_table(spark))
 
 
+@query(f"SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {sql_norm('text')} AS x FROM benchmark) b WHERE x <> '' AND contains({sql_norm('d.text')}, x))")
+def deny_passages(spark, d):
+    """F1, J4 with a list that grows: documents without any passage of the benchmark, all passages in one automaton."""
+    listed = table(spark, d, "benchmark").select(normalize_for_match(F.col("text")).alias("pattern_norm")).distinct()
+    return postprocess.deny_rows(table(spark, d, "documents"), "text", listed).select("doc_id", "n_chars")
+
+
+@query()
+def similar_words(spark, d):
+    """J2 between two tables: words of conversations that are all but those of the benchmark; tested against difflib."""
+    word = lambda name: F.explode(F.split(normalize_for_match(F.col("text")), "[^\\p{L}]+"))
+    words = lambda name: table(spark, d, name).select(word(name).alias("word")).where(F.length("word") >= 8).distinct()
+    aliases = words("benchmark").select(F.col("word").alias("ord"), F.col("word").alias("alias_norm"), F.col("word").alias("canonical"))
+    return postprocess.similar(words("conversations"), "word", aliases, least=0.85).select("word", "canonical")
+
+
 @query("SELECT c_custkey, CASE WHEN contains(lower(c_name), '7') THEN NULL ELSE c_name END AS merchant_name FROM customer")
 def exclude_merchant(spark, d):
     """F2, J3."""
@@ -146,6 +162,13 @@ def cyclic_items(spark, d):
     return loops.cyclic_runs(rows, ["user_id"], "o", "name", "k", single=3, cycle=2)
 
 
+@query(CYCLES.replace("SELECT user_id, event_type AS k", "SELECT event_id >= 0 AS user_id, event_type AS k").replace("PARTITION BY user_id ORDER BY ts", "PARTITION BY event_id >= 0 ORDER BY ts").replace("SELECT user_id, period, repeats, sample FROM", "SELECT period, repeats, sample FROM"))
+def cyclic_all(spark, d):
+    """W1 over one hot group: all events as one list, in segments of a thousand."""
+    rows = table(spark, d, "events").select((F.col("event_id") >= 0).alias("g"), F.struct("ts", "event_id").alias("o"), F.col("event_type").alias("k"), F.col("event_type").alias("name"))
+    return loops.cyclic_runs(rows, ["g"], "o", "name", "k", single=3, cycle=2, segment=1000).drop("g")
+
+
 @query("""
     SELECT user_id, event_id, lag(event_type) OVER w IS NOT DISTINCT FROM event_type AS same, n <= 30 AS tail
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
