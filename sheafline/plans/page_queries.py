@@ -217,9 +217,30 @@ def budget_plan(spark, d):
     return got.select("l_orderkey", "l_linenumber", F.round("p.scale", 6).alias("scale"), F.round("p.text_height_out", 4).alias("text_height_out"), "p.pad", "p.zoomed", "p.thrifty", "p.capped")
 
 
-@query()
+def sql_layout(n: int) -> str:
+    """The plan of n columns over w, h and t, as text_height_out, -n and scale; null where columns are too flat."""
+    w, h = (f"(w * {n} + {(n - 1) * 10})", f"ceil(h / {n})") if n > 1 else ("w", "h")
+    hard = f"least(3584 / greatest({w}, {h}), sqrt(4194304 / ({w} * {h})))"
+    wish = f"CASE WHEN t < 32 THEN least(32 / t, {hard}, 2.5) WHEN t > 32 THEN least(32 / t, {hard}) ELSE least(1.0, {hard}) END"
+    scale = f"CASE WHEN {w} * {h} * ({wish}) * ({wish}) < 1048576 THEN greatest({wish}, least(sqrt(1048576 / ({w} * {h})), {hard})) ELSE {wish} END"
+    made = f"{{'t': t * ({scale}), 'c': -{n}, 's': {scale}}}"
+    return f"CASE WHEN {h} >= w THEN {made} END" if n > 1 else made
+
+
+@query(f"""
+    WITH r AS (SELECT l_orderkey, l_linenumber, (200 + l_partkey % 300)::DOUBLE AS w, (3000 + l_suppkey * 37 % 5000)::DOUBLE AS h, l_quantity::DOUBLE AS t FROM lineitem),
+    p AS (SELECT *, {sql_layout(1)} AS p1, list_max(list_filter([{", ".join(map(sql_layout, range(1, 5)))}], lambda x: x IS NOT NULL)) AS best FROM r),
+    c AS (SELECT *, CASE WHEN h > w AND h / w > 4 AND t > 0 AND p1.t < 32 AND best.c < -1 AND best.t >= p1.t * 1.2 THEN best ELSE p1 END AS p FROM p),
+    s AS (SELECT *, least(greatest(1, round_even(w * p.s / 32, 0)::INT), 112) AS a, least(greatest(1, round_even(h * p.s / 32, 0)::INT), 112) AS b FROM c),
+    m AS (SELECT *, CASE WHEN a * b <= 4096 THEN a WHEN least(a, b) * least(a, b) > 4096 THEN 64 WHEN a >= b THEN 4096 // b ELSE a END AS a2,
+                    CASE WHEN a * b <= 4096 THEN b WHEN least(a, b) * least(a, b) > 4096 THEN 64 WHEN a < b THEN 4096 // a ELSE b END AS b2 FROM s),
+    g AS (SELECT *, least(112, greatest(greatest(a2, b2), ceil(1024.0 / least(a2, b2))::INT)) AS long FROM m),
+    d AS (SELECT *, least(112, greatest(least(a2, b2), ceil(1024.0 / long)::INT)) AS short FROM g),
+    o AS (SELECT *, (CASE WHEN a2 > b2 THEN long ELSE short END * 32)::INT AS width, (CASE WHEN a2 > b2 THEN short ELSE long END * 32)::INT AS height FROM d)
+    SELECT l_orderkey, l_linenumber, (-p.c)::INT AS columns, round(p.s, 6) AS scale, width, height,
+           CASE WHEN width * height < 1048576 THEN greatest(0, greatest(32, ceil(ceil(1048576.0 / greatest(width, height)) / 32) * 32) - least(width, height)) ELSE 0 END::INT AS pad_px FROM o""")
 def budget_solve(spark, d):
-    """Column layout and whole-block sides; tested against a loop."""
+    """Column layout and whole-block sides; also tested against a loop."""
     w, h = (F.lit(200) + F.col("l_partkey") % 300).cast("int"), (F.lit(3000) + F.col("l_suppkey") * 37 % 5000).cast("int")
     fit = Fit(zoom_target_text_h=32.0, reflow_enabled=True)
     got = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", w.alias("w"), h.alias("h"), budget.solve(w, h, F.col("l_quantity"), fit).alias("p"))
@@ -329,9 +350,15 @@ def interval_union(spark, d):
     return got.select("page", F.size("g").alias("n_gaps"), F.aggregate(F.transform("g", lambda s: s["y1"] - s["y0"]), F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query()
+@query("""
+    WITH s AS (SELECT l_orderkey AS page, (l_linenumber * 30 + l_partkey % 40)::DOUBLE AS y0 FROM lineitem),
+    e AS (SELECT page, y0, coalesce(max(y0 + 12) OVER (PARTITION BY page ORDER BY y0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS till FROM s),
+    g AS (SELECT page, till AS a, y0 AS b FROM e WHERE y0 - till >= 3 UNION ALL SELECT page, max(y0) + 12, 300 FROM s GROUP BY page HAVING 300 - (max(y0) + 12) >= 3),
+    t AS (SELECT page, k, abs(spot - 100 * k) AS off, a, spot FROM (SELECT page, k, a, b, least(greatest(100 * k, a + 1), b - 1) AS spot FROM g, (VALUES (1), (2)) v(k)) WHERE spot > a AND spot < b AND abs(spot - 100 * k) <= 60),
+    c AS (SELECT page, min({'off': off, 'a': a, 'spot': spot}) FILTER (k = 1) AS one, min({'off': off, 'a': a, 'spot': spot}) FILTER (k = 2) AS two FROM t GROUP BY page)
+    SELECT DISTINCT s.page, CASE WHEN two.spot - round_even(one.spot, 0) >= 50 THEN round_even(one.spot, 0)::INT || ',' || round_even(two.spot, 0)::INT ELSE '' END AS cuts FROM s LEFT JOIN c USING (page)""")
 def safe_splits(spark, d):
-    """Where to cut a page into three columns; tested against a loop."""
+    """Where to cut a page into three columns; also tested against a loop."""
     y0 = F.col("l_linenumber") * 30 + F.col("l_partkey") % 40
     rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.collect_list(F.struct(y0.alias("y0"), (y0 + 12).alias("y1"))).alias("spans"))
     return rows.select("page", F.concat_ws(",", geometry.safe_splits(F.col("spans"), F.lit(300), 3)).alias("cuts"))

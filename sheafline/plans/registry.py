@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions.text import has_loop, normalize_for_match
 from sheafline.plans import page_queries, receipt_queries, text_queries
-from sheafline.plans.base import table
+from sheafline.plans.base import sql_norm, table
 
 MODULES = (text_queries, receipt_queries, page_queries)
 
@@ -25,5 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"flagship": flagship} | {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 
 
+FLAGSHIP_SQL = text_queries.SQL_LOOPS + f"""
+    SELECT lang, source, count(*) AS n_docs, count(*) FILTER (doc_id IN (SELECT doc_id FROM b)) AS n_looped, sum(length({sql_norm('text')}))::BIGINT AS n_chars FROM documents GROUP BY lang, source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {"flagship": FLAGSHIP_SQL} | {name: sql for m in MODULES for name, sql in m.SQL.items()}

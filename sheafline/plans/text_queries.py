@@ -66,9 +66,24 @@ def char_run(spark, d):
     return table(spark, d, "documents").select("doc_id", text.has_char_run(F.col("text")).alias("looped"))
 
 
-@query()
+#: Loops of every document without a pattern that looks back: places that equal the one n further, in stretches; a loop is taken from the left, and what it covers is not looked at again.
+SQL_LOOPS = r"""
+    WITH c AS (SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS ch FROM (SELECT doc_id, string_split(text, '') AS s FROM documents)),
+    q AS (SELECT *, lead(ch, 1) OVER w AS l1, lead(ch, 2) OVER w AS l2, lead(ch, 3) OVER w AS l3, lead(ch, 4) OVER w AS l4 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    e AS (SELECT doc_id, 1 AS n, pos FROM q WHERE ch = l1 AND NOT regexp_matches(ch, '[\p{Nd}\s\x0b\x1c-\x1f\x85\x{a0}]')
+          UNION ALL SELECT doc_id, 2, pos FROM q WHERE ch = l2 AND ch <> chr(10) UNION ALL SELECT doc_id, 3, pos FROM q WHERE ch = l3 AND ch <> chr(10) UNION ALL SELECT doc_id, 4, pos FROM q WHERE ch = l4 AND ch <> chr(10)),
+    i AS (SELECT doc_id, n, min(pos) AS s, count(*) AS m FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, n ORDER BY pos) AS k FROM e) GROUP BY doc_id, n, k HAVING count(*) >= CASE n WHEN 1 THEN 5 ELSE 3 * n END),
+    f AS (SELECT doc_id, n, list_reduce(list_prepend({'s': 0::BIGINT, 'm': 0::BIGINT, 'e': 0::BIGINT, 'o': []::BIGINT[]}, list({'s': s, 'm': m, 'e': 0::BIGINT, 'o': []::BIGINT[]} ORDER BY s)),
+              lambda a, r: CASE WHEN r.m - (greatest(r.s, a.e) - r.s) >= 3 * n
+                  THEN {'s': 0::BIGINT, 'm': 0::BIGINT, 'e': greatest(r.s, a.e) + n * ((r.m - (greatest(r.s, a.e) - r.s)) // n + 1), 'o': list_append(a.o, greatest(r.s, a.e))} ELSE a END).o AS o FROM i WHERE n > 1 GROUP BY doc_id, n),
+    g AS (SELECT doc_id, n, spot, substring(text, spot::INT, n) AS gram FROM (SELECT doc_id, n, unnest(o) AS spot FROM f) JOIN documents USING (doc_id)),
+    k AS (SELECT doc_id, string_agg(gram, '|' ORDER BY n, spot) AS loops FROM g WHERE NOT regexp_full_match(gram, '\p{Nd}+') AND NOT regexp_full_match(gram, '[{}\[\]":,nulltrefas \n]+') GROUP BY doc_id),
+    b AS (SELECT doc_id FROM k UNION SELECT doc_id FROM i WHERE n = 1)"""
+
+
+@query(SQL_LOOPS + " SELECT doc_id, coalesce(loops, '') AS loops, doc_id IN (SELECT doc_id FROM b) AS looped FROM documents LEFT JOIN k USING (doc_id)")
 def ngram_loop(spark, d):
-    """X11; tested against a restatement in Python."""
+    """X11; also tested against a restatement in Python."""
     return table(spark, d, "documents").select("doc_id", F.concat_ws("|", text.ngram_loops(F.col("text"))).alias("loops"), text.has_loop(F.col("text")).alias("looped"))
 
 
