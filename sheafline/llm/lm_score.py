@@ -56,7 +56,7 @@ GROUPS, PIECE = 1 << 12, 1 << 27
 #: Batches of BATCH positions before batches are LARGER times as large, and rows of own vectors that are averaged in one go.
 SMALL, LARGER, BLOCK = 64, 16, 1024
 #: Words remembered by a worker, distinct words counted before they are sent on, positions scored in one go, rows in a frame, positions held at once.
-WORDS, COUNTED, CHUNK, ROWS_OUT, POSITIONS = 400_000, 400_000, 1024, 5000, 200_000
+WORDS, COUNTED, CHUNK, ROWS_OUT, POSITIONS = 400_000, 400_000, 4096, 5000, 200_000
 PAD = KNOWN + SHARED
 
 
