@@ -67,6 +67,11 @@ def _clock(s: Column, pattern: str) -> Column:
     return let(F.struct(*(_group(s, pattern, k).alias(n) for k, n in ((1, "h"), (2, "m"), (3, "s")))), shown)
 
 
+#: How lines of text show dates and times (fixed values).
+YEAR_FIRST, DAY_FIRST, RUN_TOGETHER = "(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})", f"(?U)(\\d{{1,2}}){SEP}(\\d{{1,2}}){SEP}(\\d{{2,4}})", "(?U)\\b(\\d{2})(\\d{2})(\\d{4})\\b"
+CLOCK = "(\\d{1,2})[:h](\\d{2})(?::(\\d{2}))?"
+
+
 def is_expiry_line(text: Column) -> Column:
     return fold(text).rlike(EXPIRY)
 
@@ -86,9 +91,8 @@ def find_date(text: Column, as_of_year: int) -> Column:
         return let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), known)
 
     def body(s: Column) -> Column:
-        first = checked(s, "(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})", (1, 2, 3))
-        second = checked(s, f"(?U)(\\d{{1,2}}){SEP}(\\d{{1,2}}){SEP}(\\d{{2,4}})", (3, 2, 1))
-        third = F.when(s.rlike(LABEL), checked(s, "(?U)\\b(\\d{2})(\\d{2})(\\d{4})\\b", (3, 2, 1)))
+        first, second = checked(s, YEAR_FIRST, (1, 2, 3)), checked(s, DAY_FIRST, (3, 2, 1))
+        third = F.when(s.rlike(LABEL), checked(s, RUN_TOGETHER, (3, 2, 1)))
         return F.coalesce(first, second, third)
 
     return let(fold(text), body)
@@ -96,8 +100,7 @@ def find_date(text: Column, as_of_year: int) -> Column:
 
 def find_time(text: Column) -> Column:
     """The first clock time of a line of text, if it is one."""
-    pattern = "(\\d{1,2})[:h](\\d{2})(?::(\\d{2}))?"
-    return let(fold(text), lambda s: F.when(s.rlike(pattern), _clock(s, pattern)))
+    return let(fold(text), lambda s: F.when(s.rlike(CLOCK), _clock(s, CLOCK)))
 
 
 #: What the model is told about two-digit years (fixed text).

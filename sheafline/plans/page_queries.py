@@ -521,13 +521,12 @@ def event_windows(spark, d):
 
 
 @query("""
-    SELECT o_orderkey, o_orderkey % 3 = 0 AS turned, CASE o_orderkey % 4 WHEN 0 THEN 'insufficient_samples' WHEN 1 THEN 'capped' WHEN 2 THEN 'below_min' ELSE 'applied' END AS decision,
-           CASE WHEN o_orderkey % 4 = 3 THEN 12.5 ELSE 0 END AS degrees FROM orders""")
+    WITH t AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 > 0 THEN (o_orderkey * 37 % 441 - 220) / 4.0 END AS t FROM orders)
+    SELECT o_orderkey, CASE WHEN t IS NULL THEN 'insufficient_samples' WHEN abs(t) > 45 THEN 'capped' WHEN abs(t) < 0.5 THEN 'below_min' ELSE 'applied' END AS decision, CASE WHEN abs(t) BETWEEN 0.5 AND 45 THEN t ELSE 0 END::DOUBLE AS degrees FROM t""")
 def deskew_decision(spark, d):
-    """Whether a tilt is corrected."""
-    k = F.col("o_orderkey") % 4
-    got = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 3 == 0).alias("turned"), quality.deskew(F.when(k == 1, F.lit(60.0)).when(k == 2, F.lit(-0.2)).when(k == 3, F.lit(12.5))).alias("t"))
-    return got.select("o_orderkey", "turned", "t.decision", "t.degrees")
+    """Whether a tilt is corrected, for tilts of -55 to 55 degrees and none."""
+    tilt = F.when(F.col("o_custkey") % 7 > 0, (F.col("o_orderkey") * 37 % 441 - 220) / 4.0)
+    return table(spark, d, "orders").select("o_orderkey", quality.deskew(tilt).alias("t")).select("o_orderkey", "t.decision", "t.degrees")
 
 
 @query()

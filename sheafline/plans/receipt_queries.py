@@ -62,11 +62,12 @@ def item_recover(spark, d):
 
 
 @query("""
-    SELECT o_orderkey AS ref, CASE o_orderkey % 4 WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'short' END AS value, o_orderkey % 4 <> 3 AS present FROM orders""")
+    SELECT o_orderkey AS ref, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 1 THEN 'long ' || o_custkey ELSE 'short ' || o_custkey END AS value, o_orderkey % 5 NOT IN (3, 4) AS present FROM orders""")
 def first_present(spark, d):
-    """Short and long keys, both, and a null that counts as present."""
-    k = F.col("o_orderkey") % 4
-    raw = F.when(k == 0, F.lit('{"n":"short"}')).when(k == 1, F.lit('{"name":"long","z":1}')).when(k == 2, F.lit('{"name":"long","n":"short"}')).otherwise(F.lit('{"n":null,"name":"long"}'))
+    """Short and long keys, both in either order, a null that counts as present, and neither."""
+    k, short, long = F.col("o_orderkey") % 5, F.concat(F.lit('"n":"short '), F.col("o_custkey"), F.lit('"')), F.concat(F.lit('"name":"long '), F.col("o_custkey"), F.lit('"'))
+    both = F.when(F.col("o_custkey") % 2 == 0, F.concat(long, F.lit(","), short)).otherwise(F.concat(short, F.lit(","), long))
+    raw = F.concat(F.lit("{"), F.when(k == 0, short).when(k == 1, F.concat(long, F.lit(',"z":1'))).when(k == 2, both).when(k == 3, F.concat(F.lit('"n":null,'), long)).otherwise(F.lit('"m":1')), F.lit("}"))
     value = receipts.as_text(receipts.field(F.try_parse_json(raw), "n", "name"))
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("ref"), value.alias("value"), value.isNotNull().alias("present"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sheafline.functions import dates, numbers, text
 from sheafline.operators.postprocess import parse_entry
 from sheafline.operators.receipts import parse_ladder
-from sheafline.plans.base import SQL_WS, sql_fold, sql_norm, table
+from sheafline.plans.base import per_order, sql_fold, sql_norm, SQL_WS, table
 from sheafline.sources import requests
 from sheafline.sources.patterns import split_lines
 
@@ -147,41 +147,67 @@ def parse_date_text(spark, d):
 
 
 @query("""
-    SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN l_quantity::VARCHAR WHEN 2 THEN '' ELSE lower(l_returnflag) || ' x' END AS total FROM lineitem""")
+    SELECT l_orderkey, l_linenumber, CASE (l_partkey + l_linenumber) % 6 WHEN 0 THEN '' WHEN 1 THEN (l_quantity::INT)::DOUBLE::VARCHAR WHEN 2 THEN (l_partkey + 0.5)::DOUBLE::VARCHAR WHEN 3 THEN (-(l_suppkey::DOUBLE))::VARCHAR
+           WHEN 4 THEN lower(l_returnflag) || ' ' || l_partkey || ' x' ELSE '' END AS total FROM lineitem""")
 def norm_total(spark, d):
-    """X4."""
-    k = F.col("l_linenumber") % 4
-    raw = F.when(k == 0, F.lit(" null ")).when(k == 1, F.concat(F.lit(" "), F.col("l_quantity").cast("int"))).when(k == 2, F.lit("  ")).otherwise(F.concat("l_returnflag", F.lit(" X")))
+    """The same number in several spellings, words, and nothing."""
+    k, part = (F.col("l_partkey") + F.col("l_linenumber")) % 6, F.col("l_partkey").cast("string")
+    zeros = F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_suppkey") % 2 == 0, F.lit(".00")).otherwise(F.lit("")))
+    raw = F.when(k == 0, F.when(F.col("l_suppkey") % 2 == 0, F.lit(" NULL ")).otherwise(F.lit("null"))).when(k == 1, F.concat(F.lit(" "), zeros)).when(k == 2, F.concat(part, F.lit(".50"))).when(
+        k == 3, F.concat(F.lit("-"), F.col("l_suppkey").cast("string"), F.lit(".0 "))).when(k == 4, F.concat("l_returnflag", F.lit(" "), part, F.lit(" X"))).otherwise(F.lit("  "))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numbers.normalize_total(raw).alias("total"))
 
 
 @query("""
-    SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '{"ta": ' || o_custkey || '}' ELSE 'x {"ta": ' || o_custkey || '} y' END AS bare, '{"ta": ' || o_custkey || '}' AS inner_json FROM orders""")
+    WITH b AS (SELECT o_orderkey, o_orderkey % 7 AS k, '{"ta": ' || o_custkey || repeat(',' || chr(10) || ' "x": {}', (o_custkey % 4)::INT) || '}' AS j FROM orders)
+    SELECT o_orderkey, CASE WHEN k < 4 THEN j WHEN k = 4 THEN 'x' || o_orderkey || ' ' || j || ' y' WHEN k = 5 THEN '[' || o_orderkey || ']' ELSE 'no ' || o_orderkey END AS bare,
+           CASE WHEN k <= 4 THEN j WHEN k = 5 THEN '[' || o_orderkey || ']' ELSE 'no ' || o_orderkey END AS inner_json FROM b""")
 def fence_strip(spark, d):
-    """X8, X9."""
-    body = F.concat(F.lit('{"ta": '), F.col("o_custkey"), F.lit("}"))
-    raw = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit(" x "), body, F.lit(" y ")))
+    """Fences with and without a language and an end, bodies of several lines, text around, a list, and no JSON."""
+    key = F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit('{"ta": '), F.col("o_custkey"), F.repeat(F.lit(',\n "x": {}'), (F.col("o_custkey") % 4).cast("int")), F.lit("}"))
+    k, wrap = F.col("o_orderkey") % 7, lambda a, b: F.concat(F.lit(a), body, F.lit(b))
+    raw = F.when(k == 0, wrap("```json\n", "\n```")).when(k == 1, wrap("  ```\n", "\n``` ")).when(k == 2, wrap("```js\n", "")).when(k == 3, wrap("\n", "  ")).when(
+        k == 4, F.concat(F.lit(" x"), key, F.lit(" "), body, F.lit(" y "))).when(k == 5, F.concat(F.lit("["), key, F.lit("]"))).otherwise(F.concat(F.lit("no "), key))
     bare = text.strip_code_fences(raw)
     return table(spark, d, "orders").select("o_orderkey", bare.alias("bare"), text.json_substring(bare).alias("inner_json"))
 
 
-@query("SELECT o_orderkey, 2 AS pairs, 'Item ' || o_custkey AS first_name, o_custkey::VARCHAR AS first_total, 'null' AS second_total FROM orders")
+@query("""
+    SELECT l_orderkey, count(*) FILTER (l_linenumber % 5 <> 4)::INT AS pairs, coalesce(string_agg('Item ' || l_partkey || '=' || CASE l_linenumber % 5 WHEN 0 THEN 'null' WHEN 1 THEN l_partkey::VARCHAR WHEN 2 THEN '-' || l_suppkey || '.5' ELSE '0' END, ';'
+           ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (l_linenumber % 5 <> 4), '') AS listed FROM lineitem GROUP BY l_orderkey""")
 def json_pairs(spark, d):
-    """X12 over JSON that is still being written."""
-    raw = F.concat(F.lit('{"it":[{"n":"Item '), F.col("o_custkey"), F.lit('","qty":1,"t":'), F.col("o_custkey"), F.lit('},{"name":"B","p":2,"t":null},{"n":"C","qty"'))
-    got = table(spark, d, "orders").select("o_orderkey", text.json_item_pairs(raw).alias("p"))
-    return got.select("o_orderkey", F.size("p").alias("pairs"), F.col("p")[0]["name"].alias("first_name"), F.col("p")[0]["total"].alias("first_total"), F.col("p")[1]["total"].alias("second_total"))
+    """X12 over an order's lines as JSON that is still being written: short and full names, totals of several kinds, items without one."""
+    k = lambda r: r["l_linenumber"] % 5
+    total = lambda r: F.when(k(r) == 0, F.lit("null")).when(k(r) == 1, r["l_partkey"].cast("string")).when(k(r) == 2, F.concat(F.lit("-"), r["l_suppkey"], F.lit(".5"))).otherwise(F.lit("0"))
+    name = lambda r: F.concat(F.when(k(r) == 1, F.lit('{"name" : "Item ')).otherwise(F.lit('{"n":"Item ')), r["l_partkey"], F.lit('"'))
+    item = lambda r: F.concat(name(r), F.when(k(r) == 4, F.lit(',"p":1}')).otherwise(F.concat(F.lit(',"qty":1,"t":'), total(r), F.lit("}"))))
+    rows = per_order(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+    raw = F.concat(F.lit('{"it":['), F.array_join(F.transform("rows", item), ","), F.lit(',{"n":"C","qty"'))
+    got = rows.select("l_orderkey", text.json_item_pairs(raw).alias("p"))
+    return got.select("l_orderkey", F.size("p").alias("pairs"), F.array_join(F.transform("p", lambda x: F.concat(x["name"], F.lit("="), x["total"])), ";").alias("listed"))
 
 
 @query("""
+    WITH b AS (SELECT *, 'Shop ' || o_custkey AS shop, (o_orderkey // 4) % 3 AS cut FROM orders)
     SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN 'substring' WHEN 3 THEN 'repair' ELSE 'json' END AS parsed_by,
-           CASE WHEN o_orderkey % 4 <> 3 THEN '{"it":[{"n":"A","t":' || o_orderkey || '}],"mn":"Shop ' || o_custkey || '","ta":5}'
-                ELSE '{"it":[{"n":' || CASE WHEN length(o_custkey::VARCHAR) > 4 THEN 'null' WHEN length(o_custkey::VARCHAR) = 4 THEN '""' ELSE '"A"' END || '}],"mn":"Shop ' || o_custkey || '"}' END AS data FROM orders""")
+           CASE WHEN o_orderkey % 4 <> 3 THEN '{"it":[{"n":"A","t":' || o_orderkey || '}],"mn":"' || shop || '","ta":5}'
+                WHEN cut = 0 THEN '{"mn":"' || rtrim(left(shop, (o_orderkey % length(shop))::INT)) || '"}'
+                WHEN cut = 1 THEN '{"it":[{"n":"A","t":' || left(o_orderkey::VARCHAR, (1 + o_custkey % length(o_orderkey::VARCHAR))::INT) || '}],"mn":"' || shop || '"}'
+                ELSE '{"it":[{"n":"A","t":' || o_orderkey || '}],"mn":"' || shop || '"}' END AS data FROM b""")
 def json_ladder(spark, d):
-    """Whole, fenced, prefixed and cut JSON; the cut falls on the item's name."""
-    body = F.concat(F.lit('{"mn":"Shop '), F.col("o_custkey"), F.lit('","it":[{"n":"A","t":'), F.col("o_orderkey"), F.lit('}],"ta":5}'))
-    k = F.col("o_orderkey") % 4
-    raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure: "), body, F.lit("!"))).otherwise(F.substring(body, 1, 30))
+    """Whole, fenced, prefixed and cut JSON; each row is cut at a place of its own in a name, in a number or behind an item.
+
+    White space at the end of what was written is dropped before it is read.
+    """
+    shop, key = F.concat(F.lit("Shop "), F.col("o_custkey")), F.col("o_orderkey").cast("string")
+    head, item = F.concat(F.lit('{"mn":"'), shop), F.lit('","it":[{"n":"A","t":')
+    body = F.concat(head, item, key, F.lit('}],"ta":5}'))
+    k, cut = F.col("o_orderkey") % 4, F.floor(F.col("o_orderkey") / 4) % 3
+    in_name = F.concat(F.lit('{"mn":"'), F.substr(shop, F.lit(1), (F.col("o_orderkey") % F.length(shop)).cast("int")))
+    in_number = F.concat(head, item, F.substr(key, F.lit(1), (1 + F.col("o_custkey") % F.length(key)).cast("int")))
+    broken = F.when(cut == 0, in_name).when(cut == 1, in_number).otherwise(F.concat(head, item, key, F.substr(F.lit("}],"), F.lit(1), (F.col("o_custkey") % 4).cast("int"))))
+    raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure: "), body, F.lit("!"))).otherwise(broken)
     got = parse_ladder(table(spark, d, "orders").select("o_orderkey", raw.alias("raw_text")))
     return got.select("o_orderkey", "parsed_by", F.to_json("data").alias("data"))
 
@@ -199,17 +225,16 @@ def b64_payload(spark, d):
 
 
 @query("""
-    SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN 'no_source' WHEN 1 THEN '' WHEN 2 THEN 'two_sources' WHEN 3 THEN 'wrong_count' ELSE 'wrong_count' END AS violations,
-           CASE l_linenumber % 5 WHEN 0 THEN 422 WHEN 1 THEN 200 ELSE 422 END AS status FROM lineitem""")
+    WITH n AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 < 3 THEN l_partkey % 4 END AS u, CASE WHEN l_suppkey % 5 < 2 THEN l_suppkey % 5 END AS b FROM lineitem),
+    v AS (SELECT *, CASE WHEN u IS NULL AND b IS NULL THEN 'no_source' WHEN u IS NOT NULL AND b IS NOT NULL THEN 'two_sources' WHEN coalesce(u, b) <> 1 THEN 'wrong_count' ELSE '' END AS violations FROM n)
+    SELECT l_orderkey, l_linenumber, violations, CASE WHEN violations = '' THEN 200 ELSE 422 END AS status FROM v""")
 def request_violations(spark, d):
-    """S5, K7."""
+    """Lists of none to two sources, and none."""
     from sheafline.operators.routing import status_of
 
-    k, one = F.col("l_linenumber") % 5, F.array(F.lit("u"))
-    none = F.lit(None).cast("array<string>")
-    urls = F.when(k.isin(1, 2), one).when(k == 3, F.array(F.lit("u"), F.lit("v"))).otherwise(none)
-    inline = F.when(k == 2, one).when(k == 4, F.array().cast("array<string>")).otherwise(none)
-    got = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", requests.violations(urls, inline).alias("v"))
+    listed = lambda n, most: F.when(n < most, F.slice(F.array(*(F.concat(F.lit("u"), F.col("l_orderkey"), F.lit(f"/{k}")) for k in range(3))), F.lit(1), n.cast("int")))
+    v = requests.violations(listed(F.col("l_partkey") % 4, 3), listed(F.col("l_suppkey") % 5, 2))
+    got = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v"))
     return got.select("l_orderkey", "l_linenumber", F.concat_ws(",", "v").alias("violations"), status_of(F.when(F.size("v") > 0, F.lit("invalid_request"))).alias("status"))
 
 
