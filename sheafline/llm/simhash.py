@@ -233,4 +233,3 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return without(rows, members.join(first, "component_id").where("key.r <> first.r").select("key.r"), "__row").drop("__row")
 
 
-keep_one_row = keep_one
