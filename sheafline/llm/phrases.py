@@ -31,11 +31,11 @@ from sheafline.scratch import scratch_path
 ship(__name__)
 
 #: Characters of pieces whose n-grams are counted together, words for each hash bucket, and hash buckets at most.
-CHARS, BUCKET_WORDS, BUCKETS = 8_000_000, 1 << 21, 1 << 13
+CHARS, BUCKET_WORDS, BUCKETS = 6_000_000, 1 << 21, 1 << 13
 #: Bits of the table of frequent pairs (8 MB), whatever their number is.
 PAIR_BITS = 1 << 26
 #: What DuckDB may hold in memory for a bucket, in MB.
-BUCKET_MB = 256
+BUCKET_MB = 192
 #: Parts into which the requests for one word and the rows of one language are dealt.
 SALTS = 16
 
