@@ -1,4 +1,5 @@
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions.text import normalize_for_match
 from sheafline.operators import postprocess
+from sheafline.plans import receipt_queries
 
 ITEMS = "array<struct<name:string,quantity:double,price:double,total:double>>"
 SF = "/root/testdata/sf0.001"
@@ -103,3 +105,17 @@ def test_texts_that_are_similar_share_a_token(least):
         b = changed(rng, a)
         if b and SequenceMatcher(None, a, b).ratio() >= least:
             assert set(postprocess.prefix(a, least)) & set(postprocess.prefix(b, least)), (a, b)
+
+
+def test_similar_words_query_equals_difflib(spark):
+    got = {r.word: r.canonical for r in receipt_queries.QUERIES["similar_words"](spark, SF).collect()}
+    words = {}
+    for name in ("conversations", "benchmark"):
+        texts = spark.read.parquet(f"{SF}/{name}.parquet").select(normalize_for_match(F.col("text")).alias("t")).collect()
+        words[name] = {w for r in texts for w in re.split(r"[^\w]+|[\d_]+", r.t) if len(w) >= 8}
+    want = {}
+    for w in words["conversations"]:
+        near = [a for a in words["benchmark"] if min(len(a), len(w)) * 2 >= 0.85 * (len(a) + len(w)) and SequenceMatcher(None, w, a).ratio() >= 0.85]
+        if near:
+            want[w] = min(near)
+    assert got == want and len(want) > 20
