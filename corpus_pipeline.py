@@ -32,22 +32,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keeps the one with the most code points, then the smallest id."""
+    """Of texts that are equal without blanks, keeps one row: the most code points, then the smallest id, null last, then any.
+
+    Null texts are equal to empty ones. Ids may be null and repeat; an empty table stays empty.
+    """
     return keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group, keeps one row, of the smallest id."""
+    """Of each group of texts whose SimHash prints link, keeps one row, of the smallest id, null last.
+
+    Null and empty texts have one print and are one group. Ids may be null and repeat; an empty table stays empty.
+    """
     return keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what a mix of MIX_SHARE of all tokens takes, each document at most once."""
+    """Keeps what a mix of MIX_SHARE of all tokens takes, each document at most once.
+
+    Null sources and languages are leaves of their own; texts without a token are not taken. Ids may be null and repeat; an
+    empty table stays empty.
+    """
     return keep_mixed(docs, total=F.col("tokens") * MIX_SHARE, weights=MIX_WEIGHTS, domain=mix_domain())
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every document; a null text is an empty one, repeats stay."""
     return encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
