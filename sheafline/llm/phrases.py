@@ -31,7 +31,7 @@ from sheafline.scratch import scratch_path
 ship(__name__)
 
 #: Characters of pieces whose n-grams are counted together, words for each hash bucket, and hash buckets at most.
-CHARS, BUCKET_WORDS, BUCKETS = 6_000_000, 1 << 21, 1 << 13
+CHARS, BUCKET_WORDS, BUCKETS = 3_000_000, 1 << 21, 1 << 13
 #: Bits of the table of frequent pairs (8 MB), whatever their number is.
 PAIR_BITS = 1 << 26
 #: What DuckDB may hold in memory for a bucket, in MB.
@@ -149,6 +149,7 @@ def counted(pieces: DataFrame, buckets: int, least: int, make, folder: str | Non
                 grams = Grams(lang, of["piece"].combine_chunks(), of["n"].to_numpy())
                 made += [(lang, *part) for part in make(grams)]
             rows = packed(made, buckets)
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "part"])
 
         for batch in batches:
