@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import math
 import sys
 import types
 from collections import Counter
@@ -31,6 +33,10 @@ MIN_RATIO = 0.9
 GRAM = 6
 #: Patterns that stand in the plan as literals at most; characters of those that are broadcast at most; and columns by which similar names are compared before their characters are.
 LITERALS, BROADCAST_CHARS, BAG = 64, 1 << 24, 64
+#: Subsequences of one length by which similar names meet, at most; characters that longer names meet by at once, and tokens of so many that a name may have, at most.
+SUBSEQUENCES, TOGETHER, TOKENS = 640, 4, 64
+#: Characters of aliases whose tokens are broadcast, at most.
+BROADCAST_ALIASES = 1 << 14
 
 
 def _with_name(item: Column, name: Column) -> Column:
@@ -200,22 +206,50 @@ def ratio_match(pairs: Sequence[tuple[str, str]], least: float = MIN_RATIO):
     return match
 
 
+def _level(size: int, least: float) -> tuple[int, int]:
+    """By how many characters at once a text of that size is met, and how many it shares with any text that is similar enough."""
+    # The other text has least / (2 - least) of the length at least; so many characters of this one are shared with it.
+    shared = int(np.ceil(least / (2 - least) * size - 1e-9))
+    fits = (k for k in range(TOGETHER, 1, -1) if k <= shared and math.comb(size - shared + k, k) <= TOKENS)
+    return next(fits, 1), shared
+
+
+@functools.lru_cache(maxsize=4096)
+def _ways(size: int, least: float) -> tuple[list[int], list[int]]:
+    """How a text of that size meets those of every size that may be similar enough: the lengths of subsequences, and the numbers of characters.
+
+    Which way two texts meet depends on their two sizes alone, so both take the same.
+    """
+    kept, levels, ratio, (level, _) = set(), set(), least / (2 - least), _level(size, least)
+    for other in range(max(1, int(np.ceil(ratio * size - 1e-9))), int(size / ratio + 1e-9) + 1) if ratio > 0 else ():
+        both = int(np.ceil(least * (size + other) / 2 - 1e-9))
+        if max(math.comb(size, both), math.comb(other, both)) <= SUBSEQUENCES:
+            kept.add(both)
+        else:
+            levels.add(min(level, _level(other, least)[0]))
+    return sorted(kept), sorted(levels) if ratio > 0 else [1]
+
+
 def prefix(text: str, least: float, rank: dict[str, int] | None = None) -> list[str]:
-    """The tokens of a text's rarest characters by which every text that is similar enough is met.
+    """The tokens by which every text that is similar enough is met.
 
-    A token is a character and how often it came before. Two texts whose ratio is `least` or more
-    share so many tokens that, in any one order, they share one of the first of each. Characters
-    are ordered by rank (the rarer first), then by code.
+    Two texts whose ratio is `least` or more share a subsequence as long as the ratio asks of
+    their sizes: where neither text has more than SUBSEQUENCES of that length, these are the tokens.
+    Longer texts are met by their rarest characters, a character counting with how often it came
+    before: of what two texts share, in any one order, the first k are among the first of each, and
+    a token is k of those. Characters are ordered by rank (the rarer first), then by code.
     """
-    seen: Counter = Counter()
-    tokens = []
-    for c in text:
-        tokens.append((-(rank or {}).get(c, 0) if rank else 0, -ord(c), seen[c], c))
-        seen[c] += 1
-    tokens.sort()
-    # The other text has least / (2 - least) of the length at least; so many tokens of this one are shared with it.
-    shared = int(np.ceil(least / (2 - least) * len(text) - 1e-9))
-    return [f"{c}{k}" for _, _, k, c in tokens[: len(text) - shared + 1]]
+    kept, levels = _ways(len(text), least)
+    out = {f"{n}={''.join(some)}" for n in kept for some in itertools.combinations(text, n)}
+    if levels:
+        seen: Counter = Counter()
+        tokens = []
+        for c in text:
+            tokens.append((-(rank or {}).get(c, 0) if rank else 0, -ord(c), seen[c], c))
+            seen[c] += 1
+        first, shared = [f"{c}{k}" for _, _, k, c in sorted(tokens)], _level(len(text), least)[1]
+        out.update(f"{k}:{''.join(some)}" for k in levels for some in itertools.combinations(first[: len(text) - shared + k], k))
+    return list(out)
 
 
 def bags(texts: Sequence[str]) -> np.ndarray:
@@ -249,9 +283,9 @@ class Similar:
 def similar(names: DataFrame, name: str, canonical: DataFrame, least: float = MIN_RATIO) -> DataFrame:
     """(name, ord, canonical): of each distinct normalised name the first entry (by ord) of a table of any size that is similar enough.
 
-    canonical: ord, alias_norm, canonical. Names and aliases meet by an equi-join of their rarest
-    characters (see prefix), where lengths may differ by what the ratio allows; pairs that share
-    enough characters are compared. Blank texts are similar to nothing.
+    canonical: ord, alias_norm, canonical. Names and aliases meet by an equi-join of tokens (see
+    prefix; of few aliases they are broadcast), where lengths may differ by what the ratio allows;
+    pairs that share enough characters are compared. Blank texts are similar to nothing.
     """
     @F.pandas_udf("array<string>")
     def tokens(texts: pd.Series) -> pd.Series:
@@ -262,9 +296,13 @@ def similar(names: DataFrame, name: str, canonical: DataFrame, least: float = MI
         shared, total = np.minimum(bags(a), bags(b)).sum(axis=1), (a.str.len() + b.str.len()).to_numpy()
         return pd.Series([bool(near) and SequenceMatcher(None, x, y).ratio() >= least for x, y, near in zip(a, b, 2 * shared >= least * total)], dtype=bool)
 
-    of = lambda df, text: df.withColumn("__token", F.explode(tokens(text))).withColumn("__size", F.length(text))
+    # Tokens meet by a hash: what meets by chance is compared and dropped.
+    of = lambda df, text: df.withColumn("__token", F.explode(tokens(text))).withColumn("__token", F.xxhash64("__token")).withColumn("__size", F.length(text))
     left = of(names.select(F.col(name)).where(F.col(name) != "").distinct(), name)
-    right = of(canonical.select("ord", "alias_norm", "canonical").where("alias_norm <> ''"), "alias_norm")
+    aliases = canonical.select("ord", "alias_norm", "canonical").where("alias_norm <> ''")
+    right = of(aliases, "alias_norm")
+    few = (aliases.agg(F.sum(F.length("alias_norm"))).first()[0] or 0) <= BROADCAST_ALIASES
+    right = right.hint("broadcast" if few else "merge")
     met = left.join(right.withColumnRenamed("__size", "__other"), "__token").where(2 * F.least("__size", "__other") >= F.lit(least) * (F.col("__size") + F.col("__other")))
     pairs = met.select(name, "ord", "alias_norm", "canonical").distinct()
     return pairs.where(alike(F.col(name), F.col("alias_norm"))).groupBy(name).agg(F.min("ord").alias("ord"), F.min_by("canonical", "ord").alias("canonical"))

@@ -107,6 +107,17 @@ def test_texts_that_are_similar_share_a_token(least):
             assert set(postprocess.prefix(a, least)) & set(postprocess.prefix(b, least)), (a, b)
 
 
+def test_words_of_few_syllables_meet_few_that_are_not_similar():
+    rng = random.Random(3)
+    syllables = ["ung", "keit", "sch", "ein", "ver", "heit", "tion", "the", "ing", "ou", "er", "ent", "an", "le", "re", "in"]
+    names, aliases = ({w for _ in range(900) if 8 <= len(w := "".join(rng.choices(syllables, k=rng.randrange(2, 6)))) <= 15} for _ in range(2))
+    met = {a: set(postprocess.prefix(a, 0.85)) for a in aliases}
+    pairs = [(n, a) for n in names for tokens in [set(postprocess.prefix(n, 0.85))] for a, of in met.items() if not of.isdisjoint(tokens)]
+    near = [(n, a) for n in names for a in aliases if min(len(n), len(a)) * 2 >= 0.85 * (len(n) + len(a)) and SequenceMatcher(None, n, a).quick_ratio() >= 0.85 and SequenceMatcher(None, n, a).ratio() >= 0.85]
+    assert set(near) <= set(pairs) and len(near) > 100
+    assert len(pairs) < len(names) * len(aliases) // 5
+
+
 def test_similar_words_query_equals_difflib(spark):
     got = {r.word: r.canonical for r in receipt_queries.QUERIES["similar_words"](spark, SF).collect()}
     words = {}
