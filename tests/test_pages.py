@@ -258,3 +258,16 @@ def test_free_turn_keeps_polygons_on_the_canvas(spark):
     df = spark.createDataFrame([([[(0.0, 0.0), (100.0, 0.0), (100.0, 50.0), (0.0, 50.0)]],)], "p array<array<struct<x:double,y:double>>>")
     got = df.select(geometry.rotate_free(F.col("p"), F.lit(90.0), F.lit(100), F.lit(50)).alias("r")).first().r[0]
     assert {(round(q.x), round(q.y)) for q in got} == {(0, 0), (50, 0), (50, 100), (0, 100)}
+
+
+def mentions(spark, column, name, over="polys"):
+    """How often a plan mentions a function; what it mentions twice is worked out twice."""
+    kinds = {"polys": geometry.POLYS, "lines": f"array<{ocr.LINE}>", "spans": "array<struct<y0:double,y1:double>>"}
+    made = spark.createDataFrame([], f"{over} {kinds[over]}").select(column.alias("out"))
+    return made._jdf.queryExecution().analyzed().toString().lower().count(name)
+
+
+def test_the_sides_of_polygons_are_measured_once_for_the_tilt(spark):
+    # Once to tell which are slender, once for their direction.
+    assert mentions(spark, geometry.tilt(F.col("polys")), "hypot(") == 2
+    assert mentions(spark, geometry.tilt(F.col("polys")), "atan2(") == 2
