@@ -81,6 +81,11 @@ def find_date(text: Column, as_of_year: int) -> Column:
 
     Years before 2000 or after the year that follows as_of_year count as none.
     """
+    return folded_date(fold(text), as_of_year)
+
+
+def folded_date(text: Column, as_of_year: int) -> Column:
+    """find_date of a text that is folded already."""
     def checked(s: Column, pattern: str, order: tuple[int, int, int]) -> Column:
         y, m, d = (_group(s, pattern, k) for k in order)
 
@@ -88,19 +93,24 @@ def find_date(text: Column, as_of_year: int) -> Column:
             year = F.when(g["y"] < 100, g["y"] + 2000).otherwise(g["y"])
             return F.when((year >= 2000) & (year <= as_of_year + 1), iso(year, g["m"], g["d"]))
 
-        return let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), known)
+        return F.when(s.rlike(pattern), let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), known))
 
     def body(s: Column) -> Column:
         first, second = checked(s, YEAR_FIRST, (1, 2, 3)), checked(s, DAY_FIRST, (3, 2, 1))
         third = F.when(s.rlike(LABEL), checked(s, RUN_TOGETHER, (3, 2, 1)))
         return F.coalesce(first, second, third)
 
-    return let(fold(text), body)
+    return let(text, body)
 
 
 def find_time(text: Column) -> Column:
     """The first clock time of a line of text, if it is one."""
-    return let(fold(text), lambda s: F.when(s.rlike(CLOCK), _clock(s, CLOCK)))
+    return folded_time(fold(text))
+
+
+def folded_time(text: Column) -> Column:
+    """find_time of a text that is folded already."""
+    return let(text, lambda s: F.when(s.rlike(CLOCK), _clock(s, CLOCK)))
 
 
 #: What the model is told about two-digit years (fixed text).

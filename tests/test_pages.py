@@ -271,3 +271,7 @@ def test_the_sides_of_polygons_are_measured_once_for_the_tilt(spark):
     # Once to tell which are slender, once for their direction.
     assert mentions(spark, geometry.tilt(F.col("polys")), "hypot(") == 2
     assert mentions(spark, geometry.tilt(F.col("polys")), "atan2(") == 2
+
+
+def test_lines_are_folded_once_for_dates_and_times(spark):
+    assert mentions(spark, ocr.sweep_datetime(F.lit(""), F.lit(""), F.col("lines"), 2026), "translate(", "lines") == 1
