@@ -275,3 +275,9 @@ def test_the_sides_of_polygons_are_measured_once_for_the_tilt(spark):
 
 def test_lines_are_folded_once_for_dates_and_times(spark):
     assert mentions(spark, ocr.sweep_datetime(F.lit(""), F.lit(""), F.col("lines"), 2026), "translate(", "lines") == 1
+
+
+def test_the_sides_of_slender_polygons_are_measured_once_for_their_share(spark):
+    assert mentions(spark, geometry.vertical_ratio(F.col("polys")), "hypot(") == 2
+    # The values are sorted once, and so are the corners that follow each other.
+    assert mentions(spark, geometry.median_text_height(F.col("polys")), "array_sort(") == 1
