@@ -281,3 +281,7 @@ def test_the_sides_of_slender_polygons_are_measured_once_for_their_share(spark):
     assert mentions(spark, geometry.vertical_ratio(F.col("polys")), "hypot(") == 2
     # The values are sorted once, and so are the corners that follow each other.
     assert mentions(spark, geometry.median_text_height(F.col("polys")), "array_sort(") == 1
+
+
+def test_gaps_are_merged_once_for_all_cuts(spark):
+    assert mentions(spark, geometry.safe_splits(F.col("spans"), F.lit(300), 4), "array_sort(", "spans") == 1
