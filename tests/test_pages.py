@@ -285,3 +285,10 @@ def test_the_sides_of_slender_polygons_are_measured_once_for_their_share(spark):
 
 def test_gaps_are_merged_once_for_all_cuts(spark):
     assert mentions(spark, geometry.safe_splits(F.col("spans"), F.lit(300), 4), "array_sort(", "spans") == 1
+
+
+def test_the_median_height_of_a_row_is_worked_out_once(spark):
+    # One sort of the lines, one of their heights, and none within the walk along the row.
+    column = ocr.split_columns(F.filter("lines", lambda h: h["score"] > 0))
+    assert mentions(spark, column, "array_sort(", "lines") == 2
+    assert mentions(spark, column, "filter(", "lines") == 2
