@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from sheafline.functions import budget, geometry
 from sheafline.operators import images, ocr, quality
+from sheafline.plans import page_queries, stages
 from sheafline.sources.config import Fit
 
+SF = "/root/testdata/sf0.001"
+
 
 def lines(spark, *rows):
     return spark.createDataFrame([([(t, a, b, c, d, 0.9, (b + d) / 2) for t, a, b, c, d in rows],)], f"l array<{ocr.LINE}>")
@@ -292,3 +295,20 @@ def test_the_median_height_of_a_row_is_worked_out_once(spark):
     column = ocr.split_columns(F.filter("lines", lambda h: h["score"] > 0))
     assert mentions(spark, column, "array_sort(", "lines") == 2
     assert mentions(spark, column, "filter(", "lines") == 2
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    key, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    spark.conf.set(key, 10_000)
+    try:
+        page_queries.page_prepare(spark, SF)
+        assert int(spark.conf.get(key)) <= 100
+        batch = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+        sizes = [r.n for r in spark.range(0, 1000, 1, 1).select(batch("id").alias("n")).distinct().collect()]
+        spark.conf.set(key, 7)
+        stages.small_batches(spark.range(1))
+        assert int(spark.conf.get(key)) == 7
+    finally:
+        spark.conf.set(key, before)
+    assert max(sizes) <= 100
