@@ -1,10 +1,12 @@
 import json
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from sheafline.functions import text
 from sheafline.operators import loops, postprocess, quality, receipts, routing
 from sheafline.sources import config, patterns, providers, requests
 
@@ -158,3 +160,10 @@ def test_patterns_meet_names_without_a_nested_loop(spark):
     assert kept.columns == ["k", "name"] and sorted(r.k for r in kept.collect()) == [k for k, n in enumerate(names) if not any(p and p in norm(n) for _, p in patterns)]
     plan = postprocess.canonical_by_substring(rows, "name", listed)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_texts_are_stripped_without_a_search_and_as_python_does(spark):
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    got = spark.createDataFrame([(c, f"{c}a{c}b{c}{c}") for c in every], "c string, t string").select("c", "t", text.strip(F.col("t")).alias("s"))
+    assert "regexp" not in got._jdf.queryExecution().analyzed().toString()
+    assert [r.c for r in got.collect() if r.s != r.t.strip()] == []
