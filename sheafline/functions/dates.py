@@ -15,7 +15,8 @@ LABEL = "(?U)\\bngay\\b|\\bdate\\b"
 
 
 def _group(text: Column, pattern: str, k: int) -> Column:
-    return F.regexp_extract(text, pattern, k).try_cast("int")
+    # A blank is no number; a cast that fails makes an error of it first, which takes long.
+    return F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).try_cast("int")
 
 
 def iso(year: Column, month: Column, day: Column) -> Column:

@@ -157,6 +157,11 @@ def kind(value: Column) -> Column:
     return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
+def is_object(value: Column) -> Column:
+    """Whether a VARIANT is an object; its fields are not read, as kind() does."""
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
 def as_text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
@@ -207,7 +212,7 @@ def to_receipt(df: DataFrame, data: str = "data") -> DataFrame:
     out = out.withColumn("transaction_time", normalize_time(as_text(field(d, "tt", "transaction_time"))))
     out = out.withColumn("total_amount", as_number(field(d, "ta", "total_amount")))
     checks = {
-        "not_an_object": F.coalesce(kind(d) != "OBJECT", F.lit(True)), "too_many_items": F.size("items") > MAX_ITEMS,
+        "not_an_object": ~is_object(d), "too_many_items": F.size("items") > MAX_ITEMS,
         "unknown_layout": F.col("layout").isNotNull() & ~F.col("layout").isin(*LAYOUTS), "long_date": F.coalesce(F.length("transaction_date") > MAX_DATE, F.lit(False)),
     }
     out = out.withColumn("violations", F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())), lambda x: x.isNotNull()))
