@@ -245,3 +245,29 @@ def test_the_query_equals_plain_loops_however_the_table_is_cut(spark, monkeypatc
         assert [g[:2] for g in got] == [x[:2] for x in want]
         for g, x in zip(got, want):
             assert g[2] == pytest.approx(x[2], rel=1e-3, abs=1e-3) and (g[3] is None if not g[1] else g[3] == pytest.approx(x[2] / x[1], rel=1e-3, abs=1e-3))
+
+
+# ---- the parts of a step ----
+
+def test_paths_hold_the_steps_of_all_ids_depth_by_depth():
+    lex, _, rng = small_lexicon()
+    for ids in (rng.integers(0, len(lex.token), 90), np.arange(5), np.zeros(0, np.int64)):
+        order, reach = lex.longest_first(ids)
+        fork, side = lex.paths(ids.take(order), reach)
+        got = [[] for _ in ids]
+        for k, m in enumerate(reach):
+            done = int(reach[:k].sum())
+            for row in range(m):
+                got[order[row]].append((fork[done + row], side[done + row]))
+        assert got == [[(lex.fork[at], lex.side[at]) for at in range(lex.start[i], lex.start[i] + lex.length[i])] for i in ids]
+
+
+def test_rows_are_added_by_any_index():
+    rng = np.random.default_rng(7)
+    for most in (3, 40, 1 << 21, 1 << 30):  # of 32 bits and beyond, with the place in the batch
+        index, rows = rng.integers(0, most, 3000).astype(np.int32), rng.normal(0, 1, (3000, 16)).astype(np.float32)
+        index[:5] = most - 1
+        at, times, total = lm_score.added(index, rows)
+        want, n = np.unique(index, return_counts=True)
+        assert at.tolist() == want.tolist() and times.tolist() == n.tolist()
+        assert total == pytest.approx(np.array([rows[index == i].sum(axis=0) for i in want]), abs=1e-3)
